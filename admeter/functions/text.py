@@ -9,14 +9,14 @@ from pyspark.sql import Column, functions as F
 FIGURE = r"(?<![A-Za-z0-9_.,])-?\$?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?(?![A-Za-z0-9_])"
 
 
-def tokens(col: Column) -> Column:
-    """Lower-case words of a text."""
-    return F.regexp_extract_all(F.lower(col), F.lit(r"[a-z]+"), 0)
+# Word edges that also hold next to accented letters, unlike \\b.
+WORD_START = r"(?<![\p{L}\p{N}_])"
+WORD_END = r"(?![\p{L}\p{N}_])"
 
 
 def join_regex_words(words) -> str:
     """A case-insensitive pattern matching any of the words as whole words."""
-    return r"(?i)\b(?:" + "|".join(words) + r")\b"
+    return rf"(?i){WORD_START}(?:{'|'.join(words)}){WORD_END}"
 
 
 def count_words(col: Column, words) -> Column:

@@ -130,7 +130,7 @@ def hedging(df: DataFrame, *, text: str = "text", words=HEDGING) -> DataFrame:
 def metrics_named(text: Column, words=METRIC_WORDS) -> Column:
     """The distinct metrics a text names."""
     spaced = F.regexp_replace(F.lower(text), "_", " ")
-    return F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"\b(?:" + "|".join(words) + r")\b"), 0))
+    return F.array_distinct(F.regexp_extract_all(spaced, F.lit(join_regex_words(words)), 0))
 
 
 def thin_insights(insights: DataFrame, *, text: str = "evidence", minimum: int = 2, words=METRIC_WORDS) -> DataFrame:
@@ -168,7 +168,7 @@ def missing_prerequisite(cards: DataFrame, *, actions: str = "what_you_should_do
 def kpis_stated(text: Column, kpis) -> Column:
     """KPIs that a text gives a figure for: the name, then a number close by."""
     return F.array_compact(F.array(*[
-        F.when(text.rlike(rf"(?i)\b{k.replace('_', '[ _]')}\b[^.;\d\n]{{0,20}}\d"), F.lit(k)) for k in kpis
+        F.when(text.rlike(rf"{join_regex_words([k.replace('_', '[ _]')])}[^.;\d\n]{{0,20}}\d"), F.lit(k)) for k in kpis
     ]))
 
 

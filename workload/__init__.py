@@ -1,0 +1,6 @@
+"""Checked queries over the test tables (not part of the library)."""
+
+from . import ads
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
