@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from .responses import ANALYSIS_CRITERIA
 from .scoring import AVERAGED_CRITERIA
@@ -34,8 +34,18 @@ def score_type(scores: Column) -> Column:
 
 
 def flatten_scores(records: DataFrame, module_type: str, *, keys=("cohort_id", "version")) -> DataFrame:
-    """One column per compared score, from records whose ``scores`` map is of this kind."""
+    """One column per compared score, from the records whose ``scores`` are of this kind.
+
+    ``scores`` is a map, as read from files, or the struct that scoring gives,
+    whose kind is known from its type.
+    """
     names = metrics_of(module_type)
+    kind = records.schema["scores"].dataType
+    if isinstance(kind, T.StructType):
+        absent = [n for n in names if n not in kind.names]
+        if absent:
+            raise ValueError(f"scores lack {absent} for '{module_type}'")
+        return records.select(*keys, *[F.col(f"scores.{n}").cast("double").alias(n) for n in names])
     return records.filter(score_type(F.col("scores")) == module_type).select(
         *keys, *[F.element_at("scores", n).alias(n) for n in names])
 

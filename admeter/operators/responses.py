@@ -76,6 +76,22 @@ def _violations(*checks: Column) -> Column:
     return F.array_compact(F.array(*checks))
 
 
+def json_types(raw: Column, path: str) -> Column:
+    """The types found under ``path``, for example ``ARRAY<OBJECT<title: STRING>>``.
+
+    A typed parse reads the number 5 as the text "5"; this tells them apart.
+    """
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
+
+
+def _wrong_type(types: Column, field: str, allowed: str) -> Column:
+    """True when some ``field`` has a type other than ``allowed`` (null is another check's matter)."""
+    return F.coalesce(types.rlike(rf"[<\s]{field}: (?!(?:{allowed}|VOID)[,>])"), F.lit(False))
+
+
+_TEXT, _TEXTS = "STRING", "ARRAY<(?:STRING|VOID)>"
+
+
 def _empty(items: Column) -> Column:
     return items.isNull() | (F.size(items) == 0)
 
@@ -86,7 +102,8 @@ def _any_null(item: Column, fields) -> Column:
 
 def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for a recommendation reply."""
-    parsed = df.withColumn("reply", parse_json(F.col(raw), RECOMMENDATION_SCHEMA))
+    parsed = df.withColumns({"reply": parse_json(F.col(raw), RECOMMENDATION_SCHEMA),
+                             "_types": json_types(F.col(raw), "$.recommendations")})
     cards, bad_json = F.col("reply.recommendations"), parse_error(F.col(raw), F.col("reply"))
     checks = [_violation(bad_json, "not a JSON object")]
     readable = ~bad_json
@@ -95,6 +112,9 @@ def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
     checks.append(_violation(held & (F.size(cards) != CARDS_PER_REPLY), f"not exactly {CARDS_PER_REPLY} cards"))
     for field in CARD_TEXT_FIELDS:
         checks.append(_violation(held & F.exists(cards, lambda c: c[field].isNull()), f"{field} is missing"))
+    types = F.col("_types")
+    checks += [_violation(held & _wrong_type(types, f, _TEXT), f"{f} is not text") for f in CARD_TEXT_FIELDS]
+    checks.append(_violation(held & _wrong_type(types, "what_you_should_do", _TEXTS), "what_you_should_do is not a list of text"))
     checks.append(_violation(
         held & F.exists(cards, lambda c: c["priority"].isNotNull() & ~c["priority"].isin(*PRIORITIES)),
         "priority is not High, Medium or Low"))
@@ -105,7 +125,8 @@ def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for an analysis reply."""
-    parsed = df.withColumn("reply", parse_json(F.col(raw), ANALYSIS_SCHEMA))
+    parsed = df.withColumns({"reply": parse_json(F.col(raw), ANALYSIS_SCHEMA),
+                             "_types": json_types(F.col(raw), "$.analysis")})
     body, bad_json = F.col("reply.analysis"), parse_error(F.col(raw), F.col("reply"))
     checks = [
         _violation(bad_json, "not a JSON object"),
@@ -129,11 +150,15 @@ def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
         held & F.coalesce(F.exists(notes, lambda n: n["platform"].isNull() | reduce(
             lambda a, b: a | b, [_empty(n[f]) for f in NOTE_LISTS])), F.lit(False)),
         "channel_notes has an incomplete note"))
+    texts = dict.fromkeys(("executive_summary", *INSIGHT_FIELDS, *PATTERN_FIELDS, "platform"))
+    checks += [_violation(held & _wrong_type(F.col("_types"), f, _TEXT), f"{f} is not text") for f in texts]
+    checks += [_violation(held & _wrong_type(F.col("_types"), f, _TEXTS), f"{f} is not a list of text")
+               for f in (*NOTE_LISTS, "missing_info")]
     return _finish(parsed, bad_json, checks)
 
 
 def _finish(parsed: DataFrame, bad_json: Column, checks: list[Column]) -> DataFrame:
-    out = parsed.withColumns({"parse_error": bad_json, "violations": _violations(*checks)})
+    out = parsed.withColumns({"parse_error": bad_json, "violations": _violations(*checks)}).drop("_types")
     return out.withColumn("valid", F.size("violations") == 0)
 
 

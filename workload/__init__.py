@@ -1,6 +1,6 @@
 """Checked queries over the test tables (not part of the library)."""
 
-from . import ads, diagnosis
+from . import ads, diagnosis, replies
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
