@@ -160,6 +160,15 @@ def goal_kpi_table(spark) -> DataFrame:
         [(goal, list(kpis)) for goal, kpis in GOAL_KPIS.items()], "goal string, kpis array<string>")
 
 
+def goal_value(df: DataFrame, kpi: str, registry: MetricRegistry = METRICS) -> Column:
+    """A KPI as DOUBLE; null when it is NaN or its inputs are absent."""
+    column = registry.column(df, kpi)
+    if column is None:
+        return F.lit(None).cast("double")
+    value = column.try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def goal_kpi_map(df: DataFrame, goal: Column, *, keep_null: bool = False,
                  registry: MetricRegistry = METRICS) -> Column:
     """The row's goal KPIs as ``MAP<STRING,DOUBLE>``, always computed anew.
@@ -172,11 +181,7 @@ def goal_kpi_map(df: DataFrame, goal: Column, *, keep_null: bool = False,
     for name, kpis in GOAL_KPIS.items():
         pairs = []
         for kpi in kpis:
-            column = registry.column(df, kpi)
-            if column is None:
-                column = F.lit(None)
-            value = column.try_cast("double")
-            pairs += [F.lit(kpi), F.when(~F.isnan(value), value)]
+            pairs += [F.lit(kpi), goal_value(df, kpi, registry)]
         kpi_map = F.create_map(*pairs)
         chosen = F.when(goal == name, kpi_map) if chosen is None else chosen.when(goal == name, kpi_map)
     full = chosen.otherwise(empty)

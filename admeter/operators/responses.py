@@ -84,12 +84,15 @@ def json_types(raw: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
 
 
-def _wrong_type(types: Column, field: str, allowed: str) -> Column:
-    """True when some ``field`` has a type other than ``allowed`` (null is another check's matter)."""
-    return F.coalesce(types.rlike(rf"[<\s]{field}: (?!(?:{allowed}|VOID)[,>])"), F.lit(False))
+def _wrong_types(types: Column, texts, lists) -> Column:
+    """Violations for fields that are not text, or not lists of text; null is another check's matter."""
+    def offenders(fields, allowed: str, message: str) -> Column:
+        pattern = rf"\b({'|'.join(fields)}): (?!(?:{allowed}|VOID)[,>])"
+        found = F.coalesce(F.regexp_extract_all(types, F.lit(pattern), 1), F.array().cast(_LIST))
+        return F.transform(F.array_distinct(found), lambda f: F.concat(f, F.lit(message)))
 
-
-_TEXT, _TEXTS = "STRING", "ARRAY<(?:STRING|VOID)>"
+    return F.concat(offenders(texts, "STRING", " is not text"),
+                    offenders(lists, "ARRAY<(?:STRING|VOID)>", " is not a list of text"))
 
 
 def _empty(items: Column) -> Column:
@@ -112,15 +115,12 @@ def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
     checks.append(_violation(held & (F.size(cards) != CARDS_PER_REPLY), f"not exactly {CARDS_PER_REPLY} cards"))
     for field in CARD_TEXT_FIELDS:
         checks.append(_violation(held & F.exists(cards, lambda c: c[field].isNull()), f"{field} is missing"))
-    types = F.col("_types")
-    checks += [_violation(held & _wrong_type(types, f, _TEXT), f"{f} is not text") for f in CARD_TEXT_FIELDS]
-    checks.append(_violation(held & _wrong_type(types, "what_you_should_do", _TEXTS), "what_you_should_do is not a list of text"))
     checks.append(_violation(
         held & F.exists(cards, lambda c: c["priority"].isNotNull() & ~c["priority"].isin(*PRIORITIES)),
         "priority is not High, Medium or Low"))
     checks.append(_violation(
         held & F.exists(cards, lambda c: _empty(c["what_you_should_do"])), "what_you_should_do is empty"))
-    return _finish(parsed, bad_json, checks)
+    return _finish(parsed, bad_json, checks, CARD_TEXT_FIELDS, ("what_you_should_do",))
 
 
 def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -151,14 +151,12 @@ def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
             lambda a, b: a | b, [_empty(n[f]) for f in NOTE_LISTS])), F.lit(False)),
         "channel_notes has an incomplete note"))
     texts = dict.fromkeys(("executive_summary", *INSIGHT_FIELDS, *PATTERN_FIELDS, "platform"))
-    checks += [_violation(held & _wrong_type(F.col("_types"), f, _TEXT), f"{f} is not text") for f in texts]
-    checks += [_violation(held & _wrong_type(F.col("_types"), f, _TEXTS), f"{f} is not a list of text")
-               for f in (*NOTE_LISTS, "missing_info")]
-    return _finish(parsed, bad_json, checks)
+    return _finish(parsed, bad_json, checks, texts, (*NOTE_LISTS, "missing_info"))
 
 
-def _finish(parsed: DataFrame, bad_json: Column, checks: list[Column]) -> DataFrame:
-    out = parsed.withColumns({"parse_error": bad_json, "violations": _violations(*checks)}).drop("_types")
+def _finish(parsed: DataFrame, bad_json: Column, checks: list[Column], texts, lists) -> DataFrame:
+    violations = F.concat(_violations(*checks), _wrong_types(F.col("_types"), texts, lists))
+    out = parsed.withColumns({"parse_error": bad_json, "violations": violations}).drop("_types")
     return out.withColumn("valid", F.size("violations") == 0)
 
 

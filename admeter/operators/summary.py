@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import UNKNOWN, rounded, text_or_unknown, truncated_long
+from ..functions.scalar import rounded, text_or_unknown, truncated_long
 from . import cohorts
-from .kpis import CORE_KPIS, METRICS, MetricRegistry, compute_metrics, goal_kpi_map
+from .kpis import CORE_KPIS, GOAL_KPIS, METRICS, MetricRegistry, compute_metrics, goal_value
 
 IDENTITY_FIELDS = ("platform", "campaign_name", "date", "industry", "offering", "audience", "funnel_stage")
 # Metrics every summary has, with the column each comes from.
@@ -21,24 +21,43 @@ def identity_struct(df: DataFrame, goal: Column) -> Column:
     return F.struct(*own, F.coalesce(goal, text_or_unknown(df, "primary_goal")).alias("primary_goal"))
 
 
-def _base_metrics(df: DataFrame) -> Column:
+def _base_values(df: DataFrame) -> dict[str, Column]:
     def value(name: str, tidy) -> Column:
         return tidy(F.col(name)).cast("double") if name in df.columns else F.lit(None).cast("double")
 
-    pairs = []
-    for name, source in MONEY.items():
-        pairs += [F.lit(name), value(source, rounded)]
-    for name in COUNTS:
-        pairs += [F.lit(name), value(name, truncated_long)]
-    for name in BASE_KPIS:
-        pairs += [F.lit(name), value(name, rounded)]
-    return F.create_map(*pairs)
+    values = {name: value(source, rounded) for name, source in MONEY.items()}
+    values |= {name: value(name, truncated_long) for name in COUNTS}
+    return values | {name: value(name, rounded) for name in BASE_KPIS}
 
 
 def metrics_map(df: DataFrame, goal: Column, *, registry: MetricRegistry = METRICS) -> Column:
-    """Nine base metrics (nulls kept) overlaid by the non-null goal KPIs."""
-    base, extra = _base_metrics(df), goal_kpi_map(df, goal, registry=registry)
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(extra, k)), extra)
+    """Nine base metrics (nulls kept) overlaid by the non-null goal KPIs.
+
+    One list of entries per goal, chosen with CASE: a row computes each of its
+    metrics once and no other goal's.
+    """
+    base = _base_values(df)
+
+    def entry(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("key"), value.alias("value"))
+
+    def entries(kpis) -> Column:
+        values, optional = dict(base), []
+        for kpi in kpis:
+            value = goal_value(df, kpi, registry)
+            if kpi in base:
+                values[kpi] = F.coalesce(value, base[kpi])
+            else:
+                optional.append(F.when(value.isNotNull(), entry(kpi, value)))
+        always = [entry(name, value) for name, value in values.items()]
+        if not optional:
+            return F.map_from_entries(F.array(*always))
+        return F.map_from_entries(F.array_compact(F.array(*always, *optional)))
+
+    chosen = entries(())
+    for name, kpis in GOAL_KPIS.items():
+        chosen = F.when(goal == name, entries(kpis)).otherwise(chosen)
+    return chosen
 
 
 def row_summaries(df: DataFrame, *, goal: str = "goal", registry: MetricRegistry = METRICS) -> DataFrame:
