@@ -23,6 +23,8 @@ def _sort_buckets(df: DataFrame, ordinal: str, n_buckets: int | None) -> DataFra
         parts = [F.col(f"{ordinal}.{f}") for f in kind.names[:-1]]
         return df.withColumn("_bucket", F.struct(*parts))
     n = n_buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n < 2:
+        return df.withColumn("_bucket", F.lit(0))
     place = F.unix_micros(ordinal) if isinstance(kind, T.TimestampType) else (
         F.unix_date(ordinal) if isinstance(kind, T.DateType) else F.col(ordinal))
     placed = df.withColumn("_place", place.cast("double"))

@@ -16,8 +16,8 @@ def score_stream(spark: SparkSession, base_dir: str, file_name: str, module_type
     The same reader and flattening as in batch; each result file is read once.
     """
     files = (
-        spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", max_files_per_trigger)
-        .text(f"{base_dir}/{RESULT_GLOB}/{file_name}")
+        spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger)
+        .text(f"{base_dir}/{RESULT_GLOB}/{file_name}", wholetext=True)
     )
     path = F.col("_metadata.file_path")
     named = files.select(
