@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalar import DEFAULT_DATE_FORMATS, number, parse_timestamp
 from ..schema import IDENTITY_KEYS, NUMERIC_COLUMNS, ZERO_FILLED_COLUMNS
+from .cohorts import positions
 
 
 def enforce_types(df: DataFrame, *, parse_dates: bool = True, fill_missing_metrics_with_zero: bool = True,
@@ -63,6 +64,14 @@ def clean(df: DataFrame, *, ordinal: str = "ordinal", parse_dates: bool = True,
     return dedup_keep_last(out, ordinal=ordinal, extra_keys=extra_keys) if remove_duplicates else out
 
 
+# Up to here a limit is one task's top-k; beyond it rows are numbered in slices.
+TOP_K_ROWS = 100_000
+
+
 def first_rows(df: DataFrame, n: int | None, *, ordinal: str = "ordinal") -> DataFrame:
     """The first ``n`` rows by ``ordinal``; None keeps all."""
-    return df if n is None else df.orderBy(ordinal).limit(n)
+    if n is None:
+        return df
+    if n <= TOP_K_ROWS:
+        return df.orderBy(ordinal).limit(n)
+    return positions(df, ordinal=ordinal, output="_place").filter(F.col("_place") < n).drop("_place")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import half_even, micros_total, number
-from .kpis import METRICS as REGISTRY, RATIOS, MetricRegistry, goal_kpi_map, ratio_of
+from .kpis import GOAL_KPIS, METRICS as REGISTRY, RATIOS, MetricRegistry, goal_kpi_map, goal_value, ratio_of
 
 # --- fixed values --------------------------------------------------------------
 ADDITIVE = (
@@ -192,10 +192,17 @@ def missing_kpis(df: DataFrame, goal: Column, *, registry: MetricRegistry = REGI
 def missing_info(df: DataFrame, *, goal: str = "goal", cohort: str = "cohort_id",
                  registry: MetricRegistry = REGISTRY) -> DataFrame:
     """Per cohort and goal KPI: ``n_missing`` of ``n_rows`` and ``absent`` when no row has it."""
-    kpis = goal_kpi_map(df, F.col(goal), keep_null=True, registry=registry)
-    long = df.select(cohort, F.explode(kpis).alias("kpi", "value"))
+    # Counters in one aggregate; only its few rows, one per cohort and goal, are unpivoted.
+    names = sorted({k for kpis in GOAL_KPIS.values() for k in kpis})
+    known = df.groupBy(cohort, goal).agg(
+        F.count("*").alias("_n"), *[F.count(goal_value(df, k, registry)).alias(f"_{k}") for k in names])
+    wanted = F.array().cast("array<string>")
+    for name, kpis in GOAL_KPIS.items():
+        wanted = F.when(F.col(goal) == name, F.array(*[F.lit(k) for k in kpis])).otherwise(wanted)
+    filled = F.create_map(*[c for k in names for c in (F.lit(k), F.col(f"_{k}"))])
+    long = known.select(cohort, "_n", filled.alias("_filled"), F.explode(wanted).alias("kpi"))
     counted = long.groupBy(cohort, "kpi").agg(
-        (F.count("*") - F.count("value")).alias("n_missing"), F.count("*").alias("n_rows"))
+        F.sum(F.col("_n") - F.element_at("_filled", F.col("kpi"))).alias("n_missing"), F.sum("_n").alias("n_rows"))
     return counted.filter(F.col("n_missing") > 0).withColumn("absent", F.col("n_missing") == F.col("n_rows"))
 
 

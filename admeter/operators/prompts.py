@@ -153,30 +153,46 @@ def _render(df: DataFrame, stage: str, values: dict[str, Column], templates: Dat
     return out.withColumn("messages", messages).drop("_system", "_user")
 
 
-def analysis_prompts(payloads: DataFrame, context: DataFrame, templates: DataFrame, *,
+def _goal(df: DataFrame) -> Column:
+    """The goal in ``campaign_target``, which is a struct or JSON text."""
+    if df.schema["campaign_target"].dataType.typeName() == "string":
+        return F.get_json_object("campaign_target", "$.primary_goal")
+    return F.col("campaign_target.primary_goal")
+
+
+def analysis_prompts(payloads: DataFrame, context: DataFrame | None, templates: DataFrame, *,
                      cohort: str = "cohort_id", strict: bool = True) -> DataFrame:
-    """Analysis prompt per cohort part, from payloads and cohort context."""
-    df = payloads.join(context, cohort)
+    """Analysis prompt per cohort part, from payloads and cohort context.
+
+    Without ``context`` the payload table has the context columns itself.
+    """
+    df = payloads if context is None else payloads.join(context, cohort)
     values = {
         "CAMPAIGN_DATA": _as_json(df, "payload"),
         "BUSINESS_DOMAIN": _as_json(df, "business_domain"),
         "CAMPAIGN_TARGET": _as_json(df, "campaign_target"),
     }
-    return _render(df, "analysis", values, templates, goal=F.col("campaign_target.primary_goal"), strict=strict)
+    return _render(df, "analysis", values, templates, goal=_goal(df), strict=strict)
+
 
+def recommendation_prompts(payloads: DataFrame, context: DataFrame | None, analyses: DataFrame | None,
+                           templates: DataFrame, *, cohort: str = "cohort_id", strict: bool = True) -> DataFrame:
+    """Recommendation prompt per cohort part that has an analysis.
 
-def recommendation_prompts(payloads: DataFrame, context: DataFrame, analyses: DataFrame, templates: DataFrame, *,
-                           cohort: str = "cohort_id", strict: bool = True) -> DataFrame:
-    """Recommendation prompt per cohort part that has an analysis (column ``analysis``)."""
-    keys = [k for k in (cohort, "part") if k in analyses.columns]
-    df = payloads.join(context, cohort).join(analyses.filter(F.col("analysis").isNotNull()), keys)
+    ``analyses`` has a column ``analysis``; without it, or without ``context``,
+    the payload table has those columns itself.
+    """
+    df = payloads if context is None else payloads.join(context, cohort)
+    if analyses is not None:
+        df = df.join(analyses, [k for k in (cohort, "part") if k in analyses.columns])
+    df = df.filter(F.col("analysis").isNotNull())
     values = {
         "CAMPAIGN_TARGET": _as_json(df, "campaign_target"),
         "BUSINESS_DOMAIN": _as_json(df, "business_domain"),
         "CAMPAIGN_DATA": _as_json(df, "payload"),
         "ANALYSIS_JSON": _as_json(df, "analysis"),
     }
-    return _render(df, "recommendation", values, templates, goal=F.col("campaign_target.primary_goal"), strict=strict)
+    return _render(df, "recommendation", values, templates, goal=_goal(df), strict=strict)
 
 
 def kpi_names(payload: Column) -> Column:

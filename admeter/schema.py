@@ -133,23 +133,20 @@ def drop_null_columns(df: DataFrame, probe_rows: int = 1000) -> DataFrame:
     columns; only the remaining suspects are read in full, so the second pass
     is a scan of those columns alone.  The result is exact.
     """
-    def filled(frame: DataFrame, names: list[str]) -> set[str]:
-        kinds = {f.name: f.dataType for f in frame.schema.fields}
-        present = [
-            F.count(F.when(F.isnan(f"`{n}`"), None).otherwise(F.col(f"`{n}`")))
-            if isinstance(kinds[n], (T.DoubleType, T.FloatType)) else F.count(F.col(f"`{n}`"))
-            for n in names
-        ]
-        row = frame.agg(*[c.alias(f"c{i}") for i, c in enumerate(present)]).first()
-        return {n for i, n in enumerate(names) if row[i] > 0}
-
-    if not df.columns:
-        return df
-    keep = filled(df.limit(probe_rows), df.columns)
-    suspects = [n for n in df.columns if n not in keep]
+    kinds = [f.dataType for f in df.schema.fields]
+    probe = df.limit(probe_rows).collect()  # a fixed number of rows, read from the first splits only
+    keep = {i for i in range(len(kinds)) if any(row[i] is not None and row[i] == row[i] for row in probe)}
+    suspects = [i for i in range(len(kinds)) if i not in keep]
     if suspects:
-        keep |= filled(df.select(*[F.col(f"`{n}`") for n in suspects]), suspects)
-    return df.select(*[F.col(f"`{n}`") for n in df.columns if n in keep])
+        def filled(i: int):
+            value = F.col(f"`{df.columns[i]}`")
+            if isinstance(kinds[i], (T.DoubleType, T.FloatType)):
+                value = F.when(~F.isnan(value), value)
+            return F.count(value).alias(f"c{i}")
+
+        counts = df.agg(*[filled(i) for i in suspects]).first()
+        keep |= {i for place, i in enumerate(suspects) if counts[place] > 0}
+    return df.select(*[F.col(f"`{name}`") for i, name in enumerate(df.columns) if i in keep])
 
 
 def is_empty(df: DataFrame) -> bool:

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A prompt can be large: keep the batches handed to a model function small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

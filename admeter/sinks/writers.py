@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators.cohorts import positions
 
 FORMATS = ("parquet", "csv", "json")
 
@@ -73,8 +75,7 @@ def write_dated_json(df: DataFrame, path: str, run_date: str | None = None) -> N
 def archive_prompts(prompts: DataFrame, order_by: str = "part") -> DataFrame:
     """Number the prompts of one ``(cohort, run, name)``: 0, 1, 2, …
 
-    The number replaces the counter that keeps file names apart.  Groups are
-    the prompts of one stage of one cohort, so a window group stays small.
+    The number replaces the counter that keeps file names apart.  ``order_by``
+    tells the prompts of a group apart.  Runs a job to find sort slices.
     """
-    key = W.partitionBy("cohort_id", "run_id", "prompt_name").orderBy(order_by)
-    return prompts.withColumn("attempt", F.row_number().over(key) - 1)
+    return positions(prompts, ordinal=order_by, by=["cohort_id", "run_id", "prompt_name"], output="attempt")

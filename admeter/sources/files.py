@@ -53,10 +53,12 @@ def read(spark: SparkSession, source, *, format: str | None = None, options: dic
         raise
     if not with_ordinal:
         return df
+    # Parquet knows a row's index, and filters still reach the scan past it.
+    place = F.col("_metadata.row_index") if kind == "parquet" else F.monotonically_increasing_id()
     ordinal = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"),
+        place.alias("pos"),
     )
     return df.select("*", ordinal.alias(ORDINAL))
 

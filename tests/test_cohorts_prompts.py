@@ -258,3 +258,32 @@ def test_flow_without_index_uses_batches(spark, tmp_path):
     (tmp_path / "none.csv").write_text("date,platform,campaign_type,impressions,clicks,spend\n")
     with pytest.raises(ValueError):
         run_campaigns(spark, str(tmp_path / "none.csv"), str(tmp_path / "out2"), "run_1")
+
+
+def test_requests(spark):
+    from admeter.plans import analysis_requests, recommendation_requests, request_payloads
+
+    data = {k: v for k, v in AD.items() if k not in ("ordinal", "index")} | {"purchases": 12, "landing_page_views": "100"}
+    target = json.dumps({"primary_goal": "Increase Sales"})
+    df = spark.createDataFrame(
+        [("a", json.dumps(data), '{"industry":"x"}', target, None), ("b", json.dumps({**data, "revenue": 1.5}), None, target, '{"given":1}'),
+         ("c", json.dumps({"clicks": 3}), None, None, None)],
+        "request_id string, campaign_data string, business_domain string, campaign_target string, analysis_results string")
+    metrics = {r["cohort_id"]: r["payload"][0]["performance_metrics"] for r in request_payloads(df).collect()}
+    assert metrics["a"]["purchases"] == 12.0 and metrics["a"]["revenue"] == 4803.43 and metrics["a"]["roas"] == 1.8
+    assert metrics["b"]["revenue"] == 1.5
+    assert metrics["c"]["clicks"] == 3.0 and metrics["c"]["spend"] is None and "purchases" not in metrics["c"]
+    templates = P.default_templates(spark)
+    asked = {r["cohort_id"]: r["messages"] for r in analysis_requests(df, templates).collect()}
+    assert set(asked) == {"a", "c"} and P.DEFAULT_TEMPLATES["goal/increase_sales"] in asked["a"][0]["content"]
+    generated = spark.createDataFrame([("a", '{"made":1}'), ("b", '{"made":2}')], "cohort_id string, generated_analysis string")
+    ready = {r["cohort_id"]: r["messages"][1]["content"] for r in recommendation_requests(df, generated, templates).collect()}
+    assert set(ready) == {"a", "b"} and '{"made":1}' in ready["a"] and '{"given":1}' in ready["b"]
+
+
+def test_large_limits_are_numbered_in_slices(spark, rows, monkeypatch):
+    from admeter.operators import clean
+
+    monkeypatch.setattr(clean, "TOP_K_ROWS", 5)
+    df = spark.range(50).select((49 - F.col("id")).alias("ordinal"))
+    assert rows(clean.first_rows(df, 20)) == sorted([(i,) for i in range(20)], key=lambda t: str(t[0]))
