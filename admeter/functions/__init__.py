@@ -1,11 +1,11 @@
 from .scalar import (
-    NUMERIC_TEXT, half_even, json_int, micros, micros_total, number, parse_timestamp, rounded,
+    NUMERIC_TEXT, half_even, json_int, micros, micros_total, number, only_if, parse_timestamp, rounded,
     safe_ratio, text_or_unknown, truncated_long,
 )
 from .text import count_words, join_regex_words, numbers_in
 
 __all__ = [
-    "NUMERIC_TEXT", "half_even", "json_int", "micros", "micros_total", "number", "parse_timestamp",
+    "NUMERIC_TEXT", "half_even", "json_int", "micros", "micros_total", "number", "only_if", "parse_timestamp",
     "rounded", "safe_ratio", "text_or_unknown", "truncated_long",
     "count_words", "join_regex_words", "numbers_in",
 ]

@@ -85,6 +85,15 @@ def text_or_unknown(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(UNKNOWN))
 
 
+def only_if(condition: Column, value: Column) -> Column:
+    """``[value]`` where ``condition`` holds, else ``[]``; to be joined with ``F.concat``.
+
+    Unlike filtering an array with a lambda, this stays inside generated code,
+    together with everything the values are computed from.
+    """
+    return F.when(condition, F.array(value)).otherwise(F.array())
+
+
 def micros(col: Column) -> Column:
     """Money or a count in millionths, as BIGINT.
 

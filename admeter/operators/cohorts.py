@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
@@ -10,8 +12,14 @@ from ..functions.scalar import UNKNOWN, text_or_unknown
 CONTEXT_FIELDS = ("primary_goal", "industry", "offering", "audience", "funnel_stage")
 
 
-def _sort_buckets(df: DataFrame, ordinal: str, n_buckets: int | None) -> DataFrame:
-    """Add ``_bucket``: consecutive slices of the order of ``ordinal``.
+# A group up to this size is numbered by one task whatever the size of the table.
+SLICE_ROWS = 10_000
+# Offsets are broadcast up to this number of rows, some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def _sort_slices(df: DataFrame, ordinal: str, n_slices: int) -> DataFrame:
+    """Add ``_slice``: consecutive slices of the order of ``ordinal``.
 
     A scan ordinal (a struct) is sliced by input split.  Any other ordinal is
     sliced at approximate quantiles; they only balance the slices, so the result
@@ -20,45 +28,69 @@ def _sort_buckets(df: DataFrame, ordinal: str, n_buckets: int | None) -> DataFra
     """
     kind = df.schema[ordinal].dataType
     if isinstance(kind, T.StructType):
-        parts = [F.col(f"{ordinal}.{f}") for f in kind.names[:-1]]
-        return df.withColumn("_bucket", F.struct(*parts))
-    n = n_buckets or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n < 2:
-        return df.withColumn("_bucket", F.lit(0))
+        return df.withColumn("_slice", F.struct(*[F.col(f"{ordinal}.{f}") for f in kind.names[:-1]]))
     place = F.unix_micros(ordinal) if isinstance(kind, T.TimestampType) else (
         F.unix_date(ordinal) if isinstance(kind, T.DateType) else F.col(ordinal))
     placed = df.withColumn("_place", place.cast("double"))
     # n - 1 numbers, whatever the size of the table
-    cuts = placed.agg(F.percentile_approx("_place", [i / n for i in range(1, n)], 10 * n)).first()[0]
+    cuts = placed.agg(F.percentile_approx("_place", [i / n_slices for i in range(1, n_slices)], 10 * n_slices)).first()[0]
     splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
-    return Bucketizer(splits=splits, inputCol="_place", outputCol="_bucket", handleInvalid="keep").transform(placed).drop("_place")
+    slicer = Bucketizer(splits=splits, inputCol="_place", outputCol="_slice", handleInvalid="keep")
+    return slicer.transform(placed).withColumn("_slice", F.col("_slice").cast("int")).drop("_place")
 
 
 def positions(df: DataFrame, *, ordinal: str = "ordinal", by=(), output: str = "position",
-              total: str | None = None, n_buckets: int | None = None) -> DataFrame:
+              total: str | None = None, slice_rows: int | None = None) -> DataFrame:
     """Add the 0-based place of each row in the order of ``ordinal``, per ``by``.
 
-    Rows are numbered within slices of the order, then shifted by the number of
-    rows in earlier slices.  No task ever sorts a whole group, so one cohort may
-    hold any share of the rows.  ``total`` names a column for the group's size.
-    Rows with a null key stay, without a place.  Runs a job to find the slices
-    unless the ordinal is a scan ordinal.
+    A group with more than ``slice_rows`` rows (default: a task's fair share of
+    the table) is numbered within slices of the order, then shifted by the size
+    of its earlier slices, so no task ever sorts a large group.  All others are
+    numbered by a plain window.  ``total`` names a column for the group's size.
+    Runs a job to measure the groups and, if one is large, two to slice it.
     """
     by = list(by)
-    sliced = _sort_buckets(df, ordinal, n_buckets)
-    keys = [*by, "_bucket"]
-    earlier = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    # one row per group and slice: small next to the table
-    offsets = sliced.groupBy(*keys).agg(F.count("*").alias("_n")).withColumns({
-        "_offset": F.coalesce(F.sum("_n").over(earlier), F.lit(0)),
-        "_total": F.sum("_n").over(W.partitionBy(*by)),
-    }).drop("_n")
-    within = F.row_number().over(W.partitionBy(*keys).orderBy(ordinal))
-    return (
-        sliced.withColumn("_within", within).join(offsets, keys, "left")
-        .withColumn(output, (F.col("_offset") + F.col("_within") - 1).cast("bigint"))
-        .select(*df.columns, output, *([F.col("_total").alias(total)] if total else []))
-    )
+    n_tasks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    n_rows, largest = (v or 0 for v in sizes.agg(F.sum("_n"), F.max("_n")).first())
+    limit = slice_rows or max(n_rows // n_tasks, SLICE_ROWS)
+    if largest <= limit:
+        group = W.partitionBy(*by)
+        out = df.withColumn(output, F.row_number().over(group.orderBy(ordinal)).cast("bigint") - 1)
+        return out.withColumn(total, F.count("*").over(group)) if total else out
+
+    n_slices = min(n_tasks, -(-n_rows // limit))
+    sliced = _sort_slices(df, ordinal, n_slices)
+    if by:
+        # Fewer than n_rows / limit groups can be larger than the limit.
+        large = sizes.filter(F.col("_n") > limit).select(*by).collect()
+        marks = df.sparkSession.createDataFrame(large, df.select(*by).schema)
+        marks = marks.toDF(*[f"_large_{k}" for k in by]).withColumn("_large", F.lit(True))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in by])
+        sliced = sliced.join(F.broadcast(marks), same, "left").withColumn(
+            "_slice", F.when(F.col("_large"), F.col("_slice")))
+        measured = sliced.filter("_large")
+    else:
+        measured = sliced
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    # one row per large group and slice
+    offsets = measured.groupBy(*by, "_slice").agg(F.count("*").alias("_n")).select(
+        *[F.col(k).alias(f"_key_{k}") for k in by], F.col("_slice").alias("_key_slice"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+        F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
+    group = W.partitionBy(*by, "_slice")
+    placed = sliced.withColumn("_within", F.row_number().over(group.orderBy(ordinal)))
+    if total:
+        placed = placed.withColumn("_in_group", F.count("*").over(group))
+    if (len(large) if by else 1) * n_slices <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)  # at most this many rows of a key and two numbers
+    on = F.col("_slice") == F.col("_key_slice")
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    place = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_within") - 1
+    return placed.join(offsets, on, "left").select(
+        *df.columns, place.cast("bigint").alias(output),
+        *([F.coalesce("_total", "_in_group").alias(total)] if total else []))
 
 
 def by_index(df: DataFrame, index: str = "index") -> tuple[DataFrame, DataFrame]:
@@ -73,11 +105,11 @@ def cohort_order(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str = "or
     return df.groupBy(cohort).agg(F.min(ordinal).alias("first_ordinal"), F.count("*").alias("n_rows"))
 
 
-def by_batch(df: DataFrame, size: int = 6, *, ordinal: str = "ordinal", n_buckets: int | None = None) -> DataFrame:
+def by_batch(df: DataFrame, size: int = 6, *, ordinal: str = "ordinal", slice_rows: int | None = None) -> DataFrame:
     """Cohorts of ``size`` consecutive rows, labelled ``batch_<first>_<last>``, counted from 1."""
     if size < 1:
         raise ValueError(f"batch size must be positive, got: {size}")
-    placed = positions(df, ordinal=ordinal, output="_i", total="_rows", n_buckets=n_buckets)
+    placed = positions(df, ordinal=ordinal, output="_i", total="_rows", slice_rows=slice_rows)
     start = F.floor(F.col("_i") / size).cast("bigint") * size
     end = F.least(start + size, F.col("_rows"))  # the last batch may be short
     label = F.concat(F.lit("batch_"), (start + 1).cast("string"), F.lit("_"), end.cast("string"))
@@ -107,9 +139,9 @@ def first_row_context(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str
 
 
 def row_positions(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str = "ordinal",
-                  n_buckets: int | None = None) -> DataFrame:
+                  slice_rows: int | None = None) -> DataFrame:
     """Add ``position``: the 0-based place of each row in its cohort."""
-    return positions(df, ordinal=ordinal, by=[cohort], n_buckets=n_buckets)
+    return positions(df, ordinal=ordinal, by=[cohort], slice_rows=slice_rows)
 
 
 def with_goal(df: DataFrame, context: DataFrame, *, cohort: str = "cohort_id", output: str = "goal") -> DataFrame:

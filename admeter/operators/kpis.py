@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import half_even, number, safe_ratio
+from ..functions.scalar import half_even, number, only_if, safe_ratio
 
 # --- fixed values: KPI definitions ---------------------------------------------
 # name: (numerator, denominator)
@@ -169,20 +169,42 @@ def goal_value(df: DataFrame, kpi: str, registry: MetricRegistry = METRICS) -> C
     return F.when(~F.isnan(value), value)
 
 
+def goals_with(kpi: str) -> list[str]:
+    return [goal for goal, kpis in GOAL_KPIS.items() if kpi in kpis]
+
+
+def as_map(df: DataFrame, values: dict[str, Column], output: str, *, always=()) -> DataFrame:
+    """Add ``output MAP<STRING,DOUBLE>`` of the values that are not null, and of those named in ``always``.
+
+    The values are laid out as plain columns first.  Built from expressions in
+    one go, the map becomes a generated method too large for the JVM to compile.
+    """
+    flat = df.withColumns({f"_v_{name}": value for name, value in values.items()})
+
+    def entry(name: str) -> Column:
+        return F.struct(F.lit(name).alias("key"), F.col(f"_v_{name}").alias("value"))
+
+    fixed = [F.array(*[entry(n) for n in values if n in always])] if always else []
+    optional = [only_if(F.col(f"_v_{n}").isNotNull(), entry(n)) for n in values if n not in always]
+    return flat.withColumn(output, F.map_from_entries(F.concat(*fixed, *optional))).drop(*[f"_v_{n}" for n in values])
+
+
+def with_goal_kpis(df: DataFrame, *, goal: str = "goal", output: str = "goal_kpis",
+                   registry: MetricRegistry = METRICS) -> DataFrame:
+    """Add the row's non-null goal KPIs as a map; the way to do it for many rows."""
+    names = sorted({k for kpis in GOAL_KPIS.values() for k in kpis})
+    return as_map(df, {k: F.when(F.col(goal).isin(goals_with(k)), goal_value(df, k, registry)) for k in names}, output)
+
+
 def goal_kpi_map(df: DataFrame, goal: Column, *, keep_null: bool = False,
                  registry: MetricRegistry = METRICS) -> Column:
     """The row's goal KPIs as ``MAP<STRING,DOUBLE>``, always computed anew.
 
-    Null KPIs are left out unless ``keep_null``.  The goal differs by row, so
-    the map is chosen with CASE: a row evaluates the KPIs of its goal only.
+    Null KPIs are left out unless ``keep_null``.  A row evaluates the KPIs of its
+    goal only.  For large tables ``with_goal_kpis`` is faster.
     """
-    empty = F.create_map().cast("map<string,double>")
-    chosen = None
+    chosen = F.create_map().cast("map<string,double>")
     for name, kpis in GOAL_KPIS.items():
-        pairs = []
-        for kpi in kpis:
-            pairs += [F.lit(kpi), goal_value(df, kpi, registry)]
-        kpi_map = F.create_map(*pairs)
-        chosen = F.when(goal == name, kpi_map) if chosen is None else chosen.when(goal == name, kpi_map)
-    full = chosen.otherwise(empty)
-    return full if keep_null else F.map_filter(full, lambda _, v: v.isNotNull())
+        pairs = [c for kpi in kpis for c in (F.lit(kpi), goal_value(df, kpi, registry))]
+        chosen = F.when(goal == name, F.create_map(*pairs)).otherwise(chosen)
+    return chosen if keep_null else F.map_filter(chosen, lambda _, v: v.isNotNull())

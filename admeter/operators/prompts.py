@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scalar import only_if
+
 # --- fixed values: stages, the template names they use, and placeholders ---------
 GOAL_TEMPLATES = {
     "Increase Sales": "goal/increase_sales",
@@ -140,7 +142,7 @@ def _render(df: DataFrame, stage: str, values: dict[str, Column], templates: Dat
         left = unresolved_placeholders(F.col("_user"))
     else:
         tokens = ["{{" + n + "}}" for n in REQUIRED_PLACEHOLDERS[stage]]
-        left = F.array_compact(F.array(*[F.when(F.col("_user").contains(t), F.lit(t)) for t in tokens]))
+        left = F.concat(*[only_if(F.col("_user").contains(t), F.lit(t)) for t in tokens])
     message = "ARRAY<STRUCT<role:STRING,content:STRING>>"
     messages = F.array(
         F.struct(F.lit("system").alias("role"), F.col("_system").alias("content")),
@@ -228,12 +230,12 @@ def analysis_evaluation_prompts(inputs: DataFrame, templates: DataFrame, *, stri
         "ANALYSIS_REPORT": _as_json(inputs, "analysis_report"),
     }
     out = _render(inputs, "analysis_evaluation", values, templates, goal=None, strict=strict, any_placeholder=True)
-    violations = F.array_compact(F.array(
-        F.when(target.isNull(), F.lit("campaign_target is required")),
-        F.when(_as_json(inputs, data).isNull(), F.lit("campaign_data is required")),
-        F.when(F.coalesce(goal, F.lit("")) == "", F.lit("primary_goal is missing")),
-        F.when(F.coalesce(kpis, F.lit("")) == "", F.lit("KPI names are missing")),
-    ))
+    violations = F.concat(
+        only_if(target.isNull(), F.lit("campaign_target is required")),
+        only_if(_as_json(inputs, data).isNull(), F.lit("campaign_data is required")),
+        only_if(F.coalesce(goal, F.lit("")) == "", F.lit("primary_goal is missing")),
+        only_if(F.coalesce(kpis, F.lit("")) == "", F.lit("KPI names are missing")),
+    )
     out = out.withColumn("violations", violations)
     return out.withColumn("messages", F.when(F.size("violations") == 0, F.col("messages"))) if strict else out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.scalar import number
+from ..functions.scalar import number, only_if
 from ..functions.text import count_words, join_regex_words, numbers_in
 from ..schema import REPORTED_KPIS
 from .kpis import METRICS as REGISTRY, MetricRegistry
@@ -29,21 +29,19 @@ def reported_vs_derived(df: DataFrame, *, tolerance: float = 0.005, registry: Me
     Reported KPIs are the columns ``reported_<kpi>``.  A reported value beside
     an underivable one counts as a difference.
     """
-    pairs = []
+    differing = []
     for kpi in REPORTED_KPIS:
         name = f"reported_{kpi}"
         derived = registry.column(df, kpi)
         if name in df.columns and derived is not None:
-            pairs.append(F.struct(F.lit(kpi).alias("kpi"), number(df, name).alias("reported"), derived.alias("derived")))
-    if not pairs:
+            reported = number(df, name)
+            differs = reported.isNotNull() & (derived.isNull() | (F.abs(reported - derived) > tolerance))
+            differing.append(only_if(differs, F.struct(
+                F.lit(kpi).alias("kpi"), reported.alias("reported"), derived.alias("derived"))))
+    if not differing:
         raise ValueError("no reported_<kpi> column with a derivable KPI")
     rest = [c for c in df.columns if not c.startswith("reported_")]
-
-    def differs(p: Column) -> Column:
-        return p["reported"].isNotNull() & (
-            p["derived"].isNull() | (F.abs(p["reported"] - p["derived"]) > tolerance))
-
-    return df.select(*rest, F.explode(F.filter(F.array(*pairs), differs)).alias("_p")).select(*rest, "_p.*")
+    return df.select(*rest, F.explode(F.concat(*differing)).alias("_p")).select(*rest, "_p.*")
 
 
 def metric_values(summaries: DataFrame, *, cohort: str = "cohort_id") -> DataFrame:
@@ -69,11 +67,11 @@ def check_figures(reports: DataFrame, values: DataFrame, *, text: str = "text",
     first, so the join meets at most one row per figure.
     """
     rate = F.col("metric").isin(*RATE_KPIS)
-    readings = F.array_compact(F.array(
-        F.struct(F.lit("value").alias("kind"), _cents(F.col("value")).alias("cents")),
-        F.when(rate, F.struct(F.lit("percent").alias("kind"), _cents(F.col("value") * 100.0).alias("cents"))),
-        F.when(rate, F.struct(F.lit("misread").alias("kind"), _cents(F.col("value") * 1000.0).alias("cents"))),
-    ))
+    readings = F.concat(
+        F.array(F.struct(F.lit("value").alias("kind"), _cents(F.col("value")).alias("cents"))),
+        only_if(rate, F.struct(F.lit("percent").alias("kind"), _cents(F.col("value") * 100.0).alias("cents"))),
+        only_if(rate, F.struct(F.lit("misread").alias("kind"), _cents(F.col("value") * 1000.0).alias("cents"))),
+    )
     known = (
         values.filter(F.col("value").isNotNull())
         .select(cohort, F.explode(readings).alias("r"))
@@ -106,10 +104,10 @@ def ungrounded_figures(reports: DataFrame, values: DataFrame, **options) -> Data
 def section_gaps(analysis: Column) -> Column:
     """Names of required sections that a parsed analysis lacks or leaves empty."""
     lists = ("budget_and_efficiency", "results_and_value", "cross_channel_patterns_and_risks", "channel_notes")
-    empty = [F.when(F.coalesce(F.size(analysis[s]), F.lit(0)) <= 0, F.lit(s)) for s in lists]
-    summary = F.when(F.coalesce(F.trim(analysis["executive_summary"]), F.lit("")) == "", F.lit("executive_summary"))
-    missing = F.when(analysis["missing_info"].isNull(), F.lit("missing_info"))
-    return F.array_compact(F.array(summary, *empty, missing))
+    empty = [only_if(F.coalesce(F.size(analysis[s]), F.lit(0)) <= 0, F.lit(s)) for s in lists]
+    summary = only_if(F.coalesce(F.trim(analysis["executive_summary"]), F.lit("")) == "", F.lit("executive_summary"))
+    missing = only_if(analysis["missing_info"].isNull(), F.lit("missing_info"))
+    return F.concat(summary, *empty, missing)
 
 
 def word_counts(df: DataFrame, words, *, text: str = "text", output: str = "n_hits") -> DataFrame:
@@ -167,9 +165,9 @@ def missing_prerequisite(cards: DataFrame, *, actions: str = "what_you_should_do
 
 def kpis_stated(text: Column, kpis) -> Column:
     """KPIs that a text gives a figure for: the name, then a number close by."""
-    return F.array_compact(F.array(*[
-        F.when(text.rlike(rf"{join_regex_words([k.replace('_', '[ _]')])}[^.;\d\n]{{0,20}}\d"), F.lit(k)) for k in kpis
-    ]))
+    return F.concat(*[
+        only_if(text.rlike(rf"{join_regex_words([k.replace('_', '[ _]')])}[^.;\d\n]{{0,20}}\d"), F.lit(k)) for k in kpis
+    ])
 
 
 def stated_null_kpis(reports: DataFrame, gaps: DataFrame, kpis, *, text: str = "text", cohort: str = "cohort_id") -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.scalar import json_int
+from ..functions.scalar import json_int, only_if
 
 # --- fixed values: shapes of the replies --------------------------------------
 CARD_TEXT_FIELDS = ("title", "whats_happening", "why_this_matters", "priority", "expected_impact", "owner_suggestion")
@@ -69,11 +69,11 @@ def parse_error(raw: Column, parsed: Column) -> Column:
 
 
 def _violation(condition: Column, text: str) -> Column:
-    return F.when(F.coalesce(condition, F.lit(True)), F.lit(text))
+    return only_if(F.coalesce(condition, F.lit(True)), F.lit(text))
 
 
 def _violations(*checks: Column) -> Column:
-    return F.array_compact(F.array(*checks))
+    return F.concat(*checks)
 
 
 def json_types(raw: Column, path: str) -> Column:

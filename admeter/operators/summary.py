@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import rounded, text_or_unknown, truncated_long
 from . import cohorts
-from .kpis import CORE_KPIS, GOAL_KPIS, METRICS, MetricRegistry, compute_metrics, goal_value
+from .kpis import CORE_KPIS, GOAL_KPIS, METRICS, MetricRegistry, as_map, compute_metrics, goal_value, goals_with
 
 IDENTITY_FIELDS = ("platform", "campaign_name", "date", "industry", "offering", "audience", "funnel_stage")
 # Metrics every summary has, with the column each comes from.
@@ -30,52 +30,38 @@ def _base_values(df: DataFrame) -> dict[str, Column]:
     return values | {name: value(name, rounded) for name in BASE_KPIS}
 
 
-def metrics_map(df: DataFrame, goal: Column, *, registry: MetricRegistry = METRICS) -> Column:
-    """Nine base metrics (nulls kept) overlaid by the non-null goal KPIs.
+def summary_metrics(df: DataFrame, goal: Column, *, registry: MetricRegistry = METRICS) -> dict[str, Column]:
+    """Nine base metrics overlaid by the goal's KPIs, each computed once.
 
-    One list of entries per goal, chosen with CASE: a row computes each of its
-    metrics once and no other goal's.
+    A goal KPI counts in rows of its goals only; where it is null a base metric
+    of that name shows through.
     """
-    base = _base_values(df)
-
-    def entry(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("key"), value.alias("value"))
-
-    def entries(kpis) -> Column:
-        values, optional = dict(base), []
-        for kpi in kpis:
-            value = goal_value(df, kpi, registry)
-            if kpi in base:
-                values[kpi] = F.coalesce(value, base[kpi])
-            else:
-                optional.append(F.when(value.isNotNull(), entry(kpi, value)))
-        always = [entry(name, value) for name, value in values.items()]
-        if not optional:
-            return F.map_from_entries(F.array(*always))
-        return F.map_from_entries(F.array_compact(F.array(*always, *optional)))
-
-    chosen = entries(())
-    for name, kpis in GOAL_KPIS.items():
-        chosen = F.when(goal == name, entries(kpis)).otherwise(chosen)
-    return chosen
+    values = _base_values(df)
+    for kpi in dict.fromkeys(k for kpis in GOAL_KPIS.values() for k in kpis):
+        own = F.when(goal.isin(goals_with(kpi)), goal_value(df, kpi, registry))
+        values[kpi] = F.coalesce(own, values[kpi]) if kpi in values else own
+    return values
 
 
 def row_summaries(df: DataFrame, *, goal: str = "goal", registry: MetricRegistry = METRICS) -> DataFrame:
     """Add ``summary STRUCT<campaign_identity, performance_metrics>`` per row.
 
-    ``goal`` names the column with the cohort's goal.
+    ``goal`` names the column with the cohort's goal.  Base metrics keep their
+    nulls, goal KPIs that are null are left out.
     """
     known = compute_metrics(df, CORE_KPIS, registry=registry)
     goal_col = F.col(goal) if goal in df.columns else F.lit(None).cast("string")
+    values = summary_metrics(known, goal_col, registry=registry)
+    done = as_map(known, values, "_metrics", always=tuple(_base_values(known)))
     summary = F.struct(
         identity_struct(known, goal_col).alias("campaign_identity"),
-        metrics_map(known, goal_col, registry=registry).alias("performance_metrics"),
+        F.col("_metrics").alias("performance_metrics"),
     )
-    return known.withColumn("summary", summary).select(*df.columns, "summary")
+    return done.withColumn("summary", summary).select(*df.columns, "summary")
 
 
 def cohort_payloads(summaries: DataFrame, *, cohort: str = "cohort_id", ordinal: str = "ordinal",
-                    rows_per_part: int = 1000, n_buckets: int | None = None) -> DataFrame:
+                    rows_per_part: int = 1000, slice_rows: int | None = None) -> DataFrame:
     """Row summaries of each cohort in order: ``cohort_id, part, n_parts, n_rows, payload ARRAY``.
 
     A payload is one value, so a cohort of more than ``rows_per_part`` rows
@@ -86,7 +72,7 @@ def cohort_payloads(summaries: DataFrame, *, cohort: str = "cohort_id", ordinal:
         raise ValueError(f"rows_per_part must be positive, got: {rows_per_part}")
     placed = cohorts.positions(
         summaries.select(cohort, ordinal, "summary"), ordinal=ordinal, by=[cohort],
-        output="_position", total="_rows", n_buckets=n_buckets)
+        output="_position", total="_rows", slice_rows=slice_rows)
     part = F.floor(F.col("_position") / rows_per_part).cast("bigint")
     in_order = F.array_sort(
         F.collect_list(F.struct(F.col("_position").alias("i"), "summary")),

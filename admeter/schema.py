@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from .errors import SchemaValidationError
-from .functions.scalar import number
+from .functions.scalar import number, only_if
 
 # --- fixed values: the contract -------------------------------------------
 REQUIRED_COLUMNS = ("date", "platform", "campaign_type", "impressions", "clicks", "spend")
@@ -88,11 +88,11 @@ def numeric_report(df: DataFrame, ordinal: str | None = None, columns=NUMERIC_CO
     if not text:
         return df.sparkSession.createDataFrame([], "column string, n_invalid bigint, examples array<string>")
     order = F.col(ordinal) if ordinal else F.lit(0)
-    bad = F.array_compact(F.array(*[
-        F.when(F.col(c).isNotNull() & number(df, c).isNull(),
-               F.struct(F.lit(c).alias("column"), F.col(c).alias("value")))
+    bad = F.concat(*[
+        only_if(F.col(c).isNotNull() & number(df, c).isNull(),
+                F.struct(F.lit(c).alias("column"), F.col(c).alias("value")))
         for c in text
-    ]))
+    ])
     by_value = (
         df.select(order.alias("_ord"), F.explode(bad).alias("_bad"))
         .groupBy("_bad.column", "_bad.value")

@@ -110,6 +110,9 @@ def test_goal_kpis(wide, spark):
         return wide.select(K.goal_kpi_map(wide, F.lit(goal))).first()[0]
 
     traffic, sales = kpis("Traffic"), kpis("Increase Sales")
+    for goal in (*K.GOAL_KPIS, "Something else", None):
+        flat = K.with_goal_kpis(wide.withColumn("goal", F.lit(goal).cast("string"))).first()["goal_kpis"]
+        assert flat == kpis(goal)
     assert {"clicks", "ctr", "bounce_proxy_rate"} <= set(traffic) and "roas" not in traffic
     assert {"roas", "purchases"} <= set(sales) and "bounce_proxy_rate" not in sales
     assert sales["revenue"] == 400.0

@@ -37,34 +37,41 @@ def test_batches(spark, n, size, labels):
         H.by_batch(df, 0)
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 50])
-def test_positions_do_not_depend_on_the_slices(spark, buckets):
+@pytest.mark.parametrize("slice_rows", [None, 10, 60, 300])
+def test_positions_do_not_depend_on_the_slices(spark, slice_rows):
     # one cohort holds a third of the rows
     df = spark.range(3000).select(
         F.xxhash64("id").alias("ordinal"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("cohort_id"))
-    got = H.row_positions(df, n_buckets=buckets).collect()
+    got = H.positions(df, by=["cohort_id"], total="n", slice_rows=slice_rows).collect()
     by_cohort = {}
     for r in sorted(got, key=lambda r: r["ordinal"]):
-        by_cohort.setdefault(r["cohort_id"], []).append(r["position"])
-    assert all(places == list(range(len(places))) for places in by_cohort.values())
+        by_cohort.setdefault(r["cohort_id"], []).append((r["position"], r["n"]))
+    assert all(places == [(i, len(places)) for i in range(len(places))] for places in by_cohort.values())
     assert sum(map(len, by_cohort.values())) == 3000
+    whole = H.positions(df, total="n", slice_rows=slice_rows).orderBy("ordinal").collect()
+    assert [(r["position"], r["n"]) for r in whole] == [(i, 3000) for i in range(3000)]
 
 
-def test_positions_spread_a_hot_cohort(spark):
-    df = spark.range(4000).select(F.col("id").alias("ordinal"), F.lit(1).alias("c") + F.col("id") % 1)
-    named = df.toDF("ordinal", "cohort_id")
-    sliced = H._sort_buckets(named, "ordinal", 16)
-    largest = sliced.groupBy("cohort_id", "_bucket").count().agg(F.max("count")).first()[0]
-    assert largest <= 4000 / 16 * 1.2
+def test_a_large_cohort_is_spread_over_slices(spark):
+    df = spark.range(4000).select(F.col("id").alias("ordinal"), (F.col("id") % 1).alias("cohort_id"))
+    sliced = H._sort_slices(df, "ordinal", 16)
+    assert sliced.groupBy("cohort_id", "_slice").count().agg(F.max("count")).first()[0] <= 4000 / 16 * 1.2
+    plan = H.row_positions(df, slice_rows=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slice" in plan and "_slice" not in H.row_positions(df)._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_positions_for_dates_text_keys_and_null_keys(spark, rows):
-    df = spark.createDataFrame([("2024-01-03", "a"), ("2024-01-01", "a"), ("2024-01-02", None)], "d string, k string")
+@pytest.mark.parametrize("slice_rows", [None, 1])
+def test_positions_for_dates_scan_ordinals_and_null_keys(spark, rows, slice_rows):
+    df = spark.createDataFrame([("2024-01-03", "a"), ("2024-01-01", "a"), ("2024-01-02", None), ("2024-01-05", None), ("2024-01-04", "b")], "d string, k string")
     df = df.select(F.to_timestamp("d").alias("ordinal"), "k")
-    out = H.positions(df, by=["k"], total="n")
-    assert rows(out, F.dayofmonth("ordinal"), "k", "position", "n") == [(1, "a", 0, 2), (2, None, None, None), (3, "a", 1, 2)]
+    want = [(1, "a", 0, 2), (2, None, 0, 2), (3, "a", 1, 2), (4, "b", 0, 1), (5, None, 1, 2)]
+    day = F.dayofmonth("ordinal").alias("day")
+    assert rows(H.positions(df, by=["k"], total="n", slice_rows=slice_rows), day, "k", "position", "n") == want
     days = df.withColumn("ordinal", F.to_date("ordinal"))
-    assert rows(H.positions(days), F.dayofmonth("ordinal"), "position") == [(1, 0), (2, 1), (3, 2)]
+    assert rows(H.positions(days, slice_rows=slice_rows), day, "position") == [(i + 1, i) for i in range(5)]
+    scan = df.withColumn("ordinal", F.struct(F.lit("f").alias("file"), (day % 2).alias("block"), day.alias("pos")))
+    got = rows(H.positions(scan, by=["k"], slice_rows=slice_rows), "ordinal.pos", "position")
+    assert got == [(1, 0), (2, 0), (3, 1), (4, 0), (5, 1)]
 
 
 def test_first_row_context(spark):

@@ -172,7 +172,7 @@ GOAL_SQL = _goal_sql()
 @query("goal_kpis", "ads_events", f", g AS ({GOAL_SQL}) SELECT ordinal, kpi, value FROM g WHERE value IS NOT NULL")
 def goal_kpis_q(spark, sf):
     df = ads_events(spark, sf)
-    return df.select("ordinal", F.explode(K.goal_kpi_map(df, F.col("primary_goal"))).alias("kpi", "value"))
+    return K.with_goal_kpis(df, goal="primary_goal").select("ordinal", F.explode("goal_kpis").alias("kpi", "value"))
 
 
 # --- cohorts ----------------------------------------------------------------------
