@@ -140,8 +140,8 @@ def first_row_context(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str
 
 def row_positions(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str = "ordinal",
                   slice_rows: int | None = None) -> DataFrame:
-    """Add ``position``: the 0-based place of each row in its cohort."""
-    return positions(df, ordinal=ordinal, by=[cohort], slice_rows=slice_rows)
+    """Add ``position``, the 0-based place of each row in its cohort, and the cohort's ``n_rows``."""
+    return positions(df, ordinal=ordinal, by=[cohort], total="n_rows", slice_rows=slice_rows)
 
 
 def with_goal(df: DataFrame, context: DataFrame, *, cohort: str = "cohort_id", output: str = "goal") -> DataFrame:

@@ -19,7 +19,7 @@ METRICS = {
 def metrics_of(module_type: str) -> tuple[str, ...]:
     """Score names that are compared for a kind of reply."""
     if module_type not in METRICS:
-        raise ValueError(f"Unsupported module_type: {module_type}")
+        raise ValueError(f"unknown kind of scores: {module_type}")
     return METRICS[module_type]
 
 
@@ -55,7 +55,7 @@ def check_score_columns(df: DataFrame, module_type: str) -> DataFrame:
     missing = [c for c in ("version", *metrics_of(module_type)) if c not in df.columns]
     if missing:
         raise ValueError(
-            f"Missing required columns for '{module_type}': {missing}. Available columns: {df.columns}")
+            f"{module_type} scores lack columns {missing}, the table has {df.columns}")
     return df
 
 
@@ -81,7 +81,7 @@ def sort_versions(summary: DataFrame, *, cohort: str = "cohort_id") -> DataFrame
 
 def _newest(one_per_run: DataFrame, run: str, n: int, cohort: str) -> DataFrame:
     if n <= 0:
-        raise ValueError(f"last_n must be a positive integer or None, got: {n}")
+        raise ValueError(f"last_n counts runs and must be at least 1, got {n}")
     newest = W.partitionBy(cohort).orderBy(F.col(run).desc())
     return one_per_run.withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n).drop("_rank")
 

@@ -33,7 +33,7 @@ BREAK_EVEN_ROAS = 1.0
 # -------------------------------------------------------------------------------
 
 
-def totals(df: DataFrame, keys, *, rounding: str = "reference") -> DataFrame:
+def totals(df: DataFrame, keys, *, rounding: str = "stepwise") -> DataFrame:
     """Sums of the measures per ``keys`` and the KPIs as ratios of those sums."""
     measures = [c for c in ADDITIVE if c in df.columns]
     summed = df.groupBy(*keys).agg(*[micros_total(number(df, c)).alias(c) for c in measures])
@@ -44,14 +44,14 @@ def totals(df: DataFrame, keys, *, rounding: str = "reference") -> DataFrame:
     return summed.withColumns(ratios)
 
 
-def daily(df: DataFrame, *, cohort: str = "cohort_id", rounding: str = "reference") -> DataFrame:
+def daily(df: DataFrame, *, cohort: str = "cohort_id", rounding: str = "stepwise") -> DataFrame:
     """Totals per (cohort, platform, date)."""
     day = df.withColumn("date", F.to_date("date"))
     return totals(day, [cohort, "platform", "date"], rounding=rounding)
 
 
 def platform_comparison(df: DataFrame, *, cohort: str = "cohort_id", goal: str = "goal",
-                        rounding: str = "reference") -> DataFrame:
+                        rounding: str = "stepwise") -> DataFrame:
     """Totals and KPIs per platform of each cohort, ranked by the goal's KPI.
 
     ``goal`` is a column that is constant within a cohort; without it platforms
@@ -76,7 +76,7 @@ def platform_comparison(df: DataFrame, *, cohort: str = "cohort_id", goal: str =
     )
 
 
-def kpi_trend(df: DataFrame, kpis, *, cohort: str = "cohort_id", rounding: str = "reference") -> DataFrame:
+def kpi_trend(df: DataFrame, kpis, *, cohort: str = "cohort_id", rounding: str = "stepwise") -> DataFrame:
     """Daily KPIs with ``<kpi>_change``: the difference to the previous date of the platform."""
     in_time = W.partitionBy(cohort, "platform").orderBy("date")
     days = daily(df, cohort=cohort, rounding=rounding)

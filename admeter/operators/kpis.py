@@ -62,17 +62,17 @@ def _after_ratio(name: str, ratio: Column) -> Column:
     return 1.0 - ratio if name in COMPLEMENTED else ratio
 
 
-def ratio_of(name: str, numerator: Column, denominator: Column, rounding: str = "reference") -> Column:
+def ratio_of(name: str, numerator: Column, denominator: Column, rounding: str = "stepwise") -> Column:
     """KPI ``name`` from its two inputs.
 
-    ``rounding="reference"`` rounds the bare ratio, then scales it: a CPM of
+    ``rounding="stepwise"`` rounds the bare ratio, then scales it: a CPM of
     44.46 comes out as 40.0.  ``rounding="exact"`` scales first.
     """
-    if rounding == "reference":
+    if rounding == "stepwise":
         return _after_ratio(name, safe_ratio(numerator, denominator))
     if rounding == "exact":
         return half_even(_after_ratio(name, safe_ratio(numerator, denominator, digits=None)))
-    raise ValueError(f"rounding must be 'reference' or 'exact', got: {rounding}")
+    raise ValueError(f"rounding must be 'stepwise' or 'exact', got: {rounding}")
 
 
 def _ratio_builder(name: str, rounding: str) -> Builder:
@@ -98,7 +98,7 @@ class MetricRegistry:
     """Named metrics.  A metric is a function from a DataFrame to a Column, or to
     None when the DataFrame lacks its inputs."""
 
-    def __init__(self, rounding: str = "reference"):
+    def __init__(self, rounding: str = "stepwise"):
         self._builders: dict[str, Builder] = {}
         for name in RATIOS:
             self._builders[name] = _ratio_builder(name, rounding)

@@ -85,7 +85,7 @@ def load_templates(spark: SparkSession, directory: str) -> DataFrame:
         )
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Template directory not found: {directory}") from error
+            raise FileNotFoundError(f"no templates below {directory}") from error
         raise
     parts = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)\.(?:txt|md)$", 1)
     return files.select(parts.alias("name"), F.col("value").alias("text")).filter(F.col("name") != "")
@@ -97,7 +97,7 @@ def template_texts(templates: DataFrame, names) -> dict[str, str]:
     found = {r["name"]: r["text"] for r in templates.filter(F.col("name").isin(wanted)).collect()}
     missing = [n for n in wanted if n not in found]
     if missing:
-        raise FileNotFoundError(f"Template not found: {', '.join(missing)}")
+        raise FileNotFoundError(f"templates lack {', '.join(missing)}")
     return found
 
 
@@ -231,10 +231,10 @@ def analysis_evaluation_prompts(inputs: DataFrame, templates: DataFrame, *, stri
     }
     out = _render(inputs, "analysis_evaluation", values, templates, goal=None, strict=strict, any_placeholder=True)
     violations = F.concat(
-        only_if(target.isNull(), F.lit("campaign_target is required")),
-        only_if(_as_json(inputs, data).isNull(), F.lit("campaign_data is required")),
-        only_if(F.coalesce(goal, F.lit("")) == "", F.lit("primary_goal is missing")),
-        only_if(F.coalesce(kpis, F.lit("")) == "", F.lit("KPI names are missing")),
+        only_if(target.isNull(), F.lit("no campaign_target")),
+        only_if(_as_json(inputs, data).isNull(), F.lit("no campaign_data")),
+        only_if(F.coalesce(goal, F.lit("")) == "", F.lit("no primary_goal")),
+        only_if(F.coalesce(kpis, F.lit("")) == "", F.lit("no KPI names")),
     )
     out = out.withColumn("violations", violations)
     return out.withColumn("messages", F.when(F.size("violations") == 0, F.col("messages"))) if strict else out

@@ -60,28 +60,33 @@ def row_summaries(df: DataFrame, *, goal: str = "goal", registry: MetricRegistry
     return done.withColumn("summary", summary).select(*df.columns, "summary")
 
 
-def cohort_payloads(summaries: DataFrame, *, cohort: str = "cohort_id", ordinal: str = "ordinal",
+def cohort_payloads(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str = "ordinal", goal: str = "goal",
                     rows_per_part: int = 1000, slice_rows: int | None = None) -> DataFrame:
     """Row summaries of each cohort in order: ``cohort_id, part, n_parts, n_rows, payload ARRAY``.
 
     A payload is one value, so a cohort of more than ``rows_per_part`` rows
     becomes several parts; together, in order, they are the whole cohort.  Every
     group that is gathered has a bounded size, whatever the size of the cohort.
+
+    ``df`` has ad rows.  Positions are found before the summaries are built, so
+    that the wide summaries are shuffled once; columns ``position`` and
+    ``n_rows`` (see ``cohorts.row_positions``) or ``summary`` that are already
+    there are used.
     """
     if rows_per_part < 1:
         raise ValueError(f"rows_per_part must be positive, got: {rows_per_part}")
-    placed = cohorts.positions(
-        summaries.select(cohort, ordinal, "summary"), ordinal=ordinal, by=[cohort],
-        output="_position", total="_rows", slice_rows=slice_rows)
-    part = F.floor(F.col("_position") / rows_per_part).cast("bigint")
+    placed = df
+    if not {"position", "n_rows"} <= set(df.columns):
+        placed = cohorts.row_positions(df, cohort=cohort, ordinal=ordinal, slice_rows=slice_rows)
+    done = placed if "summary" in df.columns else row_summaries(placed, goal=goal)
     in_order = F.array_sort(
-        F.collect_list(F.struct(F.col("_position").alias("i"), "summary")),
-        lambda a, b: F.when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0),
+        F.collect_list(F.struct("position", "summary")),
+        lambda a, b: (a["position"] - b["position"]).cast("int"),
     )
     return (
-        placed.withColumn("part", part)
+        done.withColumn("part", F.floor(F.col("position") / rows_per_part).cast("bigint"))
         .groupBy(cohort, "part")
-        .agg(F.max("_rows").alias("n_rows"), in_order.alias("_rows"))
+        .agg(F.max("n_rows").alias("n_rows"), in_order.alias("_rows"))
         .select(
             cohort, "part",
             F.ceil(F.col("n_rows") / rows_per_part).cast("bigint").alias("n_parts"),

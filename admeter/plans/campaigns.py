@@ -58,13 +58,13 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
                       f"{base_dir}/_audit/ingested", run_id)
     cleaned = _saved(spark, clean(ingested, **cleaning), f"{base_dir}/_audit/processed", run_id)
     if cleaned.isEmpty():
-        raise ValueError("No data found after preprocessing")
+        raise ValueError("no rows are left after cleaning")
     rows, rejects = cohorts.assign(first_rows(cleaned, row_limit), batch_size=batch_size)
     if rejects is not None:
         rejects = _saved(spark, rejects, f"{base_dir}/_audit/rejects", run_id)
 
     context = cohorts.first_row_context(rows)
-    summaries = summary.row_summaries(cohorts.with_goal(rows, context))
+    summaries = summary.row_summaries(cohorts.row_positions(cohorts.with_goal(rows, context)))
     summaries = _saved(spark, summaries, f"{base_dir}/enriched_rows", run_id)
     context = _saved(spark, context, f"{base_dir}/context", run_id)
     payloads = _saved(spark, summary.cohort_payloads(summaries, rows_per_part=rows_per_part),

@@ -113,8 +113,8 @@ def validate_numeric(df: DataFrame, ordinal: str | None = None) -> DataFrame:
     """Raise when a numeric column holds text that is not a number.  Runs a job."""
     found = numeric_report(df, ordinal).orderBy("column").collect()  # one row per column
     if found:
-        parts = [f"{r['column']} contains invalid values: {r['examples']}" for r in found]
-        raise SchemaValidationError("Numeric validation failed: " + "; ".join(parts))
+        parts = [f"{r['column']} ({r['n_invalid']} values such as {r['examples']})" for r in found]
+        raise SchemaValidationError("values that are not numbers: " + "; ".join(parts))
     return df
 
 
@@ -122,7 +122,7 @@ def validate_required(df: DataFrame, ordinal: str | None = None, strict: bool =
     """Raise when contract columns are missing or, if strict, hold non-numbers."""
     missing = missing_columns(df)
     if missing:
-        raise SchemaValidationError(f"Missing required unified columns: {missing}")
+        raise SchemaValidationError(f"the ad table lacks required columns: {missing}")
     return validate_numeric(df, ordinal) if strict else df
 
 

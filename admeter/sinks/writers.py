@@ -41,7 +41,7 @@ def write_run_table(df: DataFrame, path: str, *, partition_by=("run_id",), forma
                     mode: str = "append", max_records_per_file: int = 0) -> None:
     """Write ``df`` partitioned by ``partition_by``.  Runs a job."""
     if format not in FORMATS:
-        raise ValueError(f"Unsupported format '{format}'. Supported: {', '.join(FORMATS)}")
+        raise ValueError(f"unknown format '{format}', choose from {', '.join(FORMATS)}")
     keys = list(partition_by)
     out = _flat(df, format)
     if keys:

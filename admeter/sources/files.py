@@ -19,7 +19,7 @@ def _format_of(path: str) -> str:
     if suffix not in FORMATS:
         supported = ", ".join(FORMATS)
         raise ValueError(
-            f"Unsupported file type '{suffix}'. Supported file types: {supported}. "
+            f"cannot read '{suffix}' files, only {supported}. "
             "For a directory or a glob pass format=."
         )
     return FORMATS[suffix]
@@ -39,7 +39,7 @@ def read(spark: SparkSession, source, *, format: str | None = None, options: dic
     paths = [str(p) for p in source] if isinstance(source, (list, tuple)) else [str(source)]
     kind = (format or _format_of(paths[0])).lower()
     if kind not in FORMATS.values():
-        raise ValueError(f"Unsupported format '{kind}'. Supported: {', '.join(FORMATS.values())}")
+        raise ValueError(f"unknown format '{kind}', choose from {', '.join(FORMATS.values())}")
     reader = spark.read.format(kind)
     if kind == "csv":
         reader = reader.option("header", True)
@@ -49,7 +49,7 @@ def read(spark: SparkSession, source, *, format: str | None = None, options: dic
         df = reader.options(**(options or {})).load(paths)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"File not found: {', '.join(paths)}") from error
+            raise FileNotFoundError(f"no such input: {', '.join(paths)}") from error
         raise
     if not with_ordinal:
         return df

@@ -30,7 +30,7 @@ def read_result_text(spark: SparkSession, base_dir: str, file_name: str = "*.jso
         files = spark.read.text(f"{base_dir}/{RESULT_GLOB}/{file_name}", wholetext=True)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"No run results found under: {base_dir}") from error
+            raise FileNotFoundError(f"no saved results below {base_dir}") from error
         raise
     path = F.col("_metadata.file_path")
     return files.select(

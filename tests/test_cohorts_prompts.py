@@ -167,7 +167,7 @@ def test_evaluation_prompts(spark, ads):
     assert "Goal: Traffic" in row["messages"][1]["content"] and "KPIs: clicks, conversions, cpa" in row["messages"][1]["content"]
     bare = inputs.withColumn("campaign_target", F.lit(None).cast("string"))
     row = P.analysis_evaluation_prompts(bare, templates).first()
-    assert row["messages"] is None and "campaign_target is required" in row["violations"]
+    assert row["messages"] is None and "no campaign_target" in row["violations"]
     text = inputs.select("cohort_id", F.to_json("payload").alias("campaign_data"), "campaign_target", "business_domain", "analysis_report")
     assert P.analysis_evaluation_prompts(text, templates).first()["violations"] == []
     cards = text.withColumns({"analysis_context": F.lit("{}"), "recommendations": F.lit("[1,2]")})

@@ -133,7 +133,7 @@ def test_score_kinds(spark):
     assert V.flatten_scores(df, "recommendation").count() == 1
     with pytest.raises(ValueError):
         V.metrics_of("other")
-    with pytest.raises(ValueError, match="Missing required columns"):
+    with pytest.raises(ValueError, match="lack columns"):
         V.version_summary(df, "analysis")
 
 

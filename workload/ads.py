@@ -247,7 +247,8 @@ def row_identity_q(spark, sf):
 SELECT cohort_id, i // 100 AS part, CAST(ceil(n_rows / CAST(100 AS DOUBLE)) AS BIGINT) AS n_parts, n_rows, i % 100 AS place, campaign_name,
   value AS spend FROM placed JOIN summary ON placed.ordinal = summary.ordinal AND metric = 'spend'""")
 def cohort_payload_q(spark, sf):
-    parts = S.cohort_payloads(_summaries(spark, sf), rows_per_part=100)
+    rows, _ = H.by_index(ads_events(spark, sf))
+    parts = S.cohort_payloads(rows, goal="primary_goal", rows_per_part=100)
     return parts.select("cohort_id", "part", "n_parts", "n_rows", F.posexplode("payload").alias("p", "s")).select(
         "cohort_id", "part", "n_parts", "n_rows", F.col("p").cast("bigint").alias("place"),
         F.col("s.campaign_identity.campaign_name").alias("campaign_name"),
