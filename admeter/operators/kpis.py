@@ -156,8 +156,9 @@ def goal_kpi_names(goal: str) -> tuple[str, ...]:
 
 def goal_kpi_table(spark) -> DataFrame:
     """The goals as a small table: ``goal, kpis ARRAY<STRING>``."""
-    return spark.createDataFrame(
-        [(goal, list(kpis)) for goal, kpis in GOAL_KPIS.items()], "goal string, kpis array<string>")
+    rows = [F.struct(F.lit(goal).alias("goal"), F.array(*[F.lit(k) for k in kpis]).alias("kpis"))
+            for goal, kpis in GOAL_KPIS.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def goal_value(df: DataFrame, kpi: str, registry: MetricRegistry = METRICS) -> Column:

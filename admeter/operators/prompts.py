@@ -73,7 +73,8 @@ DEFAULT_TEMPLATES = {
 
 def default_templates(spark: SparkSession) -> DataFrame:
     """The default wording as a table ``name, text``."""
-    return spark.createDataFrame(list(DEFAULT_TEMPLATES.items()), "name string, text string")
+    rows = [F.struct(F.lit(name).alias("name"), F.lit(text).alias("text")) for name, text in DEFAULT_TEMPLATES.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def load_templates(spark: SparkSession, directory: str) -> DataFrame:
