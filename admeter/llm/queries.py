@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packed_ids, quality_rules
-from .sql import QUALITY_SQL
+from . import byte_bpe, html_text, license_scan, mixing, packed_ids, quality_rules, top_k
+from .sql import LICENSE_SQL, MIXING_SQL, QUALITY_SQL, TOP_K_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,28 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "bpe.*")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs.select("doc_id", "source", "text")).drop("text")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_ids, op3_byte_bpe, op10_quality_rules)}
-ORACLES = {"op10_quality_rules": QUALITY_SQL}
+QUERIES = {f.__name__: f for f in (op1_packed_ids, op3_byte_bpe, op5_top_k, op6_html_text, op8_mixing, op9_license_scan, op10_quality_rules)}
+ORACLES = {"op8_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op5_top_k": TOP_K_SQL, "op10_quality_rules": QUALITY_SQL}

@@ -1,5 +1,8 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .license_scan import BASE, NEAR, NOTICES, SHARE
+from .mixing import BLOCK_CHARS, ROUND
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 QUALITY_SQL = rf"""
@@ -48,3 +51,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND f.repeats <= coalesce(c.repeats, 300) AND f.word_length <= coalesce(c.word_length, 15000) AS kept
 FROM f LEFT JOIN c ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """
+
+PHRASES = ", ".join(
+    f"({n}, '{phrase}', '{label}', {str(base).lower()})"
+    for n, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in NOTICES]))
+
+LICENSE_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT *, string_split(phrase, ' ') AS pw FROM (VALUES {PHRASES}) v(template, phrase, label, is_base)),
+tp AS (SELECT template, label, is_base, len(pw) - 1 AS pairs, spot, pw[spot + 1] || ' ' || pw[spot + 2] AS pair
+       FROM (SELECT *, unnest(range(0, len(pw) - 1)) AS spot FROM t)),
+dp AS (SELECT doc_id, place, w[place + 1] || ' ' || w[place + 2] AS pair FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS place FROM d)),
+v AS (SELECT doc_id, template, label, is_base, pairs, place - spot AS diagonal, spot, place FROM dp JOIN tp USING (pair)),
+g AS (SELECT doc_id, template, label, is_base, pairs, diagonal, list(DISTINCT spot) AS ats, min(place) AS first, max(place) + 1 AS last FROM v GROUP BY doc_id, template, label, is_base, pairs, diagonal),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM (
+      SELECT *, CASE WHEN NOT is_base AND diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM g)),
+m AS (SELECT doc_id, template, label, is_base, pairs, passage, len(list_distinct(flatten(list(ats)))) / pairs AS share, min(first) AS first FROM s GROUP BY doc_id, template, label, is_base, pairs, passage),
+k AS (SELECT * FROM m WHERE share >= CASE WHEN is_base THEN 1.0 ELSE {SHARE} END),
+r AS (
+  SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(first) FILTER (is_base) AS last_word,
+         array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels,
+         array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM k GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+MIXING_SQL = f"""
+WITH RECURSIVE sizes AS (SELECT source, sum(coalesce(length(text), 0)) AS chars FROM documents GROUP BY source),
+a AS (SELECT list(source ORDER BY source NULLS FIRST) AS src, list(chars ORDER BY source NULLS FIRST) AS ch,
+             list(sqrt(greatest(chars, 1)::DOUBLE) ORDER BY source NULLS FIRST) AS w, count(*) AS n, greatest({ROUND}, 4 * count(*)) AS r FROM sizes),
+b AS (SELECT *, list_reduce(list_prepend(0.0::DOUBLE, w), lambda x, y: x + y) AS total FROM a),
+c AS (SELECT *, list_transform(w, lambda x: floor((r - n) * x / total)::BIGINT + 1) AS whole FROM b),
+o AS (SELECT i, row_number() OVER (ORDER BY -((r - n) * w[i] / total - whole[i] + 1), i) AS place FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c)),
+x AS (SELECT list(i) AS extra FROM o, c WHERE place <= r - list_sum(whole)),
+k AS (SELECT src, ch, n, r, list_transform(whole, lambda v, i: v + CASE WHEN list_contains(coalesce(extra, []), i) THEN 1 ELSE 0 END) AS k FROM c, x),
+e AS (
+  SELECT -1::BIGINT AS t, list_transform(k, lambda v: 0::BIGINT) AS done, 0::BIGINT AS pick FROM k
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda v, i: v + CASE WHEN i = p THEN 1 ELSE 0 END), p FROM (
+    SELECT t, done, list_min(list_transform(k.k, lambda v, i:
+      CASE WHEN done[i] < v AND done[i] * r // v <= t + 1 THEN ((done[i] + 1) * r + v - 1) // v * 100000 + i END)) % 100000 AS p
+    FROM e, k WHERE t + 1 < r)),
+turns AS (SELECT pick AS i, t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS ordinal FROM e WHERE t >= 0),
+srcs AS (SELECT i, src[i] AS source, k[i] AS k, r, ceil(ch[i] / {BLOCK_CHARS})::BIGINT AS blocks FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM k)),
+ends AS (SELECT min((blocks - 1) // k * r + t) AS ends FROM srcs JOIN turns ON turns.i = srcs.i AND ordinal = (blocks - 1) % k WHERE blocks > 0),
+docs AS (
+  SELECT doc_id, source, coalesce(sum(coalesce(length(text), 0)) OVER (
+           PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {BLOCK_CHARS} AS block
+  FROM documents)
+SELECT doc_id, docs.source, block::BIGINT AS block, (block // k * r + t)::BIGINT AS slot, coalesce(block // k * r + t <= ends, true) AS in_mix
+FROM docs JOIN srcs ON srcs.source IS NOT DISTINCT FROM docs.source JOIN turns ON turns.i = srcs.i AND ordinal = block % k, ends
+"""
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGINT AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
