@@ -77,16 +77,15 @@ def named(attrs: str) -> tuple[bool, bool]:
 def blocks_of(page: str) -> list[Block]:
     """The flat blocks of a page, in its order.
 
-    ``where`` of a block: within another part (2 if that is inside the main part), within a main part, in a heading, in a list item.
+    ``where`` of a block: within another part (2, or 1 in the ``header`` element of a main part), within a main part, in a heading, in a list item.
     """
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, names another part, names the main part
-    depth = {"other": 0, "main": 0, "link": 0, "skip": 0, "heading": 0, "li": 0}
-    inner: list[int] = []  # main parts open where another part began
+    stack: list[tuple[str, int, bool]] = []  # element, opens another part (2, 1 if it heads a main part), opens a main part
+    depth = {"other": 0, "head": 0, "main": 0, "link": 0, "skip": 0, "heading": 0, "li": 0}
     at, breaks = 0, 0
 
     def where() -> tuple[int, int, int, int]:
-        return (2 if depth["other"] and inner and inner[0] else min(1, depth["other"]), min(1, depth["main"]), min(1, depth["heading"]), min(1, depth["li"]))
+        return (2 if depth["other"] else min(1, depth["head"]), min(1, depth["main"]), min(1, depth["heading"]), min(1, depth["li"]))
 
     block = Block(where())
 
@@ -96,10 +95,9 @@ def blocks_of(page: str) -> list[Block]:
             found.append(block)
         block = Block(where())
 
-    def opened(tag: str, other: bool, main: bool, step: int) -> None:
-        if other:
-            depth["other"] += step
-            inner.append(depth["main"]) if step > 0 else inner.pop()
+    def opened(tag: str, other: int, main: bool, step: int) -> None:
+        depth["other"] += step * (other == 2)
+        depth["head"] += step * (other == 1)
         depth["main"] += step * main
         depth["skip"] += step * (tag in SKIPPED)
         depth["link"] += step * (tag == "a")
@@ -169,12 +167,13 @@ def blocks_of(page: str) -> list[Block]:
                     close_to(i)
                     break
         other, main = named(m["attrs"]) if m["attrs"] else (False, False)
-        other |= tag in OTHER_PARTS
-        main = (main or tag in MAIN_PARTS) and not other
         if tag in ("html", "body"):
             other = main = False
-        stack.append((tag, other, main))
-        opened(tag, other, main, 1)
+        heads = tag == "header" and depth["main"] and not depth["other"]
+        part = 1 if heads else 2 * (other or tag in OTHER_PARTS)
+        main = (main or tag in MAIN_PARTS) and not part
+        stack.append((tag, part, main))
+        opened(tag, part, main, 1)
         if tag not in INLINE:
             block.where = where()
         if tag in RAW:
@@ -196,7 +195,7 @@ def features(found: list[Block]) -> np.ndarray:
     return np.column_stack([*near, place])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple:
     """A decision tree by Gini impurity: (answer,) or (feature, limit, at most limit, above it).  Ties go to the first feature."""
     share = y.mean()
     if depth == 0 or share in (0, 1) or len(y) < 2 * least:
