@@ -106,3 +106,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def without(df: DataFrame, name: str) -> DataFrame:
     """``df`` without a column of that name, in whatever case."""
     return df.drop(*[c for c in df.columns if c.lower() == name.lower()])
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    """64-bit values as the longs of Spark."""
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def repeats(value: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of one of each equal value, whether it is found again, and the places of the others."""
+    if not len(value):
+        return np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+    order = np.argsort(value, kind="stable")
+    new = np.append(True, value[order][1:] != value[order][:-1])
+    if second is not None:
+        new |= np.append(True, second[order][1:] != second[order][:-1])
+    many = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+    return order[new], many, order[~new]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, license_scan, mixing, packed_ids, quality_rules, top_k
+from . import byte_bpe, html_text, license_scan, mixing, packed_ids, quality_rules, substring_dedup, top_k
 from .sql import LICENSE_SQL, MIXING_SQL, QUALITY_SQL, TOP_K_SQL
 
 
@@ -17,6 +17,10 @@ def op1_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -46,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_ids, op3_byte_bpe, op5_top_k, op6_html_text, op8_mixing, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_substring_dedup, op3_byte_bpe, op5_top_k, op6_html_text, op8_mixing, op9_license_scan, op10_quality_rules)}
 ORACLES = {"op8_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op5_top_k": TOP_K_SQL, "op10_quality_rules": QUALITY_SQL}
