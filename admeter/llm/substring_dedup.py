@@ -9,12 +9,12 @@ A window is ``size`` words of one text.  Every word covered by a window whose wo
 3. The windows found twice cover the words to remove.
 
 What is found twice within a task is settled there, and one row stands for it in the shuffle; so a passage that a third
-of all texts share sends one row per task, and no task gathers its places.  Rows carry a 64-bit number of their text
-(hash of id and text); what comes back per text is bounded by the text.  The texts themselves are shuffled once.
+of all texts share sends one row per task, and no task gathers its places.  Rows carry a 62-bit hash of their text, which
+copies share; what comes back per text is bounded by the text.  The texts themselves are shuffled once.
 
 Fixed meaning of edge cases: a null text has no words; texts shorter than a window lose nothing; two equal rows are two
 texts, and remove each other's windows; words are cut at ASCII white space and compared unchanged; an empty table
-gives an empty result; an input column with the name of an output column is replaced.
+gives an empty result; input columns named ``row``, ``spans`` or ``_kept`` are left out.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, Words, as_bytes, mixed, repeats, signed, small_batches, without
@@ -70,7 +70,22 @@ def gathered(batches: Iterable[pa.RecordBatch], arrays: Callable, rows: Callable
         yield from rows(*map(np.concatenate, zip(*held)))
 
 
-def shared_anchors(docs: DataFrame, size: int) -> DataFrame:
+def labelled(row: np.ndarray, many: np.ndarray | bool, sure: bool) -> np.ndarray:
+    """The number of a text with two flags: found again within the task; settled there."""
+    return row << np.int64(2) | np.int64(2 * sure) | np.asarray(many, np.int64)
+
+
+def again(sent: DataFrame, *order: Column) -> DataFrame:
+    """The rows whose hash (and what ``order`` says) other rows have too, or that a task has settled, with their flags."""
+    # the explicit repartition keeps what is computed from the packed columns out of the shuffle
+    dealt = sent.repartition("hash").withColumns({"many": F.col("label").bitwiseAND(1), "sure": F.col("label").bitwiseAND(2) > 0, "row": F.shiftright("label", 2)})
+    equal = Window.partitionBy("hash")
+    if order:
+        equal = equal.orderBy(*order).rangeBetween(Window.currentRow, Window.currentRow)
+    return dealt.withColumns({"n": F.count(F.lit(1)).over(equal), "any": F.max("many").over(equal)}).where("sure OR any = 1 OR n > 1")
+
+
+def shared_anchors(docs: DataFrame, size: int, text: str) -> DataFrame:
     """(row, own, others): per text, the hashes of its anchors that stand elsewhere.
 
     ``others`` were found again within a task; so as not to meet in one place, they are sent disguised by the number of their text.
@@ -78,24 +93,22 @@ def shared_anchors(docs: DataFrame, size: int) -> DataFrame:
     def arrays(batch: pa.RecordBatch) -> tuple:
         words = Words(as_bytes(batch.column(1)), _hashes)
         at, found = anchors(words, size)
-        return found, batch.column(0).to_numpy().view(np.uint64)[words.text[at]]
+        return found, batch.column(0).to_numpy()[words.text[at]]
 
     def rows(found: np.ndarray, row: np.ndarray) -> Iterator[pa.RecordBatch]:
         one, many, more = repeats(found)
-        for at, value, flag, sure in ((one, found[one], many, False), (more, disguised(found[more], row[more]), np.ones(len(more), bool), True)):
-            yield pa.RecordBatch.from_arrays(
-                [signed(value), signed(row[at]), pa.array(flag), pa.array(np.full(len(at), sure))], ["hash", "row", "many", "sure"])
+        more = more[np.unique(np.stack([found[more].view(np.int64), row[more]]), axis=1, return_index=True)[1]]  # copies of a text say it once
+        yield pa.RecordBatch.from_arrays([signed(found[one]), signed(labelled(row[one], many, False))], ["hash", "label"])
+        yield pa.RecordBatch.from_arrays([signed(disguised(found[more], row[more])), signed(labelled(row[more], True, True))], ["hash", "label"])
 
-    sent = docs.select("row", "_text").mapInArrow(lambda b: gathered(b, arrays, rows), "hash bigint, row bigint, many boolean, sure boolean")
-    equal = Window.partitionBy("hash")
-    again = sent.withColumns({"n": F.count(F.lit(1)).over(equal), "any": F.max("many").over(equal)}).where("sure OR any OR n > 1")
-    return again.groupBy("row").agg(
+    sent = docs.select("row", text).mapInArrow(lambda b: gathered(b, arrays, rows), "hash bigint, label bigint")
+    return again(sent).groupBy("row").agg(
         F.collect_list(F.when(~F.col("sure"), F.col("hash"))).alias("own"), F.collect_list(F.when(F.col("sure"), F.col("hash"))).alias("others"))
 
 
 def disguised(value: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Its own inverse."""
-    return value ^ mixed(row.copy())
+    return value ^ mixed(row.astype(np.uint64))
 
 
 def windows_near(place: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -108,85 +121,76 @@ def windows_near(place: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(edge) > 0)
 
 
-def repeated_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(row, spans): per text, runs (place, length) of windows that also start elsewhere."""
-    near = docs.join(shared_anchors(docs, size), "row")
-    given = near.columns
+def repeated_windows(docs: DataFrame, size: int, text: str) -> DataFrame:
+    """(row, spans): per text, runs of windows that also start elsewhere, as place + 2**32 length."""
+    near = docs.join(shared_anchors(docs, size, text), "row")
+    at_column = {n: near.columns.index(n) for n in ("row", text, "own", "others")}
 
     def arrays(batch: pa.RecordBatch) -> tuple:
-        columns = {n: batch.column(given.index(n)) for n in ("row", "_text", "own", "others")}
-        row = columns["row"].to_numpy().view(np.uint64)
-        words = Words(as_bytes(columns["_text"]), _hashes)
+        row = batch.column(at_column["row"]).to_numpy()
+        own, others = batch.column(at_column["own"]), batch.column(at_column["others"])
+        words = Words(as_bytes(batch.column(at_column[text])), _hashes)
         at, found = anchors(words, size)
         borders = np.searchsorted(at, np.append(words.start, len(words.hash)))
-        picked = []
-        for i in range(batch.num_rows):
-            n = int(words.count[i])
-            if n < size:
-                continue
-            own, others = (np.array(columns[c][i].values, np.int64).view(np.uint64) for c in ("own", "others"))
-            known = np.append(own, disguised(others, row[i:i + 1]))
+        picked = [np.empty(0, np.int64)]
+        for i in np.flatnonzero(words.count >= size).tolist():
+            lists = [np.array(x[i].values, np.int64).view(np.uint64) for x in (own, others)]
+            known = np.append(lists[0], disguised(lists[1], row[i:i + 1]))
             mine = slice(borders[i], borders[i + 1])
             place = at[mine][np.isin(found[mine], known)] - words.start[i]
-            picked.append(words.start[i] + windows_near(place, n, size))
-        where = np.concatenate(picked) if picked else np.empty(0, np.int64)
+            picked.append(words.start[i] + windows_near(place, int(words.count[i]), size))
+        where = np.concatenate(picked)
         if not len(where):
-            return tuple(np.empty(0, t) for t in (np.uint64, np.int32, np.uint64, np.int32))
-        second = (words.windows(size, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        return words.windows(size)[where], second[where], row[words.text[where]], words.place[where].astype(np.int32)
+            return tuple(np.empty(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
+        second = (words.windows(size, 0xC2B2AE3D27D4EB4F)[where] >> np.uint64(33)).astype(np.int64)
+        return words.windows(size)[where], second, row[words.text[where]], words.place[where]
 
     def rows(first: np.ndarray, second: np.ndarray, row: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         one, many, more = repeats(first, second)
-        yield table(first[one], second[one], row[one], place[one], np.ones(len(one), np.int32), many, False)
+        yield table(first[one], labelled(row[one], many, False), second[one] << 32 | place[one])
         more = more[np.lexsort((place[more], row[more]))]  # runs of places that need no word from other tasks
-        new = np.append(True, (row[more][1:] != row[more][:-1]) | (place[more][1:] - place[more][:-1] > 1)) if len(more) else np.empty(0, bool)
-        start = more[new]
-        ends = np.append(np.flatnonzero(new)[1:], len(more)) - 1 if len(more) else np.empty(0, np.int64)
-        length = (place[more[ends]] - place[start] + 1).astype(np.int32)
-        yield table(disguised(first[start], row[start] + place[start].astype(np.uint64)), second[start], row[start], place[start], length, np.ones(len(start), bool), True)
+        if len(more):
+            new = np.append(True, (row[more][1:] != row[more][:-1]) | (place[more][1:] - place[more][:-1] > 1))
+            start, end = more[new], more[np.append(np.flatnonzero(new)[1:], len(more)) - 1]
+            length = place[end] - place[start] + 1
+            yield table(disguised(first[start], row[start] + place[start]), labelled(row[start], True, True), length << 32 | place[start])
 
-    def table(first, second, row, place, length, many, sure) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [signed(first), pa.array(second), signed(row), pa.array(place), pa.array(length), pa.array(many), pa.array(np.full(len(place), sure))],
-            ["hash", "second", "row", "place", "length", "many", "sure"])
+    def table(first: np.ndarray, label: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([signed(first), signed(label), signed(at)], ["hash", "label", "at"])
 
-    sent = near.mapInArrow(lambda b: gathered(b, arrays, rows), "hash bigint, second int, row bigint, place int, length int, many boolean, sure boolean")
-    equal = Window.partitionBy("hash", "second")
-    again = sent.withColumns({"n": F.count(F.lit(1)).over(equal), "any": F.max("many").over(equal)}).where("sure OR any OR n > 1")
-    return again.groupBy("row").agg(F.collect_list(F.struct("place", "length")).alias("spans"))
+    sent = near.mapInArrow(lambda b: gathered(b, arrays, rows), "hash bigint, label bigint, at bigint")
+    place = F.col("at").bitwiseAND(2 ** 32 - 1)
+    span = F.when(F.col("sure"), F.col("at")).otherwise(place.bitwiseOR(2 ** 32))
+    return again(sent, F.shiftright("at", 32)).groupBy("row").agg(F.collect_list(span).alias("spans"))
 
 
 def covered(spans: pa.Scalar, n_words: int, size: int) -> np.ndarray:
     """Which of the words the windows cover."""
     edge = np.zeros(n_words + 1, np.int32)
     if spans.is_valid:
-        place, length = (spans.values.field(i).to_numpy() for i in (0, 1))
+        span = np.array(spans.values, np.int64)
+        place = span & (2 ** 32 - 1)
         np.add.at(edge, place, 1)
-        np.add.at(edge, place + length + size - 1, -1)
+        np.add.at(edge, place + (span >> 32) + size - 1, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
-def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    text_of = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return df.withColumns({"_text": text_of, "row": F.xxhash64(F.col(key), text_of)})
-
-
-def joined(df: DataFrame, size: int, key: str, text: str) -> DataFrame:
+def joined(df: DataFrame, size: int, text: str) -> DataFrame:
     """Each text with its spans.  Both joins inside read the same columns, so that the texts' shuffle is reused."""
     small_batches(df.sparkSession)
-    docs = numbered(df, key, text)
-    return docs.join(repeated_windows(docs, size), "row", "left")
+    docs = df.withColumn("row", F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 2))
+    return docs.join(repeated_windows(docs, size, text), "row", "left")
 
 
 def digests(df: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per text: key, ``n_words``, ``n_removed`` and the sha256 of the kept words joined by a space."""
-    found = joined(df.select(key, text), size, key, text)
+    found = joined(df.select(F.col(key), F.col(text).cast("string").alias(text)), size, text)
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for t, spans in zip(as_bytes(batch.column(1)), batch.column(2)):
-                words = t.split()
+                words = (t or b"").split()
                 gone = covered(spans, len(words), size)
                 kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
                 for column, value in zip(out, (len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())):
@@ -196,7 +200,7 @@ def digests(df: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str =
                 [key, "n_words", "n_removed", "kept_sha256"])
 
     kind = dict(df.select(key).dtypes)[key]
-    return found.select(key, "_text", "spans").mapInArrow(digest, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
+    return found.select(key, text, "spans").mapInArrow(digest, f"`{key}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:
@@ -213,17 +217,18 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def removed(df: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+def removed(df: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
     """``df`` with repeated windows cut out of its texts; texts without any stay as they are."""
-    found = joined(df, size, key, text)
+    plain = without(without(without(df, "row"), "spans"), "_kept")
+    found = joined(plain.withColumn("_text", F.col(text).cast("string")).drop(text), size, "_text")
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for t, s in zip(as_bytes(texts), spans):
-            gone = covered(s, len(t.split()), size) if s.is_valid else None
+            gone = covered(s, len((t or b"").split()), size) if s.is_valid else None
             out.append(t if gone is None or not gone.any() else cut(t, gone))
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    clean = found.withColumn("_kept", F.when(F.col(text).isNotNull(), kept("_text", "spans")))
-    return clean.select(*[F.col("_kept").alias(c) if c == text else found[c] for c in df.columns])
+    clean = found.withColumn("_kept", kept("_text", "spans"))
+    return clean.select(*[F.col("_kept").alias(c) if c == text else clean[c] for c in plain.columns])
