@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, license_scan, mixing, packed_ids, quality_rules, substring_dedup, top_k
+from . import byte_bpe, html_text, jaccard_join, license_scan, mixing, packed_ids, quality_rules, substring_dedup, top_k
 from .sql import LICENSE_SQL, MIXING_SQL, QUALITY_SQL, TOP_K_SQL
 
 
@@ -27,6 +27,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "bpe.*")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -50,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_substring_dedup, op3_byte_bpe, op5_top_k, op6_html_text, op8_mixing, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_substring_dedup, op3_byte_bpe, op4_jaccard_join, op5_top_k, op6_html_text, op8_mixing, op9_license_scan, op10_quality_rules)}
 ORACLES = {"op8_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op5_top_k": TOP_K_SQL, "op10_quality_rules": QUALITY_SQL}
