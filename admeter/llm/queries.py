@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, html_text, jaccard_join, license_scan, mixing, packed_ids, quality_rules, substring_dedup, top_k
+from . import byte_bpe, html_text, jaccard_join, license_scan, lm_scoring, mixing, packed_ids, quality_rules, substring_dedup, top_k
 from .sql import LICENSE_SQL, MIXING_SQL, QUALITY_SQL, TOP_K_SQL
 
 
@@ -41,6 +41,10 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs.select("doc_id", "source", "text")).drop("text")
@@ -54,5 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_substring_dedup, op3_byte_bpe, op4_jaccard_join, op5_top_k, op6_html_text, op8_mixing, op9_license_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packed_ids, op2_substring_dedup, op3_byte_bpe, op4_jaccard_join, op5_top_k, op6_html_text, op7_lm_scoring, op8_mixing, op9_license_scan, op10_quality_rules)}
 ORACLES = {"op8_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op5_top_k": TOP_K_SQL, "op10_quality_rules": QUALITY_SQL}
