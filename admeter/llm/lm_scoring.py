@@ -153,7 +153,8 @@ def score(df: DataFrame, labels: DataFrame, target: str = "quality = 1 AND toxic
     small_batches(df.sparkSession)
     docs = df.select(F.col(key), F.col(text).cast("string").alias("text"))
     good = labels.where(target).select(F.col(key).alias("_key")).distinct()
-    targets = saved(docs.join(good, docs[key] == good["_key"], "left_semi").select("text"), "lm-targets")
+    # labels grow with the texts, so they are never broadcast
+    targets = saved(docs.join(good.hint("merge"), docs[key] == good["_key"], "left_semi").select("text"), "lm-targets")
     vocabulary, model = train(docs, targets)
     kind = pa.struct([("n_tokens", pa.int64()), ("background_loss", pa.float64()), ("target_loss", pa.float64()), ("score", pa.float64())])
 
