@@ -137,11 +137,12 @@ def judge(measures: DataFrame, limits: DataFrame, lang: str = "lang", source: st
 
 
 def apply(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``df`` with the struct ``quality``.  The cutoffs, a row per group, are written first, so that their size is
-    known when the join is planned; the texts are measured again for the verdict instead of being written."""
+    """``df`` with the struct ``quality``.  The narrow measures are written once for the sketches, and the cutoffs, a row
+    per group, so that their size is known when the join is planned; the texts are measured again for the verdict
+    instead of being written."""
     measures = measure(df, text)
-    limits = saved(cutoffs(sketches(measures, lang, source)), "quality-cutoffs")
-    return judge(measures, limits, lang, source)
+    narrow = saved(measures.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "quality"), "quality-measures")
+    return judge(measures, saved(cutoffs(sketches(narrow)), "quality-cutoffs"), lang, source)
 
 
 def filtered(df: DataFrame) -> DataFrame:
