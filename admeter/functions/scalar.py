@@ -95,14 +95,14 @@ def only_if(condition: Column, value: Column) -> Column:
 
 
 def micros(col: Column) -> Column:
-    """Money or a count in millionths, as BIGINT.
+    """Money or a count in millionths, as a whole DECIMAL.
 
-    Sums of BIGINT do not depend on the order of the rows, so totals are the
-    same after a retry or a different partitioning; an overflow raises.
+    Sums of decimals do not depend on the order of the rows, so totals are the same after a retry or a different
+    partitioning, and 38 digits hold any total that a double can tell apart.
     """
-    return F.rint(col.cast("double") * 1e6).cast("bigint")
+    return F.rint(col.cast("double") * 1e6).cast("decimal(28,0)")
 
 
 def micros_total(col: Column) -> Column:
     """Exact sum of a double column, as DOUBLE."""
-    return F.sum(micros(col)) / F.lit(1e6)
+    return F.sum(micros(col)).cast("double") / F.lit(1e6)

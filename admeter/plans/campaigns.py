@@ -36,8 +36,14 @@ def ingest(spark: SparkSession, source, *, format: str | None = None, options: d
 
 def _saved(spark: SparkSession, df: DataFrame, path: str, run_id: str) -> DataFrame:
     """Write a run table and read the run back: later steps start from the table."""
-    write_run_table(df.withColumn("run_id", F.lit(run_id)), path)
-    return spark.read.parquet(path).filter(F.col("run_id") == run_id).drop("run_id")
+    stamped = df.withColumn("run_id", F.lit(run_id))
+    write_run_table(stamped, path, mode="replace")
+    return _run_of(spark, stamped, path, run_id).drop("run_id")
+
+
+def _run_of(spark: SparkSession, written: DataFrame, path: str, run_id: str) -> DataFrame:
+    """The rows of a run; the schema is given, as a run without rows leaves no file to read it from."""
+    return spark.read.schema(written.schema).parquet(path).filter(F.col("run_id") == run_id)
 
 
 def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, format: str | None = None,
@@ -77,8 +83,8 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
 
     def replies(table: DataFrame, model: Model, stage: str) -> DataFrame:
         out = stages.call_model(table, model, stage=stage, max_parallel=max_parallel)
-        write_results(out, base_dir, f"{stage}_replies", format="parquet")
-        return spark.read.parquet(f"{base_dir}/{stage}_replies").filter(F.col("run_id") == run_id)
+        write_results(out, base_dir, f"{stage}_replies", format="parquet", mode="replace")
+        return _run_of(spark, out, f"{base_dir}/{stage}_replies", run_id)
 
     analyses = responses.check_analyses(replies(asked, analysis_model, "analysis"))
     tables["analyses"] = analyses
@@ -97,8 +103,9 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
 def _archived(asked: DataFrame, base_dir: str) -> DataFrame:
     """Number and write a stage's prompts as readable text."""
     text = archive_prompts(asked.withColumn("text", prompts.archive_text(F.col("messages"))))
-    write_results(text.select("cohort_id", "run_id", "part", "prompt_name", "attempt", "unresolved", "text"),
-                  base_dir, "prompts", format="parquet")
+    # several stages archive prompts of one run, so each kind has partitions of its own
+    write_run_table(text.select("cohort_id", "run_id", "part", "prompt_name", "attempt", "unresolved", "text"), f"{base_dir}/prompts",
+                    partition_by=("cohort_id", "run_id", "prompt_name"), mode="replace")
     return asked
 
 

@@ -39,14 +39,20 @@ def _flat(df: DataFrame, format: str) -> DataFrame:
 
 def write_run_table(df: DataFrame, path: str, *, partition_by=("run_id",), format: str = "parquet",
                     mode: str = "append", max_records_per_file: int = 0) -> None:
-    """Write ``df`` partitioned by ``partition_by``.  Runs a job."""
+    """Write ``df`` partitioned by ``partition_by``.  Runs a job.
+
+    ``mode="replace"`` replaces the partitions that ``df`` has and keeps all others, so a run that is repeated
+    under its id does not double its rows.
+    """
     if format not in FORMATS:
         raise ValueError(f"unknown format '{format}', choose from {', '.join(FORMATS)}")
     keys = list(partition_by)
     out = _flat(df, format)
     if keys:
         out = out.hint("rebalance", *keys)
-    writer = out.write.mode(mode).format(format)
+    writer = out.write.mode("overwrite" if mode == "replace" else mode).format(format)
+    if mode == "replace":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if format == "csv":
         writer = writer.option("header", True)
     if max_records_per_file:
