@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import isfinite
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.scalar import UNKNOWN, text_or_unknown
 
@@ -22,21 +23,43 @@ def _sort_slices(df: DataFrame, ordinal: str, n_slices: int) -> DataFrame:
     """Add ``_slice``: consecutive slices of the order of ``ordinal``.
 
     A scan ordinal (a struct) is sliced by input split.  Any other ordinal is
-    sliced at approximate quantiles; they only balance the slices, so the result
-    does not depend on how exact they are.  The slice is a function of the row
+    sliced at approximate quantiles of its place in the order; they only balance
+    the slices, so the result does not depend on how exact they are.  The slice is a function of the row
     alone, hence the same on every attempt.
     """
     kind = df.schema[ordinal].dataType
     if isinstance(kind, T.StructType):
         return df.withColumn("_slice", F.struct(*[F.col(f"{ordinal}.{f}") for f in kind.names[:-1]]))
-    place = F.unix_micros(ordinal) if isinstance(kind, T.TimestampType) else (
-        F.unix_date(ordinal) if isinstance(kind, T.DateType) else F.col(ordinal))
-    placed = df.withColumn("_place", place.cast("double"))
+    placed = df.withColumn("_place", _place(df, ordinal))
     # n - 1 numbers, whatever the size of the table
     cuts = placed.agg(F.percentile_approx("_place", [i / n_slices for i in range(1, n_slices)], 10 * n_slices)).first()[0]
-    splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]
+    inner = sorted({c for c in cuts or [] if isfinite(c)}) or [0.0]
+    splits = [float("-inf"), *inner, float("inf")]
     slicer = Bucketizer(splits=splits, inputCol="_place", outputCol="_slice", handleInvalid="keep")
-    return slicer.transform(placed).withColumn("_slice", F.col("_slice").cast("int")).drop("_place")
+    # nulls come first in the order, so they are a slice of their own before all others
+    return slicer.transform(placed).withColumn("_slice", F.coalesce(F.col("_slice").cast("int"), F.lit(-1))).drop("_place")
+
+
+def _place(df: DataFrame, ordinal: str) -> Column:
+    """A number that never falls along the order of ``ordinal``, whatever its type; it need not tell all values apart."""
+    kind, value = df.schema[ordinal].dataType, F.col(ordinal)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(kind, T.TimestampNTZType):
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
+        return F.unix_date(value.cast("date")).cast("double") * 86400.0 + seconds
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        # bytes decide the order; six of them, after those that the smallest and the largest value share, make a number
+        ends = df.agg(F.min(ordinal), F.max(ordinal)).first()
+        first, last = [v.encode() if isinstance(v, str) else bytes(v or b"") for v in ends]
+        shared = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), min(len(first), len(last)))
+        digits = F.hex(F.substring(value.cast("binary"), shared + 1, 6))
+        return F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return value.cast("double")
+    return F.when(value.isNotNull(), F.lit(0.0))  # no known order: one slice
 
 
 def positions(df: DataFrame, *, ordinal: str = "ordinal", by=(), output: str = "position",
@@ -82,9 +105,11 @@ def positions(df: DataFrame, *, ordinal: str = "ordinal", by=(), output: str = "
     placed = sliced.withColumn("_within", F.row_number().over(group.orderBy(ordinal)))
     if total:
         placed = placed.withColumn("_in_group", F.count("*").over(group))
-    if (len(large) if by else 1) * n_slices <= BROADCAST_ROWS:
+    # The number of input splits is not bounded, that of quantile slices is, with one more for nulls.
+    counted = not isinstance(df.schema[ordinal].dataType, T.StructType)
+    if counted and (len(large) if by else 1) * (n_slices + 1) <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)  # at most this many rows of a key and two numbers
-    on = F.col("_slice") == F.col("_key_slice")
+    on = F.col("_slice").eqNullSafe(F.col("_key_slice"))
     for k in by:
         on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     place = F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_within") - 1

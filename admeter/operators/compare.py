@@ -33,11 +33,22 @@ def score_type(scores: Column) -> Column:
     return F.when(has_all(ANALYSIS), ANALYSIS).when(has_all(RECOMMENDATION), RECOMMENDATION)
 
 
-def flatten_scores(records: DataFrame, module_type: str, *, keys=("cohort_id", "version")) -> DataFrame:
+def unknown_scores(records: DataFrame) -> DataFrame:
+    """Records whose score maps are of no known kind, with the names they lack for each kind.
+
+    These are what ``flatten_scores`` leaves out: older or broken result files.
+    """
+    keys = F.coalesce(F.map_keys("scores"), F.array().cast("array<string>"))
+    lacking = {f"missing_for_{kind}": F.array_except(F.array(*[F.lit(m) for m in names]), keys) for kind, names in METRICS.items()}
+    return records.filter(score_type(F.col("scores")).isNull()).withColumns(lacking)
+
+
+def flatten_scores(records: DataFrame, module_type: str, *, keys=("cohort_id", "version"), strict: bool = False) -> DataFrame:
     """One column per compared score, from the records whose ``scores`` are of this kind.
 
     ``scores`` is a map, as read from files, or the struct that scoring gives,
-    whose kind is known from its type.
+    whose kind is known from its type.  Records of no known kind are left out
+    (``unknown_scores`` gives them); with ``strict`` they end the job instead.
     """
     names = metrics_of(module_type)
     kind = records.schema["scores"].dataType
@@ -46,7 +57,11 @@ def flatten_scores(records: DataFrame, module_type: str, *, keys=("cohort_id", "
         if absent:
             raise ValueError(f"scores lack {absent} for '{module_type}'")
         return records.select(*keys, *[F.col(f"scores.{n}").cast("double").alias(n) for n in names])
-    return records.filter(score_type(F.col("scores")) == module_type).select(
+    found = score_type(F.col("scores"))
+    if strict:
+        message = F.concat(F.lit("scores of no known kind: "), F.coalesce(F.to_json(F.map_keys("scores")), F.lit("none")))
+        found = F.coalesce(found, F.raise_error(message).cast("string"))
+    return records.filter(found == module_type).select(
         *keys, *[F.element_at("scores", n).alias(n) for n in names])
 
 

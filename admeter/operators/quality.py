@@ -164,9 +164,11 @@ def missing_prerequisite(cards: DataFrame, *, actions: str = "what_you_should_do
 
 
 def kpis_stated(text: Column, kpis) -> Column:
-    """KPIs that a text gives a figure for: the name, then a number close by."""
+    """KPIs that a text gives a figure for: the name, then a number in the same sentence with no other metric's name between."""
+    spelled = {k: k.replace("_", "[ _]") for k in kpis}
+    other = join_regex_words([*METRIC_WORDS, *spelled.values()])
     return F.concat(*[
-        only_if(text.rlike(rf"{join_regex_words([k.replace('_', '[ _]')])}[^.;\d\n]{{0,20}}\d"), F.lit(k)) for k in kpis
+        only_if(text.rlike(rf"{join_regex_words([name])}(?:(?!{other})[^.;\d\n])*\d"), F.lit(k)) for k, name in spelled.items()
     ])
 
 

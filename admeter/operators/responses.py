@@ -76,23 +76,45 @@ def _violations(*checks: Column) -> Column:
     return F.concat(*checks)
 
 
-def json_types(raw: Column, path: str) -> Column:
-    """The types found under ``path``, for example ``ARRAY<OBJECT<title: STRING>>``.
+# A typed parse reads the number 5 as the text "5"; the types of the JSON itself tell them apart.  They are looked up
+# path by path, so that further fields of a reply may hold what they like.
 
-    A typed parse reads the number 5 as the text "5"; this tells them apart.
-    """
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(raw), path, "variant"))
+def _type_at(item: Column, field: str) -> Column:
+    """Type of a field of a JSON object; "VOID" for a JSON null, null where the field is absent."""
+    return F.schema_of_variant(F.try_variant_get(item, f"$['{field}']", "variant"))
 
 
-def _wrong_types(types: Column, texts, lists) -> Column:
-    """Violations for fields that are not text, or not lists of text; null is another check's matter."""
-    def offenders(fields, allowed: str, message: str) -> Column:
-        pattern = rf"\b({'|'.join(fields)}): (?!(?:{allowed}|VOID)[,>])"
-        found = F.coalesce(F.regexp_extract_all(types, F.lit(pattern), 1), F.array().cast(_LIST))
-        return F.transform(F.array_distinct(found), lambda f: F.concat(f, F.lit(message)))
+def _not_text(item: Column, field: str) -> Column:
+    """Whether a field is given and not text."""
+    return F.coalesce(~_type_at(item, field).isin("STRING", "VOID"), F.lit(False))
 
-    return F.concat(offenders(texts, "STRING", " is not text"),
-                    offenders(lists, "ARRAY<(?:STRING|VOID)>", " is not a list of text"))
+
+def _not_list(item: Column, field: str, *, null_allowed: bool = True) -> Column:
+    """Whether a field is given and not a list of texts, all of them given."""
+    kind = _type_at(item, field)
+    entries = F.try_variant_get(item, f"$['{field}']", "array<variant>")
+    other = F.exists(entries, lambda e: F.coalesce(F.schema_of_variant(e) != "STRING", F.lit(True)))
+    wrong = F.coalesce(other, F.lit(True)) if not null_allowed else (kind != "VOID") & F.coalesce(other, F.lit(True))
+    return kind.isNotNull() & wrong
+
+
+def _section(body: Column, name: str) -> Column:
+    return F.try_variant_get(body, f"$['{name}']", "array<variant>")
+
+
+def _wrong_types(items: list[tuple[Column, bool]], texts, lists, *, required: bool = False) -> list[Column]:
+    """Violations for fields that are not text, or not lists of text, in ``items``: (column, whether a list of objects)."""
+    def anywhere(test, field: str, **options) -> Column:
+        def at(item: Column) -> Column:
+            return test(item, field, **options)
+
+        return reduce(lambda a, b: a | b, [
+            F.coalesce(F.exists(item, at) if many else at(item), F.lit(False)) for item, many in items])
+
+    return [
+        *[only_if(anywhere(_not_text, f), F.lit(f"{f} is not text")) for f in texts],
+        *[only_if(anywhere(_not_list, f, null_allowed=not required), F.lit(f"{f} is not a list of text")) for f in lists],
+    ]
 
 
 def _empty(items: Column) -> Column:
@@ -106,7 +128,7 @@ def _any_null(item: Column, fields) -> Column:
 def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for a recommendation reply."""
     parsed = df.withColumns({"reply": parse_json(F.col(raw), RECOMMENDATION_SCHEMA),
-                             "_types": json_types(F.col(raw), "$.recommendations")})
+                             "_json": F.try_parse_json(F.col(raw))})
     cards, bad_json = F.col("reply.recommendations"), parse_error(F.col(raw), F.col("reply"))
     checks = [_violation(bad_json, "not a JSON object")]
     readable = ~bad_json
@@ -120,13 +142,14 @@ def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
         "priority is not High, Medium or Low"))
     checks.append(_violation(
         held & F.exists(cards, lambda c: _empty(c["what_you_should_do"])), "what_you_should_do is empty"))
-    return _finish(parsed, bad_json, checks, CARD_TEXT_FIELDS, ("what_you_should_do",))
+    types = _wrong_types([(_section(F.col("_json"), "recommendations"), True)], CARD_TEXT_FIELDS, ("what_you_should_do",))
+    return _finish(parsed, bad_json, [*checks, *types])
 
 
 def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for an analysis reply."""
     parsed = df.withColumns({"reply": parse_json(F.col(raw), ANALYSIS_SCHEMA),
-                             "_types": json_types(F.col(raw), "$.analysis")})
+                             "_json": F.try_parse_json(F.col(raw))})
     body, bad_json = F.col("reply.analysis"), parse_error(F.col(raw), F.col("reply"))
     checks = [
         _violation(bad_json, "not a JSON object"),
@@ -150,13 +173,22 @@ def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
         held & F.coalesce(F.exists(notes, lambda n: n["platform"].isNull() | reduce(
             lambda a, b: a | b, [_empty(n[f]) for f in NOTE_LISTS])), F.lit(False)),
         "channel_notes has an incomplete note"))
-    texts = dict.fromkeys(("executive_summary", *INSIGHT_FIELDS, *PATTERN_FIELDS, "platform"))
-    return _finish(parsed, bad_json, checks, texts, (*NOTE_LISTS, "missing_info"))
+    report = F.try_variant_get(F.col("_json"), "$.analysis", "variant")
+    insights = [(_section(report, s), True) for s in ("budget_and_efficiency", "results_and_value")]
+    patterns = [(_section(report, "cross_channel_patterns_and_risks"), True)]
+    channels = [(_section(report, "channel_notes"), True)]
+    types = [
+        *_wrong_types([(report, False)], ("executive_summary",), ()),
+        *_wrong_types(insights, INSIGHT_FIELDS, ()), *_wrong_types(patterns, PATTERN_FIELDS, ()),
+        *_wrong_types(channels, ("platform",), NOTE_LISTS),
+        # this list may be absent, but not null
+        *_wrong_types([(report, False)], (), ("missing_info",), required=True),
+    ]
+    return _finish(parsed, bad_json, [*checks, *types])
 
 
-def _finish(parsed: DataFrame, bad_json: Column, checks: list[Column], texts, lists) -> DataFrame:
-    violations = F.concat(_violations(*checks), _wrong_types(F.col("_types"), texts, lists))
-    out = parsed.withColumns({"parse_error": bad_json, "violations": violations}).drop("_types")
+def _finish(parsed: DataFrame, bad_json: Column, checks: list[Column]) -> DataFrame:
+    out = parsed.withColumns({"parse_error": bad_json, "violations": F.array_distinct(_violations(*checks))}).drop("_json")
     return out.withColumn("valid", F.size("violations") == 0)
 
 
@@ -171,7 +203,8 @@ def _score_columns(fields: Column, criteria: dict[str, tuple[str, ...]]) -> dict
 def _check_evaluation(df: DataFrame, raw: str, criteria: dict[str, tuple[str, ...]], top: int, *,
                       fixed_verdicts: bool, defaults: dict[str, int], with_total: bool,
                       require_total_match: bool) -> DataFrame:
-    parsed = df.withColumn("_reply", parse_json(F.col(raw), EVALUATION_SCHEMA))
+    parsed = df.withColumns({"_reply": parse_json(F.col(raw), EVALUATION_SCHEMA), "_json": F.try_parse_json(F.col(raw))})
+    given = F.try_variant_get(F.col("_json"), "$.evaluation", "variant")
     fields, bad_json = F.col("_reply.evaluation"), parse_error(F.col(raw), F.col("_reply"))
     held = ~bad_json & fields.isNotNull()
     checks = [
@@ -183,20 +216,22 @@ def _check_evaluation(df: DataFrame, raw: str, criteria: dict[str, tuple[str, ..
     for name, spellings in criteria.items():
         score = values[name]
         if name in defaults:
-            given = _lookup(fields, [f"{s}_score" for s in spellings])
-            score = F.when(given.isNull(), F.lit(defaults[name])).otherwise(score)
+            found = _lookup(fields, [f"{s}_score" for s in spellings])
+            score = F.when(found.isNull(), F.lit(defaults[name])).otherwise(score)
         scores[name] = score
         checks.append(_violation(held & (score.isNull() | ~score.between(1, top)), f"{name} score is not 1..{top}"))
         reasoning = _lookup(fields, [f"{s}_reasoning" for s in spellings])
         checks.append(_violation(held & reasoning.isNull(), f"{name} reasoning is missing"))
+        not_text = reduce(lambda a, b: a | b, [_not_text(given, f"{s}_reasoning") for s in spellings])
+        checks.append(_violation(held & not_text, f"{name} reasoning is not text"))
     verdict = F.element_at(fields, "verdict")
     wrong = verdict.isNull() | ~verdict.isin(*VERDICTS) if fixed_verdicts else verdict.isNull()
-    checks.append(_violation(held & wrong, "verdict is missing or unknown"))
+    checks.append(_violation(held & (wrong | _not_text(given, "verdict")), "verdict is missing or unknown"))
     lists = {}
     for name in ("key_issues", "improvement_suggestions"):
-        text = F.element_at(fields, name)
-        lists[name] = F.from_json(text, _LIST)
-        checks.append(_violation(held & ~F.coalesce(F.ltrim(text).startswith("["), F.lit(False)), f"{name} is not a list"))
+        lists[name] = F.from_json(F.element_at(fields, name), _LIST)
+        absent = _type_at(given, name).isNull()
+        checks.append(_violation(held & (absent | _not_list(given, name, null_allowed=False)), f"{name} is not a list"))
     out = {
         "scores": F.struct(*[c.alias(n) for n, c in scores.items()]),
         "reasoning": F.struct(*[_lookup(fields, [f"{s}_reasoning" for s in spellings]).alias(n)
@@ -212,7 +247,7 @@ def _check_evaluation(df: DataFrame, raw: str, criteria: dict[str, tuple[str, ..
             checks.append(_violation(held & total.isNotNull() & ~right, "total_score is not the sum of the scores"))
         out |= {"total_score": total, "total_ok": right}
     out |= {"parse_error": bad_json, "violations": _violations(*checks)}
-    return parsed.withColumns(out).withColumn("valid", F.size("violations") == 0).drop("_reply")
+    return parsed.withColumns(out).withColumn("valid", F.size("violations") == 0).drop("_reply", "_json")
 
 
 def check_analysis_evaluations(df: DataFrame, raw: str = "raw", *, require_total_match: bool = True) -> DataFrame:

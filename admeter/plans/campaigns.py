@@ -75,47 +75,55 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
     context = _saved(spark, context, f"{base_dir}/context", run_id)
     payloads = _saved(spark, summary.cohort_payloads(summaries, rows_per_part=rows_per_part),
                       f"{base_dir}/enriched_summary", run_id)
-    asked = prompts.analysis_prompts(payloads, context, templates).withColumn("run_id", F.lit(run_id))
     tables = {"rejects": rejects, "context": context, "summaries": summaries, "payloads": payloads}
-    tables["analysis_prompts"] = _archived(asked, base_dir)
-    if analysis_model is None:
-        return tables
 
-    def replies(table: DataFrame, model: Model, stage: str) -> DataFrame:
-        out = stages.call_model(table, model, stage=stage, max_parallel=max_parallel)
-        write_results(out, base_dir, f"{stage}_replies", format="parquet", mode="replace")
-        return _run_of(spark, out, f"{base_dir}/{stage}_replies", run_id)
+    def kept(table: DataFrame, name: str) -> DataFrame:
+        write_results(table, base_dir, name, format="parquet", mode="replace")
+        return _run_of(spark, table, f"{base_dir}/{name}", run_id)
+
+    def ask(table: DataFrame, stage: str) -> DataFrame:
+        """A stage's prompts, rendered once: the archive and the model both get what was saved."""
+        asked = kept(table.withColumn("run_id", F.lit(run_id)), f"{stage}_messages")
+        _archive(asked, base_dir)
+        return asked
 
-    analyses = responses.check_analyses(replies(asked, analysis_model, "analysis"))
+    def replies(asked: DataFrame, model: Model, stage: str) -> DataFrame:
+        return kept(stages.call_model(asked, model, stage=stage, max_parallel=max_parallel), f"{stage}_replies")
+
+    asked = ask(prompts.analysis_prompts(payloads, context, templates), "analysis")
+    tables["analysis_prompts"] = asked
+    if analysis_model is None:
+        return tables
+    analyses = kept(responses.check_analyses(replies(asked, analysis_model, "analysis")), "analyses")
     tables["analyses"] = analyses
     if recommendation_model is not None:
         usable = analyses.filter("valid").select("cohort_id", "part", F.to_json("reply.analysis").alias("analysis"))
-        ask = prompts.recommendation_prompts(payloads, context, usable, templates).withColumn("run_id", F.lit(run_id))
-        tables["recommendation_prompts"] = _archived(ask, base_dir)
-        tables["recommendations"] = responses.check_recommendations(
-            replies(ask, recommendation_model, "recommendation"))
+        asked = ask(prompts.recommendation_prompts(payloads, context, usable, templates), "recommendation")
+        tables["recommendation_prompts"] = asked
+        tables["recommendations"] = kept(
+            responses.check_recommendations(replies(asked, recommendation_model, "recommendation")), "recommendations")
     if evaluation_models is not None:
-        tables |= evaluate_run(payloads, context, analyses, tables.get("recommendations"), templates,
-                               evaluation_models, replies, run_id)
+        scored = evaluate_run(payloads, context, analyses, tables.get("recommendations"), templates,
+                              evaluation_models, ask, replies)
+        tables |= {name: kept(table, name) for name, table in scored.items()}
     return tables
 
 
-def _archived(asked: DataFrame, base_dir: str) -> DataFrame:
+def _archive(asked: DataFrame, base_dir: str) -> None:
     """Number and write a stage's prompts as readable text."""
     text = archive_prompts(asked.withColumn("text", prompts.archive_text(F.col("messages"))))
     # several stages archive prompts of one run, so each kind has partitions of its own
     write_run_table(text.select("cohort_id", "run_id", "part", "prompt_name", "attempt", "unresolved", "text"), f"{base_dir}/prompts",
                     partition_by=("cohort_id", "run_id", "prompt_name"), mode="replace")
-    return asked
 
 
 def evaluate_run(payloads: DataFrame, context: DataFrame, analyses: DataFrame, cards: DataFrame | None,
-                 templates: DataFrame, models: tuple[Model, Model], replies, run_id: str) -> dict[str, DataFrame]:
+                 templates: DataFrame, models: tuple[Model, Model], ask, replies) -> dict[str, DataFrame]:
     """Score the valid analyses and cards of a run; a stage without a subject is left out."""
     subject = analyses.filter("valid").select("cohort_id", "part", F.to_json("reply.analysis").alias("analysis"))
-    base = payloads.join(context, "cohort_id").withColumn("run_id", F.lit(run_id))
+    base = payloads.join(context, "cohort_id")
     inputs = base.join(subject.withColumnRenamed("analysis", "analysis_report"), ["cohort_id", "part"])
-    asked = prompts.analysis_evaluation_prompts(inputs, templates)
+    asked = ask(prompts.analysis_evaluation_prompts(inputs, templates), "analysis_evaluation")
     checked = responses.check_analysis_evaluations(replies(asked, models[0], "analysis_evaluation"),
                                                    require_total_match=False)
     out = {"analysis_evaluations": scoring.analysis_verdict(scoring.score_analyses(checked))}
@@ -126,7 +134,7 @@ def evaluate_run(payloads: DataFrame, context: DataFrame, analyses: DataFrame, c
             .join(subject.withColumnRenamed("analysis", "analysis_context"), ["cohort_id", "part"])
             .withColumn("campaign_data", F.to_json("payload"))
         )
-        asked = prompts.recommendation_evaluation_prompts(inputs, templates)
+        asked = ask(prompts.recommendation_evaluation_prompts(inputs, templates), "recommendation_evaluation")
         checked = responses.check_recommendation_evaluations(replies(asked, models[1], "recommendation_evaluation"))
         ruled = scoring.recommendation_verdict(checked)
         out["recommendation_evaluations"] = scoring.score_recommendations(ruled)

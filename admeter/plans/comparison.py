@@ -2,27 +2,75 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import compare
+from ..sinks import write_run_table
 from ..sources import evaluation_records, read_result_text
 from ..sources.runs import ANALYSIS_EVALUATION, RECOMMENDATION_EVALUATION
 
 FILES = {compare.ANALYSIS: ANALYSIS_EVALUATION, compare.RECOMMENDATION: RECOMMENDATION_EVALUATION}
 
 
-def compare_versions(records: DataFrame, module_type: str, *, last_n: int | None = None) -> DataFrame:
+def compare_versions(records: DataFrame, module_type: str, *, last_n: int | None = None, strict: bool = False) -> DataFrame:
     """Version summary of evaluation records (``cohort_id, version, scores``)."""
-    flat = compare.flatten_scores(records, module_type)
+    flat = compare.flatten_scores(records, module_type, strict=strict)
     return compare.sort_versions(compare.version_summary(flat, module_type, last_n=last_n))
 
 
-def compare_runs(spark: SparkSession, base_dir: str, module_type: str, *, last_n: int | None = None) -> DataFrame:
-    """Version summary of every campaign under ``base_dir``.
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
-    ``last_n`` counts all runs of a campaign, also those that were never scored.
-    """
+
+def _scores_of_flow(spark: SparkSession, base_dir: str, module_type: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Runs and flat scores of the tables that ``run_campaigns`` writes; a run's cohorts are those with a prompt."""
+    runs, saved = _table(spark, f"{base_dir}/analysis_messages"), _table(spark, f"{base_dir}/{module_type}_evaluations")
+    if runs is not None:
+        runs = runs.select("cohort_id", "run_id")
+    if saved is None:
+        return runs, None
+    scored = saved.filter("valid").withColumnRenamed("run_id", "version")
+    return runs, compare.flatten_scores(scored, module_type)
+
+
+def _scores_of_files(spark: SparkSession, base_dir: str, module_type: str, strict: bool) -> tuple[DataFrame, DataFrame]:
+    """Runs and flat scores of a tree of JSON result files.  Only paths are needed of the runs."""
     files = read_result_text(spark, base_dir)
-    kept = compare.last_n_runs(files, last_n)
-    scored = kept.filter(kept["file_name"] == FILES[module_type])
-    return compare_versions(evaluation_records(scored), module_type)
+    scored = files.filter(files["file_name"] == FILES[module_type])
+    return files.select("cohort_id", "run_id"), compare.flatten_scores(evaluation_records(scored), module_type, strict=strict)
+
+
+def compare_runs(spark: SparkSession, base_dir: str, module_type: str, *, last_n: int | None = None,
+                 strict: bool = False, output: str | None = None) -> DataFrame:
+    """Version summary of every campaign under ``base_dir``: of the flow's own tables, of a tree of result files, or of both.
+
+    ``last_n`` counts all runs of a campaign, also those that were never scored.  ``strict`` stops at a result file
+    whose scores are of no known kind.  ``output`` names a folder to write the summary to as CSV.
+    """
+    compare.metrics_of(module_type)
+    runs, flat = _scores_of_flow(spark, base_dir, module_type)
+    found = [(runs, flat)] if runs is not None else []
+    try:
+        found.append(_scores_of_files(spark, base_dir, module_type, strict))
+    except FileNotFoundError:
+        if not found:
+            raise
+    scores = [f for _, f in found if f is not None]
+    if not scores:
+        raise FileNotFoundError(f"no {module_type} scores below {base_dir}")
+    flat = compare.union_runs(scores)
+    if last_n is not None:
+        newest = compare.last_n_runs(reduce(DataFrame.unionByName, [r for r, _ in found]).distinct(), last_n)
+        flat = flat.join(newest.withColumnRenamed("run_id", "version"), ["cohort_id", "version"], "left_semi")
+    summary = compare.sort_versions(compare.version_summary(flat, module_type))
+    if output is not None:
+        write_run_table(summary, output, partition_by=(), format="csv", mode="overwrite")
+    return summary

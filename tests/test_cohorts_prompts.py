@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from admeter.operators import cohorts as H, prompts as P, stages as X, summary as S
-from admeter.plans import run_campaigns
+from admeter.plans import compare_runs, run_campaigns
 from admeter.sinks import archive_prompts
 
 # One ad row with known KPIs, and its cohort.
@@ -74,6 +74,29 @@ def test_positions_for_dates_scan_ordinals_and_null_keys(spark, rows, slice_rows
     assert got == [(1, 0), (2, 0), (3, 1), (4, 0), (5, 1)]
 
 
+@pytest.mark.parametrize("kind", ["string", "timestamp_ntz", "date", "decimal(20,3)", "double", "boolean", "binary", "bigint", "timestamp", "struct<a:int,b:string>"])
+def test_positions_of_every_ordinal_type_are_the_same_in_slices(spark, kind):
+    texts = ["10", "9", "8", "100", None, "k10", "k9", "\u00e9", "", "10", None]
+    days = ["2024-03-10 02:30:00", "2024-03-10 01:59:59.5", None, "1969-12-31 23:59:59", "2024-03-10 02:30:00.25", "2024-11-03 01:10:00", None]
+    numbers = [3.5, -1.0, None, float("nan"), float("inf"), 0.0, float("-inf"), 1e12, None]
+    values = {"string": texts, "binary": texts, "timestamp_ntz": days, "date": days, "timestamp": days, "double": numbers,
+              "boolean": ["true", None, "false", "true"]}.get(kind, ["3", "-20", None, "100", "7", None])
+    df = spark.createDataFrame([(i, "ab"[i % 2], None if v is None else str(v)) for i, v in enumerate(values)], "id int, k string, v string")
+    value = F.struct(F.col("v").cast("int").alias("a"), F.col("v").alias("b")) if kind.startswith("struct") else F.col("v").try_cast(kind)
+    df = df.select("id", "k", value.alias("ordinal"))
+    for by in ([], ["k"]):
+        plain, sliced = [
+            sorted((r["k"] if by else "", r["position"], r["total"], str(r["ordinal"]))
+                   for r in H.positions(df, by=by, total="total", slice_rows=n).collect()) for n in (None, 1)]
+        assert plain == sliced
+
+
+def test_offsets_of_input_splits_are_not_broadcast(spark):
+    df = spark.range(100).select(F.struct(F.lit("f").alias("file"), (F.col("id") % 7).alias("block"), F.col("id").alias("pos")).alias("ordinal"))
+    plan = H.positions(df, slice_rows=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+
+
 def test_first_row_context(spark):
     df = spark.createDataFrame(
         [("c", 5, "late", None), ("c", 2, "Traffic", None), ("d", 1, None, "x")], "cohort_id string, ordinal int, primary_goal string, industry string")
@@ -254,7 +277,15 @@ def test_whole_flow(spark, tmp_path):
     scored = out["recommendation_evaluations"].collect()
     assert [(r["cohort_id"], r["scores"]["Overall"], r["verdict_rule"]) for r in scored] == [("campaign_2", 3.0, "accept")]
     archived = spark.read.parquet(str(tmp_path / "out" / "prompts"))
-    assert archived.groupBy("prompt_name").count().count() == 2
+    assert archived.groupBy("prompt_name").count().count() == 4  # both evaluations' prompts are archived too
+    base = str(tmp_path / "out")
+    for name, n in (("analyses", 2), ("recommendations", 2), ("analysis_evaluations", 2), ("recommendation_evaluations", 1)):
+        assert spark.read.parquet(f"{base}/{name}").count() == n
+    summary = compare_runs(spark, base, "analysis", last_n=2, output=f"{base}/summaries/analysis").collect()
+    assert [(r["cohort_id"], r["version"], r["overall"]) for r in summary] == [
+        (c, "run_20260101_000000", 4.0) for c in ("campaign_1", "campaign_2")]
+    assert spark.read.option("header", True).csv(f"{base}/summaries/analysis").count() == 2
+    assert [r["Overall"] for r in compare_runs(spark, base, "recommendation").collect()] == [3.0]
 
 
 def test_flow_without_index_uses_batches(spark, tmp_path):

@@ -46,12 +46,15 @@ def test_recommendation_replies(spark):
         (changed(good, ("recommendations", 1, "title"), 5), False),
         (changed(good, ("recommendations", 1, "what_you_should_do"), ["a", 2]), False),
         (changed(good, ("recommendations", 1, "what_you_should_do"), "a"), False),
+        (changed(good, ("recommendations", 1, "what_you_should_do"), [None]), False),
+        (changed(good, ("recommendations", 1, "note"), {"title": 5, "what_you_should_do": 1}), True),
         ({"other": 1}, False), ("not json", False), ("{\"recommendations\": [", False), (None, False), ([1, 2], False),
     ]
     out = check(spark, R.check_recommendations, *[c for c, _ in cases])
     assert [(i, r["valid"]) for i, r in enumerate(out)] == [(i, v) for i, (_, v) in enumerate(cases)]
     assert out[9]["violations"] == ["title is not text"]
     assert [r["parse_error"] for r in out[-4:-1]] == [True, True, True]
+    assert out[12]["violations"] == ["what_you_should_do is not a list of text"]
 
 
 def test_shared_dicts_are_copied():
@@ -69,6 +72,11 @@ def test_analysis_replies(spark):
         (changed(ANALYSIS, (a, "channel_notes", 0, "platform")), False),
         (changed(ANALYSIS, (a, "results_and_value")), False), (changed(ANALYSIS, (a, "budget_and_efficiency", 0, "evidence")), False),
         (changed(ANALYSIS, (a, "executive_summary"), 12345678901), False), (changed(ANALYSIS, (a, "missing_info"), [1]), False),
+        (changed(ANALYSIS, (a, "missing_info"), None), False), (changed(ANALYSIS, (a, "missing_info"), []), True),
+        (changed(ANALYSIS, (a, "missing_info"), [None]), False), (changed(ANALYSIS, (a, "channel_notes", 0, "what_we_see"), [None]), False),
+        (changed(ANALYSIS, (a, "channel_notes", 0, "what_we_see"), ["a", None]), False),
+        (changed(ANALYSIS, (a, "results_and_value", 0, "evidence"), {"a": 1}), False),
+        (changed(ANALYSIS, (a, "channel_notes", 0, "note"), {"platform": 5}), True),
         ({"x": 1}, False), ("", False),
     ]
     out = check(spark, R.check_analyses, *[c for c, _ in cases])
@@ -85,13 +93,17 @@ def test_evaluation_replies(spark):
     cases = [
         (evaluation(), True), (evaluation("3"), True), (evaluation(3.0), True), (evaluation(6), False), (evaluation(0), False),
         (evaluation(total_score=19), False), (evaluation(verdict="maybe"), False), (evaluation(clarity_score=3.5), False),
-        (evaluation(key_issues="x"), False), (evaluation(clarity_reasoning=None), False), ({"evaluation": None}, False), ("x", False)]
+        (evaluation(key_issues="x"), False), (evaluation(clarity_reasoning=None), False), ({"evaluation": None}, False), ("x", False),
+        (evaluation(key_issues=[1]), False), (evaluation(key_issues="[not a list"), False), (evaluation(key_issues=[{"a": 1}]), False),
+        (evaluation(key_issues=[None]), False), (evaluation(key_issues=None), False), (evaluation(clarity_reasoning=5), False),
+        (evaluation(clarity_reasoning={"a": 1}), False), (evaluation(verdict=["accept"]), False), (evaluation(note={"verdict": 1}), True)]
     out = check(spark, R.check_analysis_evaluations, *[c for c, _ in cases])
     assert [(i, r["valid"]) for i, r in enumerate(out)] == [(i, v) for i, (_, v) in enumerate(cases)]
     loose = check(spark, R.check_analysis_evaluations, evaluation(total_score=19), require_total_match=False)[0]
     assert loose["valid"] and not loose["total_ok"] and loose["improvement_suggestions"] == ["s"]
     assert check(spark, R.check_legacy_evaluations, evaluation(3), evaluation(4))[0]["valid"]
     assert not check(spark, R.check_legacy_evaluations, evaluation(4))[0]["valid"]
+    assert not check(spark, R.check_legacy_evaluations, evaluation(3, key_issues=[1]))[0]["valid"]
 
 
 def card_evaluation(score=3, skip=(), **more):
@@ -103,12 +115,13 @@ def card_evaluation(score=3, skip=(), **more):
 
 def test_card_evaluations_and_scores(spark):
     tone = "Tone_&_Audience_Compliance"
-    cases = [card_evaluation(), card_evaluation(skip=(tone,)), card_evaluation(4), card_evaluation(skip=("feasibility",))]
+    cases = [card_evaluation(), card_evaluation(skip=(tone,)), card_evaluation(4), card_evaluation(skip=("feasibility",)),
+             card_evaluation(**{f"{tone}_reasoning": 5}), card_evaluation(key_issues=[1])]
     df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cases)], "i int, raw string")
     checked = R.check_recommendation_evaluations(df)
-    assert [r["valid"] for r in checked.orderBy("i").collect()] == [True, True, False, False]
+    assert [r["valid"] for r in checked.orderBy("i").collect()] == [True, True, False, False, False, False]
     scored = Z.score_recommendations(Z.recommendation_verdict(checked)).orderBy("i").collect()
-    assert [r["scores"]["Overall"] for r in scored] == [3.0, 2.75, 4.0, 2.625]
+    assert [r["scores"]["Overall"] for r in scored][:4] == [3.0, 2.75, 4.0, 2.625]
     assert [r["verdict_rule"] for r in scored][:2] == ["accept", "reject"]
     assert scored[1]["scores"]["Tone_Audience_Compliance"] == 1 and scored[3]["scores"]["Feasibility"] == 0
 
@@ -131,6 +144,11 @@ def test_score_kinds(spark):
     assert [k["k"] for k in df.select(V.score_type(F.col("scores")).alias("k")).collect()] == ["analysis", "recommendation", None]
     assert V.flatten_scores(df, "analysis").columns == ["cohort_id", "version", *V.METRICS["analysis"]]
     assert V.flatten_scores(df, "recommendation").count() == 1
+    unknown = V.unknown_scores(df).collect()
+    assert [r["version"] for r in unknown] == ["v3"] and "overall" in unknown[0]["missing_for_analysis"]
+    with pytest.raises(Exception, match="no known kind"):
+        V.flatten_scores(df, "analysis", strict=True).collect()
+    assert V.flatten_scores(df.filter("version <> 'v3'"), "analysis", strict=True).count() == 1
     with pytest.raises(ValueError):
         V.metrics_of("other")
     with pytest.raises(ValueError, match="lack columns"):
@@ -316,3 +334,11 @@ def test_reported_against_derived(spark):
     assert sorted(map(tuple, got)) == [(2, "ctr", 0.2, 0.1), (3, "ctr", 0.1, None)]
     with pytest.raises(ValueError):
         Q.reported_vs_derived(df.drop("reported_ctr"))
+
+
+@pytest.mark.parametrize("text, stated", [
+    ("MER over the whole third quarter of the year reached 3.2", ["mer"]), ("MER fell while the refund rate was 4%", ["refund_rate"]),
+    ("MER fell. Then 3 came", []), ("MER was 2; refund_rate over all of the channels we know of: 0.1", ["mer", "refund_rate"]), ("merry 3", []), ("", [])])
+def test_figures_are_bound_to_the_nearest_kpi(spark, text, stated):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(Q.kpis_stated(F.col("t"), ["mer", "refund_rate"]).alias("s")).first()["s"] == stated

@@ -234,6 +234,12 @@ def flatten_scores_q(spark, sf):
     return V.flatten_scores(_records(spark, sf), "analysis", keys=("doc_id", "cohort_id", "version"))
 
 
+@query("unknown_scores", "eval_scores", """SELECT doc_id, cohort_id, run_id AS version, 'overall' AS lacking FROM eval_scores WHERE doc_id % 10 = 0""")
+def unknown_scores_q(spark, sf):
+    out = V.unknown_scores(_records(spark, sf))
+    return out.select("doc_id", "cohort_id", "version", F.array_join("missing_for_analysis", ",").alias("lacking"))
+
+
 # Means of whole numbers only, so that both engines divide the same two numbers.
 _AVG = ", ".join(f"avg({c}) AS {c}" for c in R.ANALYSIS_CRITERIA)
 
