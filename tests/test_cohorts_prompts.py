@@ -288,6 +288,24 @@ def test_whole_flow(spark, tmp_path):
     assert [r["Overall"] for r in compare_runs(spark, base, "recommendation").collect()] == [3.0]
 
 
+def test_flow_on_clean_input_run_twice_with_useless_replies(spark, tmp_path):
+    # no row lacks its index, no reply is valid, and the same run is repeated
+    text = "index,date,platform,campaign_type,impressions,clicks,spend\n" + "".join(f"{i % 2},2024-01-0{i},A,S,10,1,1\n" for i in range(1, 7))
+    (tmp_path / "ads.csv").write_text(text)
+    base = str(tmp_path / "out")
+    sizes = []
+    for _ in range(2):
+        out = run_campaigns(spark, str(tmp_path / "ads.csv"), base, "run_1", analysis_model=lambda m: "{}", recommendation_model=lambda m: "{}",
+                            evaluation_models=(lambda m: "{}", lambda m: "{}"))
+        sizes.append({name: table.count() for name, table in out.items()})
+    assert sizes[0] == sizes[1] == dict(
+        rejects=0, context=2, summaries=6, payloads=2, analysis_prompts=2, analyses=2, recommendation_prompts=0, recommendations=0,
+        analysis_evaluations=0, recommendation_evaluations=0)
+    assert spark.read.parquet(f"{base}/prompts").count() == 2
+    with pytest.raises(FileNotFoundError):
+        compare_runs(spark, base, "analysis")
+
+
 def test_flow_without_index_uses_batches(spark, tmp_path):
     text = "date,platform,campaign_type,impressions,clicks,spend\n" + "".join(f"2024-01-0{i},A,S,10,1,1\n" for i in range(1, 8))
     (tmp_path / "ads.csv").write_text(text)
