@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import compare
 from ..sinks import write_run_table
 from ..sources import evaluation_records, read_result_text
-from ..sources.runs import ANALYSIS_EVALUATION, RECOMMENDATION_EVALUATION
+from ..sources.runs import ANALYSIS_EVALUATION, RECOMMENDATION_EVALUATION, list_results
 
 FILES = {compare.ANALYSIS: ANALYSIS_EVALUATION, compare.RECOMMENDATION: RECOMMENDATION_EVALUATION}
 
@@ -42,10 +42,10 @@ def _scores_of_flow(spark: SparkSession, base_dir: str, module_type: str) -> tup
 
 
 def _scores_of_files(spark: SparkSession, base_dir: str, module_type: str, strict: bool) -> tuple[DataFrame, DataFrame]:
-    """Runs and flat scores of a tree of JSON result files.  Only paths are needed of the runs."""
+    """Runs and flat scores of a tree of JSON result files.  Runs are ranked by a listing, without opening files."""
     files = read_result_text(spark, base_dir)
     scored = files.filter(files["file_name"] == FILES[module_type])
-    return files.select("cohort_id", "run_id"), compare.flatten_scores(evaluation_records(scored), module_type, strict=strict)
+    return list_results(spark, base_dir).select("cohort_id", "run_id"), compare.flatten_scores(evaluation_records(scored), module_type, strict=strict)
 
 
 def compare_runs(spark: SparkSession, base_dir: str, module_type: str, *, last_n: int | None = None,

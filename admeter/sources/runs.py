@@ -41,6 +41,12 @@ def read_result_text(spark: SparkSession, base_dir: str, file_name: str = "*.jso
     )
 
 
+def list_results(spark: SparkSession, base_dir: str) -> DataFrame:
+    """``cohort_id, run_id, file_name`` of every result file; lists the files and opens none."""
+    files = spark.read.format("binaryFile").load(f"{base_dir}/{RESULT_GLOB}/*.json").select("path")
+    return files.select(*[_path_part(F.col("path"), i + 1).alias(n) for i, n in enumerate(("cohort_id", "run_id", "file_name"))])
+
+
 SCORES = "MAP<STRING,STRING>"
 RECORD = f"STRUCT<scores:{SCORES}, verdict:STRING, card_title:STRING, evaluation:STRUCT<scores:{SCORES}, verdict:STRING>>"
 

@@ -98,6 +98,14 @@ def test_last_n_counts_unscored_runs(spark, run_tree):
         compare_runs(spark, str(run_tree), "analysis", last_n=0)
 
 
+def test_results_are_listed_without_being_read(spark, run_tree):
+    from admeter.sources.runs import list_results
+
+    listed = list_results(spark, str(run_tree))
+    read_text = read_result_text(spark, str(run_tree)).select(*listed.columns)
+    assert sorted(listed.collect()) == sorted(read_text.collect()) and listed.count() == 5
+
+
 def test_missing_run_tree(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         read_result_text(spark, str(tmp_path / "nothing"))
