@@ -9,7 +9,7 @@ from admeter.operators import (
     cohorts as H, compare as V, diagnostics as D, prompts as P, quality as Q, responses as R, scoring as Z, stages as X,
 )
 from admeter.sinks import archive_prompts
-from admeter.sources import analysis_evaluator_inputs, recommendation_evaluator_inputs
+from admeter.sources import analysis_evaluator_inputs, evaluation_records, recommendation_evaluator_inputs
 
 from .ads import GOAL_SQL
 from .registry import query, r2
@@ -240,6 +240,29 @@ def unknown_scores_q(spark, sf):
     return out.select("doc_id", "cohort_id", "version", F.array_join("missing_for_analysis", ",").alias("lacking"))
 
 
+@query("evaluation_records", "", """WITH r AS (SELECT doc_id, concat('run_', lang) AS version, lang, doc_id % 5 AS c, n_chars % 7 AS o, doc_id % 4 AS shape FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS cohort_id, version, CASE WHEN shape = 3 THEN 'Card' ELSE '-' END AS card_title, CAST(c AS DOUBLE) AS clarity,
+  CAST(o AS DOUBLE) AS overall, lang AS verdict FROM r
+UNION ALL SELECT CAST(doc_id AS VARCHAR), version, '-', CAST(c + 1 AS DOUBLE), CAST(o AS DOUBLE), lang FROM r WHERE shape = 1""")
+def evaluation_records_q(spark, sf):
+    """Result files of four shapes: one record, a list, a list in a field, and cards scored one by one."""
+    docs = table(spark, sf, "documents")
+    shape = F.col("doc_id") % 4
+
+    def record(more: int = 0):
+        scores = F.struct((F.col("doc_id") % 5 + more).alias("clarity"), (F.col("n_chars") % 7).alias("overall"))
+        return F.struct(scores.alias("scores"), F.col("lang").alias("verdict"), F.col("text").alias("reasoning"))
+
+    raw = (
+        F.when(shape == 0, F.to_json(record())).when(shape == 1, F.to_json(F.array(record(), record(1))))
+        .when(shape == 2, F.to_json(F.struct(F.lit("x").alias("note"), F.array(record()).alias("records"))))
+        .otherwise(F.to_json(F.array(F.struct(F.lit("Card").alias("card_title"), record().alias("evaluation"))))))
+    files = docs.select(F.col("doc_id").cast("string").alias("cohort_id"), F.concat(F.lit("run_"), "lang").alias("run_id"), raw.alias("raw"))
+    return evaluation_records(files).select(
+        "cohort_id", "version", F.coalesce("card_title", F.lit("-")).alias("card_title"),
+        *[F.element_at("scores", n).alias(n) for n in ("clarity", "overall")], "verdict")
+
+
 # Means of whole numbers only, so that both engines divide the same two numbers.
 _AVG = ", ".join(f"avg({c}) AS {c}" for c in R.ANALYSIS_CRITERIA)
 
