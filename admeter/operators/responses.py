@@ -64,8 +64,18 @@ def parse_json(raw: Column, schema: str) -> Column:
     return F.from_json(raw, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
 
 
-def parse_error(raw: Column, parsed: Column) -> Column:
-    return raw.isNull() | parsed.isNull() | parsed["_corrupt"].isNotNull()
+def parse_error(raw: Column, parsed: Column, json: Column) -> Column:
+    """Whether a reply is not a JSON object at all."""
+    return raw.isNull() | parsed.isNull() | (parsed["_corrupt"].isNotNull() & ~_is_object(raw, json))
+
+
+def _is_object(raw: Column, json: Column) -> Column:
+    return json.isNotNull() & F.ltrim(raw).startswith("{")
+
+
+def _misfit(raw: Column, parsed: Column, json: Column) -> Column:
+    """A JSON object that holds a value of another kind where an object or a list belongs."""
+    return only_if(F.coalesce(parsed["_corrupt"].isNotNull() & _is_object(raw, json), F.lit(False)), F.lit("a value is not an object or list"))
 
 
 def _violation(condition: Column, text: str) -> Column:
@@ -129,8 +139,8 @@ def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for a recommendation reply."""
     parsed = df.withColumns({"reply": parse_json(F.col(raw), RECOMMENDATION_SCHEMA),
                              "_json": F.try_parse_json(F.col(raw))})
-    cards, bad_json = F.col("reply.recommendations"), parse_error(F.col(raw), F.col("reply"))
-    checks = [_violation(bad_json, "not a JSON object")]
+    cards, bad_json = F.col("reply.recommendations"), parse_error(F.col(raw), F.col("reply"), F.col("_json"))
+    checks = [_violation(bad_json, "not a JSON object"), _misfit(F.col(raw), F.col("reply"), F.col("_json"))]
     readable = ~bad_json
     checks.append(_violation(readable & cards.isNull(), "recommendations is missing"))
     held = readable & cards.isNotNull()
@@ -150,9 +160,10 @@ def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for an analysis reply."""
     parsed = df.withColumns({"reply": parse_json(F.col(raw), ANALYSIS_SCHEMA),
                              "_json": F.try_parse_json(F.col(raw))})
-    body, bad_json = F.col("reply.analysis"), parse_error(F.col(raw), F.col("reply"))
+    body, bad_json = F.col("reply.analysis"), parse_error(F.col(raw), F.col("reply"), F.col("_json"))
     checks = [
         _violation(bad_json, "not a JSON object"),
+        _misfit(F.col(raw), F.col("reply"), F.col("_json")),
         _violation(~bad_json & body.isNull(), "analysis is missing"),
     ]
     held = ~bad_json & body.isNotNull()
@@ -205,10 +216,11 @@ def _check_evaluation(df: DataFrame, raw: str, criteria: dict[str, tuple[str, ..
                       require_total_match: bool) -> DataFrame:
     parsed = df.withColumns({"_reply": parse_json(F.col(raw), EVALUATION_SCHEMA), "_json": F.try_parse_json(F.col(raw))})
     given = F.try_variant_get(F.col("_json"), "$.evaluation", "variant")
-    fields, bad_json = F.col("_reply.evaluation"), parse_error(F.col(raw), F.col("_reply"))
+    fields, bad_json = F.col("_reply.evaluation"), parse_error(F.col(raw), F.col("_reply"), F.col("_json"))
     held = ~bad_json & fields.isNotNull()
     checks = [
         _violation(bad_json, "not a JSON object"),
+        _misfit(F.col(raw), F.col("_reply"), F.col("_json")),
         _violation(~bad_json & fields.isNull(), "evaluation is missing"),
     ]
     values = _score_columns(fields, criteria)
