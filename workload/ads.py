@@ -79,9 +79,13 @@ def dedup_extra_q(spark, sf):
 
 
 @query("dedup_full_row", "ads_dirty ads_typed",
-       "SELECT campaign_type, clicks, conversions, max(ordinal) AS ordinal FROM ads_typed GROUP BY 1, 2, 3")
+       """, twice AS (SELECT * FROM ads_typed UNION ALL SELECT * REPLACE (ordinal + 1000000000 AS ordinal) FROM ads_typed WHERE ordinal % 3 = 0)
+SELECT * EXCLUDE (date, ordinal), CAST(date AS VARCHAR) AS date, max(ordinal) AS ordinal FROM twice GROUP BY ALL""")
 def dedup_full_q(spark, sf):
-    return C.dedup_full_row(_typed(spark, sf).select("campaign_type", "clicks", "conversions", "ordinal"))
+    """Whole rows, of which a third stands twice."""
+    typed = _typed(spark, sf)
+    again = typed.filter("ordinal % 3 = 0").withColumn("ordinal", F.col("ordinal") + 1_000_000_000)
+    return day(C.dedup_full_row(typed.unionByName(again)))
 
 
 @query("clean_rows", "ads_dirty ads_typed", f"""SELECT platform, CAST(count(*) AS BIGINT) AS n_rows,
@@ -120,9 +124,9 @@ _kpi_query("kpi_traffic_quality", "ads_events",
 
 
 @query("kpi_purchase_rate", "ads_events", f"""SELECT ordinal, {div2('conversions', 'landing_page_views')} * 100 AS purchase_conversion_rate,
-  CAST(conversions AS BIGINT) AS purchases, conversion_value AS revenue FROM ads_events WHERE conversions > 0""")
+  CAST(conversions AS BIGINT) AS purchases, conversion_value AS revenue FROM ads_events""")
 def kpi_purchase_q(spark, sf):
-    df = ads_events(spark, sf).withColumnRenamed("conversions", "purchases").filter("purchases > 0")
+    df = ads_events(spark, sf).withColumnRenamed("conversions", "purchases")
     return K.compute_metrics(df, ["purchase_conversion_rate", "revenue", "unknown_metric", "roas_of_nothing"]).select(
         "ordinal", "purchase_conversion_rate", "purchases", "revenue")
 
@@ -243,13 +247,13 @@ def row_identity_q(spark, sf):
 
 @query("cohort_payload", "ads_events", f"""{_METRICS}, placed AS (
   SELECT ordinal, concat('campaign_', CAST("index" AS VARCHAR)) AS cohort_id, count(*) OVER (PARTITION BY "index") AS n_rows,
-    row_number() OVER (PARTITION BY "index" ORDER BY ordinal) - 1 AS i, campaign_name FROM ads_events)
-SELECT cohort_id, i // 100 AS part, CAST(ceil(n_rows / CAST(100 AS DOUBLE)) AS BIGINT) AS n_parts, n_rows, i % 100 AS place, campaign_name,
-  value AS spend FROM placed JOIN summary ON placed.ordinal = summary.ordinal AND metric = 'spend'""")
+    row_number() OVER (PARTITION BY "index" ORDER BY ordinal) - 1 AS i, campaign_name, platform, industry FROM ads_events)
+SELECT cohort_id, i // 100 AS part, CAST(ceil(n_rows / CAST(100 AS DOUBLE)) AS BIGINT) AS n_parts, n_rows, i % 100 AS place, campaign_name, platform, industry,
+  metric, value FROM placed JOIN summary ON placed.ordinal = summary.ordinal""")
 def cohort_payload_q(spark, sf):
     rows, _ = H.by_index(ads_events(spark, sf))
     parts = S.cohort_payloads(rows, goal="primary_goal", rows_per_part=100)
     return parts.select("cohort_id", "part", "n_parts", "n_rows", F.posexplode("payload").alias("p", "s")).select(
         "cohort_id", "part", "n_parts", "n_rows", F.col("p").cast("bigint").alias("place"),
-        F.col("s.campaign_identity.campaign_name").alias("campaign_name"),
-        F.element_at("s.performance_metrics", "spend").alias("spend"))
+        *[F.col(f"s.campaign_identity.{c}").alias(c) for c in ("campaign_name", "platform", "industry")],
+        F.explode("s.performance_metrics").alias("metric", "value"))

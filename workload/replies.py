@@ -298,7 +298,7 @@ l AS (UNPIVOT s ON clarity, accuracy, hallucination, structure, kpi_alignment, o
 SELECT cohort_id, metric, max(score) FILTER (WHERE version = 'run_de') AS run_de, max(score) FILTER (WHERE version = 'run_en') AS run_en,
   max(score) FILTER (WHERE version = 'run_es') AS run_es, max(score) FILTER (WHERE version = 'run_fr') AS run_fr FROM l GROUP BY 1, 2""")
 def matrix_q(spark, sf):
-    return V.metric_version_matrix(version_summary_q(spark, sf), "analysis", ["run_de", "run_en", "run_es", "run_fr"])
+    return V.metric_version_matrix(version_summary_q(spark, sf), "analysis")
 
 
 @query("union_runs", "eval_scores rec_scores", """SELECT doc_id, clarity, CAST(NULL AS BIGINT) AS feasibility, structure FROM eval_scores
@@ -367,15 +367,16 @@ _ASKED = (f"replace(replace(replace(replace({_quoted(P.DEFAULT_TEMPLATES['recomm
           f"'{{{{BUSINESS_DOMAIN}}}}', {_DOMAIN}), '{{{{CAMPAIGN_DATA}}}}', text), '{{{{ANALYSIS_JSON}}}}', concat('{{\"doc\":', CAST(doc_id AS VARCHAR), '}}'))")
 
 
-@query("recommendation_prompts", "", f"""SELECT doc_id AS cohort_id, md5({_ASKED}) AS user_md5
-FROM (SELECT *, {_GOAL_OF} AS goal FROM documents) WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id % 9 <> 0""")
+@query("recommendation_prompts", "", f"""SELECT doc_id AS cohort_id, CASE WHEN doc_id % 9 = 0 THEN '{{{{CAMPAIGN_DATA}}}}' ELSE '' END AS unresolved,
+  CASE WHEN doc_id % 9 <> 0 THEN md5({_ASKED}) ELSE '-' END AS user_md5
+FROM (SELECT *, {_GOAL_OF} AS goal FROM documents) WHERE doc_id IN (SELECT doc_id FROM labels)""")
 def recommendation_prompts_q(spark, sf):
     payloads, context = _prompt_inputs(spark, sf)
     analyses = table(spark, sf, "labels").select(
         F.col("doc_id").alias("cohort_id"), F.concat(F.lit('{"doc":'), F.col("doc_id").cast("string"), F.lit("}")).alias("analysis"))
     out = P.recommendation_prompts(payloads, context, analyses, P.default_templates(spark))
-    return out.filter(F.col("messages").isNotNull() & (F.col("cohort_id") % 9 != 0)).select(
-        "cohort_id", F.md5(F.get("messages", F.lit(1))["content"]).alias("user_md5"))
+    return out.select("cohort_id", F.array_join("unresolved", ",").alias("unresolved"),
+                      F.coalesce(F.md5(F.get("messages", F.lit(1))["content"]), F.lit("-")).alias("user_md5"))
 
 
 @query("unresolved_placeholders", "", """SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{{CAMPAIGN_DATA}}|{{LATER}}' ELSE '{{LATER}}' END AS unresolved FROM documents""")
@@ -415,7 +416,10 @@ def kpi_name_list_q(spark, sf):
 
 # --- text checks ---------------------------------------------------------------------------------------
 
-_WORDS = ("the", "and", "la", "de")
+# words of the operators' lists and look-alikes, added to whole texts; the same text serves both engines
+_ADVICE = "CASE doc_id % 5 WHEN 0 THEN ' We Should improve it.' WHEN 1 THEN ' optimized, considered' WHEN 2 THEN ' Consider/recommend: optimize' ELSE '' END"
+_DOUBT = "CASE turn % 3 WHEN 0 THEN ' It might, or could, work.' WHEN 1 THEN ' almighty' ELSE '' END"
+_TREND = "CASE doc_id % 4 WHEN 0 THEN ' Trends: clicks rising' WHEN 1 THEN ' a trendy, uprising thing' WHEN 2 THEN ' Declining spend' ELSE '' END"
 
 
 def _hits(words) -> str:
@@ -423,15 +427,15 @@ def _hits(words) -> str:
     return (f"CAST(len(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x IN ({listed}))) AS BIGINT)")
 
 
-@query("banned_words", "", f"SELECT * FROM (SELECT doc_id, {_hits(_WORDS)} AS n_banned FROM documents) WHERE n_banned > 0")
+@query("banned_words", "", f"SELECT * FROM (SELECT doc_id, {_hits(Q.BANNED_IN_ANALYSIS)} AS n_banned FROM (SELECT doc_id, text || {_ADVICE} AS text FROM documents)) WHERE n_banned > 0")
 def banned_words_q(spark, sf):
-    return Q.banned_words(table(spark, sf, "documents").select("doc_id", "text"), words=_WORDS).select("doc_id", "n_banned")
+    return Q.banned_words(table(spark, sf, "documents").selectExpr("doc_id", f"text || {_ADVICE} AS text")).select("doc_id", "n_banned")
 
 
-@query("hedging", "", f"SELECT * FROM (SELECT conv_id, turn, {_hits(('with', 'un'))} AS n_hedges FROM conversations) WHERE n_hedges > 0")
+@query("hedging", "", f"SELECT * FROM (SELECT conv_id, turn, {_hits(Q.HEDGING)} AS n_hedges FROM (SELECT conv_id, turn, text || {_DOUBT} AS text FROM conversations)) WHERE n_hedges > 0")
 def hedging_q(spark, sf):
-    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return Q.hedging(turns, words=("with", "un")).select("conv_id", "turn", "n_hedges")
+    turns = table(spark, sf, "conversations").selectExpr("conv_id", "turn", f"text || {_DOUBT} AS text")
+    return Q.hedging(turns).select("conv_id", "turn", "n_hedges")
 
 
 @query("metrics_per_insight", "docs", """SELECT doc_id, CAST(CASE WHEN m = 5 THEN 0 ELSE 1 END AS BIGINT) AS n_metrics FROM docs WHERE m IN (1, 2, 3, 4, 5, 8, 9, 10, 7, 11) AND m IN (5, 9)""")
@@ -441,10 +445,10 @@ def metrics_per_insight_q(spark, sf):
     return Q.thin_insights(insights).select("doc_id", "n_metrics")
 
 
-@query("duplicate_cards", "docs", f"""{_CARDS} SELECT doc_id, lower(title) AS title_key, count(*) AS n_cards FROM cards WHERE title IS NOT NULL
+@query("duplicate_cards", "docs", f"""{_CARDS} SELECT doc_id, lower(title) AS title_key, count(*) AS n_cards FROM cards
 GROUP BY 1, 2 HAVING count(*) > 1""")
 def duplicate_cards_q(spark, sf):
-    return Q.duplicate_cards(_cards(spark, sf).filter("title IS NOT NULL"), keys=("doc_id",))
+    return Q.duplicate_cards(_cards(spark, sf), keys=("doc_id",))
 
 
 @query("impact_without_metric", "docs", f"{_CARDS} SELECT doc_id, card_no FROM cards WHERE expected_impact = 'More visits'")
@@ -530,13 +534,16 @@ def stated_null_q(spark, sf):
     return out.select("report_id", "cohort_id", F.array_join("stated_null_kpis", ",").alias("stated"))
 
 
-@query("trend_without_series", "", f""", spans AS (SELECT source, min(doc_id % 2) AS lo, max(doc_id % 2) AS hi FROM documents WHERE doc_id % 40 <> 7 OR source > 'src3' GROUP BY 1),
+_DAY = "CASE WHEN source > 'src3' THEN 0 ELSE doc_id % 2 END"  # later sources have one date
+
+
+@query("trend_without_series", "", f""", spans AS (SELECT source, min({_DAY}) AS lo, max({_DAY}) AS hi FROM documents GROUP BY 1),
 single AS (SELECT source FROM spans WHERE lo = hi)
-SELECT * FROM (SELECT doc_id, source AS cohort_id, {_hits(('the', 'la'))} AS n_trend_words FROM documents) WHERE n_trend_words > 0 AND cohort_id IN (SELECT source FROM single)""")
+SELECT * FROM (SELECT doc_id, source AS cohort_id, {_hits(Q.TREND_WORDS)} AS n_trend_words FROM (SELECT doc_id, source, text || {_TREND} AS text FROM documents)) WHERE n_trend_words > 0 AND cohort_id IN (SELECT source FROM single)""")
 def trend_q(spark, sf):
-    docs = table(spark, sf, "documents").withColumnRenamed("source", "cohort_id")
-    ads = docs.filter("doc_id % 40 <> 7 OR cohort_id > 'src3'").select("cohort_id", (F.col("doc_id") % 2).alias("date"))
-    out = Q.trend_without_series(docs.select("doc_id", "cohort_id", "text"), ads, words=("the", "la"))
+    docs = table(spark, sf, "documents")
+    ads = docs.selectExpr("source AS cohort_id", f"{_DAY} AS date")
+    out = Q.trend_without_series(docs.selectExpr("doc_id", "source AS cohort_id", f"text || {_TREND} AS text"), ads)
     return out.select("doc_id", "cohort_id", "n_trend_words")
 
 
