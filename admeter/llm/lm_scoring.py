@@ -1,14 +1,21 @@
 """Cross-entropy difference of two matched language models.
 
-The target model is trained on the target texts, the background model on all texts.  They share one vocabulary (the words
-that all texts hold most often, others are one unknown word), one set of bigrams, and one smoothing:
-``p(w | v) = MIX c(v, w) / c(v)`` for a kept bigram, plus what is left of one times ``p(w)``, a smoothed share of
-``w`` alone.  A text's score is the mean over its words of background loss less target loss, in nats: the higher,
-the closer to the target.
+The target model is trained on the target texts, the background model on all texts.  They share one vocabulary (every
+word of all texts), one set of bigrams (every pair that follows each other) and one smoothing:
+``p(w | v) = MIX c(v, w) / c(v) + (1 - MIX) p(w)``, or ``p(w)`` where the model knows nothing after ``v``, and ``p(w)`` a
+smoothed share of ``w`` alone.  A text's score is the mean over its words of background loss less target loss, in nats:
+the higher, the closer to the target.
 
-All counts are over all texts: tasks add up what they read before the shuffle, Spark sums it by word and by bigram.  The
-finished model is bounded by two parameters, ``VOCABULARY`` and ``BIGRAMS``: the least counts that keep within them
-are found from a histogram of the counts, and ties are all kept or all left, so the model depends on no order.
+No word or bigram is left out, and no model is collected or broadcast; the counts stay in tables that grow with the texts:
+
+1. ``blocks`` cuts the texts into blocks of some ``BLOCK_WORDS`` words: the different words of a block, as 64-bit hashes, and
+   each text as numbers of them.
+2. ``asked`` counts the words and bigrams of a block, also within target texts, and sends them to buckets of their hashes.  A
+   word or bigram is one entry for each block, however often it stands there, so none is hot.
+3. ``answered`` sums a bucket and sends the sums back to the blocks that asked, in the order in which they asked.
+4. ``scored`` puts the sums of a block together and takes the mean of both losses over each of its texts.
+
+Words are compared by 64-bit hashes, bigrams by a 64-bit hash of both words' hashes.
 
 Fixed meaning of edge cases: null texts, and texts without words, have no tokens, null losses and a null score; a key
 with several labels is a target if one of them says so; without target texts the target model is uniform; repeated
@@ -17,132 +24,186 @@ rows count and are scored each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, saved, small_batches
-
-#: Bounds of the model: words and bigrams.  Least share of a bigram's own estimate, and pseudo-count of a word.
-VOCABULARY, BIGRAMS, MIX, PSEUDO = 50_000, 1 << 19, 0.7, 0.1
-#: Different words or bigrams that a task gathers before it sends their counts on.
-GATHERED = 500_000
-#: Counts above this are alike for the histogram.
-HIGH = 10_000
+from .common import WordHashes, as_bytes, mixed, saved, small_batches
 
+#: Share of a bigram's own estimate, and pseudo-count of a word.
+MIX, PSEUDO = 0.7, 0.1
+#: Words and texts after which a block ends, and words for each bucket.  They change no result.
+BLOCK_WORDS, BLOCK_TEXTS, BUCKET_WORDS = 3 << 19, 1 << 16, 1 << 20
+#: Stands before the first word of a text; no word holds a space.
+START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
+WORDS, BIGRAMS, TEXTS = 0, 1, 2
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) by task; the same word may come several times."""
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                counts.update((text or b"").lower().split())
-            if len(counts) > GATHERED:
-                yield rows(counts)
-                counts.clear()
-        if counts:
-            yield rows(counts)
-
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word binary, n bigint")
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, as compressed planes of bytes after their width and count."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    planes = np.ascontiguousarray(x.ravel().astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T)
+    return struct.pack("<BQ", kind.itemsize, x.size) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def least_count(counts: DataFrame, most: int) -> int:
-    """The least count such that no more than ``most`` rows have it or a higher one."""
-    histogram = counts.groupBy(F.least("n", F.lit(HIGH)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()  # HIGH rows at most
-    total, least = 0, HIGH + 1
-    for n, rows in sorted(((r["n"], r["rows"]) for r in histogram), reverse=True):
-        total += rows
-        if total > most:
-            break
-        least = n
-    return least
+def unpacked(raw: bytes) -> np.ndarray:
+    width, size = struct.unpack_from("<BQ", raw)
+    planes = pa.decompress(raw[9:], decompressed_size=width * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, size).T).view(f"u{width}").ravel()
 
 
-class Vocabulary(dict):
-    """Numbers of words; 0 is any other word, 1 stands before the first."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """Rows (block, keys, lengths, ids, words, size) of ``docs`` (key, text): the texts' keys and lengths, their words as numbers, the different words,
+    and how many words stand there."""
+    key = docs.schema[0].dataType.simpleString()
 
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-    def bigrams(self, text: bytes | None) -> np.ndarray:
-        """Numbers of the words, each with the one before it, as before * size + word."""
-        words = (text or b"").lower().split()
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.append(1, ids[:-1])[:len(ids)] * (len(self) + 2) + ids
-
-
-def bigram_counts(docs: DataFrame, vocabulary) -> DataFrame:
-    """(bigram, n) by task; the same bigram may come several times."""
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number = WordHashes(), TaskContext.get().partitionId() << 32
+        keys: list[pa.Array] = []
+        texts: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            start = 0
+            for i, text in enumerate(as_bytes(batch.column(1)), 1):
+                texts.append(hashes.of((text or b"").lower()))
+                size += len(texts[-1])
+                if size >= BLOCK_WORDS or len(texts) >= BLOCK_TEXTS:
+                    yield row(number, [*keys, batch.column(0).slice(start, i - start)], texts)
+                    number, keys, texts, size, start = number + 1, [], [], 0, i
+            keys.append(batch.column(0).slice(start))
+        if texts:
+            yield row(number, keys, texts)
+
+    def row(number: int, keys: list[pa.Array], texts: list[np.ndarray]) -> pa.RecordBatch:
+        words, ids, count = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")  # frequent words get low numbers, which take less room
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        each = pa.concat_arrays(keys)
+        binaries = [packed(np.array([len(t) for t in texts])), packed(rank[ids]), packed(words[order])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each), *[pa.array([x], pa.binary()) for x in binaries], pa.array([len(ids)], pa.int64())],
+            ["block", "keys", "lengths", "ids", "words", "size"])
+
+    return docs.mapInArrow(cut, f"block bigint, keys array<{key}>, lengths binary, ids binary, words binary, size bigint")
+
+
+class Block:
+    """The words and bigrams of a block: hashes of the different ones, and which stands where."""
+
+    def __init__(self, lengths: bytes, ids: bytes, words: bytes):
+        self.lengths, self.ids, known = unpacked(lengths).astype(np.int64), unpacked(ids).astype(np.int32), unpacked(words).astype(np.uint64)
+        self.size = len(known)
+        self.words = np.append(known, START)
+        self.before = np.append(np.int32(self.size), self.ids[:-1])[:len(self.ids)]
+        self.starts = (np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]
+        self.before[self.starts] = self.size
+        codes, self.at = np.unique(self.before.astype(np.int64) * max(1, self.size) + self.ids, return_inverse=True)
+        self.first, self.second = np.divmod(codes, max(1, self.size))
+        self.bigrams = mixed(mixed(self.words[self.first]) + self.words[self.second])
+
+    def counts(self, among: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of each word, how often it stands in all texts and in those ``among`` them, and how often before another; so for bigrams."""
+        own = np.repeat(among, self.lengths)
+        count = lambda x, size: [np.bincount(x, minlength=size), np.bincount(x[own], minlength=size)]
+        return count(self.ids, self.size + 1) + count(self.before, self.size + 1), count(self.at, len(self.bigrams))
+
+
+def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes, and how many of them each bucket, a range of hashes, has."""
+    order = np.argsort(hashes, kind="stable")
+    bucket = hashes[order] // np.uint64((2 ** 64 - 1) // buckets + 1)
+    return order, np.bincount(bucket.astype(np.int64), minlength=buckets)
+
+
+def asked(state: DataFrame, buckets: int) -> DataFrame:
+    """Rows (bucket, kind, block, hashes, counts) of blocks and the places of their target texts."""
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held += [vocabulary.value.bigrams(t) for t in as_bytes(batch.column(0))]
-            if sum(map(len, held)) > 8 * GATHERED:
-                yield rows(held)
-                held = []
-        if held:
-            yield rows(held)
-
-    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
-        value, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["bigram", "n"])
-
-    return docs.select("text").mapInArrow(count, "bigram bigint, n bigint")
-
-
-def summed(background: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """(key, n, target): counts over all texts and over the target texts."""
-    both = background.withColumn("target", F.lit(0).cast("bigint")).union(target.select(key, F.lit(0).cast("bigint"), "n"))
-    return both.groupBy(key).agg(F.sum("n").alias("n"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Log probabilities of words after words, of both models; index 0 background, 1 target."""
-
-    def __init__(self, words: np.ndarray, contexts: np.ndarray, bigrams: np.ndarray, counts: np.ndarray):
-        size = words.shape[1]
-        self.size, self.bigrams = size, bigrams
-        self.alone = (words + PSEUDO) / (words.sum(axis=1, keepdims=True) + PSEUDO * size)
-        before = bigrams // size
-        share = np.divide(MIX * counts, contexts[:, before], out=np.zeros(counts.shape), where=contexts[:, before] > 0)
-        self.left = 1 - np.stack([np.bincount(before, weights=s, minlength=size) for s in share])
-        self.share = share
-
-    def losses(self, found: np.ndarray) -> np.ndarray:
-        """Two losses in nats for each bigram of a text."""
-        at = np.minimum(np.searchsorted(self.bigrams, found), max(len(self.bigrams) - 1, 0))
-        own = self.share[:, at] * (self.bigrams[at] == found) if len(self.bigrams) else 0.0
-        return -np.log(own + self.left[:, found // self.size] * self.alone[:, found % self.size])
-
-
-def train(docs: DataFrame, targets: DataFrame):
-    """Broadcast vocabulary and model of the texts ``docs`` and of the target texts among them."""
-    context = docs.sparkSession.sparkContext
-    words = saved(summed(word_counts(docs), word_counts(targets), "word"), "lm-words")
-    kept = words.where(F.col("n") >= least_count(words, VOCABULARY)).orderBy(F.desc("n"), "word").toArrow()  # VOCABULARY rows at most
-    vocabulary = Vocabulary((w, i + 2) for i, w in enumerate(kept["word"].to_pylist()))
-    shared = context.broadcast(vocabulary)
-    size = len(vocabulary) + 2
-    counts = saved(summed(bigram_counts(docs, shared), bigram_counts(targets, shared), "bigram"), "lm-bigrams")
-
-    def totals(part) -> np.ndarray:
-        table = counts.groupBy(part.alias("i")).agg(F.sum("n").alias("n"), F.sum("target").alias("target")).toArrow()  # a row per word
-        out = np.zeros((2, size))
-        out[:, table["i"].to_numpy()] = [table["n"].to_numpy(), table["target"].to_numpy()]
-        return out
-
-    alone, contexts = totals(F.col("bigram") % size), totals(F.floor(F.col("bigram") / size))
-    pairs = counts.where(F.col("n") >= max(2, least_count(counts, BIGRAMS))).orderBy("bigram").toArrow()  # BIGRAMS rows at most
-    numbers = np.stack([pairs["n"].to_numpy(), pairs["target"].to_numpy()]).astype(float)
-    return shared, context.broadcast(Model(alone, contexts, pairs["bigram"].to_numpy(), numbers))
+            for r in range(batch.num_rows):
+                number, lengths, ids, words, targets = (c[r].as_py() for c in batch.columns)
+                block = Block(lengths, ids, words)
+                among = np.zeros(len(block.lengths), bool)
+                among[targets or []] = True
+                for kind, hashes, counts in zip((WORDS, BIGRAMS), (block.words, block.bigrams), block.counts(among)):
+                    order, sizes = dealt(hashes, buckets)
+                    ends, full = np.cumsum(sizes), np.flatnonzero(sizes)
+                    hashes, counts = hashes[order], np.stack(counts)[:, order]
+                    parts = [slice(ends[b] - sizes[b], ends[b]) for b in full]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(full, pa.int64()), pa.array([kind] * len(full), pa.int32()), pa.array([number] * len(full), pa.int64()),
+                         pa.array([packed(np.diff(hashes[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([packed(counts[:, p]) for p in parts], pa.binary())],
+                        ["bucket", "kind", "block", "hashes", "counts"])
+
+    return state.select("block", "lengths", "ids", "words", "targets").mapInArrow(ask, "bucket bigint, kind int, block bigint, hashes binary, counts binary")
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """Rows (block, kind, bucket, counts): the sums over all blocks of what each asked for; one row of a bucket also has its
+    different words and their count in all texts and in target texts."""
+    def answer(table: pa.Table) -> pa.Table:
+        out = []
+        for kind, rows in ((WORDS, 4), (BIGRAMS, 2)):
+            part = table.filter(pa.array(k == kind for k in table["kind"].to_pylist()))
+            if not part.num_rows:
+                continue
+            hashes = [np.cumsum(unpacked(h), dtype=np.uint64) for h in part["hashes"].to_pylist()]
+            counts = np.concatenate([unpacked(c).reshape(rows, -1) for c in part["counts"].to_pylist()], axis=1)
+            different, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            sums = np.stack([np.bincount(at, weights=n, minlength=len(different)) for n in counts]).astype(np.int64)
+            totals = (int((different != START).sum()), int(sums[0].sum()), int(sums[1].sum())) if kind == WORDS else (0, 0, 0)
+            ends = np.cumsum([len(h) for h in hashes])
+            for i, (block, bucket) in enumerate(zip(part["block"].to_pylist(), part["bucket"].to_pylist())):
+                own = sums[:, at[ends[i] - len(hashes[i]):ends[i]]]
+                out.append((block, kind, bucket, packed(own), *(totals if i == 0 else (0, 0, 0))))
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "kind", "bucket", "counts", "words", "n", "target_n"])
+
+    return questions.groupBy("bucket").applyInArrow(answer, "block bigint, kind int, bucket bigint, counts binary, words bigint, n bigint, target_n bigint")
+
+
+def scored(state: DataFrame, answers: DataFrame, buckets: int, key: str) -> DataFrame:
+    """A row for each text of the blocks."""
+    words, n, target_n = (x or 0 for x in answers.agg(F.sum("words"), F.sum("n"), F.sum("target_n")).first())
+    nothing = F.lit(None)
+    kind = state.schema["keys"].dataType.elementType.simpleString()
+    rows = state.select("block", F.lit(TEXTS).alias("kind"), F.lit(0).cast("bigint").alias("bucket"), "keys", F.col("lengths").alias("counts"), "ids", "words").unionByName(
+        answers.select("block", "kind", "bucket", nothing.cast(f"array<{kind}>").alias("keys"), "counts", nothing.cast("binary").alias("ids"), nothing.cast("binary").alias("words")))
+
+    def finish(table: pa.Table) -> pa.Table:
+        kinds, bucket, raw = (table[c].to_pylist() for c in ("kind", "bucket", "counts"))
+        at = kinds.index(TEXTS)
+        block = Block(raw[at], table["ids"][at].as_py(), table["words"][at].as_py())
+
+        def sums(kind: int, hashes: np.ndarray, height: int) -> np.ndarray:
+            parts = [i for _, i in sorted((bucket[i], i) for i, k in enumerate(kinds) if k == kind)]
+            out = np.zeros((height, len(hashes)), np.int64)
+            out[:, dealt(hashes, buckets)[0]] = np.concatenate([unpacked(raw[i]).reshape(height, -1) for i in parts] or [out], axis=1)
+            return out
+
+        alone, pairs = sums(WORDS, block.words, 4), sums(BIGRAMS, block.bigrams, 2)
+        tokens = block.lengths
+        losses = np.full((2, len(tokens)), np.nan)
+        for i, total in enumerate((n, target_n)):
+            context = alone[2 + i, block.first]
+            share = np.divide(MIX * pairs[i], context, out=np.zeros(len(context)), where=context > 0)
+            left = np.where(context > 0, 1 - MIX, 1.0)
+            loss = -np.log(share + left * (alone[i, block.second] + PSEUDO) / (total + PSEUDO * words))
+            if len(block.starts):
+                losses[i, tokens > 0] = np.add.reduceat(loss[block.at], block.starts) / tokens[tokens > 0]
+        none = tokens == 0
+        columns = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
+        keys = table["keys"].chunk(0) if table["keys"].num_chunks == 1 else pa.concat_arrays(table["keys"].chunks)
+        return pa.table([keys[at].values, pa.array(tokens), *columns], [key, "n_tokens", "background_loss", "target_loss", "score"])
+
+    return rows.groupBy("block").applyInArrow(
+        finish, f"`{key}` {kind}, n_tokens bigint, background_loss double, target_loss double, score double")
 
 
 def score(df: DataFrame, labels: DataFrame, target: str = "quality = 1 AND toxic = 0", key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,24 +211,14 @@ def score(df: DataFrame, labels: DataFrame, target: str = "quality = 1 AND toxic
 
     Target texts are those that ``labels`` (key and labels) names by the condition ``target``.
     """
-    small_batches(df.sparkSession)
-    docs = df.select(F.col(key), F.col(text).cast("string").alias("text"))
+    spark = df.sparkSession
+    small_batches(spark)
+    state = saved(blocks(df.select(F.col(key), F.col(text).cast("string").alias("text"))), "lm-blocks")
+    total = state.agg(F.sum("size")).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_WORDS)
     good = labels.where(target).select(F.col(key).alias("_key")).distinct()
+    places = state.select("block", F.posexplode("keys").alias("place", "_own"))
     # labels grow with the texts, so they are never broadcast
-    targets = saved(docs.join(good.hint("merge"), docs[key] == good["_key"], "left_semi").select("text"), "lm-targets")
-    vocabulary, model = train(docs, targets)
-    kind = pa.struct([("n_tokens", pa.int64()), ("background_loss", pa.float64()), ("target_loss", pa.float64()), ("score", pa.float64())])
-
-    @F.arrow_udf("struct<n_tokens: bigint, background_loss: double, target_loss: double, score: double>")
-    def scored(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in as_bytes(texts):
-            found = vocabulary.value.bigrams(t)
-            if len(found):
-                background, wanted = model.value.losses(found).mean(axis=1).tolist()
-                rows.append({"n_tokens": len(found), "background_loss": background, "target_loss": wanted, "score": background - wanted})
-            else:
-                rows.append({"n_tokens": 0, "background_loss": None, "target_loss": None, "score": None})
-        return pa.array(rows, kind)
-
-    return docs.select(key, scored("text").alias("s")).select(key, "s.*")
+    targets = places.join(good.hint("merge"), F.col("_own") == F.col("_key"), "left_semi").groupBy("block").agg(F.collect_list("place").alias("targets"))
+    answers = saved(answered(asked(state.join(targets, "block", "left"), buckets)), "lm-counts")
+    return scored(state, answers, buckets, key)

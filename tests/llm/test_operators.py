@@ -172,6 +172,33 @@ def test_lm_scoring(spark, docs, nothing):
     assert lm_scoring.score(nothing, labels).count() == 0
 
 
+def test_lm_scoring_keeps_all_words_and_bigrams(spark, docs, texts, nothing, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 300)
+    target = {i for i, _ in texts if i % 3 == 0}
+    labels = spark.createDataFrame([(i, int(i in target), 0) for i, _ in texts] + [(3, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    words = {i: [w.lower() for w in split(t)] for i, t in texts}
+    models = []
+    for chosen in (set(words), target):
+        pairs = Counter(p for i in chosen for p in zip([None, *words[i]], words[i]))
+        models.append((pairs, Counter(w for i in chosen for w in words[i]), Counter(v for v, _ in pairs.elements())))
+    size = len(models[0][1])
+    got = {r.doc_id: r for r in lm_scoring.score(docs, labels).collect()}
+    assert set(got) == set(words)
+    for i, w in words.items():
+        losses = []
+        for pairs, alone, before in models:
+            p = [lm_scoring.PSEUDO + alone[x] for x in w]
+            p = [x / (alone.total() + lm_scoring.PSEUDO * size) for x in p]
+            p = [lm_scoring.MIX * pairs[v, x] / before[v] + (1 - lm_scoring.MIX) * q if before[v] else q for v, x, q in zip([None, *w], w, p)]
+            losses.append(-sum(np.log(p)) / len(p) if w else None)
+        assert got[i].n_tokens == len(w)
+        if w:
+            assert (got[i].background_loss, got[i].target_loss) == pytest.approx(tuple(losses))
+            assert got[i].score == pytest.approx(losses[0] - losses[1])
+        else:
+            assert got[i].score is got[i].background_loss is got[i].target_loss is None
+
+
 def test_mixing(docs, nothing, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_CHARS", 50)
     rows = mixing.mix(docs, {"s0": 1, "s1": 2, "s2": 1}).collect()
