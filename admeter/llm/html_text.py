@@ -30,6 +30,11 @@ SKIPPED = frozenset("script style noscript template textarea select option svg m
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr input".split())
+#: What a head holds; anything else opens the body, as its end tag may be left out.
+IN_HEAD = frozenset("head title meta link base style script noscript template".split())
+#: Elements in which a closing slash counts.
+FOREIGN = frozenset("svg math".split())
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>]*/$")
 OTHER_PARTS = frozenset("nav header footer aside form menu dialog".split())
 MAIN_PARTS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -40,6 +45,8 @@ OTHER_NAMES = frozenset(
     "share sharing social newsletter subscribe subscription signup login search comment comments reply replies respond disqus discussion tags meta byline copyright "
     "legal disclaimer complementary contentinfo hidden skip form".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
+#: From such a word on, a class or id says what stands beside or in an element (``has-sidebar``), or, at its end, how it is set (``share-enabled``).
+MODIFIERS, STATES = frozenset("has no with without".split()), frozenset("enabled disabled".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "other_part", "main_part", "heading", "list_item")
 
@@ -60,14 +67,26 @@ class Block:
         return bool(self.text)
 
 
-def named(attrs: str) -> tuple[bool, bool]:
-    """Whether an element's class, id or role names another part, or the main text; hidden elements are other parts."""
+def own_words(value: str) -> set[str]:
+    """The words of a class, id or role that name the element itself."""
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in NAME.findall(name)]
+        end = next((i for i, w in enumerate(words) if w in MODIFIERS), len(words))
+        if words and words[-1] not in STATES:
+            found.update(words[:end])
+    return found
+
+
+def named(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element's class, id or role names another part, or the main text; hidden elements are other parts.
+    A page has one ``main`` element, and no name makes it another part."""
     other = main = False
     for key, value in ATTRIBUTE.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id", "role"):
-            words = {w.lower() for w in NAME.findall(value)}
-            other |= bool(words & OTHER_NAMES)
+            words = own_words(value)
+            other |= bool(words & OTHER_NAMES) and tag != "main"
             main |= bool(words & MAIN_NAMES)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             other = True
@@ -81,7 +100,7 @@ def blocks_of(page: str) -> list[Block]:
     """
     found: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # element, opens another part (2, 1 if it heads a main part), opens a main part
-    depth = {"other": 0, "head": 0, "main": 0, "link": 0, "skip": 0, "heading": 0, "li": 0}
+    depth = {"other": 0, "head": 0, "main": 0, "link": 0, "skip": 0, "foreign": 0, "heading": 0, "li": 0}
     at, breaks = 0, 0
 
     def where() -> tuple[int, int, int, int]:
@@ -100,6 +119,7 @@ def blocks_of(page: str) -> list[Block]:
         depth["head"] += step * (other == 1)
         depth["main"] += step * main
         depth["skip"] += step * (tag in SKIPPED)
+        depth["foreign"] += step * (tag in FOREIGN)
         depth["link"] += step * (tag == "a")
         depth["heading"] += step * (tag in HEADINGS)
         depth["li"] += step * (tag == "li")
@@ -108,8 +128,14 @@ def blocks_of(page: str) -> list[Block]:
         while len(stack) > index:
             opened(*stack.pop(), -1)
 
+    def end_head() -> None:
+        if stack and stack[-1][0] == "head":
+            close_to(len(stack) - 1)
+
     def say(text: str) -> None:
         nonlocal breaks
+        if text.strip():
+            end_head()
         if not depth["skip"] and text:
             if text.strip():
                 breaks = 0
@@ -141,6 +167,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 block.where = where()
             continue
+        if tag not in IN_HEAD:
+            end_head()
         if tag == "br":
             breaks += 1
             if breaks > 1:
@@ -152,6 +180,8 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in INLINE:
                 border()
             continue
+        if (tag in FOREIGN or depth["foreign"]) and m["attrs"].endswith("/") and not UNQUOTED_END.search(m["attrs"]):
+            continue
         if tag not in INLINE:
             border()
             for i in range(len(stack) - 1, -1, -1):  # what ends here without an end tag
@@ -166,7 +196,7 @@ def blocks_of(page: str) -> list[Block]:
                 if stack[i][0] == "a":
                     close_to(i)
                     break
-        other, main = named(m["attrs"]) if m["attrs"] else (False, False)
+        other, main = named(tag, m["attrs"]) if m["attrs"] else (False, False)
         if tag in ("html", "body"):
             other = main = False
         heads = tag == "header" and depth["main"] and not depth["other"]
