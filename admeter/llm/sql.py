@@ -114,3 +114,35 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v)::BIGIN
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
+
+FILTER_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, unnest([
+    {{'f': 'A', 'failed': len(w) < 100}}, {{'f': 'B', 'failed': 100 * len(list_distinct(w)) < 80 * len(w)}},
+    {{'f': 'C', 'failed': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text)}},
+    {{'f': 'D', 'failed': regexp_matches(text, '[#$%&*|]')}}, {{'f': 'E', 'failed': doc_id > min(doc_id) OVER (PARTITION BY text)}}]) AS x FROM d),
+m AS (SELECT doc_id, part, coalesce(string_agg(x.f, '' ORDER BY x.f) FILTER (x.failed), '') AS mask FROM f GROUP BY doc_id, part),
+c AS (
+  SELECT part, mask, count(*) AS docs, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM m LEFT JOIN labels USING (doc_id) GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+r AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN translate(mask, earlier || f, '') = mask THEN docs ELSE 0 END) AS kept,
+         sum(CASE WHEN contains(mask, f) AND translate(mask, earlier, '') = mask THEN docs ELSE 0 END) AS removed,
+         sum(CASE WHEN contains(mask, f) AND translate(mask, earlier, '') <> mask THEN docs ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = f THEN docs ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN contains(mask, f) AND translate(mask, earlier, '') = mask THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN contains(mask, f) AND translate(mask, earlier, '') = mask THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps, c GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INTEGER AS step, f AS filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+FROM r
+"""
