@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, filter_audit, html_text, jaccard_join, lexical_search, license_scan, lm_scoring, mixing, packed_ids, quality_rules, substring_dedup, top_k
+from . import byte_bpe, filter_audit, html_text, jaccard_join, lexical_search, license_scan, lm_scoring, mixing, packed_ids, quality_rules, rule_ensemble, substring_dedup, top_k
 from .sql import FILTER_SQL, LICENSE_SQL, MIXING_SQL, QUALITY_SQL, SEARCH_SQL, TOP_K_SQL
 
 
@@ -58,6 +58,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op11_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +72,6 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packed_ids, op2_substring_dedup, op3_byte_bpe, op4_jaccard_join, op5_top_k, op6_html_text, op7_lm_scoring, op8_mixing,
-    op9_license_scan, op10_quality_rules, op12_filter_audit, op13_lexical_search)}
+    op9_license_scan, op10_quality_rules, op11_rule_ensemble, op12_filter_audit, op13_lexical_search)}
 ORACLES = {"op5_top_k": TOP_K_SQL, "op8_mixing": MIXING_SQL, "op9_license_scan": LICENSE_SQL, "op10_quality_rules": QUALITY_SQL,
            "op12_filter_audit": FILTER_SQL, "op13_lexical_search": SEARCH_SQL}
