@@ -4,14 +4,15 @@
 2. ``sketches`` turns four ratios, in thousandths, into mergeable quantile sketches: counts of log-linear
    bins (exact below 64, then 32 bins for each power of two), so quantiles are off by 1/32 at most, any
    two sketches merge by adding counts, and the result depends neither on order nor on retries.
-3. ``cutoffs`` reads quartiles from the sketch of each (language, source), or from the merged sketch
-   of the language, then of everything, where fewer than ``MIN_DOCS`` documents were counted.  A cutoff
-   is Q3 + 3 (Q3 - Q1), held within the bounds in ``RULES``.
+3. ``cutoffs`` reads the median and a high quantile (``HIGH``) from the sketch of each (language, source), or from the merged
+   sketch of the language, then of everything, where fewer than ``MIN_DOCS`` documents were counted.  A cutoff is
+   the high quantile plus ``SPREADS`` times its distance from the median, which counts as the least spread in ``RULES`` at
+   least.  No cutoff is fixed: a group that is full of symbols or repeats has a higher one than a group without.
 4. ``judge`` joins the cutoffs to the documents.
 
 Fixed meaning of edge cases: a null text has no words and fails; null languages and sources are groups of
-their own; repeated rows count each; an empty table gives an empty result; an input column with the name of
-the output struct is replaced.
+their own; repeated rows count each; in a group without documents that pass the base rules there is nothing left to judge;
+an empty table gives an empty result; an input column with the name of the output struct is replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from .common import WordHashes, Words, mixed, saved, small_batches, without
 #: The base rules.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = b"#*$%&|<>"
-#: Documents that a group's own sketch must have counted.
-MIN_DOCS = 200
-#: Ratio: numerator, denominator, and the least and greatest cutoff, in thousandths.
+#: Documents that a group's own sketch must have counted; the high quantile as a fraction, and how many spreads above it are kept.
+MIN_DOCS, HIGH, SPREADS = 200, (4, 5), 3
+#: Ratio: numerator, denominator, what is added to the denominator so that one symbol or line of a short text weighs little, and the
+#: least spread, in thousandths.
 RULES = {
-    "symbols": ("n_symbols", "n_words", 200, 350),
-    "dup_lines": ("n_dup_lines", "n_lines", 500, 700),
-    "repeats": ("n_repeat_words", "n_words", 200, 300),
-    "word_length": ("word_chars", "n_words", 12_000, 15_000),
+    "symbols": ("n_symbols", "n_words", 20, 25),
+    "dup_lines": ("n_dup_lines", "n_lines", 5, 50),
+    "repeats": ("n_repeat_words", "n_words", 20, 45),
+    "word_length": ("word_chars", "n_words", 0, 800),
 }
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint"
 
@@ -79,8 +81,8 @@ def measure(df: DataFrame, text: str = "text", out: str = "quality") -> DataFram
 
 def ratio(q: Column, rule: str) -> Column:
     """In thousandths, rounded down; 0 where there is nothing to divide by."""
-    above, below, _, _ = RULES[rule]
-    return F.when(q[below] > 0, F.floor(1000 * q[above] / q[below])).otherwise(F.lit(0)).cast("bigint")
+    above, below, more, _ = RULES[rule]
+    return F.when(q[below] > 0, F.floor(1000 * q[above] / (q[below] + more))).otherwise(F.lit(0)).cast("bigint")
 
 
 def bin_of(value: Column) -> Column:
@@ -97,21 +99,21 @@ def sketches(measures: DataFrame, lang: str = "lang", source: str = "source", ou
     return rows.groupBy("lang", "source", "x.rule", "x.bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge sketches by ``keys`` and rule; the count and both quartiles of each."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge sketches by ``keys`` and rule; the count, the median and the high quantile of each."""
     merged = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*keys, "rule")
     running = merged.withColumns({"upto": F.sum("n").over(part.orderBy("bin")), "docs": F.sum("n").over(part)})
     return running.groupBy(*keys, "rule").agg(
         F.max("docs").alias("docs"),
-        F.min(F.when(4 * F.col("upto") >= F.col("docs"), F.col("bin"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("docs"), F.col("bin"))).alias("q3"))
+        F.min(F.when(2 * F.col("upto") >= F.col("docs"), F.col("bin"))).alias("median"),
+        F.min(F.when(HIGH[1] * F.col("upto") >= HIGH[0] * F.col("docs"), F.col("bin"))).alias("high"))
 
 
 def cutoffs(sketch: DataFrame) -> DataFrame:
     """One row per (lang, source) with a cutoff for each rule."""
-    own, language, whole = (quartiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
-    names = ("docs", "q1", "q3")
+    own, language, whole = (quantiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
+    names = ("docs", "median", "high")
     language = language.select(F.col("lang").alias("l_lang"), F.col("rule").alias("l_rule"), *[F.col(c).alias(f"l_{c}") for c in names])
     whole = whole.select(F.col("rule").alias("w_rule"), *[F.col(c).alias(f"w_{c}") for c in names])
     both = own.join(language, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("rule") == F.col("l_rule"))).join(
@@ -120,10 +122,11 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
     def chosen(name: str) -> Column:
         return F.when(F.col("docs") >= MIN_DOCS, F.col(name)).when(F.col("l_docs") >= MIN_DOCS, F.col(f"l_{name}")).otherwise(F.col(f"w_{name}"))
 
-    fence = chosen("q3") + 3 * (chosen("q3") - chosen("q1"))
-    rule = F.col("rule")
+    def cutoff(least: int) -> Column:
+        return chosen("high") + SPREADS * F.greatest(chosen("high") - chosen("median"), F.lit(least))
+
     return both.groupBy("lang", "source").agg(*[
-        F.max(F.when(rule == r, F.least(F.greatest(fence, F.lit(low)), F.lit(high)))).alias(r) for r, (_, _, low, high) in RULES.items()])
+        F.max(F.when(F.col("rule") == r, cutoff(least))).alias(r) for r, (_, _, _, least) in RULES.items()])
 
 
 def judge(measures: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", out: str = "quality") -> DataFrame:
@@ -132,7 +135,7 @@ def judge(measures: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     found = measures.join(side, F.col(lang).eqNullSafe(F.col("_limits.lang")) & F.col(source).eqNullSafe(F.col("_limits.source")), "left")
     q, passed = F.col(out), ~F.col(f"{out}.base_failed")
     for r in RULES:
-        passed &= ratio(q, r) <= F.coalesce(F.col(f"_limits.{r}"), F.lit(RULES[r][3]))
+        passed &= F.coalesce(ratio(q, r) <= F.col(f"_limits.{r}"), F.lit(True))
     return found.withColumn(out, q.withField("kept", passed)).drop("_limits")
 
 

@@ -19,9 +19,9 @@ m AS (
   FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)),
 f AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-         CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbols,
-         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_lines,
-         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeats,
+         CASE WHEN n_words > 0 THEN 1000 * n_symbols // (n_words + 20) ELSE 0 END AS symbols,
+         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // (n_lines + 5) ELSE 0 END AS dup_lines,
+         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // (n_words + 20) ELSE 0 END AS repeats,
          CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length
   FROM m),
 long AS (UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, word_length FROM f WHERE NOT base_failed)
@@ -31,24 +31,25 @@ levels AS (
   SELECT 0 AS level, lang, source, rule, v FROM binned UNION ALL
   SELECT 1, lang, NULL, rule, v FROM binned UNION ALL
   SELECT 2, NULL, NULL, rule, v FROM binned),
+ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY level, lang, source, rule ORDER BY v) AS upto, count(*) OVER (PARTITION BY level, lang, source, rule) AS docs FROM levels),
 q AS (
-  SELECT level, lang, source, rule, count(*) AS docs, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
-  FROM levels GROUP BY level, lang, source, rule),
+  SELECT level, lang, source, rule, max(docs) AS docs, min(v) FILTER (2 * upto >= docs) AS median, min(v) FILTER (5 * upto >= 4 * docs) AS high
+  FROM ranked GROUP BY level, lang, source, rule),
 picked AS (
-  SELECT o.lang, o.source, o.rule,
-         CASE WHEN o.docs >= 200 THEN o.q3 + 3 * (o.q3 - o.q1) WHEN l.docs >= 200 THEN l.q3 + 3 * (l.q3 - l.q1)
-              ELSE a.q3 + 3 * (a.q3 - a.q1) END AS fence
+  SELECT o.lang, o.source, o.rule, CASE WHEN o.docs >= 200 THEN o.high WHEN l.docs >= 200 THEN l.high ELSE a.high END AS high,
+         CASE WHEN o.docs >= 200 THEN o.median WHEN l.docs >= 200 THEN l.median ELSE a.median END AS median
   FROM q o JOIN q l ON l.level = 1 AND l.rule = o.rule AND l.lang IS NOT DISTINCT FROM o.lang
   JOIN q a ON a.level = 2 AND a.rule = o.rule WHERE o.level = 0),
 c AS (
-  SELECT lang, source, max(CASE WHEN rule = 'symbols' THEN least(greatest(fence, 200), 350) END) AS symbols,
-         max(CASE WHEN rule = 'dup_lines' THEN least(greatest(fence, 500), 700) END) AS dup_lines,
-         max(CASE WHEN rule = 'repeats' THEN least(greatest(fence, 200), 300) END) AS repeats,
-         max(CASE WHEN rule = 'word_length' THEN least(greatest(fence, 12000), 15000) END) AS word_length
+  SELECT lang, source, max(CASE WHEN rule = 'symbols' THEN high + 3 * greatest(high - median, 25) END) AS symbols,
+         max(CASE WHEN rule = 'dup_lines' THEN high + 3 * greatest(high - median, 50) END) AS dup_lines,
+         max(CASE WHEN rule = 'repeats' THEN high + 3 * greatest(high - median, 45) END) AS repeats,
+         max(CASE WHEN rule = 'word_length' THEN high + 3 * greatest(high - median, 800) END) AS word_length
   FROM picked GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND f.symbols <= coalesce(c.symbols, 350) AND f.dup_lines <= coalesce(c.dup_lines, 700)
-       AND f.repeats <= coalesce(c.repeats, 300) AND f.word_length <= coalesce(c.word_length, 15000) AS kept
+       NOT base_failed AND coalesce(f.symbols <= c.symbols, true) AND coalesce(f.dup_lines <= c.dup_lines, true)
+       AND coalesce(f.repeats <= c.repeats, true) AND coalesce(f.word_length <= c.word_length, true) AS kept
 FROM f LEFT JOIN c ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """
 

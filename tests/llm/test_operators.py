@@ -258,3 +258,40 @@ def test_quality_rules(docs, texts, nothing):
         assert not (row.kept and row.base_failed)
     assert quality_rules.filtered(docs).columns == docs.columns
     assert quality_rules.report(nothing).count() == 0
+
+
+def test_quality_cutoffs_follow_the_group(spark, monkeypatch):
+    """The same text is judged by what is usual where it comes from."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+
+    def text(symbols, n=60):
+        words = [word() for _ in range(n)]
+        for at in rng.sample(range(n), symbols):
+            words[at] += "#"
+        return " ".join(words)
+
+    rows = [(i, text(0), "en", "prose") for i in range(250)] + [(1000 + i, text(6 + i % 9), "en", "code") for i in range(250)]
+    rows += [(5000, text(9, 63), "en", "prose"), (5001, text(9, 63), "en", "code"), (5002, text(62, 63), "en", "code"), (5003, text(1, 12), "en", "prose")]
+    rows += [(6000, text(9, 63), "en", "few"), (6001, text(9, 63), None, None), (6002, None, "en", "prose")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(3)
+    kept = {r.doc_id: r.kept for r in quality_rules.report(df).collect()}
+    assert not kept[5000] and kept[5001] and not kept[5002] and kept[5003] and kept[6000] and kept[6001] and not kept[6002]
+    assert all(kept[i] for i in range(250)) and all(kept[1000 + i] for i in range(250))
+    measures = quality_rules.measure(df)
+    limits = {r.source: r for r in quality_rules.cutoffs(quality_rules.sketches(measures)).collect()}
+    assert limits["prose"].symbols == 75 and limits["code"].symbols > 200
+    # a sketch has each group's exact quantiles, up to the width of a bin
+    values = sorted(1000 * r.quality.n_symbols // (r.quality.n_words + 20) for r in measures.where("source = 'code' AND NOT quality.base_failed").collect())
+    high, median = values[-(-4 * len(values) // 5) - 1], values[-(-len(values) // 2) - 1]
+    assert limits["code"].symbols == pytest.approx(high + 3 * max(high - median, 25), rel=1 / 8)
+
+
+def test_quality_rule_of_repeats_rejects(spark):
+    """Texts that pass the base rule on repeats fail where nothing repeats."""
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choices("abcdefghijklmnop", k=5)) for _ in range(n)]
+    some = words(8)
+    rows = [(i, " ".join(words(80)), "en", "a") for i in range(220)] + [(900, " ".join([*some, *words(70), *some]), "en", "a")]
+    got = {r.doc_id: r for r in quality_rules.report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not got[900].base_failed and got[900].n_repeat_words == 16 and not got[900].kept and got[0].kept
