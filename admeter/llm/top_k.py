@@ -1,131 +1,242 @@
 """Exact top-k search by vector-approximation files.
 
-Vectors are integers, floor(1024 x) of each component, and scores inner products.  ``approximated`` writes blocks of
-up to ``BLOCK`` vectors: each component as one of 256 cells between the block's least and greatest value, and the
-exact vectors beside them.  A search meets each block with each block of queries: it scans the cells for
-a lower and an upper bound of every score, drops vectors whose upper bound is below the k-th best lower bound,
-and reads the exact vectors of the others in the order of their upper bounds until the k-th best score is above the
-next bound.  A block leaves k rows per query, and the best k of them all are exact.
-
-Fixed meaning of edge cases: vectors that are null, empty, or hold a null, a non-finite component or one of
-2**16 or more in size (whose products would not fit in a long) take no part, nor do rows without an id; of rows that
-share an id, the smallest vector counts; vectors are compared with those of the same length; ties go to
-the smaller id; other columns are ignored; empty tables give an empty result.
+Vectors are whole numbers, floor(1024 x) of each component, and scores inner products.
+
+1. ``candidates`` writes the exact vectors, equal ones once with the smallest ids of the rows that have them, so a vector
+   that a third of all rows share is one candidate.
+2. ``approximated`` writes the approximation beside them: blocks of up to ``BLOCK`` vectors with each component as one of 256
+   cells between the block's least and greatest value, a byte a component.
+3. The queries meet the cells in groups of ``GROUP_BYTES`` of query vectors.  A first scan keeps each query's k best lower bounds
+   of a task; the k-th best of all tasks is a score that the k-th result reaches.  A second scan returns the (query,
+   vector) pairs whose upper bound reaches it.  Only cells are read, and nothing is shuffled but these few pairs.
+4. Exact vectors are read in the order of the bounds: first for each query's k pairs with the best upper bounds, then for those
+   pairs whose upper bound reaches the k-th exact score of the first ones.  Then the k-th result is certain.
+
+Fixed meaning of edge cases: vectors that are null or hold a null or non-finite component take no part, nor do
+components that overflow when multiplied by 1024, nor rows without an id; vectors are compared with those of the same length,
+empty ones score 0 with each other; large components are multiplied in whole numbers, and a score beyond a long is the nearest
+long; a row is no candidate of queries with its own id; rows that share an id are candidates each, repeated ones too, and
+queries that share an id are ranked together, each row with its own scores; ties go to the smaller id; other columns are
+ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved
 
-BLOCK, QUERY_BLOCK, CELLS = 4096, 256, 256
-LIMIT = 2.0 ** 16
+#: Vectors of a block, bytes of the queries that meet all cells in one pass, queries compared with a block at once.
+BLOCK, GROUP_BYTES, QUERIES_AT_ONCE = 4096, 16_000_000, 256
+CELLS = 256
+#: Sums of doubles are exact below ``EXACT``; beyond, bounds are widened by this share of the greatest possible sum.
+EXACT, SLACK = 2.0 ** 52, 2.0 ** -44
+LONG = 2 ** 63
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): one vector of whole numbers per id."""
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < LIMIT)
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", fine))
-    return rows.groupBy("id").agg(F.min("v").alias("v")).select("id", F.transform("v", lambda x: F.floor(1024 * x).cast("int")).alias("v"))
+    """(id, v): vectors of whole numbers, as doubles."""
+    infinite = F.lit(float("inf"))
+    scaled = F.transform(F.col(vector).cast("array<double>"), lambda x: x * 1024)
+    # beyond 2**53 a double is whole, and floor would make it a long
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x))
+    rows = df.select(F.col(key).cast("bigint").alias("id"), scaled.alias("v"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < infinite)))
+    return rows.select("id", whole.alias("v"))
+
+
+def candidates(df: DataFrame, k: int) -> DataFrame:
+    """(vec, v, ids, times, only): the different vectors of (id, v), with the k + 1 smallest ids, how often each of them has it (k at most),
+    and the id if there is one only."""
+    counted = df.groupBy("v", "id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("n"))
+    order = Window.partitionBy("v").orderBy("id")
+    first = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    rows = first.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
+    return rows.select(F.monotonically_increasing_id().alias("vec"), "v", F.col("m.id").alias("ids"), F.col("m.n").alias("times"),
+                       F.when(F.size("m") == 1, F.col("m")[0]["id"]).alias("only"))
+
+
+def matrices(batch: pa.RecordBatch, vector: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length in a batch."""
+    column = batch.column(vector)
+    lengths = np.diff(column.offsets.to_numpy())
+    for dim in np.unique(lengths).tolist():
+        at = np.flatnonzero(lengths == dim)
+        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
+
+
+def approximated(exact: DataFrame) -> DataFrame:
+    """Blocks of cells of vectors of one length: dim, vecs, alone, only, cells, low and step per component."""
+    schema = "dim int, vecs binary, alone binary, only binary, cells binary, low binary, step binary"
+
+    def row(vecs: np.ndarray, only: np.ndarray, alone: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        low, high = v.min(axis=0), v.max(axis=0)
+        step = np.where(high / 2 - low / 2 < EXACT / 4, np.floor(np.minimum(high - low, EXACT) / CELLS) + 1, high / (CELLS - 1) - low / (CELLS - 1))
+        cells = np.clip(np.floor(v / step - low / step) if (step > EXACT / CELLS).any() else (v - low) // step, 0, CELLS - 1).astype(np.uint8)
+        data = [x.tobytes() for x in (vecs, alone, only, cells, low, step)]
+        return pa.RecordBatch.from_arrays([pa.array([v.shape[1]], pa.int32()), *[pa.array([x], pa.binary()) for x in data]], [c.split()[0] for c in schema.split(", ")])
 
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+        for batch in batches:
+            vecs, only = batch.column(0).to_numpy(), batch.column(1)
+            alone, only = only.is_valid().to_numpy(zero_copy_only=False), only.fill_null(0).to_numpy()
+            for at, v in matrices(batch, 2):
+                rows = held.setdefault(v.shape[1], [])
+                rows.append((vecs[at], only[at], alone[at], v))
+                if sum(len(r[0]) for r in rows) >= BLOCK:
+                    whole = [np.concatenate(c) for c in zip(*rows)]
+                    full = len(whole[0]) // BLOCK * BLOCK
+                    for start in range(0, full, BLOCK):
+                        yield row(*(c[start:start + BLOCK] for c in whole))
+                    held[v.shape[1]] = [tuple(c[full:] for c in whole)]
+        for rows in held.values():
+            whole = [np.concatenate(c) for c in zip(*rows)]
+            if len(whole[0]):
+                yield row(*whole)
+
+    return exact.select("vec", "only", "v").mapInArrow(build, schema)
+
+
+@dataclass
+class Queries:
+    """Queries of one length: their numbers in the group, ids and vectors, and scores that their k-th results reach."""
+
+    number: np.ndarray
+    ids: np.ndarray
+    v: np.ndarray
+    reached: np.ndarray
+
+
+def bounds(q: Queries, part: slice, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of a block, and lower and upper bounds of their scores for some queries; a query's own row has none."""
+    vecs, alone, only = (np.frombuffer(row[n], kind) for n, kind in (("vecs", np.int64), ("alone", np.bool_), ("only", np.int64)))
+    cells = np.frombuffer(row["cells"], np.uint8).reshape(len(vecs), -1).astype(np.float64)
+    low, step = np.frombuffer(row["low"]), np.frombuffer(row["step"])
+    below = low + cells * step
+    above = below + np.where(step < EXACT / CELLS, step - 1, step)
+    v = q.v[part]
+    plus, minus = np.maximum(v, 0), np.minimum(v, 0)
+    with np.errstate(all="ignore"):
+        lower, upper = plus @ below.T + minus @ above.T, plus @ above.T + minus @ below.T
+        size = np.abs(v).max(axis=1, initial=0) * max(np.abs(below).max(initial=0), np.abs(above).max(initial=0)) * max(v.shape[1], 1)
+        wide = np.where(size < EXACT, 0, size * SLACK)[:, None]
+        lower, upper = np.nan_to_num(lower - wide, nan=-np.inf, neginf=-np.inf, posinf=np.inf), np.nan_to_num(upper + wide, nan=np.inf, neginf=-np.inf, posinf=np.inf)
+    lower[~np.isfinite(wide[:, 0])], upper[~np.isfinite(wide[:, 0])] = -np.inf, np.inf
+    own = alone[None, :] & (only[None, :] == q.ids[part][:, None])
+    lower[own] = upper[own] = -np.inf
+    return vecs, lower, upper
+
+
+def parts(size: int) -> Iterator[slice]:
+    return (slice(i, i + QUERIES_AT_ONCE) for i in range(0, size, QUERIES_AT_ONCE))
+
+
+def lower_bounds(cells: DataFrame, group: dict[int, Queries], k: int) -> DataFrame:
+    """(query, lower): each query's k best lower bounds of a task."""
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {dim: np.full((len(q.ids), k), -np.inf) for dim, q in group.items()}
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (q := group.get(row["dim"])) is not None:
+                    for part in parts(len(q.ids)):
+                        both = np.concatenate([best[row["dim"]][part], bounds(q, part, row)[1]], axis=1)
+                        best[row["dim"]][part] = np.partition(both, -k, axis=1)[:, -k:]
+        for dim, lower in best.items():
+            at, place = np.nonzero(lower > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(group[dim].number[at], pa.int32()), pa.array(lower[at, place])], ["query", "lower"])
 
-def blocks(df: DataFrame, size: int) -> DataFrame:
-    """Rows of up to ``size`` vectors of one length: part, dim, ids, cells, low and step per component, exact vectors."""
-    schema = "part int, dim int, ids binary, cells binary, low binary, step binary, exact binary"
-    names = [c.split()[0] for c in schema.split(", ")]
+    return cells.mapInArrow(scan, "query int, lower double")
 
-    def row(part: int, dim: int, ids: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
-        low = exact.min(axis=0).astype(np.int64)
-        step = (exact.max(axis=0) - low) // CELLS + 1
-        cells = ((exact - low) // step).astype(np.uint8)
-        data = [part, dim, *(x.tobytes() for x in (ids, cells, low, step, exact.astype(np.int32)))]
-        return pa.RecordBatch.from_pydict({n: pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for n, x in zip(names, data)})
 
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), {}
+def near(cells: DataFrame, group: dict[int, Queries]) -> DataFrame:
+    """(query, vec, upper) of the pairs whose upper bound reaches what the query's k-th result reaches."""
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), batch.column(1)
-            lengths = np.diff(vectors.offsets.to_numpy())
-            for dim in np.unique(lengths).tolist():
-                at = np.flatnonzero(lengths == dim)
-                exact = vectors.take(pa.array(at)).flatten().to_numpy().reshape(len(at), dim).astype(np.int64)
-                have = held.setdefault(dim, [[], []])
-                have[0].append(ids[at])
-                have[1].append(exact)
-                while sum(map(len, have[0])) >= size:
-                    i, e = np.concatenate(have[0]), np.concatenate(have[1])
-                    yield row(part, dim, i[:size], e[:size])
-                    held[dim] = have = [[i[size:]], [e[size:]]]
-        for dim, (i, e) in held.items():
-            if sum(map(len, i)):
-                yield row(part, dim, np.concatenate(i), np.concatenate(e))
-
-    return df.mapInArrow(build, schema)
-
-
-def best(queries: tuple, vectors: tuple, k: int) -> tuple[list, list, list]:
-    """Query ids, vector ids and scores of each query's k best vectors in a block."""
-    (qids, q), (ids, cells, low, step, exact) = queries, vectors
-    below = (low + cells.astype(np.int64) * step).astype(np.float64)
-    above = below + (step - 1)
-    plus, minus = np.maximum(q, 0).astype(np.float64), np.minimum(q, 0).astype(np.float64)
-    upper, lower = plus @ above.T + minus @ below.T, plus @ below.T + minus @ above.T
-    size = float(np.abs(q).max(initial=0)) * float(max(np.abs(below).max(), np.abs(above).max())) * q.shape[1]
-    if size >= 2.0 ** 52:  # beyond that, sums of doubles may be off
-        upper, lower = upper + size * 2.0 ** -44, lower - size * 2.0 ** -44
-    own = qids[:, None] == ids[None, :]
-    upper[own] = lower[own] = -np.inf
-    wanted = min(k, len(ids))
-    certain = np.partition(lower, len(ids) - wanted, axis=1)[:, len(ids) - wanted]
-    out: tuple[list, list, list] = ([], [], [])
-    for i in range(len(qids)):
-        near = np.flatnonzero((upper[i] >= certain[i]) & (upper[i] > -np.inf))
-        near = near[np.argsort(-upper[i][near], kind="stable")]
-        scores, found = np.empty(0, np.int64), np.empty(0, np.int64)
-        for start in range(0, len(near), 64):
-            if len(scores) >= wanted and scores[wanted - 1] > upper[i][near[start]]:
-                break
-            read = near[start:start + 64]
-            scores, found = np.append(scores, exact[read].astype(np.int64) @ q[i]), np.append(found, ids[read])
-            order = np.lexsort((found, -scores))[:wanted]
-            scores, found = scores[order], found[order]
-        out[0].extend([int(qids[i])] * len(found))
-        out[1].extend(found.tolist())
-        out[2].extend(scores.tolist())
-    return out
+            for row in batch.to_pylist():
+                if (q := group.get(row["dim"])) is not None:
+                    for part in parts(len(q.ids)):
+                        vecs, _, upper = bounds(q, part, row)
+                        at, place = np.nonzero((upper >= q.reached[part][:, None]) & (upper > -np.inf))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(q.number[part][at], pa.int32()), pa.array(vecs[place]), pa.array(upper[at, place])], ["query", "vec", "upper"])
 
+    return cells.mapInArrow(scan, "query int, vec bigint, upper double")
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Rows (query_id, rank, vec_id, score): the ``k`` best other vectors of each query.
 
-    Every block of vectors meets every block of queries once: their numbers are joined, not the rows.
-    """
-    asked = usable(queries, key, vector)
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    left = saved(blocks(usable(vectors, key, vector), BLOCK), "top-k-vectors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = saved(blocks(asked.repartition(parts), QUERY_BLOCK), "top-k-queries").select(
-        "part", "dim", F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact"))
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Row by row, exact inner products as longs."""
+    size = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(q.shape[1], 1)
+    if size < EXACT:
+        return np.einsum("ij,ij->i", q, v).astype(np.int64)
+    exact = (sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q.tolist(), v.tolist()))
+    return np.array([min(max(s, -LONG), LONG - 1) for s in exact], np.int64)
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def scored(pairs: DataFrame, exact: DataFrame, group: dict[int, Queries]) -> DataFrame:
+    """(query, query_id, vec, score, ids, times): pairs (query, vec) with the exact vectors read."""
+    place = {int(n): (dim, i) for dim, q in group.items() for i, n in enumerate(q.number)}
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                dim = r["dim"]
-                q = np.frombuffer(r["q_exact"], np.int32).reshape(-1, dim).astype(np.int64)
-                side = (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["cells"], np.uint8).reshape(-1, dim),
-                        np.frombuffer(r["low"], np.int64), np.frombuffer(r["step"], np.int64), np.frombuffer(r["exact"], np.int32).reshape(-1, dim))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, pa.int64()) for x in best((np.frombuffer(r["q_ids"], np.int64), q), side, k)], ["query_id", "vec_id", "score"])
-
-    pairs = left.join(right, ["part", "dim"])
-    found = pairs.mapInArrow(compare, "query_id bigint, vec_id bigint, score bigint")
+            number, score = batch.column(0).to_numpy(), np.empty(batch.num_rows, np.int64)
+            ids = np.empty(batch.num_rows, np.int64)
+            for at, v in matrices(batch, 2):
+                q = group[v.shape[1]]
+                rows = [place[n][1] for n in number[at].tolist()]
+                score[at], ids[at] = products(q.v[rows], v), q.ids[rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids), batch.column(1), pa.array(score), batch.column(3), batch.column(4)], ["query", "query_id", "vec", "score", "ids", "times"])
+
+    joined = pairs.join(exact, "vec").select("query", "vec", "v", "ids", "times")
+    return joined.mapInArrow(read, "query int, query_id bigint, vec bigint, score bigint, ids array<bigint>, times array<bigint>")
+
+
+def kth(rows: DataFrame, value: str, k: int) -> DataFrame:
+    """(query, ``value``): the k-th greatest, for queries that have k."""
+    order = Window.partitionBy("query").orderBy(F.desc(value))
+    ranked = rows.select("query", value).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.where(F.col("rank") == k).drop("rank")
+
+
+def one_group(rows: list, exact: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): at least the k best of each query of a group, rows (id, v)."""
+    group = {}
+    for dim in sorted({len(r["v"]) for r in rows}):
+        chosen = [(i, r) for i, r in enumerate(rows) if len(r["v"]) == dim]
+        group[dim] = Queries(np.array([i for i, _ in chosen]), np.array([r["id"] for _, r in chosen], np.int64),
+                             np.array([r["v"] for _, r in chosen], np.float64).reshape(len(chosen), dim), np.full(len(chosen), -np.inf))
+    reached = {r["query"]: r["lower"] for r in kth(lower_bounds(cells, group, k), "lower", k).collect()}  # a row per query of the group
+    for q in group.values():
+        q.reached = np.array([reached.get(int(n), -np.inf) for n in q.number])
+    order = Window.partitionBy("query").orderBy(F.desc("upper"), "vec")
+    pairs = saved(near(cells, group).withColumn("place", F.row_number().over(order)), "top-k-pairs")
+    first = saved(scored(pairs.where(F.col("place") <= k).select("query", "vec"), exact, group), "top-k-first")
+    # the second join is on a row per query; a score as a double may be above it by half a unit in the last place, as bounds beyond EXACT are wide
+    known = kth(first, "score", k).select(F.col("query").alias("k_query"), F.col("score").cast("double").alias("k_score"))
+    rest = pairs.where(F.col("place") > k).join(known, F.col("query") == F.col("k_query")).where("upper >= k_score").select("query", "vec")
+    found = first.unionByName(scored(rest, exact, group))
+    each = found.select("query_id", "score", F.explode(F.arrays_zip("ids", "times")).alias("m")).where(F.col("m.ids") != F.col("query_id"))
+    return each.select("query_id", F.col("m.ids").alias("vec_id"), "score", F.explode(F.array_repeat(F.lit(0), F.col("m.times").cast("int")))).drop("col")
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Rows (query_id, rank, vec_id, score): the ``k`` best other vectors of each query."""
+    exact = saved(candidates(usable(vectors, key, vector), k), "top-k-vectors")
+    cells = saved(approximated(exact), "top-k-cells")
+    asked = usable(queries, key, vector)
+    size = asked.agg(F.sum(F.size("v") + 1)).first()[0] or 0
+    groups = max(1, -(-size * 8 // GROUP_BYTES))
+    asked = saved(asked.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(groups)).cast("int")), "top-k-queries")
+    found = None
+    for n in range(groups):
+        rows = asked.where(F.col("part") == n).select("id", "v").collect()  # GROUP_BYTES in the mean
+        one = one_group(rows, exact, cells, k)
+        found = one if found is None else found.unionByName(one)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

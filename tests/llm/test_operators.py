@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -145,17 +146,65 @@ def test_random_access(tmp_path):
         assert (file.ids(a, b) == ids[a:b]).all()
 
 
-def test_top_k(spark):
+def brute_top_k(rows, wanted, k):
+    """Pairs of every query row with every row of another id; whole numbers of Python."""
+    whole = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    found = {}
+    for q, a in whole:
+        if wanted(q):
+            pairs = found.setdefault(q, [])
+            pairs += [(-min(max(sum(x * y for x, y in zip(a, b)), -2 ** 63), 2 ** 63 - 1), i) for i, b in whole if i != q and len(a) == len(b)]
+    return sorted((q, rank, i, -s) for q, pairs in found.items() for rank, (s, i) in enumerate(sorted(pairs)[:k], 1))
+
+
+VECTORS = "vec_id bigint, embedding array<float>, score int, v string"
+
+
+@pytest.mark.parametrize("block, group", [(4096, 16_000_000), (16, 200)])
+def test_top_k(spark, block, group, monkeypatch):
+    monkeypatch.setattr(top_k, "BLOCK", block)
+    monkeypatch.setattr(top_k, "GROUP_BYTES", group)
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)], 0) for i in range(150)]
-    rows += [(200, None, 0), (201, [1.0, None, 1.0, 1.0], 0), (202, [float("nan")] * 4, 0), (300, [1.0], 0), (7, rows[7][1], 0)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score int").repartition(3)
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k.search(df, df.where("vec_id % 50 = 0"), 10).collect()}
-    ints = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v, _ in rows[:150]}
-    for q in (0, 50, 100):
-        best = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:10]
-        assert [got[q, r + 1] for r in range(10)] == [(i, -s) for s, i in best]
-    assert not any(q in (200, 300) for q, _ in got)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(150)]  # many ties
+    rows += [(1000 + i, rows[50][1]) for i in range(60)]  # many rows with one vector
+    rows += [(200, None), (201, [1.0, None, 1.0, 1.0]), (202, [float("nan")] * 4), (203, [1.0, float("inf"), 0.0, 0.0]), (None, [1.0] * 4)]
+    rows += [(300, [1.0]), (7, rows[7][1]), (7, [9.0] * 4), (7, [9.0] * 4), (50, [0.5, 0.25, -1.0, 2.0]), (400, []), (401, []), (350, [])]
+    rows += [(100 + 50 * i, [float(x) for x in rng.normal(size=7)]) for i in range(9)] + [(500 + i, [float(x) for x in rng.normal(size=7)]) for i in range(40)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], VECTORS).repartition(3)
+    got = [tuple(r) for r in top_k.search(df, df.where("vec_id % 50 = 0"), 10).collect()]
+    as_float = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
+    assert sorted(got) == brute_top_k(as_float, lambda q: q % 50 == 0, 10)
+
+
+def test_top_k_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 10.0 ** rng.integers(0, 12)]) for i in range(80)]
+    rows += [(100, [70000.0, 1.0, 1.0]), (101, [3e38, -3e38, 1.0]), (102, [-3e38, 3e38, 2.0]), (103, [1e300, 1.0, 0.0]), (104, [1e306, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in top_k.search(df, df.where("vec_id % 4 = 0"), 10).collect())
+    assert got == brute_top_k([r for r in rows if r[0] != 104], lambda q: q % 4 == 0, 10)
+
+
+def test_top_k_reads_few_exact_vectors(spark):
+    """The cells leave a small share of all pairs to be read."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in v / np.linalg.norm(v)]) for i, v in enumerate(rng.normal(size=(3000, 16)))], "vec_id bigint, embedding array<float>")
+    exact = top_k.saved(top_k.candidates(top_k.usable(df, "vec_id", "embedding"), 10), "exact")
+    cells = top_k.saved(top_k.approximated(exact), "cells")
+    rows = top_k.usable(df.where("vec_id < 20"), "vec_id", "embedding").collect()
+    group = {16: top_k.Queries(np.arange(20), np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows]), np.full(20, -np.inf))}
+    reached = {r["query"]: r["lower"] for r in top_k.kth(top_k.lower_bounds(cells, group, 10), "lower", 10).collect()}
+    group[16].reached = np.array([reached[i] for i in range(20)])
+    pairs = top_k.near(cells, group).count()
+    assert 200 <= pairs < 20 * 3000 / 50
+
+
+def test_top_k_empty(spark):
+    empty = spark.createDataFrame([], VECTORS)
+    some = spark.createDataFrame([(1, [1.0], 1, "x"), (2, [2.0], 1, "x")], VECTORS)
+    assert top_k.search(empty, empty, 10).count() == top_k.search(some, empty, 10).count() == 0
+    assert top_k.search(some, some, 10).count() == 2
 
 
 def test_html_text(spark):
