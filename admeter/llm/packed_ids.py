@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, new_folder, saved, small_batches
 
 BLOCK = 4096
+#: Ids after which a task goes on to a new file.
+FILE_IDS = 1 << 26
 MAGIC = b"BITIDS01"
 TAIL = struct.Struct("<QQQIIIQ8s")  # ids, documents, blocks, width, block, spare, footer bytes, magic
 #: Words, and pre-tokens, that a Python worker remembers the ids of; beyond it, it starts afresh.
@@ -65,6 +67,7 @@ def unpack(data: bytes, count: int, width: int) -> np.ndarray:
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    path = re.sub(r"^s3[an]://", "s3://", path)  # Hadoop's names of the scheme
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -171,7 +174,7 @@ NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 SPACE = "\t-\r \u0085\u00a0"
 SIMPLE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
 #: Texts with another character, or with the one whose lower case is two characters, go to the library whole.
-OTHER = re.compile("[^\x00-\u017f]|\u0130")
+OTHER = "[^\x00-\u017f]|\u0130"
 
 
 def byte_letters() -> dict[int, str]:
@@ -186,7 +189,9 @@ class Encoder(dict):
 
     The ids of words, cut at ASCII white space, and of their pre-tokens are
     remembered: the library's model encodes each distinct pre-token once, and
-    words that the pre-splitting here does not cover go to the library whole.
+    words that the pre-splitting here does not cover, or that hold one of the
+    file's added tokens, go to the library whole.  The results are those of the
+    library as it loads the file, added tokens included.
     Results are packed little-endian unsigned 32-bit integers.
     """
 
@@ -195,9 +200,12 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.pieces: dict[str, bytes] = {}
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        # an added token in a word is found by the library; one that reaches over white space needs the whole text
+        self.wide = any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] for t in added)
+        self.other = re.compile("|".join([OTHER, *(re.escape(t.content) for t in added)]))
         self.simple = self._covered()
 
     def _covered(self) -> bool:
@@ -219,13 +227,15 @@ class Encoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        value = self[word] = self._whole(text) if not self.simple or OTHER.search(text) else self._pieces(text)
+        value = self[word] = self._whole(text) if not self.simple or self.other.search(text) else self._pieces(text)
         return value
 
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a text given as UTF-8; no token reaches over white space, so words are encoded each."""
         if not text:
             return b""
+        if self.wide:
+            return self._whole(text.decode())
         if len(self) > REMEMBERED:
             self.clear()
         if len(self.pieces) > REMEMBERED:
@@ -244,7 +254,7 @@ def encoder(file: str) -> Encoder:
 
 def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int | None = None,
           key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the ids of all texts below ``path`` and return one row per file, in order of the documents.
+    """Write the ids of all texts below ``path`` and return one row per file of some ``FILE_IDS`` ids at most, in order of the documents.
 
     Rows: ``path``, ``n_docs``, ``n_ids``, ``base`` (ids in all files before).  The texts are dealt out by
     ranges of (key, hash of the text), so a key that many rows share is no bottleneck.
@@ -253,28 +263,36 @@ def write(df: DataFrame, tokenizer_file: str, path: str, end_id: int | None = No
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
     ordered = rows.repartitionByRange(F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(
         F.col("k").asc_nulls_first(), F.xxhash64("t"), "t")
-    schema = "shard bigint, path string, n_docs bigint, n_ids bigint"
+    schema = "shard bigint, part bigint, path string, n_docs bigint, n_ids bigint"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, writer = encoder(tokenizer_file), None
+        enc, writer, part = encoder(tokenizer_file), None, 0
         width = width_for(max(enc.tokenizer.get_vocab_size(), (end_id or 0) + 1))
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         shard = task.partitionId()
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            data = [shard, part, name(), len(writer.documents), writer.ids]
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in data], ["shard", "part", "path", "n_docs", "n_ids"])
+
+        def name() -> str:
+            return f"{path}/part-{shard:06d}-{part:04d}.ids"
+
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 if writer is None:
-                    writer = Writer(f"{path}/part-{shard:06d}.ids", width, str(task.taskAttemptId()))
+                    writer = Writer(name(), width, str(task.taskAttemptId()))
                 writer.add(k, np.frombuffer(enc.encode(t) + end, "<u4"))
+                if writer.ids >= FILE_IDS:
+                    yield closed()
+                    writer, part = None, part + 1
         if writer is not None:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({
-                "shard": [shard], "path": [f"{path}/part-{shard:06d}.ids"],
-                "n_docs": [len(writer.documents)], "n_ids": [writer.ids],
-            })
+            yield closed()
 
     files = saved(ordered.mapInArrow(encode, schema), "packed-ids-files")
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

@@ -120,8 +120,7 @@ def test_packed_ids(docs, texts, nothing):
     from tokenizers import Tokenizer
 
     file = public_tokenizers.path("word_bpe_49k.json")
-    plain = Tokenizer.from_file(file)
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(file)  # as it loads
     start = 0
     got = {r.doc_id: r for r in packed_ids.round_trip(docs, file, 1).collect()}
     for i, t in texts:
@@ -135,6 +134,33 @@ def test_packed_ids(docs, texts, nothing):
         assert (packed_ids.unpack(packed_ids.pack(ids, width), 999, width) == ids).all()
 
 
+def test_packed_ids_added_tokens_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packed_ids, "FILE_IDS", 50)  # many files
+    file = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(file)
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", "<|endoftext|>" * 3, "é<|endoftext|>é\n<|start oftext|>", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (2, "same id"), (2, "same id"), (3, "x " * 500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in packed_ids.round_trip(df, file, 1).collect())
+    start, wanted = 0, Counter()
+    for i, t in rows:
+        ids = [*plain.encode(t or "", add_special_tokens=False).ids, 1]
+        wanted[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter(r[1:] for r in got) == wanted
+    for at, i, n, _ in got:  # ascending ids, one after the other
+        assert at == start
+        start += n
+    assert [r[1] for r in got] == [None, 0, 1, 2, 2, 2, 3, 3, 4, 5, 6]
+    rng = random.Random(2)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "\n", "a", "É", "'s", "12", "ß", "Ω", "!?"]
+    enc = packed_ids.encoder(file)
+    for _ in range(2000):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 12)))
+        assert np.frombuffer(enc.encode(text.encode()), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_random_access(tmp_path):
     ids = np.arange(20_000, dtype=np.uint32) % 500
     writer = packed_ids.Writer(f"{tmp_path}/a.ids", 9, "0")
@@ -297,6 +323,25 @@ def test_license_scan(spark):
     assert got[4][6] == "mit" and got[4][5] == ""
 
 
+def test_license_notices_that_differ_in_a_word(spark):
+    start = "licensed under the "
+    cases = {
+        start + "GNU General Public License version 3": "gpl", start + "GNU Lesser General Public License": "lgpl", start + "GNU Affero General Public License": "agpl",
+        start + "GNU Whatever General Public License": "", start + "terms of the MIT license": "mit", start + "terms of the BSD license": "bsd",
+        start + "terms of the contract": "", "not " + start + "terms of the contract": "", start + "terms of this license": "",
+        start + "Apache License, Version 2.0": "apache", start + "Artistic License, Version 2.0": "", "This source code form is subject to the terms of the Mozilla Public License, v. 2.0": "mpl",
+        "This source code form is subject to the terms of the Other Public License": "", "licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "licensed under a Creative Tools Attribution 4.0 International License": "",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of the font software": "",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd" if 14 / 21 >= license_scan.SHARE else "",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "This is free and open software released into the public domain.": "",
+        "GNU General Public License. " + start + "GNU Lesser General Public License": "gpl,lgpl"}
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "doc_id bigint, text string, labels string")
+    got = {r.doc_id: r.labels for r in license_scan.scan(df).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
 def test_quality_rules(docs, texts, nothing):
     for row in quality_rules.report(docs).collect():
         w = split(texts[row.doc_id][1])
