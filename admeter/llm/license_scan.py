@@ -7,8 +7,9 @@
    template and diagonal.
 3. Diagonals that lie at most ``NEAR`` words apart are merged, so that a few inserted or missing words don't
    split a passage.
-4. A merged span is verified by the share of the template's pairs that it holds (``SHARE``); a base
-   phrase stands where all its pairs vote for one diagonal.
+4. A merged span is verified by the share of the template's pairs that it holds (``SHARE``), and by the words that tell the
+   notice from others like it, whose pairs must all be there; a base phrase stands where all its pairs vote for
+   one diagonal.
 
 Fixed meaning of edge cases: a null text is empty and has no words; each input row gives one row, repeated ids
 and rows included (votes are kept by id and hash of the text); an empty table gives an empty result.
@@ -26,18 +27,19 @@ BASE = (
     ("cc by", "cc-by"),
     ("mit license", "mit"),
 )
-#: Notices that the method looks for beside the base phrases, and their labels.
+#: Notices that the method looks for beside the base phrases, their labels, and the words that tell them from like notices.
 NOTICES = (
-    ("licensed under the apache license version 2 0", "apache"),
-    ("licensed under the gnu general public license version 3", "gpl"),
-    ("licensed under the gnu lesser general public license", "lgpl"),
-    ("licensed under the gnu affero general public license", "agpl"),
-    ("licensed under the terms of the mit license", "mit"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the apache license version 2 0", "apache", "apache license"),
+    ("licensed under the gnu general public license version 3", "gpl", "gnu general public license"),
+    ("licensed under the gnu lesser general public license", "lgpl", "gnu lesser general public"),
+    ("licensed under the gnu affero general public license", "agpl", "gnu affero general public"),
+    ("licensed under the terms of the mit license", "mit", "mit license"),
+    ("licensed under the terms of the bsd license", "bsd", "bsd license"),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by", "creative commons attribution"),
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "associated documentation files"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", "source and binary forms"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla public license"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "unencumbered software"),
 )
 #: Words between two diagonals of one passage, at most; the share of a notice's pairs that a span must hold.
 NEAR, SHARE = 3, 0.6
@@ -59,39 +61,49 @@ def pairs_of(words: Column) -> Column:
         i.alias("place"), F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)).alias("pair")))
 
 
+def phrases() -> list[tuple[str, str, bool, int, int]]:
+    """(phrase, label, is_base, first and last place of the pairs that must be held) of all templates."""
+    out = [(phrase, label, True, 0, len(phrase.split()) - 2) for phrase, label in BASE]
+    for phrase, label, telling in NOTICES:
+        before = phrase[:phrase.index(telling)].split()
+        out.append((phrase, label, False, len(before), len(before) + len(telling.split()) - 2))
+    return out
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """Rows (template, label, is_base, pairs, at, t_hash, t_pair): the places of each pair in each template."""
+    """Rows (template, label, is_base, pairs, tells, told, at, t_hash, t_pair): the places of each pair in each template."""
     rows = F.array(*[
-        F.struct(F.lit(n).alias("template"), F.lit(label).alias("label"), F.lit(base).alias("is_base"),
-                 F.lit(len(phrase.split()) - 1).alias("pairs"), F.lit(phrase).alias("phrase"))
-        for n, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in NOTICES])])
+        F.struct(F.lit(n).alias("template"), F.lit(label).alias("label"), F.lit(base).alias("is_base"), F.lit(len(phrase.split()) - 1).alias("pairs"),
+                 F.lit(first).alias("tells"), F.lit(last).alias("told"), F.lit(phrase).alias("phrase"))
+        for n, (phrase, label, base, first, last) in enumerate(phrases())])
     each = spark.range(1).select(F.explode(rows).alias("t")).select("t.*")
-    placed = each.select("template", "label", "is_base", "pairs", F.explode(pairs_of(F.split("phrase", " "))).alias("p"))
-    return placed.select("template", "label", "is_base", "pairs", F.col("p.place").alias("at"),
-                         F.xxhash64("p.pair").alias("t_hash"), F.col("p.pair").alias("t_pair"))
+    columns = ["template", "label", "is_base", "pairs", "tells", "told"]
+    placed = each.select(*columns, F.explode(pairs_of(F.split("phrase", " "))).alias("p"))
+    return placed.select(*columns, F.col("p.place").alias("at"), F.xxhash64("p.pair").alias("t_hash"), F.col("p.pair").alias("t_pair"))
 
 
 def votes(docs: DataFrame) -> DataFrame:
-    """Rows (k, h, template, label, is_base, pairs, diagonal, at, place) of all pairs that a template has too."""
+    """Rows (k, h, template, label, is_base, pairs, tells, told, diagonal, at, place) of all pairs that a template has too."""
     rows = docs.select("k", "h", F.explode(pairs_of(F.col("words"))).alias("p"))
     hashed = rows.select("k", "h", "p.place", "p.pair", F.xxhash64("p.pair").alias("hash"))
     table = F.broadcast(templates(docs.sparkSession))  # fixed constants
     found = hashed.join(table, (F.col("hash") == F.col("t_hash")) & (F.col("pair") == F.col("t_pair")))
-    return found.select("k", "h", "template", "label", "is_base", "pairs", (F.col("place") - F.col("at")).alias("diagonal"), "at", "place")
+    return found.select("k", "h", "template", "label", "is_base", "pairs", "tells", "told", (F.col("place") - F.col("at")).alias("diagonal"), "at", "place")
 
 
 def spans(found: DataFrame) -> DataFrame:
     """Merged and verified spans: (k, h, label, is_base, first, last, share)."""
-    keys = ["k", "h", "template", "label", "is_base", "pairs"]
+    keys = ["k", "h", "template", "label", "is_base", "pairs", "tells", "told"]
     diagonals = found.groupBy(*keys, "diagonal").agg(
         F.collect_set("at").alias("ats"), F.min("place").alias("first"), (F.max("place") + 1).alias("last"))
     order = Window.partitionBy("k", "h", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     passage = F.sum(F.when((gap <= NEAR) & ~F.col("is_base"), 0).otherwise(1)).over(order)
     merged = diagonals.withColumn("passage", passage).groupBy(*keys, "passage").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("held"), F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.col("held") / F.col("pairs")
-    return merged.where(share >= F.when(F.col("is_base"), 1.0).otherwise(SHARE)).select(
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("held"), F.min("first").alias("first"), F.max("last").alias("last"))
+    share = F.size("held") / F.col("pairs")
+    told = F.size(F.filter("held", lambda at: at.between(F.col("tells"), F.col("told")))) == F.col("told") - F.col("tells") + 1
+    return merged.where((share >= F.when(F.col("is_base"), 1.0).otherwise(SHARE)) & told).select(
         "k", "h", "label", "is_base", "first", "last", share.alias("share"))
 
 

@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from .license_scan import BASE, NEAR, NOTICES, SHARE
+from .license_scan import NEAR, SHARE, phrases
 from .mixing import BLOCK_CHARS, ROUND
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,23 +54,24 @@ FROM f LEFT JOIN c ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DIS
 """
 
 PHRASES = ", ".join(
-    f"({n}, '{phrase}', '{label}', {str(base).lower()})"
-    for n, (phrase, label, base) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in NOTICES]))
+    f"({n}, '{phrase}', '{label}', {str(base).lower()}, {first}, {last})" for n, (phrase, label, base, first, last) in enumerate(phrases()))
 
 LICENSE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-t AS (SELECT *, string_split(phrase, ' ') AS pw FROM (VALUES {PHRASES}) v(template, phrase, label, is_base)),
-tp AS (SELECT template, label, is_base, len(pw) - 1 AS pairs, spot, pw[spot + 1] || ' ' || pw[spot + 2] AS pair
+t AS (SELECT *, string_split(phrase, ' ') AS pw FROM (VALUES {PHRASES}) v(template, phrase, label, is_base, tells, told)),
+tp AS (SELECT template, label, is_base, tells, told, len(pw) - 1 AS pairs, spot, pw[spot + 1] || ' ' || pw[spot + 2] AS pair
        FROM (SELECT *, unnest(range(0, len(pw) - 1)) AS spot FROM t)),
 dp AS (SELECT doc_id, place, w[place + 1] || ' ' || w[place + 2] AS pair FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS place FROM d)),
-v AS (SELECT doc_id, template, label, is_base, pairs, place - spot AS diagonal, spot, place FROM dp JOIN tp USING (pair)),
-g AS (SELECT doc_id, template, label, is_base, pairs, diagonal, list(DISTINCT spot) AS ats, min(place) AS first, max(place) + 1 AS last FROM v GROUP BY doc_id, template, label, is_base, pairs, diagonal),
+v AS (SELECT doc_id, template, label, is_base, tells, told, pairs, place - spot AS diagonal, spot, place FROM dp JOIN tp USING (pair)),
+g AS (SELECT doc_id, template, label, is_base, tells, told, pairs, diagonal, list(DISTINCT spot) AS ats, min(place) AS first, max(place) + 1 AS last FROM v GROUP BY doc_id, template, label, is_base, tells, told, pairs, diagonal),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS passage FROM (
       SELECT *, CASE WHEN NOT is_base AND diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {NEAR} THEN 0 ELSE 1 END AS fresh FROM g)),
-m AS (SELECT doc_id, template, label, is_base, pairs, passage, len(list_distinct(flatten(list(ats)))) / pairs AS share, min(first) AS first FROM s GROUP BY doc_id, template, label, is_base, pairs, passage),
-k AS (SELECT * FROM m WHERE share >= CASE WHEN is_base THEN 1.0 ELSE {SHARE} END),
+m AS (SELECT *, len(held) / pairs AS share, len(list_filter(held, lambda x: x BETWEEN tells AND told)) = told - tells + 1 AS is_told FROM (
+      SELECT doc_id, template, label, is_base, tells, told, pairs, passage, list_distinct(flatten(list(ats))) AS held, min(first) AS first FROM s
+      GROUP BY doc_id, template, label, is_base, tells, told, pairs, passage)),
+k AS (SELECT * FROM m WHERE share >= CASE WHEN is_base THEN 1.0 ELSE {SHARE} END AND is_told),
 r AS (
   SELECT doc_id, count(*) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(first) FILTER (is_base) AS last_word,
          array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ',') AS base_labels,
