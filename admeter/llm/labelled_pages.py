@@ -1,56 +1,196 @@
-"""A small labelled table for the block classifier: pages, and the texts of the blocks that are main text.
+"""A small labelled table for the block classifier: invented pages whose main text is marked where it stands.
 
-All pages are invented.  They vary what the features see: layouts with and without the elements of HTML5, short and
-long paragraphs and side texts, links inside articles, comments as long as the article.
+Each page is put together from parts that vary what the features see: layouts with elements of HTML5, with names, with neither,
+with tables, a form around all, or no container; short and long paragraphs and side texts, links inside articles, comments as
+long as the article, misleading names.  A block is main text if it holds ``MARK``, which is taken out before features are
+computed, so equal texts in different places have labels of their own.
 """
 
 from __future__ import annotations
 
-LONG = ("The river had been rising since the early morning, and by noon the lower fields lay under water. Farmers moved their herds to the "
-        "hills while the council opened the school as a shelter for those whose houses stood near the bank.")
-MIDDLE = "Nobody in the village could remember a spring as wet as this one, and the old records agree."
-SHORT = "It went on raining."
-TINY = "Onward."
-SIDE = "Our partners offer fine boots and coats for every season, at prices that you will not find in any other shop this week, so hurry and order today."
-OPINION = "I grew up by that river and we saw this twice in the sixties. My father kept a boat in the barn for it, and the whole street knew what to do when the bell rang."
-
-PAGES: list[tuple[str, list[str]]] = [
-    (f"""<html><head><title>Flood</title><style>p{{}}</style></head><body><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World</a></li>
-      <li><a href="/c">Sport and weather</a></li></ul></nav><div class="ad">{SIDE}</div><article><h1>Flood in the valley</h1><p>{LONG}</p><p>{SHORT}</p><p>{TINY}</p>
-      <p><b>{MIDDLE}<br><p>{LONG} Again.</p></article><footer>&copy; The Valley Post, printed in the old mill by the bridge, all rights kept.</footer></body></html>""",
-     ["Flood in the valley", LONG, SHORT, TINY, MIDDLE, LONG + " Again."]),
-    (f"""<body><header><a href="/">Daily Field</a><p>News from the country since the year of the great frost</p></header><main><article><header><h1>Market day</h1>
-      <p class="byline">By Ann Field, third of May</p></header><p>{MIDDLE}</p><h2>Prices</h2><ul><li>Wheat rose.</li><li>Barley fell by a little, as it does in most years at this time.</li></ul>
-      <p>{TINY}</p><aside><p>{SIDE}</p></aside><p>{LONG}</p><form><label>Your mail address</label><p>Get the news of the market each day in your mail box.</p></form></article></main>
-      <aside><h3>Most read</h3><ul><li><a href="/1">How to mend a plough in an hour</a></li><li><a href="/2">Ten old apples</a></li></ul></aside>
-      <section class="comments"><h3>Comments</h3><div class="comment"><p>{OPINION}</p></div><p>Agreed.</p></section><footer><p>About us</p></footer></body>""",
-     ["Market day", MIDDLE, "Prices", "Wheat rose.", "Barley fell by a little, as it does in most years at this time.", TINY, LONG]),
-    (f"""<div id="cookie-notice"><p>We use cookies to make this site work and to count our visitors. Read how in our rules.</p><button>Fine</button></div>
-      <div id="top-menu"><a href="/x">Start</a> | <a href="/y">Archive</a> | <a href="/z">Contact the editors</a></div>
-      <div id="content"><h1>A walk to the mill</h1><p>{SHORT}</p><p>{LONG}</p><blockquote>{MIDDLE}</blockquote><p>See <a href="/m">the map of the mill path and its bridges</a>.</p><table><tr><td>Length</td><td>Five miles</td></tr></table></div>
-      <div id="sidebar"><p>{SIDE}</p><p>Ask us.</p></div><div class="social-share">Share this with your friends</div><div id="footer">Made by hand in the mill house. {SIDE}</div>""",
-     ["A walk to the mill", SHORT, LONG, MIDDLE, "See the map of the mill path and its bridges.", "Length", "Five miles"]),
-    (f"""<html><body><h1>Notes on bees</h1><p>{LONG}</p><p>{MIDDLE}</p><p>{LONG}</p><p>{SHORT}</p><hr><p><a href="/">Back to the list of notes</a></p></body></html>""",
-     ["Notes on bees", LONG, MIDDLE, SHORT]),
-    (f"""<body><div class="menu"><ul><li><a href="/q">Questions</a></li><li><a href="/t">Tags</a></li></ul></div><div class="post"><h2>Can a hive be moved in winter?</h2><p>{OPINION}</p><pre>lift, wait, carry</pre>
-      <p>{TINY}</p></div><div class="comments-area"><p>{LONG}</p><p>{SHORT}</p></div><div class="related-posts"><h4>You may like</h4><p>{MIDDLE}</p></div><div class="newsletter">{MIDDLE}</div></body>""",
-     ["Can a hive be moved in winter?", OPINION, "lift, wait, carry", TINY]),
-    (f"""<body><nav>Home News Sport</nav><article><p>{TINY}</p><p>{SHORT}</p><div class="ad"><p>{SIDE}</p></div><div class="ad">Buy</div><p>{MIDDLE}</p><section id="comments"><article class="comment"><p>{OPINION}</p><p>No.</p></article></section>
-      <div class="related"><a href="/r">Another tale of rain</a></div><p>{SHORT} Still.</p></article><aside class="sidebar"><p>{LONG}</p></aside><footer><p>{LONG}</p><p>{TINY}</p></footer></body>""",
-     [TINY, SHORT, MIDDLE, SHORT + " Still."]),
-    (f"""<body><article><h1><a href="/s">Snow at last</a></h1><p>{TINY}</p></article><footer>{MIDDLE}</footer></body>""", ["Snow at last", TINY]),
-    (f"""<body><header><h1>The Northern Star</h1></header><div class="alert">The post office is shut today because of the storm, and letters will come late.</div><main><p>{LONG}</p><ol><li>{SHORT}</li><li>{TINY}</li></ol>
-      <ul><li><a href="/p1">A first paper on snow</a></li><li><a href="/p2">A second one</a></li></ul><p>{MIDDLE}</p></main><div class="signup"><form>{SIDE}</form></div><footer><a href="/i">Imprint</a></footer></body>""",
-     [LONG, SHORT, TINY, "A first paper on snow", "A second one", MIDDLE]),
-    (f"""<body><p><a href="/1">One</a> <a href="/2">Two</a> <a href="/3">Three of the links</a></p><p>{LONG}</p><p>{OPINION}</p><p>{MIDDLE}</p><p><a href="/4">Four</a> <a href="/5">Five</a></p><p>{LONG}</p></body>""",
-     [LONG, OPINION, MIDDLE]),
-    (f"""<body><ul><li><a href="/1">Red</a></li><li><a href="/2">Green things</a></li><li><a href="/3">Blue</a></li></ul><h1>Dyes</h1><p>{MIDDLE}</p><p>{LONG}</p><p>{TINY}</p><p>{OPINION}</p></body>""",
-     ["Dyes", MIDDLE, LONG, TINY, OPINION]),
-    (f"""<body><article><header><h1>Salt and smoke</h1><p>Kitchen, page two, by our own cook and her two sons</p></header><p>{MIDDLE}</p><p>{LONG}</p><footer><p>Filed under food</p></footer></article>
-      <aside><h2>More</h2><p>{SHORT}</p></aside><footer><h4>Contact</h4><p>{SIDE}</p></footer></body>""", ["Salt and smoke", MIDDLE, LONG]),
-    (f"""<body><header><h2>Hill Times</h2></header><main><article><header><h2>The last ferry of the year leaves with the tide</h2><time>Sunday</time></header><p>{TINY}</p><p>{OPINION}</p></article>
-      <section class="comments"><h2>Three replies to this</h2><p>{MIDDLE}</p></section></main><nav><h3>Sections of the paper</h3></nav></body>""",
-     ["The last ferry of the year leaves with the tide", TINY, OPINION]),
-    (f"""<body><div class="sidebar"><h3>Weather</h3><p>{TINY}</p><p>{MIDDLE}</p></div><div class="story-body"><h1>Wool</h1><p>{SHORT}</p><p>{LONG}</p></div><div class="footer-links"><h5>Help</h5><p>{SHORT}</p></div></body>""",
-     ["Wool", SHORT, LONG]),
-]
+import random
+from collections.abc import Callable
+
+#: Stands in the blocks that are main text.
+MARK = "⁠"
+#: Pages of the table, and the seed from which they are put together.
+PAGES, SEED = 300, 5
+
+WORDS = (
+    "the river rose by noon and farmers moved their herds to hills while council opened a school as shelter for those whose houses stood near bank "
+    "nobody in village could remember spring wet old records agree that it went on raining all night market price wheat barley fell little most years at "
+    "this time bees winter hive moved slowly with care two sons cook salt smoke ferry leaves tide snow white ponds early frost mill path bridge five miles "
+    "long walk letters came late because storm had closed road north wool dyes red green blue things that grow under stones of an island people say").split()
+NAMES = "Ann Bob Carla Deniz Emil Fay Goran Hana Ivo June".split()
+#: What sites say about themselves, said in a text.
+QUOTED = ("All rights reserved.", "The comments were kind.", "Sign in, said the door.", "Nobody would subscribe to a newsletter that winter.", "Copyright law is old.", "Posted by the mill at noon.")
+SITES = ("Daily Field", "The Northern Star", "Hill Times", "Valley Post", "Mill Notes")
+
+Make = random.Random
+
+
+def sentence(rng: Make, least: int, most: int) -> str:
+    words = rng.choices(WORDS, k=rng.randint(least, most))
+    return (" ".join(words)).capitalize() + rng.choice(".....?!")
+
+
+def prose(rng: Make, size: str | None = None) -> str:
+    size = size or rng.choice(("tiny", "short", "middle", "middle", "long", "long"))
+    n = {"tiny": 1, "short": 1, "middle": 2, "long": rng.randint(3, 8)}[size]
+    least, most = {"tiny": (1, 3), "short": (4, 9), "middle": (8, 18), "long": (9, 20)}[size]
+    return " ".join(sentence(rng, least, most) for _ in range(n))
+
+
+def label(rng: Make) -> str:
+    return " ".join(rng.choices(WORDS, k=rng.randint(1, 4))).capitalize()
+
+
+def link(rng: Make, text: str | None = None) -> str:
+    return f'<a href="/{rng.randint(1, 999)}">{text or label(rng)}</a>'
+
+
+# main text
+
+
+def article(rng: Make) -> list[str]:
+    """Blocks of an article, each marked."""
+    parts = [f"<h1>{MARK}{label(rng)}</h1>"] if rng.random() < 0.85 else []
+    for _ in range(rng.choice((1, 2, 3, 4, 6, 9))):
+        kind = rng.random()
+        if kind < 0.62:
+            parts.append(f"<p>{MARK}{prose(rng)}</p>")
+        elif kind < 0.70:
+            parts.append(f"<p>{MARK}{prose(rng, 'short')} {link(rng)} {prose(rng, rng.choice(('short', 'middle')))}</p>")
+        elif kind < 0.76:
+            parts.append(f"<h2>{MARK}{label(rng)}</h2><p>{MARK}{prose(rng)}</p>")
+        elif kind < 0.84:
+            parts.append("<ul>" + "".join(f"<li>{MARK}{prose(rng, rng.choice(('tiny', 'short', 'middle')))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+        elif kind < 0.88:
+            parts.append(f"<blockquote>{MARK}{prose(rng, 'middle')}</blockquote>")
+        elif kind < 0.92:
+            parts.append(f"<table><tr><td>{MARK}{label(rng)}</td><td>{MARK}{rng.randint(2, 99)}</td></tr><tr><td>{MARK}{label(rng)}</td><td>{MARK}{rng.randint(2, 99)}</td></tr></table>")
+        elif kind < 0.965:
+            parts.append(f"<p>{MARK}{rng.choice(QUOTED)}</p>")
+        elif kind < 0.985:
+            parts.append("<ul>" + "".join(f"<li>{link(rng, MARK + sentence(rng, 3, 6))}</li>" for _ in range(2)) + "</ul>")
+        else:
+            parts.append(f"<p>{MARK}{prose(rng, 'tiny')}</p><p>{MARK}{prose(rng, 'tiny')}</p>")
+    if not any("<p>" in p for p in parts):
+        parts.append(f"<p>{MARK}{prose(rng, 'long')}</p>")
+    return parts
+
+
+# other parts
+
+
+def menu(rng: Make) -> str:
+    links = [link(rng) for _ in range(rng.randint(3, 8))]
+    return rng.choice(("<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>", " | ".join(links), " ".join(links), "<ul>" + "".join(f"<li>{label(rng)}</li>" for _ in links) + "</ul>"))
+
+
+def title(rng: Make) -> str:
+    return rng.choice((f"<h1>{link(rng, rng.choice(SITES))}</h1>", f"{link(rng, rng.choice(SITES))}<p>{sentence(rng, 4, 10)}</p>", f"<p>{rng.choice(SITES)}</p>", f"<h2>{rng.choice(SITES)}</h2>"))
+
+
+def advert(rng: Make) -> str:
+    return rng.choice((f"<p>{prose(rng, 'middle')}</p>", "Buy", prose(rng, "short"), f"<p>{prose(rng, 'short')} {link(rng, 'Order today')}</p>", f"Advertisement <p>{prose(rng, 'middle')}</p>", prose(rng, "middle")))
+
+
+def notice(rng: Make) -> str:
+    return rng.choice((
+        f"<p>We use cookies to make this site work. {sentence(rng, 5, 12)}</p>", f"Sign in to read all of it. {link(rng, 'Sign in')}", f"<p>Please log in or register to go on.</p>",
+        f"<p>By using this site you accept our terms of use and our privacy policy.</p>", f"<p>You have read 3 of 5 free pages. Subscribe now.</p>", f"{sentence(rng, 6, 14)}"))
+
+
+def teasers(rng: Make) -> str:
+    head = f"<h3>{rng.choice(('Most read', 'More', 'Related', label(rng)))}</h3>"
+    return head + rng.choice((
+        "<ul>" + "".join(f"<li>{link(rng, sentence(rng, 3, 8))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>", f"<p>{prose(rng, 'middle')}</p><p>{prose(rng, 'short')}</p>",
+        "".join(f"<div>{link(rng)}<p>{prose(rng, 'short')} {link(rng, 'Read more')}</p></div>" for _ in range(3))))
+
+
+def comments(rng: Make) -> str:
+    def one() -> str:
+        who = rng.choice(NAMES)
+        head = rng.choice((f"<p>{who}, {rng.randint(1, 28)} May {rng.randint(2001, 2024)}</p>", f"<b>{who}</b> says:", f"<p>Posted by {who}</p>", ""))
+        return f"<div>{head}<p>{prose(rng, rng.choice(('short', 'middle', 'long')))}</p>{rng.choice(('', link(rng, 'Reply'), '<p>Reply</p>'))}</div>"
+
+    return rng.choice((f"<h3>{rng.randint(1, 9)} comments</h3>", "<h3>Comments</h3>", "")) + "".join(one() for _ in range(rng.randint(1, 4)))
+
+
+def end(rng: Make) -> str:
+    year = rng.randint(1999, 2024)
+    return rng.choice((
+        f"<p>Copyright {year} {rng.choice(SITES)}. All rights reserved.</p>", f"&copy; {year} {rng.choice(SITES)} &middot; {sentence(rng, 3, 9)}", f"<p>{link(rng, 'Imprint')} {link(rng, 'Contact')}</p>",
+        f"<p>Imprint</p>", f"<h5>Help</h5><p>{prose(rng, 'short')}</p><p>{prose(rng, 'middle')}</p>", f"{prose(rng, 'middle')} All rights reserved.", f"<p>{prose(rng, 'tiny')}</p>"))
+
+
+def letter(rng: Make) -> str:
+    return rng.choice((f"<p>Get our newsletter each day. {sentence(rng, 4, 9)}</p><label>Your mail address</label><input name=m>", f"<label>Subscribe</label><p>{prose(rng, 'middle')}</p><button>Go</button>"))
+
+
+def share(rng: Make) -> str:
+    return rng.choice(("Share this with your friends", f"{link(rng, 'Share')} {link(rng, 'Print')}", "Follow us"))
+
+
+OTHERS: dict[str, tuple[Callable[[Make], str], tuple[str, ...], tuple[str, ...]]] = {
+    "menu": (menu, ("nav",), ("menu", "top-menu", "navbar", "breadcrumbs")), "title": (title, ("header",), ("masthead", "site-header", "topbar")),
+    "advert": (advert, ("div class='ad'",), ("ad", "advert", "ad-slot", "sponsored", "promo")), "notice": (notice, ("dialog", "div role='alert'"), ("cookie-notice", "banner", "popup", "signin-overlay")),
+    "teasers": (teasers, ("aside",), ("sidebar", "related-posts", "widget", "recommended")), "comments": (comments, ("section class='comments'", "section id='comments'"), ("comments", "comments-area", "replies", "disqus")),
+    "end": (end, ("footer",), ("footer", "footer-links", "site-footer")), "letter": (letter, ("form",), ("newsletter", "signup")), "share": (share, ("div class='share'",), ("social-share", "share-buttons", "sharing")),
+}
+CONTENT = {
+    "elements": ("article", "main", "article class='post has-sidebar'", "article class='post story-meta tags'", "main class='with-toc'"),
+    "names": ("div id='content'", "div class='post'", "div class='story-body'", "div class='entry-content'", "div id='social-science-article'", "section class='article-text'"),
+    "neutral": ("div", "div class='c2'", "div id='x7'", "section", "td", "div class='row'", "div class='notice-board-story'"),
+}
+
+
+def wrapped(opening: str, inside: str) -> str:
+    if opening == "td":
+        return f"<table><tr><td>{inside}</td></tr></table>"
+    return f"<{opening}>{inside}</{opening.split()[0]}>"
+
+
+def page(rng: Make, style: str | None = None) -> str:
+    """A marked page: built of elements that say what they are, of names, of neither, or without containers."""
+    style = style or rng.choice(("elements", "elements", "names", "names", "neutral", "neutral", "flat"))
+
+    def other(kind: str) -> str:
+        make, elements, names = OTHERS[kind]
+        inside = make(rng)
+        if style in ("neutral", "flat"):
+            return wrapped(rng.choice((f"div class='c{rng.randint(3, 9)}'", "div", f"div id='b{rng.randint(1, 9)}'")), inside)
+        if style == "elements" and rng.random() < 0.8:
+            return wrapped(rng.choice(elements), inside)
+        return wrapped(f"div {rng.choice(('class', 'id'))}='{rng.choice(names)}'", inside)
+
+    body = article(rng)
+    if style != "flat" and rng.random() < 0.15:
+        body = [f"<div class='para'>{b}</div>" for b in body]
+    inner = list(body)
+    for kind in ("advert", "teasers", "share"):
+        if style in ("elements", "names") and len(body) > 3 and rng.random() < 0.25:
+            inner.insert(rng.randint(2, len(inner)), other(kind))
+    text = "".join(inner)
+    if style == "elements" and rng.random() < 0.3 and body[0].startswith("<h1>"):
+        text = f"<header>{body[0]}<p>By {rng.choice(NAMES)}, {rng.randint(1, 28)} May</p></header>" + "".join(inner[1:])
+    if style == "elements" and rng.random() < 0.2:
+        text += f"<footer><p>Filed under {label(rng)}</p></footer>"
+    if style != "flat":
+        text = wrapped(rng.choice(CONTENT[style]), text)
+    some = lambda kind, chance: other(kind) if rng.random() < chance else ""
+    plain = style == "flat"  # without a container only short parts beside the text can be told from it
+    before = some("notice", 0.3) + some("title", 0.5) + other("menu") + some("advert", 0.0 if plain else 0.35) + some("teasers", 0.0 if plain else 0.2)
+    after = (some("share", 0.3) + some("teasers", 0.0 if plain else 0.35) + some("comments", 0.0 if plain else 0.45) + some("letter", 0.25) + some("advert", 0.0 if plain else 0.2) + some("menu", 0.2) + some("end", 0.85))
+    whole = before + text + after
+    if style in ("neutral", "names") and rng.random() < 0.2:
+        whole = f"<form id='form1'><div class='{rng.choice(('content', 'page', 'outer'))}'>{whole}</div></form>"
+    head = f"<head><title>{label(rng)}</title><style>p{{}}</style></head>" if rng.random() < 0.7 else ""
+    return f"<html>{head}<body>{whole}</body></html>"
+
+
+def pages(count: int = PAGES, seed: int = SEED, style: str | None = None) -> list[str]:
+    """Marked pages, of all styles or one."""
+    rng = random.Random(seed)
+    return [page(rng, style) for _ in range(count)]

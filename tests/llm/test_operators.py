@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from admeter.llm import (byte_bpe, html_text, jaccard_join, license_scan, lm_scoring, mixing, packed_ids, quality_rules,
+from admeter.llm import (byte_bpe, jaccard_join, license_scan, lm_scoring, mixing, packed_ids, quality_rules,
                          substring_dedup, top_k)
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, `row` int"
@@ -233,34 +233,6 @@ def test_top_k_empty(spark):
     assert top_k.search(some, some, 10).count() == 2
 
 
-def test_html_text(spark):
-    page = ("<body><nav><a href=/>Home</a></nav><article><h1>A &amp; b</h1><p>One\n two<p>3 < 4<br></article>"
-            "<div class='comments'><p>Nice words from a reader who liked it</p></div><script>var a='<p>x</p>'</script></body>")
-    rows = [(1, "u", page, "old"), (2, "u", None, "old"), (3, "u", "", "old"), (4, "u", "<p", "old")]
-    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()}
-    assert got[1] == ("A & b\nOne two\n3 < 4", 19)
-    assert got[2] == got[3] == ("", 0)
-
-
-@pytest.mark.parametrize("opened, closed", [
-    ("<article class='post has-sidebar'>", "</article>"), ("<main class='main with-toc'>", "</main>"), ("<main class='sidebar-right'>", "</main>"),
-    ("<div id='content' class='no-sidebar'>", "</div>"), ("<article class='post share-enabled'>", "</article>"), ("<div class='contentNoSidebar'>", "</div>")])
-def test_html_text_modifier_names(opened, closed):
-    side = "<div class='sidebar'><p>Boots and coats for every season at prices you will not find elsewhere this week</p></div>"
-    page = f"<body>{side}{opened}<h1>Frost</h1><p>It came early this year, and the ponds were white by noon.</p><p>Onward.</p>{closed}{side}</body>"
-    assert html_text.main_text(page, html_text.trained()) == "Frost\nIt came early this year, and the ponds were white by noon.\nOnward."
-
-
-def test_html_text_open_head_and_closed_svg():
-    text = "It came early this year, and the ponds were white by noon."
-    for head in ("<head><title>x</title><body>", "<head><meta charset=utf-8><style>p{}</style>", "<html><head><script>a</script><p>", "<head><title>x</title></head><body>"):
-        assert html_text.main_text(f"{head}<article><p>{text}</p></article>", html_text.trained()) == text
-    for icon in ("<svg/>", "<svg class='i' />", "<math/>", "<svg><style/><path d=a/><g/></svg>", "<svg a=b/><text>no</text></svg>"):
-        assert html_text.main_text(f"<body><article><p>{icon}{text}</p></article></body>", html_text.trained()) == text, icon
-    assert [b.text for b in html_text.blocks_of("<head> <title>x</title> plain words")] == ["plain words"]
-    assert html_text.main_text(f"<body><article><p>{text}</p></article><article class='comment'><p>{text} No.</p></article></body>", html_text.trained()) == text
-
-
 def test_lm_scoring(spark, docs, nothing):
     rng = random.Random(5)
     good, bad = "the river runs to the sea and the hill".split(), "zz qq xx ww".split()
