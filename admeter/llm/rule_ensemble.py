@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, Words, mixed, saved, small_batches, without
 
-#: Labelled rows that the model is fitted on, about; trees, their depth and least rows of a node; strength of the lasso.
-TRAINING_ROWS, TREES, DEPTH, LEAST_ROWS, PENALTY = 200_000, 24, 3, 5, 0.0005
+#: Labelled rows that the model is fitted on, about; trees, their depth and least rows of a node; strength of the lasso and its steps.
+TRAINING_ROWS, TREES, DEPTH, LEAST_ROWS, PENALTY, STEPS = 200_000, 24, 3, 5, 0.0005, 100
 #: Words of a window that counts as repeated when its text holds it again.
 WINDOW = 5
 STATISTICS = (
@@ -166,7 +166,7 @@ def fit(labelled: DataFrame, label: str = "label", out: str = "statistics", seed
         return RuleEnsemble((), log(share / (1 - share)))
     truth = rows.select("label", array_to_vector(F.array(*[r.column(out).cast("double") for r in rules])).alias("features"))
     truth = saved(truth, "rule-truth")
-    model = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=100).fit(truth)
+    model = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, maxIter=STEPS).fit(truth)
     kept = [(r, float(w)) for r, w in zip(rules, model.coefficients.toArray()) if w != 0]
     return RuleEnsemble(tuple(kept), float(model.intercept))
 

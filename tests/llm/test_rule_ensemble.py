@@ -12,6 +12,12 @@ from admeter.llm.rule_ensemble import Rule, STATISTICS
 SCHEMA = "doc_id bigint, text string, score double, statistics int"
 
 
+@pytest.fixture(autouse=True)
+def small(monkeypatch):
+    monkeypatch.setattr(rule_ensemble, "TREES", 8)
+    monkeypatch.setattr(rule_ensemble, "STEPS", 25)
+
+
 def one(text):
     return rule_ensemble.measured([text]).to_pylist()[0]
 
