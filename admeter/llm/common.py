@@ -8,7 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words that a task remembers the hashes of; beyond it, it starts afresh.
 REMEMBERED = 300_000
@@ -24,10 +25,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset (a single machine)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a local one on a single machine, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _folders:
         _folders[app] = "file://" + tempfile.mkdtemp(prefix="admeter-")
@@ -108,6 +112,18 @@ def without(df: DataFrame, name: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() == name.lower()])
 
 
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """(_text, _rest): the text, and a struct of all other columns, whose names can then clash with none."""
+    others = [c for c in df.columns if c != text]
+    rest = F.struct(*[df[f"`{c}`"].alias(c) for c in others]) if others else F.struct(F.lit(None).alias("_"))
+    return df.select(F.col(f"`{text}`").cast("string").alias("_text"), rest.alias("_rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], text: str, value: Column) -> DataFrame:
+    """The ``columns`` of a table that was ``packed``, with ``value`` as the text."""
+    return df.select(*[value.alias(c) if c == text else F.col("_rest").getField(c).alias(c) for c in columns])
+
+
 def signed(x: np.ndarray) -> pa.Array:
     """64-bit values as the longs of Spark."""
     return pa.array(np.ascontiguousarray(x).view(np.int64))

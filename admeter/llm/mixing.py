@@ -12,7 +12,7 @@ All documents stay.  Once a source has run out, its slots are empty and the othe
 ``in_mix`` tells the part before that, where the weights hold.
 
 Fixed meaning of edge cases: null sources are one source; null texts have no characters; rows that share an id
-are ordered by their text, and repeated rows are all kept; an empty table gives an empty result; the columns
+are ordered by their text, and repeated rows are all kept; an empty table gives an empty result; in ``mix`` the columns
 ``block``, ``slot`` and ``in_mix`` replace input columns of these names.
 """
 
@@ -113,8 +113,14 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_
     return both.withColumn("in_mix", F.coalesce(F.col("slot") <= F.col("_plan._ends"), F.lit(True))).drop("_at", "_plan")
 
 
-def mixed_order(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id") -> DataFrame:
-    """The rows and columns of ``df`` in the order of the mix, over partitions that follow each other."""
-    order = [F.col("slot"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))]
-    found = mix(df, weights, key).repartitionByRange(*order).sortWithinPartitions(*order)
-    return found.select(*[found[c] for c in df.columns if c in found.columns])
+def mixed_order(df: DataFrame, weights: dict[str, float] | None = None, key: str = "doc_id", source: str = "source", text: str = "text",
+                slot: str = "mix_slot", active: str = "in_mix") -> DataFrame:
+    """The rows and columns of ``df`` in the order of the mix, over partitions that follow each other, with two columns more:
+    ``slot``, whose ascending order is the mix wherever the rows are written and read, and ``active``, whether the
+    weights still hold there.  Input columns of these two names are replaced, all others come back, whatever their names."""
+    own = [c for c in df.columns if c.lower() not in (slot.lower(), active.lower())]
+    packed = df.select(F.struct(*[df[f"`{c}`"].alias(c) for c in own]).alias("_row"))
+    of = lambda name: f"_row.`{name}`"
+    order = [F.col("slot"), F.md5(F.coalesce(F.col(of(key)).cast("string"), F.lit("")))]
+    found = mix(packed, weights, of(key), of(source), of(text)).repartitionByRange(*order).sortWithinPartitions(*order)
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in own], F.col("slot").alias(slot), F.col("in_mix").alias(active))

@@ -149,9 +149,10 @@ def apply(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 
 
 def filtered(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` that pass, with its columns."""
-    judged = apply(df)
-    return judged.where(F.col("quality.kept")).select(*[judged[c] for c in df.columns])
+    """The rows of ``df`` that pass, with its columns, whatever their names."""
+    rows = df.select(F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("_row"))
+    judged = apply(rows, "_row.text", "_row.lang", "_row.source").where(F.col("quality.kept"))
+    return judged.select(*[F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def report(df: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ copies share; what comes back per text is bounded by the text.  The texts themse
 
 Fixed meaning of edge cases: a null text has no words; texts shorter than a window lose nothing; two equal rows are two
 texts, and remove each other's windows; words are cut at ASCII white space and compared unchanged; an empty table
-gives an empty result; input columns named ``row``, ``spans`` or ``_kept`` are left out.
+gives an empty result; input columns may have any names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Words, as_bytes, mixed, repeats, signed, small_batches, without
+from .common import WordHashes, Words, as_bytes, mixed, packed, repeats, signed, small_batches, unpacked
 
 WINDOW = 35
 #: Perfect difference covers: each remainder is a difference of two members.
@@ -219,8 +219,7 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 
 def removed(df: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
     """``df`` with repeated windows cut out of its texts; texts without any stay as they are."""
-    plain = without(without(without(df, "row"), "spans"), "_kept")
-    found = joined(plain.withColumn("_text", F.col(text).cast("string")).drop(text), size, "_text")
+    found = joined(packed(df, text), size, "_text")
 
     @F.arrow_udf("string")
     def kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -230,5 +229,4 @@ def removed(df: DataFrame, size: int = WINDOW, text: str = "text") -> DataFrame:
             out.append(t if gone is None or not gone.any() else cut(t, gone))
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    clean = found.withColumn("_kept", kept("_text", "spans"))
-    return clean.select(*[F.col("_kept").alias(c) if c == text else clean[c] for c in plain.columns])
+    return unpacked(found, df.columns, text, kept("_text", "spans"))

@@ -108,14 +108,6 @@ def test_byte_bpe(docs, texts):
     assert len(base64.b64encode(b"x")) == 4
 
 
-def test_pipeline_decodes_its_ids(spark, docs, texts):
-    import corpus_pipeline
-
-    name, stage = corpus_pipeline.STAGES[-1]
-    got = {r.doc_id: r.decoded_sha256 for r in stage(spark, docs, "").collect()}
-    assert name == "byte_bpe" and got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in texts}
-
-
 def test_packed_ids(docs, texts, nothing):
     from tokenizers import Tokenizer
 
