@@ -3,23 +3,26 @@
 The target model is trained on the target texts, the background model on all texts.  They share one vocabulary (every
 word of all texts), one set of bigrams (every pair that follows each other) and one smoothing:
 ``p(w | v) = MIX c(v, w) / c(v) + (1 - MIX) p(w)``, or ``p(w)`` where the model knows nothing after ``v``, and ``p(w)`` a
-smoothed share of ``w`` alone.  A text's score is the mean over its words of background loss less target loss, in nats:
-the higher, the closer to the target.
+smoothed share of ``w`` alone.  A text is scored by what the other texts say: its own counts are taken out of both models first, so
+that no text is expected because it was counted.  Its score is the mean over its words of background loss less target loss,
+in nats: the higher, the closer to the target.
 
 No word or bigram is left out, and no model is collected or broadcast; the counts stay in tables that grow with the texts:
 
 1. ``blocks`` cuts the texts into blocks of some ``BLOCK_WORDS`` words: the different words of a block, as 64-bit hashes, and
    each text as numbers of them.
-2. ``asked`` counts the words and bigrams of a block, also within target texts, and sends them to buckets of their hashes.  A
-   word or bigram is one entry for each block, however often it stands there, so none is hot.
-3. ``answered`` sums a bucket and sends the sums back to the blocks that asked, in the order in which they asked.
+2. ``asked`` counts the words and bigrams of a block, also within target texts, and sends them to ranges of their hashes,
+   ``RANGES`` at most for a block.  A word or bigram is one entry for each block, however often it stands there, so none is hot.
+3. ``exchanged`` sums each range and sends the sums back to the blocks that asked, in the order in which they asked.  Where more
+   than ``MERGED`` blocks ask, groups of them are summed first, and ask as one for ``RANGES`` narrower ranges each, and
+   so on: neither the rows of a block nor what a task holds grow with the texts.
 4. ``scored`` puts the sums of a block together and takes the mean of both losses over each of its texts.
 
 Words are compared by 64-bit hashes, bigrams by a 64-bit hash of both words' hashes.
 
 Fixed meaning of edge cases: null texts, and texts without words, have no tokens, null losses and a null score; a key
-with several labels is a target if one of them says so; without target texts the target model is uniform; repeated
-rows count and are scored each; an empty table gives an empty result.
+with several labels is a target if one of them says so; without (other) target texts the target model is uniform; repeated
+rows count and are scored each, so a copy is expected from its copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,18 +34,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, as_bytes, mixed, saved, small_batches
 
 #: Share of a bigram's own estimate, and pseudo-count of a word.
 MIX, PSEUDO = 0.7, 0.1
-#: Words and texts after which a block ends, and words for each bucket.  They change no result.
-BLOCK_WORDS, BLOCK_TEXTS, BUCKET_WORDS = 3 << 19, 1 << 16, 1 << 20
+#: Words and texts after which a block ends, and words for each range of hashes.  They change no result.
+BLOCK_WORDS, BLOCK_TEXTS, RANGE_WORDS = 3 << 19, 1 << 16, 1 << 20
+#: Ranges of hashes that one block or group of blocks sends rows to, at most, and blocks that are summed at once.
+RANGES, MERGED = 1 << 12, 1 << 10
 #: Stands before the first word of a text; no word holds a space.
 START = np.uint64(xxhash.xxh3_64_intdigest(b" start"))
-WORDS, BIGRAMS, TEXTS = 0, 1, 2
+WORDS, BIGRAMS, TEXTS, TARGETS = 0, 1, 2, 3
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -115,15 +120,33 @@ class Block:
         return count(self.ids, self.size + 1) + count(self.before, self.size + 1), count(self.at, len(self.bigrams))
 
 
-def dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of hashes, and how many of them each bucket, a range of hashes, has."""
-    order = np.argsort(hashes, kind="stable")
-    bucket = hashes[order] // np.uint64((2 ** 64 - 1) // buckets + 1)
-    return order, np.bincount(bucket.astype(np.int64), minlength=buckets)
+def bits_of(n: int) -> int:
+    """Bits that number ``n`` ranges."""
+    return max(0, int(n) - 1).bit_length()
 
 
-def asked(state: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, kind, block, hashes, counts) of blocks and the places of their target texts."""
+def dealt(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, list[slice]]:
+    """The range, by its leading ``bits``, of each run of sorted hashes, and the run."""
+    each = hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64)
+    first = np.flatnonzero(np.append(True, each[1:] != each[:-1])) if len(each) else np.empty(0, np.int64)
+    return each[first].astype(np.int64), [slice(a, b) for a, b in zip(first, np.append(first[1:], len(each)))]
+
+
+QUESTIONS = "bucket bigint, kind int, block bigint, hashes binary, counts binary"
+ANSWERS = "block bigint, kind int, bucket bigint, counts binary, words bigint, n bigint, target_n bigint"
+
+
+def question(kind: int, number: int, hashes: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of ``QUESTIONS``: sorted hashes and their counts, by ranges."""
+    ranges, runs = dealt(hashes, bits)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ranges, pa.int64()), pa.array([kind] * len(runs), pa.int32()), pa.array([number] * len(runs), pa.int64()),
+         pa.array([packed(np.diff(hashes[r], prepend=np.uint64(0))) for r in runs], pa.binary()), pa.array([packed(counts[:, r]) for r in runs], pa.binary())],
+        [c.split()[0] for c in QUESTIONS.split(", ")])
+
+
+def asked(state: DataFrame, bits: int) -> DataFrame:
+    """``QUESTIONS`` of blocks and the places of their target texts."""
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
@@ -132,49 +155,103 @@ def asked(state: DataFrame, buckets: int) -> DataFrame:
                 among = np.zeros(len(block.lengths), bool)
                 among[targets or []] = True
                 for kind, hashes, counts in zip((WORDS, BIGRAMS), (block.words, block.bigrams), block.counts(among)):
-                    order, sizes = dealt(hashes, buckets)
-                    ends, full = np.cumsum(sizes), np.flatnonzero(sizes)
-                    hashes, counts = hashes[order], np.stack(counts)[:, order]
-                    parts = [slice(ends[b] - sizes[b], ends[b]) for b in full]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(full, pa.int64()), pa.array([kind] * len(full), pa.int32()), pa.array([number] * len(full), pa.int64()),
-                         pa.array([packed(np.diff(hashes[p], prepend=np.uint64(0))) for p in parts], pa.binary()), pa.array([packed(counts[:, p]) for p in parts], pa.binary())],
-                        ["bucket", "kind", "block", "hashes", "counts"])
+                    order = np.argsort(hashes, kind="stable")
+                    yield question(kind, number, hashes[order], np.stack(counts)[:, order], bits)
+
+    return state.select("block", "lengths", "ids", "words", "targets").mapInArrow(ask, QUESTIONS)
 
-    return state.select("block", "lengths", "ids", "words", "targets").mapInArrow(ask, "bucket bigint, kind int, block bigint, hashes binary, counts binary")
+
+class Summed:
+    """The different hashes of one kind that several blocks ask for, and the sums of their counts."""
+
+    def __init__(self, table: pa.Table, kind: int):
+        self.kind, rows = kind, 4 if kind == WORDS else 2
+        part = table.filter(pa.array((k == kind for k in table["kind"].to_pylist()), pa.bool_()))
+        self.blocks, self.buckets = part["block"].to_pylist(), part["bucket"].to_pylist()
+        hashes = [np.cumsum(unpacked(h), dtype=np.uint64) for h in part["hashes"].to_pylist()]
+        counts = [unpacked(c).reshape(rows, -1) for c in part["counts"].to_pylist()]
+        self.hashes, self.at = np.unique(np.concatenate([np.empty(0, np.uint64), *hashes]), return_inverse=True)
+        each = np.concatenate([np.empty((rows, 0), np.int64), *counts], axis=1)
+        self.sums = np.stack([np.bincount(self.at, weights=n, minlength=len(self.hashes)) for n in each]).astype(np.int64)
+        self.ends = np.cumsum([len(h) for h in hashes])
+        self.sizes = [len(h) for h in hashes]
+
+    def answers(self, sums: np.ndarray, totals: tuple[int, int, int]) -> Iterator[tuple]:
+        """Rows of ``ANSWERS``, from sums by different hash; the first row has the totals."""
+        for i, (block, bucket, end, size) in enumerate(zip(self.blocks, self.buckets, self.ends, self.sizes)):
+            yield (block, self.kind, bucket, packed(sums[:, self.at[end - size:end]]), *(totals if i == 0 else (0, 0, 0)))
+
+
+def answer_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in ANSWERS.split(", ")])
 
 
 def answered(questions: DataFrame) -> DataFrame:
-    """Rows (block, kind, bucket, counts): the sums over all blocks of what each asked for; one row of a bucket also has its
-    different words and their count in all texts and in target texts."""
+    """``ANSWERS``: the sums over all blocks of what each asked for, with the different words of a range and their count in all
+    texts and in target texts."""
     def answer(table: pa.Table) -> pa.Table:
-        out = []
-        for kind, rows in ((WORDS, 4), (BIGRAMS, 2)):
-            part = table.filter(pa.array(k == kind for k in table["kind"].to_pylist()))
-            if not part.num_rows:
-                continue
-            hashes = [np.cumsum(unpacked(h), dtype=np.uint64) for h in part["hashes"].to_pylist()]
-            counts = np.concatenate([unpacked(c).reshape(rows, -1) for c in part["counts"].to_pylist()], axis=1)
-            different, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = np.stack([np.bincount(at, weights=n, minlength=len(different)) for n in counts]).astype(np.int64)
-            totals = (int((different != START).sum()), int(sums[0].sum()), int(sums[1].sum())) if kind == WORDS else (0, 0, 0)
-            ends = np.cumsum([len(h) for h in hashes])
-            for i, (block, bucket) in enumerate(zip(part["block"].to_pylist(), part["bucket"].to_pylist())):
-                own = sums[:, at[ends[i] - len(hashes[i]):ends[i]]]
-                out.append((block, kind, bucket, packed(own), *(totals if i == 0 else (0, 0, 0))))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "kind", "bucket", "counts", "words", "n", "target_n"])
-
-    return questions.groupBy("bucket").applyInArrow(answer, "block bigint, kind int, bucket bigint, counts binary, words bigint, n bigint, target_n bigint")
-
-
-def scored(state: DataFrame, answers: DataFrame, buckets: int, key: str) -> DataFrame:
+        rows: list[tuple] = []
+        for kind in (WORDS, BIGRAMS):
+            one = Summed(table, kind)
+            totals = (int((one.hashes != START).sum()), int(one.sums[0].sum()), int(one.sums[1].sum())) if kind == WORDS else (0, 0, 0)
+            rows += one.answers(one.sums, totals)
+        return answer_table(rows)
+
+    return questions.groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def exchanged(questions: DataFrame, askers: int, bits: int, wanted: int) -> DataFrame:
+    """``ANSWERS`` to questions by ranges of ``bits``, from so many blocks; sums are made in ranges of ``wanted`` bits where groups of blocks are summed first."""
+    if askers <= MERGED:
+        return answered(questions)
+    groups, finer = -(-askers // MERGED), max(bits, min(wanted, bits + bits_of(RANGES)))
+    dealt_out = questions.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
+
+    def merge(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        rows = [question(one.kind, part, one.hashes, one.sums, finer) for one in (Summed(table, WORDS), Summed(table, BIGRAMS))]
+        return pa.Table.from_batches(rows)
+
+    merged = saved(dealt_out.groupBy("part", "bucket").applyInArrow(merge, QUESTIONS), "lm-merged")
+    above = saved(exchanged(merged, groups, finer, wanted), "lm-sums")
+
+    def spread(table: pa.Table) -> pa.Table:
+        own = table.filter(pa.array((h is not None for h in table["hashes"].to_pylist()), pa.bool_()))
+        back = table.filter(pa.array((h is None for h in table["hashes"].to_pylist()), pa.bool_())).sort_by("fine")
+        totals = tuple(sum(back[c].to_pylist()) for c in ("words", "n", "target_n"))
+        rows: list[tuple] = []
+        for kind in (WORDS, BIGRAMS):
+            one = Summed(own, kind)
+            counts = [unpacked(c).reshape(len(one.sums), -1) for k, c in zip(back["kind"].to_pylist(), back["counts"].to_pylist()) if k == kind]
+            rows += one.answers(np.concatenate(counts, axis=1) if counts else one.sums, totals if kind == WORDS else (0, 0, 0))
+        return answer_table(rows)
+
+    sent = above.select(F.col("block").alias("part"), F.shiftright("bucket", finer - bits).alias("bucket"), F.col("bucket").alias("fine"), "kind", "counts", "words", "n", "target_n")
+    nothing = F.lit(0).cast("bigint")
+    own = dealt_out.select("part", "bucket", nothing.alias("fine"), "kind", "counts", nothing.alias("words"), nothing.alias("n"), nothing.alias("target_n"), "block", "hashes")
+    both = own.unionByName(sent.withColumns({"block": F.lit(None).cast("bigint"), "hashes": F.lit(None).cast("binary")}))
+    return both.groupBy("part", "bucket").applyInArrow(spread, ANSWERS)
+
+
+def own_counts(text: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """At each place, how often its text holds what stands there."""
+    _, at, times = np.unique(text * (int(what.max(initial=0)) + 1) + what, return_inverse=True, return_counts=True)
+    return times[at]
+
+
+def scored(state: DataFrame, targets: DataFrame, answers: DataFrame, blocks: int, key: str) -> DataFrame:
     """A row for each text of the blocks."""
     words, n, target_n = (x or 0 for x in answers.agg(F.sum("words"), F.sum("n"), F.sum("target_n")).first())
-    nothing = F.lit(None)
     kind = state.schema["keys"].dataType.elementType.simpleString()
-    rows = state.select("block", F.lit(TEXTS).alias("kind"), F.lit(0).cast("bigint").alias("bucket"), "keys", F.col("lengths").alias("counts"), "ids", "words").unionByName(
-        answers.select("block", "kind", "bucket", nothing.cast(f"array<{kind}>").alias("keys"), "counts", nothing.cast("binary").alias("ids"), nothing.cast("binary").alias("words")))
+    absent = {"bucket": "bigint", "keys": f"array<{kind}>", "counts": "binary", "ids": "binary", "words": "binary", "targets": "array<int>"}
+
+    def row(df: DataFrame, kind: Column, **columns: Column) -> DataFrame:
+        return df.select("block", kind.cast("int").alias("kind"), *[columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in absent.items()])
+
+    rows = row(state, F.lit(TEXTS), keys=F.col("keys"), counts=F.col("lengths"), ids=F.col("ids"), words=F.col("words")).unionByName(
+        row(answers, F.col("kind"), bucket=F.col("bucket"), counts=F.col("counts"))).unionByName(row(targets, F.lit(TARGETS), targets=F.col("targets")))
 
     def finish(table: pa.Table) -> pa.Table:
         kinds, bucket, raw = (table[c].to_pylist() for c in ("kind", "bucket", "counts"))
@@ -184,25 +261,32 @@ def scored(state: DataFrame, answers: DataFrame, buckets: int, key: str) -> Data
         def sums(kind: int, hashes: np.ndarray, height: int) -> np.ndarray:
             parts = [i for _, i in sorted((bucket[i], i) for i, k in enumerate(kinds) if k == kind)]
             out = np.zeros((height, len(hashes)), np.int64)
-            out[:, dealt(hashes, buckets)[0]] = np.concatenate([unpacked(raw[i]).reshape(height, -1) for i in parts] or [out], axis=1)
+            out[:, np.argsort(hashes, kind="stable")] = np.concatenate([unpacked(raw[i]).reshape(height, -1) for i in parts] or [out], axis=1)
             return out
 
         alone, pairs = sums(WORDS, block.words, 4), sums(BIGRAMS, block.bigrams, 2)
         tokens = block.lengths
+        target = np.zeros(len(tokens), bool)
+        target[[i for r, k in enumerate(kinds) if k == TARGETS for i in table["targets"][r].as_py()]] = True
+        text = np.repeat(np.arange(len(tokens)), tokens)
+        own_word, own_before, own_pair = (own_counts(text, x) for x in (block.ids, block.before, block.at))
         losses = np.full((2, len(tokens)), np.nan)
-        for i, total in enumerate((n, target_n)):
-            context = alone[2 + i, block.first]
-            share = np.divide(MIX * pairs[i], context, out=np.zeros(len(context)), where=context > 0)
+        for i, (total, counted) in enumerate(((n, np.ones(len(text), bool)), (target_n, target[text]))):
+            context = alone[2 + i, block.before] - own_before * counted
+            share = np.divide(MIX * (pairs[i, block.at] - own_pair * counted), context, out=np.zeros(len(context)), where=context > 0)
             left = np.where(context > 0, 1 - MIX, 1.0)
-            loss = -np.log(share + left * (alone[i, block.second] + PSEUDO) / (total + PSEUDO * words))
+            rest = total - tokens[text] * counted
+            loss = -np.log(share + left * (alone[i, block.ids] - own_word * counted + PSEUDO) / (rest + PSEUDO * words))
             if len(block.starts):
-                losses[i, tokens > 0] = np.add.reduceat(loss[block.at], block.starts) / tokens[tokens > 0]
+                losses[i, tokens > 0] = np.add.reduceat(loss, block.starts) / tokens[tokens > 0]
         none = tokens == 0
         columns = [pa.array(x, pa.float64(), mask=none) for x in (*losses, losses[0] - losses[1])]
         keys = table["keys"].chunk(0) if table["keys"].num_chunks == 1 else pa.concat_arrays(table["keys"].chunks)
         return pa.table([keys[at].values, pa.array(tokens), *columns], [key, "n_tokens", "background_loss", "target_loss", "score"])
 
-    return rows.groupBy("block").applyInArrow(
+    # by ranges of their numbers, tasks get equal shares of blocks
+    tasks = max(1, -(-blocks // 2), min(blocks, int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartitionByRange(tasks, "block").groupBy("block").applyInArrow(
         finish, f"`{key}` {kind}, n_tokens bigint, background_loss double, target_loss double, score double")
 
 
@@ -214,11 +298,16 @@ def score(df: DataFrame, labels: DataFrame, target: str = "quality = 1 AND toxic
     spark = df.sparkSession
     small_batches(spark)
     state = saved(blocks(df.select(F.col(key), F.col(text).cast("string").alias("text"))), "lm-blocks")
-    total = state.agg(F.sum("size")).first()[0] or 0
-    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_WORDS)
+    total, askers = (x or 0 for x in state.agg(F.sum("size"), F.count(F.lit(1))).first())
+    wanted = bits_of(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_WORDS))
+    bits = min(wanted, bits_of(RANGES))
     good = labels.where(target).select(F.col(key).alias("_key")).distinct()
     places = state.select("block", F.posexplode("keys").alias("place", "_own"))
     # labels grow with the texts, so they are never broadcast
     targets = places.join(good.hint("merge"), F.col("_own") == F.col("_key"), "left_semi").groupBy("block").agg(F.collect_list("place").alias("targets"))
-    answers = saved(answered(asked(state.join(targets, "block", "left"), buckets)), "lm-counts")
-    return scored(state, answers, buckets, key)
+    targets = saved(targets, "lm-targets")
+    questions = asked(state.join(targets, "block", "left"), bits)
+    if askers > MERGED:
+        questions = saved(questions, "lm-questions")
+    answers = saved(exchanged(questions, askers, bits, wanted), "lm-counts")
+    return scored(state, targets, answers, askers, key)

@@ -238,24 +238,31 @@ def test_lm_scoring(spark, docs, nothing):
     assert lm_scoring.score(nothing, labels).count() == 0
 
 
-def test_lm_scoring_keeps_all_words_and_bigrams(spark, docs, texts, nothing, monkeypatch):
+@pytest.mark.parametrize("merged", [1 << 10, 3])
+def test_lm_scoring_keeps_all_words_and_bigrams(spark, docs, texts, nothing, monkeypatch, merged):
+    """Each text against models of all other texts; with few blocks summed at once, in several levels."""
     monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(lm_scoring, "BLOCK_TEXTS", 9)
+    monkeypatch.setattr(lm_scoring, "MERGED", merged)
+    monkeypatch.setattr(lm_scoring, "RANGES", 4 if merged < 10 else 1 << 12)
     target = {i for i, _ in texts if i % 3 == 0}
     labels = spark.createDataFrame([(i, int(i in target), 0) for i, _ in texts] + [(3, 0, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
     words = {i: [w.lower() for w in split(t)] for i, t in texts}
+    counts = {i: (Counter(zip([None, *w], w)), Counter(w), Counter([None, *w][:len(w)])) for i, w in words.items()}
     models = []
     for chosen in (set(words), target):
-        pairs = Counter(p for i in chosen for p in zip([None, *words[i]], words[i]))
-        models.append((pairs, Counter(w for i in chosen for w in words[i]), Counter(v for v, _ in pairs.elements())))
-    size = len(models[0][1])
+        models.append((chosen, [sum((counts[i][x] for i in chosen), Counter()) for x in range(3)]))
+    size = len(models[0][1][1])
     got = {r.doc_id: r for r in lm_scoring.score(docs, labels).collect()}
     assert set(got) == set(words)
     for i, w in words.items():
         losses = []
-        for pairs, alone, before in models:
-            p = [lm_scoring.PSEUDO + alone[x] for x in w]
-            p = [x / (alone.total() + lm_scoring.PSEUDO * size) for x in p]
-            p = [lm_scoring.MIX * pairs[v, x] / before[v] + (1 - lm_scoring.MIX) * q if before[v] else q for v, x, q in zip([None, *w], w, p)]
+        for chosen, (pairs, alone, before) in models:
+            own = counts[i] if i in chosen else (Counter(), Counter(), Counter())
+            total = alone.total() - own[1].total()
+            p = [(lm_scoring.PSEUDO + alone[x] - own[1][x]) / (total + lm_scoring.PSEUDO * size) for x in w]
+            known = [before[v] - own[2][v] for v in [None, *w][:len(w)]]
+            p = [lm_scoring.MIX * (pairs[v, x] - own[0][v, x]) / k + (1 - lm_scoring.MIX) * q if k else q for v, x, q, k in zip([None, *w], w, p, known)]
             losses.append(-sum(np.log(p)) / len(p) if w else None)
         assert got[i].n_tokens == len(w)
         if w:
@@ -265,6 +272,17 @@ def test_lm_scoring_keeps_all_words_and_bigrams(spark, docs, texts, nothing, mon
             assert got[i].score is got[i].background_loss is got[i].target_loss is None
 
 
+def test_lm_scoring_key_types_and_copies(spark):
+    rng = random.Random(6)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(40))
+    twice = prose()
+    rows = [(f"k{i}", prose(), 1) for i in range(30)] + [("a", twice, 1), ("b", twice, 1), (None, "x y", 1)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, block int")
+    labels = spark.createDataFrame([("k1", 1, 0), (None, 1, 0)], "doc_id string, quality int, toxic int")
+    got = {r.doc_id: r.background_loss for r in lm_scoring.score(df, labels).collect()}
+    assert max(got["a"], got["b"]) < min(v for k, v in got.items() if k and k[0] == "k") - 1  # a copy is expected from its copy
+
+
 def test_mixing(docs, nothing, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_CHARS", 50)
     rows = mixing.mix(docs, {"s0": 1, "s1": 2, "s2": 1}).collect()
