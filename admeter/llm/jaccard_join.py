@@ -1,16 +1,19 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by signature trees.
 
 A document's set holds its distinct shingles of ``k`` words, A-Z in lower case (with fewer words, the whole sequence as
-one).  Two documents link when ``100 |both| >= percent |either|``.  The result is exact up to 64-bit hashes of shingles.
+one).  Two documents link when ``100 |both| >= percent |either|``.  The result is exact up to hashes: 64 bits of a shingle, 128 bits
+of a text or set.
 
 1. A fixed share of all shingles, chosen by their hash, is counted over all texts.  A document that links to another
    misses at most ``(100 - percent) %`` of its own shingles there, so if more than that of its counted shingles
    stand in no other text, it has no partner and is done.
-2. Of the documents left, those with equal sets become one, and all shingles are counted.  Rare shingles first, each
-   document is looked up by its first ``missable + 1`` shingles; two that link have one of these in common.  Star edges
-   from these keys give groups that contain all links.
+2. Of the documents left, those with equal sets become one.  The shingles of a set are dealt by their hash into so many parts that
+   two linked sets of its size differ in one shingle at most in some part; each part into ``PIECES``, and a part without one of
+   its pieces is a key, which the two then have in common.  As a key stands for several shingles, sets that share a
+   passage but not most of the text seldom meet.  Star edges from these keys give groups that contain all links.
 3. In each group a signature tree is traversed against itself.  Groups too large for a task are cut into blocks with
-   a few members that all blocks have; then what is not connected to a group's largest part meets every block.
+   a few members that all blocks have; then what is not connected to a group's largest part meets, by its keys, the sets that
+   have one of them.
 4. Components of the links; equal sets share theirs.
 
 No pairs are listed within a group: a tree gives the links that connect it, one less than its sets at most.
@@ -22,7 +25,9 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Words, as_bytes, repeats, saved, signed, small_batches
-from .components import components
+from .common import WordHashes, Words, as_bytes, mixed, repeats, saved, signed, small_batches
+from .components import PARTS, components, in_parts, part_of
 from .signature_tree import links
 from .substring_dedup import disguised, gathered
 
@@ -40,6 +45,8 @@ from .substring_dedup import disguised, gathered
 SAMPLED = 48
 #: Tokens of the sets in one task of step 3, and members that all blocks of a large group have.
 TASK_TOKENS, PIVOTS = 1 << 20, 32
+#: Pieces of a part of a set.
+PIECES = 4
 
 _hashes = WordHashes()
 
@@ -124,23 +131,68 @@ def document_sets(docs: DataFrame, shared: DataFrame, k: int, percent: int) -> D
     return saved(joined.mapInArrow(build, schema), "jaccard-sets")
 
 
-def candidate_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component): groups of sets (id, n, tokens) that contain all links."""
+@cache
+def size_classes(percent: int) -> list[int]:
+    """Least sizes of classes; sets that link are of one class or of two that follow each other."""
+    sizes = [1]
+    while sizes[-1] < 1 << 40:
+        sizes.append(sizes[-1] * 100 // percent + 1)
+    return sizes
+
+
+def parts_for(sizes: list[int], smaller: int, percent: int) -> tuple[int, int]:
+    """Parts for links whose smaller set is of a class, and in how many of these linked sets differ in one shingle at most; (0, 0) if only equal
+    sets link."""
+    differing = (sizes[smaller + 1] - 1) * (100 - percent) // percent
+    parts = (differing // 2 + 1) * 11 // 10 if differing else 0
+    return parts, parts - differing // 2 if differing else 0
+
+
+def keys_of(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set, such that two different sets that link have one in common.
+
+    A key that stands for no shingle is common to many sets.  It is sent only by sets in which so many parts have such keys that
+    all parts nearly alike in another set may be among them.
+    """
+    sizes = size_classes(percent)
+    own = bisect_right(sizes, len(tokens)) - 1
+    out = [np.empty(0, np.uint64)]
+    for smaller in range(max(own - 1, 0), own + 1):
+        parts, alike = parts_for(sizes, smaller, percent)
+        if not parts:
+            continue
+        seed = np.uint64((2 * smaller + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)
+        spread = mixed(tokens + seed)
+        place = (spread % np.uint64(parts * PIECES)).astype(np.int64)
+        total, count = np.zeros(parts * PIECES, np.uint64), np.bincount(place, minlength=parts * PIECES).reshape(parts, PIECES)
+        np.add.at(total, place, mixed(spread ^ seed))
+        total = total.reshape(parts, PIECES)
+        rest, filled = total.sum(axis=1, keepdims=True) - total, count.sum(axis=1, keepdims=True) > count
+        key = mixed(mixed(rest.ravel() + np.arange(parts * PIECES, dtype=np.uint64)) + seed)
+        out.append(key if (~filled.all(axis=1)).sum() >= alike else key[filled.ravel()])
+    return np.concatenate(out)
+
+
+def set_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, key): the keys of sets (id, tokens)."""
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                token = np.frombuffer(data, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.full(len(token), i)), pa.array(np.full(len(token), n))], ["token", "id", "n"])
-
-    rows = sets.select("id", "n", "tokens").mapInArrow(explode, "token bigint, id bigint, n bigint")
-    counted = rows.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    per_set = rows.join(counted, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "token"))).alias("common"))
-    lost = F.floor(F.col("n") * (100 - percent) / 100).cast("bigint")
-    alone = F.col("n") - F.size("common")
-    keys = per_set.where(alone <= lost).select("id", F.explode(F.slice("common", F.lit(1), (lost + 1 - alone).cast("int"))).alias("key"))
-    keys = saved(keys.select("id", "key.token"), "jaccard-keys")
-    centre = keys.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
-    stars = keys.join(centre, "token").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+            keys = [keys_of(np.frombuffer(t, np.uint64), percent) for t in batch.column(1).to_pylist()]
+            ids = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), signed(np.concatenate([np.empty(0, np.uint64), *keys]))], ["id", "key"])
+
+    return sets.select("id", "tokens").mapInArrow(explode, "id bigint, key bigint")
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, a, sets): keys that several sets have, the smallest of them and their number."""
+    return keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last"), F.count(F.lit(1)).alias("sets")).where("a <> last").drop("last")
+
+
+def candidate_groups(keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, component): groups of sets that contain all links."""
+    dealt = keys.withColumn("part", part_of(F.col("id"), PARTS))
+    stars = dealt.join(in_parts(shared, PARTS), ["key", "part"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     return components(stars)
 
 
@@ -163,8 +215,11 @@ def linked(groups: DataFrame, percent: int) -> DataFrame:
     return saved(groups.groupBy("g", "part").applyInArrow(find, "a bigint, b bigint"), "jaccard-links")
 
 
-def all_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(node, component) of the links of all groups."""
+def all_links(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the links of all sets (id, n, tokens)."""
+    keys = saved(set_keys(sets, percent), "jaccard-keys")
+    shared = saved(shared_keys(keys), "jaccard-shared-keys")
+    groups = candidate_groups(keys, shared)
     members = saved(sets.join(groups, sets.id == groups.node).select("node", "component", "n", "tokens"), "jaccard-members")
     sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"))
     parts = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS))
@@ -177,24 +232,41 @@ def all_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>")
     pivot = F.pmod(number, F.col("members")) < PIVOTS
     blocks = split.withColumn("part", F.explode(F.when(pivot, everywhere).otherwise(F.array("own"))))
-    columns = ["g", "part", "component", "node", "label", "tokens"]
     edges = linked(small.union(blocks.select(F.col("component").alias("g"), "part", "component", "node", F.col("node").alias("label"), "tokens")), percent)
     found = components(edges)
     if large.isEmpty():
         return found
-    # what the blocks left apart: every set outside the largest part of its group meets every block
-    state = saved(split.join(found.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-state")
+    # what the blocks left apart: every set outside the largest part of its group
+    state = saved(split.join(found.select("node", F.col("component").alias("label")), "node", "left").select(
+        "node", "component", "n", "tokens", F.coalesce("label", "node").alias("label")), "jaccard-state")
     counts = state.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
     main = counts.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    outside = state.join(main, "component").where("label <> main").drop("main")
+    outside = saved(state.join(main, "component").where("label <> main").select("node", "n"), "jaccard-outside")
     if outside.isEmpty():
         return found
-    chunks = outside.groupBy("component").agg(F.ceil(F.sum("n") / TASK_TOKENS).cast("int").alias("chunks"))
-    asked = outside.join(chunks, "component").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks"))).withColumn("own", F.explode(everywhere))
-    there = state.join(chunks, "component").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1).cast("array<bigint>")))
-    meet = asked.select("component", "own", "chunk", "node", "label", "tokens").union(there.select("component", "own", "chunk", "node", "label", "tokens"))
-    meet = meet.select(F.col("component").alias("g"), (F.col("own") * 1_000_003 + F.col("chunk")).alias("part"), "component", "node", "label", "tokens")
-    return components(edges.union(linked(meet.select(*columns), percent)))
+    return components(edges.union(linked(meetings(state, outside, keys, shared), percent)))
+
+
+def meetings(state: DataFrame, outside: DataFrame, keys: DataFrame, shared: DataFrame) -> DataFrame:
+    """(g, part, component, node, label, tokens): tasks in which every set of ``outside`` meets all sets of its group that share a key with it.
+
+    Keys are dealt to tasks; a set that has several keys of a task goes there once.  The sets of a key with too many for a task are cut
+    into chunks, and those of ``outside`` go to each of them.
+    """
+    n_of = state.select(F.col("node").alias("id"), "n")
+    dealt = keys.withColumn("part", part_of(F.col("id"), PARTS)).join(in_parts(shared.select("key"), PARTS), ["key", "part"], "left_semi")
+    asked = keys.join(outside.select(F.col("node").alias("id")), "id", "left_semi").join(shared.select("key"), "key", "left_semi").select("key").distinct()
+    rows = dealt.join(in_parts(asked, PARTS), ["key", "part"], "left_semi").join(n_of, "id").select("key", "id", "n", "part")
+    rows = saved(rows.join(outside.select(F.col("node").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False))), "jaccard-asked")
+    held = rows.groupBy("key").agg(F.sum("n").alias("total"))
+    tasks = max(1, -(-(held.agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS))
+    held = saved(held.withColumn("chunks", F.ceil(F.col("total") / TASK_TOKENS).cast("int")), "jaccard-asked-keys")
+    one = rows.join(in_parts(held.select("key", "chunks"), PARTS), ["key", "part"])
+    chunk = F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(part_of(F.col("id"), F.col("chunks")))))
+    task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "chunk"))
+    places = one.withColumn("chunk", chunk).select("id", task.alias("task")).distinct()
+    met = state.join(places, state.node == places.id)
+    return met.select(F.lit(-2).cast("bigint").alias("g"), F.col("task").alias("part"), "component", "node", "label", "tokens")
 
 
 def join(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,7 +279,7 @@ def join(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "
     same = saved(full.groupBy("low", "high").agg(F.min("id").alias("node")), "jaccard-same")
     one = full.where("tokens IS NOT NULL").join(same, ["low", "high"]).where("id = node").dropDuplicates(["id", "low", "high"]).select("id", "n", "tokens")
     one = saved(one, "jaccard-one")
-    found = all_links(one, candidate_groups(one, percent), percent)
+    found = all_links(one, percent)
     named = saved(same.join(found, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component_id")), "jaccard-components")
     linkable = F.col("n") > 0
     result = sets.select("id", "n", "low", "high").join(named, ["low", "high"], "left")

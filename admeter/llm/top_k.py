@@ -215,11 +215,15 @@ def one_group(rows: list, exact: DataFrame, cells: DataFrame, k: int) -> DataFra
     for q in group.values():
         q.reached = np.array([reached.get(int(n), -np.inf) for n in q.number])
     order = Window.partitionBy("query").orderBy(F.desc("upper"), "vec")
-    pairs = saved(near(cells, group).withColumn("place", F.row_number().over(order)), "top-k-pairs")
-    first = saved(scored(pairs.where(F.col("place") <= k).select("query", "vec"), exact, group), "top-k-first")
-    # the second join is on a row per query; a score as a double may be above it by half a unit in the last place, as bounds beyond EXACT are wide
-    known = kth(first, "score", k).select(F.col("query").alias("k_query"), F.col("score").cast("double").alias("k_score"))
-    rest = pairs.where(F.col("place") > k).join(known, F.col("query") == F.col("k_query")).where("upper >= k_score").select("query", "vec")
+    pairs = saved(near(cells, group), "top-k-pairs")
+    best = saved(pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k), "top-k-best")
+    first = saved(scored(best.select("query", "vec"), exact, group), "top-k-first")
+    last = best.where(F.col("place") == k).select(F.col("query").alias("l_query"), F.col("upper").alias("l_upper"), F.col("vec").alias("l_vec"))
+    # a row per query of the group, whose size GROUP_BYTES bounds; a query may have many pairs, which no task should gather
+    known = F.broadcast(last.join(kth(first, "score", k), F.col("query") == F.col("l_query")).select("l_query", "l_upper", "l_vec", F.col("score").cast("double").alias("k_score")))
+    further = (F.col("upper") < F.col("l_upper")) | (F.col("upper") == F.col("l_upper")) & (F.col("vec") > F.col("l_vec"))
+    # a score as a double may be above it by half a unit in the last place, but bounds beyond EXACT are wider
+    rest = pairs.join(known, F.col("query") == F.col("l_query")).where((F.col("upper") >= F.col("k_score")) & further).select("query", "vec")
     found = first.unionByName(scored(rest, exact, group))
     each = found.select("query_id", "score", F.explode(F.arrays_zip("ids", "times")).alias("m")).where(F.col("m.ids") != F.col("query_id"))
     return each.select("query_id", F.col("m.ids").alias("vec_id"), "score", F.explode(F.array_repeat(F.lit(0), F.col("m.times").cast("int")))).drop("col")

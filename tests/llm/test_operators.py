@@ -91,6 +91,56 @@ def test_jaccard_join(docs, texts, nothing, tokens, monkeypatch):
         assert jaccard_join.join(nothing, 4, 85).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_jaccard_keys(percent):
+    """Two sets that link share a key, whatever their sizes; sets with a tenth of their shingles in common hardly do."""
+    rng = np.random.default_rng(percent)
+    fresh = lambda n: rng.integers(0, 2 ** 63, n, dtype=np.uint64)
+    keys = lambda s: set(jaccard_join.keys_of(np.unique(s), percent).tolist())
+    linked = apart = 0
+    for _ in range(600):
+        n = int(rng.choice([1, 2, 3, 5, 8, 13, 30, 90, 250]))
+        both, a, b = fresh(n), fresh(rng.integers(0, n + 1)), fresh(rng.integers(0, n + 1))
+        a, b = a[:rng.integers(0, len(a) + 1) // 3], b[:rng.integers(0, len(b) + 1) // 3]
+        if len(a) + len(b) and 100 * n >= percent * (n + len(a) + len(b)):
+            linked += 1
+            assert keys(np.append(both, a)) & keys(np.append(both, b))
+        few = np.append(both, fresh(9 * n)), np.append(both, fresh(9 * n))
+        apart += bool(n >= 30 and percent >= 80 and keys(few[0]) & keys(few[1]))
+    assert linked > 20 and apart < 60
+
+
+def test_jaccard_join_grows_with_the_texts(spark, monkeypatch):
+    """Texts made of common passages, of which almost none link, in groups too large for a task: sets sent to trees."""
+    sent = {}
+    rng = random.Random(2)
+    passages = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(40)) for _ in range(30)]
+    monkeypatch.setattr(jaccard_join, "TASK_TOKENS", 20_000)
+    original = jaccard_join.linked
+    for n in (200, 400, 800):
+        sent[n] = 0
+
+        def counted(groups, percent, n=n):
+            sent[n] += groups.count()
+            return original(groups, percent)
+
+        monkeypatch.setattr(jaccard_join, "linked", counted)
+        docs = [(i, " ".join(random.Random(i).sample(passages, 8))) for i in range(n)]
+        jaccard_join.join(spark.createDataFrame(docs, "doc_id bigint, text string"), 4, 85).count()
+    assert all(sent[n] <= 10 * n for n in sent), sent
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    from admeter.llm import components as graph
+
+    monkeypatch.setattr(graph, "HOT", 20)
+    edges = [(0, i) for i in range(1, 200)] + [(1000 + i, 1001 + i) for i in range(150)] + [(5000, 4000), (4000, 3000), (6000, 5000)]
+    rng = random.Random(1)
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame([(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges], "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(200)}, **{1000 + i: 1000 for i in range(151)}, **{i: 3000 for i in (3000, 4000, 5000, 6000)}}
+
+
 def test_byte_bpe(docs, texts):
     file = public_tokenizers.path("byte_bpe_50k.tiktoken")
     enc = byte_bpe.encoder(file, public_tokenizers.PATTERN)
