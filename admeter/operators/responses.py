@@ -36,230 +36,238 @@ RECOMMENDATION_CRITERIA = {
 }
 # ------------------------------------------------------------------------------
 
-_LIST = "ARRAY<STRING>"
+# Values are read as VARIANT, so that one parse gives both a value and its type in the JSON: a typed parse would read the number 5 as
+# the text "5".  Only lists of objects and objects are typed; further fields of a reply may hold what they like.
 
+def _fields_of(fields) -> str:
+    return f"STRUCT<{', '.join(f'{f}:VARIANT' for f in fields)}>"
 
-def _struct_of(fields, extra: str = "") -> str:
-    body = ", ".join(f"{f}:STRING" for f in fields)
-    return f"STRUCT<{body}{', ' + extra if extra else ''}>"
 
-
-CARD = _struct_of(CARD_TEXT_FIELDS, f"what_you_should_do:{_LIST}")
-RECOMMENDATION_SCHEMA = f"STRUCT<recommendations:ARRAY<{CARD}>, _corrupt:STRING>"
-ANALYSIS_SECTION = (
-    "STRUCT<executive_summary:STRING, "
-    f"budget_and_efficiency:ARRAY<{_struct_of(INSIGHT_FIELDS)}>, "
-    f"results_and_value:ARRAY<{_struct_of(INSIGHT_FIELDS)}>, "
-    f"cross_channel_patterns_and_risks:ARRAY<{_struct_of(PATTERN_FIELDS)}>, "
-    f"channel_notes:ARRAY<STRUCT<platform:STRING, {', '.join(f'{n}:{_LIST}' for n in NOTE_LISTS)}>>, "
-    f"missing_info:{_LIST}>"
+SECTIONS = {"budget_and_efficiency": INSIGHT_FIELDS, "results_and_value": INSIGHT_FIELDS, "cross_channel_patterns_and_risks": PATTERN_FIELDS}
+RECOMMENDATION_SCHEMA = f"STRUCT<recommendations:ARRAY<{_fields_of([*CARD_TEXT_FIELDS, 'what_you_should_do'])}>, _corrupt:STRING>"
+ANALYSIS_SCHEMA = (
+    "STRUCT<analysis:STRUCT<executive_summary:VARIANT, "
+    + "".join(f"{name}:ARRAY<{_fields_of(fields)}>, " for name, fields in SECTIONS.items())
+    + f"channel_notes:ARRAY<{_fields_of(['platform', *NOTE_LISTS])}>, missing_info:VARIANT>, _corrupt:STRING>"
 )
-ANALYSIS_SCHEMA = f"STRUCT<analysis:{ANALYSIS_SECTION}, _corrupt:STRING>"
-# Scores are read as text and cast later, so that "3" and 3 are both taken.
-EVALUATION_SCHEMA = "STRUCT<evaluation:MAP<STRING,STRING>, _corrupt:STRING>"
+EVALUATION_SCHEMA = "STRUCT<evaluation:MAP<STRING,VARIANT>, _corrupt:STRING>"
 
 
 def parse_json(raw: Column, schema: str) -> Column:
-    """Typed reply; ``_corrupt`` holds the text when it is not JSON."""
+    """Typed reply; ``_corrupt`` holds the text when it does not fit."""
     return F.from_json(raw, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
 
 
-def parse_error(raw: Column, parsed: Column, json: Column) -> Column:
-    """Whether a reply is not a JSON object at all."""
-    return raw.isNull() | parsed.isNull() | (parsed["_corrupt"].isNotNull() & ~_is_object(raw, json))
-
+def _is_object(raw: Column) -> Column:
+    return F.try_parse_json(raw).isNotNull() & F.ltrim(raw).startswith("{")
 
-def _is_object(raw: Column, json: Column) -> Column:
-    return json.isNotNull() & F.ltrim(raw).startswith("{")
 
-
-def _misfit(raw: Column, parsed: Column, json: Column) -> Column:
-    """A JSON object that holds a value of another kind where an object or a list belongs."""
-    return only_if(F.coalesce(parsed["_corrupt"].isNotNull() & _is_object(raw, json), F.lit(False)), F.lit("a value is not an object or list"))
+def _faults(raw: Column, parsed: Column) -> tuple[Column, Column]:
+    """Whether a reply is not a JSON object at all, and whether it is one that holds another kind of value where an object or
+    a list belongs.  Only replies that did not fit are parsed again."""
+    corrupt = parsed["_corrupt"].isNotNull()
+    object_ = F.when(corrupt, _is_object(raw)).otherwise(F.lit(True))
+    return raw.isNull() | parsed.isNull() | ~object_, F.coalesce(corrupt & object_, F.lit(False))
 
 
 def _violation(condition: Column, text: str) -> Column:
     return only_if(F.coalesce(condition, F.lit(True)), F.lit(text))
 
 
-def _violations(*checks: Column) -> Column:
-    return F.concat(*checks)
+def _kind(value: Column) -> Column:
+    """Type in the JSON; "VOID" for a JSON null, null where the field is absent."""
+    return F.schema_of_variant(value)
+
 
+def _text(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "string")
 
-# A typed parse reads the number 5 as the text "5"; the types of the JSON itself tell them apart.  They are looked up
-# path by path, so that further fields of a reply may hold what they like.
 
-def _type_at(item: Column, field: str) -> Column:
-    """Type of a field of a JSON object; "VOID" for a JSON null, null where the field is absent."""
-    return F.schema_of_variant(F.try_variant_get(item, f"$['{field}']", "variant"))
+def _texts(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "array<string>")
 
 
-def _not_text(item: Column, field: str) -> Column:
+def _no_value(kind: Column) -> Column:
+    return F.coalesce(kind == "VOID", F.lit(True))
+
+
+def _not_text(kind: Column) -> Column:
     """Whether a field is given and not text."""
-    return F.coalesce(~_type_at(item, field).isin("STRING", "VOID"), F.lit(False))
+    return F.coalesce(~kind.isin("STRING", "VOID"), F.lit(False))
 
 
-def _not_list(item: Column, field: str, *, null_allowed: bool = True) -> Column:
-    """Whether a field is given and not a list of texts, all of them given."""
-    kind = _type_at(item, field)
-    entries = F.try_variant_get(item, f"$['{field}']", "array<variant>")
-    other = F.exists(entries, lambda e: F.coalesce(F.schema_of_variant(e) != "STRING", F.lit(True)))
-    wrong = F.coalesce(other, F.lit(True)) if not null_allowed else (kind != "VOID") & F.coalesce(other, F.lit(True))
-    return kind.isNotNull() & wrong
+def _list_kind(value: Column) -> Column:
+    """"none" for an absent or null list, "null" for a JSON null, "empty", "texts", or "other" for what is not a list of texts, all of them given."""
+    kind, texts = _kind(value), _texts(value)
+    given = F.coalesce(~F.exists(texts, lambda t: t.isNull()), F.lit(False))
+    return (
+        F.when(kind.isNull(), "none").when(kind == "VOID", "null").when(F.coalesce(F.size(texts) == 0, F.lit(False)), "empty")
+        .when((kind == "ARRAY<STRING>") & given, "texts").otherwise("other"))
 
 
-def _section(body: Column, name: str) -> Column:
-    return F.try_variant_get(body, f"$['{name}']", "array<variant>")
+def _kinds(items: Column, texts, lists=()) -> Column:
+    """Of each object of a list: the kinds of its fields."""
+    return F.transform(items, lambda i: F.struct(*[_kind(i[f]).alias(f) for f in texts], *[_list_kind(i[f]).alias(f) for f in lists]))
 
 
-def _wrong_types(items: list[tuple[Column, bool]], texts, lists, *, required: bool = False) -> list[Column]:
-    """Violations for fields that are not text, or not lists of text, in ``items``: (column, whether a list of objects)."""
-    def anywhere(test, field: str, **options) -> Column:
-        def at(item: Column) -> Column:
-            return test(item, field, **options)
+def _typed(items: Column, texts, lists=()) -> Column:
+    return F.transform(items, lambda i: F.struct(*[_text(i[f]).alias(f) for f in texts], *[_texts(i[f]).alias(f) for f in lists]))
 
-        return reduce(lambda a, b: a | b, [
-            F.coalesce(F.exists(item, at) if many else at(item), F.lit(False)) for item, many in items])
 
-    return [
-        *[only_if(anywhere(_not_text, f), F.lit(f"{f} is not text")) for f in texts],
-        *[only_if(anywhere(_not_list, f, null_allowed=not required), F.lit(f"{f} is not a list of text")) for f in lists],
-    ]
+def _any(items: Column, test) -> Column:
+    return F.coalesce(F.exists(items, test), F.lit(False))
 
 
-def _empty(items: Column) -> Column:
-    return items.isNull() | (F.size(items) == 0)
+def _not_a_list(kind: Column) -> Column:
+    return kind == "other"
 
 
-def _any_null(item: Column, fields) -> Column:
-    return reduce(lambda a, b: a | b, [item[f].isNull() for f in fields])
+def _finish(checked: DataFrame, bad_json: Column, checks: list[Column]) -> DataFrame:
+    out = checked.withColumns({"parse_error": bad_json, "violations": F.array_distinct(F.concat(*checks))})
+    return out.drop(*[c for c in out.columns if c.startswith("_reply")]).withColumn("valid", F.size("violations") == 0)
 
 
 def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for a recommendation reply."""
-    parsed = df.withColumns({"reply": parse_json(F.col(raw), RECOMMENDATION_SCHEMA),
-                             "_json": F.try_parse_json(F.col(raw))})
-    cards, bad_json = F.col("reply.recommendations"), parse_error(F.col(raw), F.col("reply"), F.col("_json"))
-    checks = [_violation(bad_json, "not a JSON object"), _misfit(F.col(raw), F.col("reply"), F.col("_json"))]
-    readable = ~bad_json
-    checks.append(_violation(readable & cards.isNull(), "recommendations is missing"))
-    held = readable & cards.isNotNull()
-    checks.append(_violation(held & (F.size(cards) != CARDS_PER_REPLY), f"not exactly {CARDS_PER_REPLY} cards"))
+    parsed, cards = df.withColumn("_reply", parse_json(F.col(raw), RECOMMENDATION_SCHEMA)), F.col("_reply.recommendations")
+    lists = ("what_you_should_do",)
+    done = parsed.withColumns({
+        "reply": F.when(F.col("_reply").isNotNull(), F.struct(_typed(cards, CARD_TEXT_FIELDS, lists).alias("recommendations"), F.col("_reply._corrupt").alias("_corrupt"))),
+        "_reply_kinds": _kinds(cards, CARD_TEXT_FIELDS, lists),
+        "_reply_priorities": F.transform(cards, lambda c: _text(c["priority"])),
+    })
+    bad_json, misfit = _faults(F.col(raw), F.col("_reply"))
+    kinds = F.col("_reply_kinds")
+    checks = [_violation(bad_json, "not a JSON object"), only_if(misfit, F.lit("a value is not an object or list")),
+              _violation(~bad_json & kinds.isNull(), "recommendations is missing")]
+    held = ~bad_json & kinds.isNotNull()
+    checks.append(_violation(held & (F.size(kinds) != CARDS_PER_REPLY), f"not exactly {CARDS_PER_REPLY} cards"))
     for field in CARD_TEXT_FIELDS:
-        checks.append(_violation(held & F.exists(cards, lambda c: c[field].isNull()), f"{field} is missing"))
-    checks.append(_violation(
-        held & F.exists(cards, lambda c: c["priority"].isNotNull() & ~c["priority"].isin(*PRIORITIES)),
-        "priority is not High, Medium or Low"))
-    checks.append(_violation(
-        held & F.exists(cards, lambda c: _empty(c["what_you_should_do"])), "what_you_should_do is empty"))
-    types = _wrong_types([(_section(F.col("_json"), "recommendations"), True)], CARD_TEXT_FIELDS, ("what_you_should_do",))
-    return _finish(parsed, bad_json, [*checks, *types])
+        checks.append(_violation(held & _any(kinds, _lacks(field)), f"{field} is missing"))
+    other = _any(F.col("_reply_priorities"), lambda p: p.isNotNull() & ~p.isin(*PRIORITIES))
+    checks.append(_violation(held & other, "priority is not High, Medium or Low"))
+    checks.append(_violation(held & _any(kinds, lambda c: c["what_you_should_do"].isin("none", "null", "empty") | c["what_you_should_do"].isNull()), "what_you_should_do is empty"))
+    checks += _type_checks(kinds, CARD_TEXT_FIELDS, lists)
+    return _finish(done, bad_json, checks)
+
+
+def _lacks(field: str):
+    return lambda item: _no_value(item[field])
+
+
+def _type_checks(kinds: Column, texts, lists=()) -> list[Column]:
+    """Violations for fields that are not text, or not lists of text, in some object of a list."""
+    def wrong(test, field: str):
+        return lambda item: F.coalesce(test(item[field]), F.lit(False))
+
+    return [
+        *[only_if(_any(kinds, wrong(_not_text, f)), F.lit(f"{f} is not text")) for f in texts],
+        *[only_if(_any(kinds, wrong(_not_a_list, f)), F.lit(f"{f} is not a list of text")) for f in lists],
+    ]
 
 
 def check_analyses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add ``reply``, ``parse_error``, ``violations`` and ``valid`` for an analysis reply."""
-    parsed = df.withColumns({"reply": parse_json(F.col(raw), ANALYSIS_SCHEMA),
-                             "_json": F.try_parse_json(F.col(raw))})
-    body, bad_json = F.col("reply.analysis"), parse_error(F.col(raw), F.col("reply"), F.col("_json"))
+    parsed, body = df.withColumn("_reply", parse_json(F.col(raw), ANALYSIS_SCHEMA)), F.col("_reply.analysis")
+    typed = F.struct(
+        _text(body["executive_summary"]).alias("executive_summary"), *[_typed(body[s], fields).alias(s) for s, fields in SECTIONS.items()],
+        _typed(body["channel_notes"], ("platform",), NOTE_LISTS).alias("channel_notes"), _texts(body["missing_info"]).alias("missing_info"))
+    done = parsed.withColumns({
+        "reply": F.when(F.col("_reply").isNotNull(), F.struct(F.when(body.isNotNull(), typed).alias("analysis"), F.col("_reply._corrupt").alias("_corrupt"))),
+        "_reply_summary": _kind(body["executive_summary"]), "_reply_length": F.char_length(_text(body["executive_summary"])),
+        "_reply_missing": _list_kind(body["missing_info"]), "_reply_notes": _kinds(body["channel_notes"], ("platform",), NOTE_LISTS),
+        **{f"_reply_{s}": _kinds(body[s], fields) for s, fields in SECTIONS.items()},
+    })
+    bad_json, misfit = _faults(F.col(raw), F.col("_reply"))
     checks = [
         _violation(bad_json, "not a JSON object"),
-        _misfit(F.col(raw), F.col("reply"), F.col("_json")),
+        only_if(misfit, F.lit("a value is not an object or list")),
         _violation(~bad_json & body.isNull(), "analysis is missing"),
     ]
     held = ~bad_json & body.isNotNull()
-    summary = body["executive_summary"]
     checks.append(_violation(
-        held & (summary.isNull() | (F.char_length(summary) < MIN_SUMMARY_LENGTH)),
-        f"executive_summary is shorter than {MIN_SUMMARY_LENGTH} characters"))
-    for section, fields in (("budget_and_efficiency", INSIGHT_FIELDS), ("results_and_value", INSIGHT_FIELDS),
-                            ("cross_channel_patterns_and_risks", PATTERN_FIELDS)):
-        items = body[section]
+        held & F.coalesce(F.col("_reply_length") < MIN_SUMMARY_LENGTH, F.lit(True)), f"executive_summary is shorter than {MIN_SUMMARY_LENGTH} characters"))
+    types = [only_if(_not_text(F.col("_reply_summary")), F.lit("executive_summary is not text"))]
+    for section, fields in SECTIONS.items():
+        items = F.col(f"_reply_{section}")
         checks.append(_violation(held & items.isNull(), f"{section} is missing"))
-        checks.append(_violation(
-            held & F.coalesce(F.exists(items, lambda i: _any_null(i, fields)), F.lit(False)),
-            f"{section} has an incomplete item"))
-    notes = body["channel_notes"]
-    checks.append(_violation(held & _empty(notes), "channel_notes is empty"))
-    checks.append(_violation(
-        held & F.coalesce(F.exists(notes, lambda n: n["platform"].isNull() | reduce(
-            lambda a, b: a | b, [_empty(n[f]) for f in NOTE_LISTS])), F.lit(False)),
-        "channel_notes has an incomplete note"))
-    report = F.try_variant_get(F.col("_json"), "$.analysis", "variant")
-    insights = [(_section(report, s), True) for s in ("budget_and_efficiency", "results_and_value")]
-    patterns = [(_section(report, "cross_channel_patterns_and_risks"), True)]
-    channels = [(_section(report, "channel_notes"), True)]
-    types = [
-        *_wrong_types([(report, False)], ("executive_summary",), ()),
-        *_wrong_types(insights, INSIGHT_FIELDS, ()), *_wrong_types(patterns, PATTERN_FIELDS, ()),
-        *_wrong_types(channels, ("platform",), NOTE_LISTS),
-        # this list may be absent, but not null
-        *_wrong_types([(report, False)], (), ("missing_info",), required=True),
-    ]
-    return _finish(parsed, bad_json, [*checks, *types])
+        checks.append(_violation(held & _any(items, _lacks_any(fields)), f"{section} has an incomplete item"))
+        types += _type_checks(items, fields)
+    notes = F.col("_reply_notes")
+    checks.append(_violation(held & (notes.isNull() | (F.size(notes) == 0)), "channel_notes is empty"))
+    unfilled = lambda n: reduce(lambda a, b: a | b, [F.coalesce(n[f].isin("none", "null", "empty"), F.lit(True)) for f in NOTE_LISTS])
+    checks.append(_violation(held & _any(notes, lambda n: _no_value(n["platform"]) | unfilled(n)), "channel_notes has an incomplete note"))
+    types += _type_checks(notes, ("platform",), NOTE_LISTS)
+    # this list may be absent, but not null
+    types.append(only_if(F.coalesce(F.col("_reply_missing").isin("null", "other"), F.lit(False)), F.lit("missing_info is not a list of text")))
+    return _finish(done, bad_json, [*checks, *types])
 
 
-def _finish(parsed: DataFrame, bad_json: Column, checks: list[Column]) -> DataFrame:
-    out = parsed.withColumns({"parse_error": bad_json, "violations": F.array_distinct(_violations(*checks))}).drop("_json")
-    return out.withColumn("valid", F.size("violations") == 0)
+def _lacks_any(fields):
+    return lambda item: reduce(lambda a, b: a | b, [_no_value(item[f]) for f in fields])
 
 
 def _lookup(fields: Column, names) -> Column:
     return F.coalesce(*[F.element_at(fields, n) for n in names])
 
 
-def _score_columns(fields: Column, criteria: dict[str, tuple[str, ...]]) -> dict[str, Column]:
-    return {name: json_int(_lookup(fields, [f"{s}_score" for s in spellings])) for name, spellings in criteria.items()}
-
-
 def _check_evaluation(df: DataFrame, raw: str, criteria: dict[str, tuple[str, ...]], top: int, *,
                       fixed_verdicts: bool, defaults: dict[str, int], with_total: bool,
                       require_total_match: bool) -> DataFrame:
-    parsed = df.withColumns({"_reply": parse_json(F.col(raw), EVALUATION_SCHEMA), "_json": F.try_parse_json(F.col(raw))})
-    given = F.try_variant_get(F.col("_json"), "$.evaluation", "variant")
-    fields, bad_json = F.col("_reply.evaluation"), parse_error(F.col(raw), F.col("_reply"), F.col("_json"))
+    parsed, fields = df.withColumn("_reply", parse_json(F.col(raw), EVALUATION_SCHEMA)), F.col("_reply.evaluation")
+    names = {f"{kind}_{n}": [f"{s}_{kind}" for s in spellings] for n, spellings in criteria.items() for kind in ("score", "reasoning")}
+    names |= {n: [n] for n in ("verdict", "key_issues", "improvement_suggestions", "hallucination_checklist", "total_score")}
+    # each field is looked up once; a JSON null counts as absent where another spelling is given
+    found = parsed.withColumn("_reply_fields", F.struct(*[_first_given(fields, spellings).alias(n) for n, spellings in names.items()]))
+    of = lambda name: F.col("_reply_fields").getField(name)
+    lists = ("key_issues", "improvement_suggestions")
+    values = found.withColumns({
+        "_reply_text": F.struct(*[_text(of(n)).alias(n) for n in names if n not in (*lists, "hallucination_checklist")]),
+        "_reply_kinds": F.struct(*[_kind(of(n)).alias(n) for n in names if n not in lists], *[_list_kind(of(n)).alias(n) for n in lists]),
+    })
+    text = lambda name: F.col("_reply_text").getField(name)
+    kind = lambda name: F.col("_reply_kinds").getField(name)
+    bad_json, misfit = _faults(F.col(raw), F.col("_reply"))
     held = ~bad_json & fields.isNotNull()
     checks = [
         _violation(bad_json, "not a JSON object"),
-        _misfit(F.col(raw), F.col("_reply"), F.col("_json")),
+        only_if(misfit, F.lit("a value is not an object or list")),
         _violation(~bad_json & fields.isNull(), "evaluation is missing"),
     ]
-    values = _score_columns(fields, criteria)
     scores = {}
-    for name, spellings in criteria.items():
-        score = values[name]
+    for name in criteria:
+        score = json_int(text(f"score_{name}"))
         if name in defaults:
-            found = _lookup(fields, [f"{s}_score" for s in spellings])
-            score = F.when(found.isNull(), F.lit(defaults[name])).otherwise(score)
+            score = F.when(_no_value(kind(f"score_{name}")), F.lit(defaults[name])).otherwise(score)
         scores[name] = score
         checks.append(_violation(held & (score.isNull() | ~score.between(1, top)), f"{name} score is not 1..{top}"))
-        reasoning = _lookup(fields, [f"{s}_reasoning" for s in spellings])
-        checks.append(_violation(held & reasoning.isNull(), f"{name} reasoning is missing"))
-        not_text = reduce(lambda a, b: a | b, [_not_text(given, f"{s}_reasoning") for s in spellings])
-        checks.append(_violation(held & not_text, f"{name} reasoning is not text"))
-    verdict = F.element_at(fields, "verdict")
+        checks.append(_violation(held & _no_value(kind(f"reasoning_{name}")), f"{name} reasoning is missing"))
+        checks.append(_violation(held & _not_text(kind(f"reasoning_{name}")), f"{name} reasoning is not text"))
+    verdict = text("verdict")
     wrong = verdict.isNull() | ~verdict.isin(*VERDICTS) if fixed_verdicts else verdict.isNull()
-    checks.append(_violation(held & (wrong | _not_text(given, "verdict")), "verdict is missing or unknown"))
-    lists = {}
-    for name in ("key_issues", "improvement_suggestions"):
-        lists[name] = F.from_json(F.element_at(fields, name), _LIST)
-        absent = _type_at(given, name).isNull()
-        checks.append(_violation(held & (absent | _not_list(given, name, null_allowed=False)), f"{name} is not a list"))
+    checks.append(_violation(held & (wrong | _not_text(kind("verdict"))), "verdict is missing or unknown"))
+    for name in lists:
+        checks.append(_violation(held & ~kind(name).isin("empty", "texts"), f"{name} is not a list"))
     out = {
         "scores": F.struct(*[c.alias(n) for n, c in scores.items()]),
-        "reasoning": F.struct(*[_lookup(fields, [f"{s}_reasoning" for s in spellings]).alias(n)
-                                for n, spellings in criteria.items()]),
-        "verdict": verdict, **lists,
-        "hallucination_checklist": F.from_json(F.element_at(fields, "hallucination_checklist"), "MAP<STRING,STRING>"),
+        "reasoning": F.struct(*[text(f"reasoning_{n}").alias(n) for n in criteria]),
+        "verdict": verdict, **{n: _texts(of(n)) for n in lists},
+        "hallucination_checklist": F.try_variant_get(of("hallucination_checklist"), "$", "map<string,string>"),
     }
     if with_total:
-        total = json_int(F.element_at(fields, "total_score"))
+        total = json_int(text("total_score"))
         right = F.coalesce(total == reduce(lambda a, b: a + b, scores.values()), F.lit(False))
         checks.append(_violation(held & total.isNull(), "total_score is missing"))
         if require_total_match:
             checks.append(_violation(held & total.isNotNull() & ~right, "total_score is not the sum of the scores"))
         out |= {"total_score": total, "total_ok": right}
-    out |= {"parse_error": bad_json, "violations": _violations(*checks)}
-    return parsed.withColumns(out).withColumn("valid", F.size("violations") == 0).drop("_reply", "_json")
+    out |= {"parse_error": bad_json, "violations": F.concat(*checks)}
+    return values.withColumns(out).drop("_reply", "_reply_fields", "_reply_text", "_reply_kinds").withColumn("valid", F.size("violations") == 0)
+
+
+def _first_given(fields: Column, spellings) -> Column:
+    values = [F.element_at(fields, n) for n in spellings]
+    return values[0] if len(values) == 1 else F.coalesce(*[F.when(~F.is_variant_null(v), v) for v in values])
 
 
 def check_analysis_evaluations(df: DataFrame, raw: str = "raw", *, require_total_match: bool = True) -> DataFrame:
@@ -323,6 +331,9 @@ def prefer_provided(df: DataFrame, provided: str, generated: str, output: str =
 
 
 def explode_cards(checked: DataFrame) -> DataFrame:
-    """One row per action card, numbered from 0, next to the other columns."""
+    """One row per action card, numbered from 0, next to the other columns.
+
+    The outer form and a filter on its result, as a filter on the list itself would parse each reply once more.
+    """
     rest = [c for c in checked.columns if c != "reply"]
-    return checked.select(*rest, F.posexplode("reply.recommendations").alias("card_no", "card"))
+    return checked.select(*rest, F.posexplode_outer("reply.recommendations").alias("card_no", "card")).filter(F.col("card_no").isNotNull())

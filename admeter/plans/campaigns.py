@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import cohorts, prompts, responses, scoring, stages, summary
+from ..operators import cohorts, ledger, prompts, responses, scoring, stages, summary
 from ..operators.clean import clean, first_rows
 from ..schema import canonicalize, validate_required
-from ..sinks import archive_prompts, write_results, write_run_table
+from ..sinks import Attempt, archive_prompts
 from ..sources import load
 
 Model = Callable[[list[dict]], str]
 
+# stage of the ledger: its table of checked replies
+STAGE_TABLES = {
+    "analysis": "analyses", "recommendation": "recommendations", "analysis_evaluation": "analysis_evaluations",
+    "recommendation_evaluation": "recommendation_evaluations",
+}
+
 
 def prepare(spark: SparkSession, source, *, format: str | None = None, options: dict | None = None,
             strict: bool = True, drop_all_null_columns: bool = True, **cleaning) -> DataFrame:
@@ -34,18 +40,6 @@ def ingest(spark: SparkSession, source, *, format: str | None = None, options: d
     return validate_required(canonicalize(raw), ordinal, strict)
 
 
-def _saved(spark: SparkSession, df: DataFrame, path: str, run_id: str) -> DataFrame:
-    """Write a run table and read the run back: later steps start from the table."""
-    stamped = df.withColumn("run_id", F.lit(run_id))
-    write_run_table(stamped, path, mode="replace")
-    return _run_of(spark, stamped, path, run_id).drop("run_id")
-
-
-def _run_of(spark: SparkSession, written: DataFrame, path: str, run_id: str) -> DataFrame:
-    """The rows of a run; the schema is given, as a run without rows leaves no file to read it from."""
-    return spark.read.schema(written.schema).parquet(path).filter(F.col("run_id") == run_id)
-
-
 def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, format: str | None = None,
                   options: dict | None = None, row_limit: int | None = None, batch_size: int = 6,
                   rows_per_part: int = 1000, templates: DataFrame | None = None,
@@ -58,63 +52,63 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
     executor never repeats a model call that was saved, and the cleaned rows are
     computed once.  Without models the flow stops at the analysis prompts; replies
     can then be joined from a table (``responses.attach_responses``).
+
+    The tables count as the run's once all are written (``sinks.commits``): a run that is repeated under its id is replaced as a
+    whole, and one that breaks off leaves the last committed tables as they were.  The table ``ledger`` beside them has one row
+    for every cohort.
     """
     templates = templates if templates is not None else prompts.default_templates(spark)
-    ingested = _saved(spark, ingest(spark, source, format=format, options=options, strict=strict),
-                      f"{base_dir}/_audit/ingested", run_id)
-    cleaned = _saved(spark, clean(ingested, **cleaning), f"{base_dir}/_audit/processed", run_id)
+    attempt = Attempt(spark, base_dir, run_id)
+    ingested = attempt.write(ingest(spark, source, format=format, options=options, strict=strict), "_audit/ingested", partition_by=())
+    cleaned = attempt.write(clean(ingested.drop("run_id"), **cleaning), "_audit/processed", partition_by=()).drop("run_id")
     if cleaned.isEmpty():
         raise ValueError("no rows are left after cleaning")
     rows, rejects = cohorts.assign(first_rows(cleaned, row_limit), batch_size=batch_size)
     if rejects is not None:
-        rejects = _saved(spark, rejects, f"{base_dir}/_audit/rejects", run_id)
+        rejects = attempt.write(rejects, "_audit/rejects", partition_by=()).drop("run_id")
 
     context = cohorts.first_row_context(rows)
     summaries = summary.row_summaries(cohorts.row_positions(cohorts.with_goal(rows, context)))
-    summaries = _saved(spark, summaries, f"{base_dir}/enriched_rows", run_id)
-    context = _saved(spark, context, f"{base_dir}/context", run_id)
-    payloads = _saved(spark, summary.cohort_payloads(summaries, rows_per_part=rows_per_part),
-                      f"{base_dir}/enriched_summary", run_id)
+    summaries = attempt.write(summaries, "enriched_rows", partition_by=()).drop("run_id")
+    context = attempt.write(context, "context", partition_by=()).drop("run_id")
+    payloads = attempt.write(summary.cohort_payloads(summaries, rows_per_part=rows_per_part), "enriched_summary", partition_by=()).drop("run_id")
     tables = {"rejects": rejects, "context": context, "summaries": summaries, "payloads": payloads}
 
-    def kept(table: DataFrame, name: str) -> DataFrame:
-        write_results(table, base_dir, name, format="parquet", mode="replace")
-        return _run_of(spark, table, f"{base_dir}/{name}", run_id)
-
     def ask(table: DataFrame, stage: str) -> DataFrame:
         """A stage's prompts, rendered once: the archive and the model both get what was saved."""
-        asked = kept(table.withColumn("run_id", F.lit(run_id)), f"{stage}_messages")
-        _archive(asked, base_dir)
+        asked = attempt.write(table, f"{stage}_messages")
+        text = archive_prompts(asked.withColumn("text", prompts.archive_text(F.col("messages")))).withColumnRenamed("attempt", "prompt_no")
+        # several stages archive prompts of one run
+        attempt.write(text.select("cohort_id", "part", "prompt_name", "prompt_no", "unresolved", "text"), "prompts",
+                      partition_by=("cohort_id", "prompt_name"), mode="append")
         return asked
 
     def replies(asked: DataFrame, model: Model, stage: str) -> DataFrame:
-        return kept(stages.call_model(asked, model, stage=stage, max_parallel=max_parallel), f"{stage}_replies")
+        return attempt.write(stages.call_model(asked, model, stage=stage, max_parallel=max_parallel), f"{stage}_replies")
+
+    def done() -> dict[str, DataFrame]:
+        checked = {stage: tables[name] for stage, name in STAGE_TABLES.items() if name in tables}
+        attempt.write(ledger.outcome_ledger(context, checked), "ledger", partition_by=())
+        attempt.commit()
+        return tables
 
     asked = ask(prompts.analysis_prompts(payloads, context, templates), "analysis")
     tables["analysis_prompts"] = asked
     if analysis_model is None:
-        return tables
-    analyses = kept(responses.check_analyses(replies(asked, analysis_model, "analysis")), "analyses")
+        return done()
+    analyses = attempt.write(responses.check_analyses(replies(asked, analysis_model, "analysis")), "analyses")
     tables["analyses"] = analyses
     if recommendation_model is not None:
         usable = analyses.filter("valid").select("cohort_id", "part", F.to_json("reply.analysis").alias("analysis"))
         asked = ask(prompts.recommendation_prompts(payloads, context, usable, templates), "recommendation")
         tables["recommendation_prompts"] = asked
-        tables["recommendations"] = kept(
+        tables["recommendations"] = attempt.write(
             responses.check_recommendations(replies(asked, recommendation_model, "recommendation")), "recommendations")
     if evaluation_models is not None:
         scored = evaluate_run(payloads, context, analyses, tables.get("recommendations"), templates,
                               evaluation_models, ask, replies)
-        tables |= {name: kept(table, name) for name, table in scored.items()}
-    return tables
-
-
-def _archive(asked: DataFrame, base_dir: str) -> None:
-    """Number and write a stage's prompts as readable text."""
-    text = archive_prompts(asked.withColumn("text", prompts.archive_text(F.col("messages"))))
-    # several stages archive prompts of one run, so each kind has partitions of its own
-    write_run_table(text.select("cohort_id", "run_id", "part", "prompt_name", "attempt", "unresolved", "text"), f"{base_dir}/prompts",
-                    partition_by=("cohort_id", "run_id", "prompt_name"), mode="replace")
+        tables |= {name: attempt.write(table, name) for name, table in scored.items()}
+    return done()
 
 
 def evaluate_run(payloads: DataFrame, context: DataFrame, analyses: DataFrame, cards: DataFrame | None,

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import compare
-from ..sinks import write_run_table
+from ..sinks import read_committed, write_run_table
 from ..sources import evaluation_records, read_result_text
 from ..sources.runs import ANALYSIS_EVALUATION, RECOMMENDATION_EVALUATION, list_results
 
@@ -21,18 +20,9 @@ def compare_versions(records: DataFrame, module_type: str, *, last_n: int | None
     return compare.sort_versions(compare.version_summary(flat, module_type, last_n=last_n))
 
 
-def _table(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def _scores_of_flow(spark: SparkSession, base_dir: str, module_type: str) -> tuple[DataFrame | None, DataFrame | None]:
-    """Runs and flat scores of the tables that ``run_campaigns`` writes; a run's cohorts are those with a prompt."""
-    runs, saved = _table(spark, f"{base_dir}/analysis_messages"), _table(spark, f"{base_dir}/{module_type}_evaluations")
+    """Runs and flat scores of the tables that ``run_campaigns`` committed; a run's cohorts are those with a prompt."""
+    runs, saved = read_committed(spark, base_dir, "analysis_messages"), read_committed(spark, base_dir, f"{module_type}_evaluations")
     if runs is not None:
         runs = runs.select("cohort_id", "run_id")
     if saved is None:
@@ -63,7 +53,7 @@ def compare_runs(spark: SparkSession, base_dir: str, module_type: str, *, last_n
     except FileNotFoundError:
         if not found:
             raise
-    scores = [f for _, f in found if f is not None]
+    scores = [f for _, f in found if f is not None and not f.isEmpty()]
     if not scores:
         raise FileNotFoundError(f"no {module_type} scores below {base_dir}")
     flat = compare.union_runs(scores)

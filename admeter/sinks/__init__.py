@@ -1,7 +1,9 @@
+from .commits import Attempt, committed, read_committed
 from .writers import (
-    append_scores, archive_prompts, stamp_run, write_dated_json, write_results, write_run_table,
+    append_prompts, append_scores, archive_prompts, high_water, stamp_run, write_dated_json, write_results, write_run_table,
 )
 
 __all__ = [
-    "append_scores", "archive_prompts", "stamp_run", "write_dated_json", "write_results", "write_run_table",
+    "Attempt", "append_prompts", "append_scores", "archive_prompts", "committed", "high_water", "read_committed", "stamp_run",
+    "write_dated_json", "write_results", "write_run_table",
 ]

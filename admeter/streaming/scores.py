@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.compare import flatten_scores
+from ..sinks import append_scores
 from ..sources.runs import PATH_PARTS, RESULT_GLOB, evaluation_records
 
 
@@ -29,10 +30,13 @@ def score_stream(spark: SparkSession, base_dir: str, file_name: str, module_type
 
 
 def append_score_stream(scores: DataFrame, path: str, checkpoint_dir: str, *, format: str = "parquet",
-                        available_now: bool = True) -> StreamingQuery:
-    """Append a score stream to a table, once per file also after a restart.  Starts a query."""
+                        available_now: bool = True, keys=("cohort_id", "version")) -> StreamingQuery:
+    """Append a score stream to a table, once per run of a cohort.  Starts a query.
+
+    A batch that is tried again, or a stream that starts over without its checkpoint, finds its runs in the table and leaves them out.
+    """
     writer = (
-        scores.writeStream.outputMode("append").format(format)
-        .option("path", path).option("checkpointLocation", checkpoint_dir)
+        scores.writeStream.option("checkpointLocation", checkpoint_dir)
+        .foreachBatch(lambda batch, _: append_scores(batch, path, format, keys=keys))
     )
     return (writer.trigger(availableNow=True) if available_now else writer).start()
