@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..functions.scalar import micros
 from .responses import ANALYSIS_CRITERIA
 from .scoring import AVERAGED_CRITERIA
 
@@ -90,6 +91,29 @@ def version_summary(df: DataFrame, module_type: str, *, cohort: str = "cohort_id
     return summary if last_n is None else _newest(summary, "version", last_n, cohort)
 
 
+STATE_KEYS = ("version", "metric")
+
+
+def summary_state(df: DataFrame, module_type: str, *, cohort: str = "cohort_id") -> DataFrame:
+    """What a mean needs of scored rows: ``cohort, version, metric, total, n``; totals in whole millionths, so their order doesn't matter."""
+    check_score_columns(df, module_type)
+    long = df.unpivot([cohort, "version"], list(metrics_of(module_type)), "metric", "score").filter(F.col("score").isNotNull())
+    return long.groupBy(cohort, *STATE_KEYS).agg(F.sum(micros(F.col("score"))).cast("decimal(38,0)").alias("total"), F.count("*").alias("n"))
+
+
+def merge_states(*states: DataFrame, cohort: str = "cohort_id") -> DataFrame:
+    """One state of several: of the stored one and of those of new runs, in any order."""
+    both = reduce(lambda a, b: a.unionByName(b), states)
+    return both.groupBy(cohort, *STATE_KEYS).agg(F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("n").alias("n"))
+
+
+def summary_of_state(state: DataFrame, module_type: str, *, cohort: str = "cohort_id", last_n: int | None = None) -> DataFrame:
+    """The version summary that a state holds, as ``version_summary`` gives it; reads a few rows per version, however many were scored."""
+    mean = F.col("total").cast("double") / F.lit(1e6) / F.col("n")
+    summary = state.groupBy(cohort, "version").agg(*[F.max(F.when(F.col("metric") == m, mean)).alias(m) for m in metrics_of(module_type)])
+    return summary if last_n is None else _newest(summary, "version", last_n, cohort)
+
+
 def sort_versions(summary: DataFrame, *, cohort: str = "cohort_id") -> DataFrame:
     return summary.orderBy(cohort, "version")
 

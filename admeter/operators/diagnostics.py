@@ -102,17 +102,42 @@ def mer_decline(df: DataFrame, **options) -> DataFrame:
     return kpi_trend(df, ["mer"], **options).filter(F.col("mer_change") < 0)
 
 
-def with_thresholds(df: DataFrame, quantiles: dict[str, tuple[str, float]], *, cohort: str = "cohort_id") -> DataFrame:
-    """Add per-cohort quantiles: ``{output: (column, q)}``.
+# Bins of the quantile sketch: 32 for each doubling of a value's size.
+BINS = 32.0
+
+
+def _bin(value: Column) -> Column:
+    """A whole number that never falls as the value rises."""
+    size = F.floor(F.log2(F.abs(value)) * BINS) + 40_000
+    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
+
 
-    Quantiles are exact and discrete.  Values have two decimals, and tasks merge
-    counts per distinct value, so what is gathered does not grow with the rows.
+def exact_quantiles(df: DataFrame, quantiles: dict[str, tuple[str, float]], *, by: str) -> DataFrame:
+    """One row per group: ``by`` and, for each ``{output: (column, q)}``, the least value that a share of ``q`` of the values does not exceed.
+
+    Counts of logarithmic bins, a sketch that any two tasks' rows merge into by adding, tell in which bin a quantile lies and how
+    far up; only the different values of that bin are then counted.  No task holds the values of a group.
     """
-    cuts = df.groupBy(cohort).agg(*[
-        F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})").alias(name)
-        for name, (column, q) in quantiles.items()
-    ])
-    return df.join(cuts, cohort)
+    value = F.array(*[F.struct(F.lit(name).alias("name"), F.col(column).cast("double").alias("value"), F.lit(float(q)).alias("q")) for name, (column, q) in quantiles.items()])
+    long = df.select(by, F.explode(value).alias("x")).select(by, "x.*").filter(F.col("value").isNotNull())
+    # one count per value of two decimals, made before the shuffle
+    counted = long.groupBy(by, "name", "q", "value").agg(F.count("*").alias("n")).withColumn("bin", _bin(F.col("value")))
+    bins = counted.groupBy(by, "name", "q", "bin").agg(F.sum("n").alias("n"))
+    group = W.partitionBy(by, "name")
+    upto = F.sum("n").over(group.orderBy("bin"))
+    rank = F.greatest(F.ceil(F.col("q") * F.sum("n").over(group)), F.lit(1))
+    placed = bins.withColumns({"upto": upto, "rank": rank}).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+    cut = placed.select(F.col(by).alias("_by"), F.col("name").alias("_name"), F.col("bin").alias("_bin"), (F.col("rank") - F.col("upto") + F.col("n")).alias("_left"))
+    inside = counted.join(cut, F.col(by).eqNullSafe(F.col("_by")) & (F.col("name") == F.col("_name")) & (F.col("bin") == F.col("_bin")))
+    running = inside.withColumn("_upto", F.sum("n").over(W.partitionBy(by, "name").orderBy("value")))
+    found = running.filter(F.col("_upto") >= F.col("_left")).groupBy(by, "name").agg(F.min("value").alias("value"))
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in quantiles])
+
+
+def with_thresholds(df: DataFrame, quantiles: dict[str, tuple[str, float]], *, cohort: str = "cohort_id") -> DataFrame:
+    """Add per-cohort quantiles: ``{output: (column, q)}``, exact and discrete; null for a column without values in the cohort."""
+    cuts = exact_quantiles(df, quantiles, by=cohort).withColumnRenamed(cohort, "_cohort")
+    return df.join(cuts, F.col(cohort).eqNullSafe(F.col("_cohort")), "left").drop("_cohort")
 
 
 def weak_traffic(df: DataFrame, *, quantile: float = 0.25, cohort: str = "cohort_id", **options) -> DataFrame:

@@ -14,21 +14,21 @@ def stage_outcome(rows: DataFrame, *, cohort: str = "cohort_id") -> DataFrame:
     """``cohort, n, n_valid, messages`` of a stage's checked rows (``valid``, ``violations`` and, if there, ``error``).
 
     Messages are the most frequent first, each with its number of rows if there are several.  They are counted before any are
-    gathered, and ranked per cohort, so a cohort with many broken rows stays one short list.
+    gathered, once for all uses, and ranked per cohort, so a cohort with many broken rows stays one short list.
     """
     error = F.col("error") if "error" in rows.columns else F.lit(None).cast("string")
-    message = F.coalesce(error, F.array_join("violations", "; "))
-    counted = rows.groupBy(cohort).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"))
-    kinds = rows.filter(~F.col("valid")).groupBy(cohort, message.alias("message")).agg(F.count("*").alias("rows"))
+    message = F.when(~F.col("valid"), F.coalesce(error, F.array_join("violations", "; ")))
+    kinds = rows.groupBy(cohort, message.alias("message")).agg(F.count("*").alias("rows"))
+    failed = F.col("message").isNotNull()
+    counted = kinds.groupBy(F.col(cohort).alias("_cohort")).agg(
+        F.sum("rows").alias("n"), F.coalesce(F.sum(F.when(~failed, F.col("rows"))), F.lit(0)).alias("n_valid"), F.count_if(failed).alias("kinds"))
     in_order = W.partitionBy(cohort).orderBy(F.col("rows").desc(), "message")
-    shown = kinds.withColumn("place", F.row_number().over(in_order)).filter(F.col("place") <= MESSAGES)
+    shown = kinds.filter(failed).withColumn("place", F.row_number().over(in_order)).filter(F.col("place") <= MESSAGES)
     text = F.concat("message", F.when(F.col("rows") > 1, F.concat(F.lit(" ("), F.col("rows").cast("string"), F.lit(" rows)"))).otherwise(""))
     listed = shown.groupBy(cohort).agg(F.sort_array(F.collect_list(F.struct("place", text.alias("text")))).alias("listed"))
-    more = kinds.groupBy(cohort).agg(F.count("*").alias("kinds"))
     rest = F.col("kinds") - MESSAGES
-    all_of = F.concat(F.col("listed.text"), only_if(rest > 0, F.concat(rest.cast("string"), F.lit(" more kinds"))))
-    told = listed.join(more, cohort).select(cohort, all_of.alias("messages"))
-    return counted.join(told, cohort, "left")
+    all_of = F.concat(F.coalesce(F.col("listed.text"), F.array().cast("array<string>")), only_if(rest > 0, F.concat(rest.cast("string"), F.lit(" more kinds"))))
+    return counted.join(listed, F.col("_cohort").eqNullSafe(F.col(cohort)), "left").select(F.col("_cohort").alias(cohort), "n", "n_valid", all_of.alias("messages"))
 
 
 def _prefixed(messages: Column, stage: str) -> Column:

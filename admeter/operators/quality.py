@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from math import log
 
-from ..functions.scalar import number, only_if
-from ..functions.text import count_words, join_regex_words, numbers_in
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..functions.scalar import micros, number, only_if
+from ..functions.text import AMOUNT, APPROXIMATE, bound_figures, count_words, join_regex_words, numbers_in, times_of, unit_of, value_of
 from ..schema import REPORTED_KPIS
-from .kpis import METRICS as REGISTRY, MetricRegistry
+from .diagnostics import ADDITIVE
+from .kpis import METRICS as REGISTRY, RATIOS, MetricRegistry, ratio_of
 
 # --- fixed values: word lists --------------------------------------------------
 BANNED_IN_ANALYSIS = ("should", "recommend", "optimize", "improve", "consider")
@@ -96,6 +100,89 @@ def check_figures(reports: DataFrame, values: DataFrame, *, text: str = "text",
     }).drop("cents", "_value", "_percent", "_misread")
 
 
+def total_values(df: DataFrame, *, cohort: str = "cohort_id", dimensions=("platform", "date")) -> DataFrame:
+    """``cohort, metric, value`` of the sums and ratios a report may quote: per cohort, per value of each dimension, and of all together.
+
+    Rows are summed once, at the finest level; the grouping sets are sums of those few rows.
+    """
+    measures = [c for c in ADDITIVE if c in df.columns]
+    finest = df.groupBy(cohort, *dimensions).agg(*[F.sum(micros(number(df, c))).alias(c) for c in measures])
+    sets = [[F.col(cohort), *[F.col(d) for d in chosen]] for chosen in ((), *[(d,) for d in dimensions], tuple(dimensions))]
+    summed = finest.groupingSets(sets, cohort, *dimensions).agg(*[(F.sum(c).cast("double") / F.lit(1e6)).alias(c) for c in measures])
+    ratios = {k: ratio_of(k, F.col(n), F.col(d), "stepwise") for k, (n, d) in RATIOS.items() if n in measures and d in measures}
+    names = [*measures, *ratios]
+    return summed.withColumns(ratios).unpivot(cohort, names, "metric", "value").filter(F.col("value").isNotNull()).distinct()
+
+
+# Values are looked up by buckets of a tenth of their size, so that a range meets a few buckets and not all values.
+STEP = log(1.1)
+
+
+def _bucket(value: Column) -> Column:
+    """A whole number that never falls as the value rises."""
+    size = F.floor(F.log(F.abs(value)) / STEP) + 8000
+    return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size).cast("bigint")
+
+
+def quotes_in(text: Column, names=METRIC_WORDS) -> Column:
+    """Figures, ranges ("between 3 and 4") and approximate figures ("about 1,200") of a text, with what each is a figure of:
+    ``ARRAY<STRUCT<clause, name, quote, unit, percent, low, high>>``.
+
+    A figure stands for values that agree with it at two decimals; one in thousands or millions, or an approximate one,
+    for values that round to it at its last digit that is not 0.
+    """
+    def bounds(f: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(f["quote"], F.lit(AMOUNT), 0), lambda t: F.struct(t.alias("figure"), value_of(t).alias("value")))
+        first = numbers[0]
+        digits = F.regexp_extract(first["figure"], r"[\d,]+(?:\.(\d+))?", 0)
+        decimals = F.length(F.regexp_extract(digits, r"\.(\d+)", 1))
+        zeros = F.length(F.regexp_extract(F.regexp_replace(digits, ",", ""), r"[1-9](0+)$", 1))
+        unit = unit_of(first["figure"])
+        times = times_of(unit)
+        last = F.when(decimals > 0, F.pow(F.lit(10.0), -decimals)).otherwise(F.pow(F.lit(10.0), zeros)) * times
+        rough = f["quote"].rlike(rf"^(?:{'|'.join(APPROXIMATE)})\s") | (times > 1)
+        half = F.when(rough, last / 2).otherwise(0.005)
+        second, single = F.get(numbers, F.lit(1)), F.size(numbers) == 1
+        # "3–4m": what the end is counted in holds for the start too
+        low = F.when(single | (unit != ""), first["value"]).otherwise(first["value"] * times_of(unit_of(second["figure"])))
+        high = F.coalesce(second["value"], first["value"])
+        return F.struct(
+            f["clause"].alias("clause"), f["name"].alias("name"), f["quote"].alias("quote"), unit.alias("unit"), f["quote"].endswith("%").alias("percent"),
+            F.when(single, low - half).otherwise(F.least(low, high)).alias("low"), F.when(single, high + half).otherwise(F.greatest(low, high)).alias("high"))
+
+    return F.transform(bound_figures(F.coalesce(text, F.lit("")), names), bounds)
+
+
+def check_quotes(reports: DataFrame, values: DataFrame, *, text: str = "text", cohort: str = "cohort_id", names=METRIC_WORDS) -> DataFrame:
+    """One row per quote of a report (``quotes_in``), with ``grounded``: whether the cohort has a value that it stands for.
+
+    ``values`` holds ``cohort_id, metric, value`` of rows and totals (``metric_values``, ``total_values``).  A quote with the name of a
+    known metric is held against that metric only; a percentage also against a hundredth of itself for rates.  Different
+    intervals are looked up once each, bucket by bucket.
+    """
+    rest = [c for c in reports.columns if c != text]
+    quotes = reports.select(*rest, F.posexplode(quotes_in(F.col(text), names)).alias("quote_no", "q")).select(*rest, F.col("quote_no").cast("bigint"), "q.*")
+    known = values.filter(F.col("value").isNotNull()).select(F.col(cohort).alias("k_cohort"), F.col("metric").alias("k_metric"), F.col("value").alias("v")).distinct()
+    metrics = known.select("k_metric").distinct()
+    keys = [cohort, "name", "percent", "low", "high"]
+    asked = quotes.select(*keys).distinct()
+    # the metrics that a quote is held against: its own, or all where it has no known one
+    own = asked.join(metrics, F.col("name") == F.col("k_metric"), "left").withColumnRenamed("k_metric", "own")
+    readings = F.concat(F.array(F.struct(F.lit(1.0).alias("scale"), F.lit(False).alias("rate"))), only_if(F.col("percent"), F.struct(F.lit(100.0).alias("scale"), F.lit(True).alias("rate"))))
+    scaled = own.withColumn("r", F.explode(readings)).select(*keys, "own", "r.rate", (F.col("low") / F.col("r.scale")).alias("l"), (F.col("high") / F.col("r.scale")).alias("h"))
+    spans = scaled.withColumns({"first": _bucket(F.col("l")), "last": _bucket(F.col("h"))})
+    each = spans.withColumn("bucket", F.explode(F.sequence("first", "last")))
+    held = known.withColumn("bucket", _bucket(F.col("v")))
+    # a bucket inside the span holds a value of it if it holds any, one at its end by its extremes; only where both ends share a bucket do single values count
+    extremes = held.groupBy("k_cohort", "k_metric", "bucket").agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    fits = (F.col(cohort) == F.col("k_cohort")) & (F.col("own").isNull() | (F.col("own") == F.col("k_metric"))) & (~F.col("rate") | F.col("k_metric").isin(*RATE_KPIS))
+    many = each.filter("first < last").join(extremes.withColumnRenamed("bucket", "k_bucket"), fits & (F.col("bucket") == F.col("k_bucket")) & (F.col("most") >= F.col("l")) & (F.col("least") <= F.col("h")), "left_semi")
+    same = each.filter("first = last").join(held.withColumnRenamed("bucket", "k_bucket"), fits & (F.col("bucket") == F.col("k_bucket")) & F.col("v").between(F.col("l"), F.col("h")), "left_semi")
+    found = many.select(*keys).unionByName(same.select(*keys)).distinct().select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_found"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return quotes.join(found, on, "left").withColumn("grounded", F.coalesce("_found", F.lit(False))).drop("_found", *[f"_{k}" for k in keys])
+
+
 def ungrounded_figures(reports: DataFrame, values: DataFrame, **options) -> DataFrame:
     """Quoted figures that the cohort's data does not hold."""
     return check_figures(reports, values, **options).filter(~F.col("grounded"))
@@ -156,6 +243,47 @@ def duplicate_cards(cards: DataFrame, *, title: str = "title", keys=("cohort_id"
     )
 
 
+# Letters that tell a word's stem, and words that say nothing about a cause (fixed values).
+STEM_LETTERS = 5
+EMPTY_WORDS = ("a", "an", "and", "are", "as", "at", "be", "because", "by", "due", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or",
+               "that", "the", "their", "this", "to", "was", "were", "while", "with")
+
+
+def cause_words(text: Column) -> Column:
+    """The different stems of a text's words, without words that say nothing about a cause."""
+    words = F.split(normalized_title(F.coalesce(text, F.lit(""))), " ")
+    said = F.filter(words, lambda w: (w != "") & ~w.isin(*EMPTY_WORDS))
+    return F.array_sort(F.array_distinct(F.transform(said, lambda w: F.substring(w, 1, STEM_LETTERS))))
+
+
+def repeated_causes(cards: DataFrame, *, text: str = "whats_happening", card: str = "card_no", keys=("cohort_id",), least: float = 0.5) -> DataFrame:
+    """Cards of one group whose root cause another card with a smaller number names too: ``keys, card, same_as, likeness``.
+
+    Two causes are the same if their sets of word stems have a Jaccard similarity of ``least`` or more, however they are worded; ``same_as`` is the
+    smallest such card.  Equal sets become one first, so many copies in a group stay one row; the others are compared where they
+    share one of their rarest stems (of a set of n, the first n - ceil(least n) + 1 in order of frequency), which two sets that
+    alike must.
+    """
+    keys = list(keys)
+    sets = cards.select(*keys, F.col(card).alias("card"), cause_words(F.col(text)).alias("stems")).filter(F.size("stems") > 0)
+    one = sets.groupBy(*keys, "stems").agg(F.min("card").alias("first"))
+    token = one.select(*keys, "first", "stems", F.explode("stems").alias("stem"))
+    frequency = token.groupBy(*keys, "stem").agg(F.count("*").alias("n"))
+    ranked = token.join(frequency, [*keys, "stem"]).withColumn("place", F.row_number().over(W.partitionBy(*keys, "first", "stems").orderBy("n", "stem")))
+    prefix = ranked.filter(F.col("place") <= F.size("stems") - F.ceil(F.size("stems") * least) + 1)
+    a, b = prefix.select(*keys, "stem", F.col("first"), F.col("stems")), prefix.select(*keys, "stem", F.col("first").alias("other"), F.col("stems").alias("other_stems"))
+    pairs = a.join(b, [*keys, "stem"]).filter(F.col("other") < F.col("first")).drop("stem").distinct()
+    both = F.size(F.array_intersect("stems", "other_stems"))
+    alike = pairs.withColumn("likeness", both / (F.size("stems") + F.size("other_stems") - both)).filter(F.col("likeness") >= least)
+    nearest = alike.groupBy(*keys, "stems").agg(F.min(F.struct("other", "likeness")).alias("of"))
+    said = sets.join(one, [*keys, "stems"]).join(nearest, [*keys, "stems"], "left")
+    copy = F.when(F.col("card") > F.col("first"), F.struct(F.col("first").alias("other"), F.lit(1.0).alias("likeness")))
+    near = F.when(F.col("of.other") < F.col("card"), F.col("of"))
+    same = F.least(copy, near)
+    return said.withColumn("_same", same).filter(F.col("_same").isNotNull()).select(
+        *keys, F.col("card").alias(card), F.col("_same.other").alias("same_as"), F.col("_same.likeness").alias("likeness"))
+
+
 def missing_prerequisite(cards: DataFrame, *, actions: str = "what_you_should_do",
                          depends_on_missing: str = "depends_on_missing") -> DataFrame:
     """Cards that depend on missing data but do not first say how to obtain it."""
@@ -164,12 +292,9 @@ def missing_prerequisite(cards: DataFrame, *, actions: str = "what_you_should_do
 
 
 def kpis_stated(text: Column, kpis) -> Column:
-    """KPIs that a text gives a figure for: the name, then a number in the same sentence with no other metric's name between."""
-    spelled = {k: k.replace("_", "[ _]") for k in kpis}
-    other = join_regex_words([*METRIC_WORDS, *spelled.values()])
-    return F.concat(*[
-        only_if(text.rlike(rf"{join_regex_words([name])}(?:(?!{other})[^.;\d\n])*\d"), F.lit(k)) for k, name in spelled.items()
-    ])
+    """KPIs that a text gives a figure for (``functions.bound_figures``), in the order of ``kpis``."""
+    bound = bound_figures(F.coalesce(text, F.lit("")), [*METRIC_WORDS, *kpis])
+    return F.array_intersect(F.array(*[F.lit(k) for k in kpis]), F.transform(bound, lambda f: f["name"]))
 
 
 def stated_null_kpis(reports: DataFrame, gaps: DataFrame, kpis, *, text: str = "text", cohort: str = "cohort_id") -> DataFrame:

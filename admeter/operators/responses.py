@@ -122,9 +122,18 @@ def _not_a_list(kind: Column) -> Column:
     return kind == "other"
 
 
+def _judged(checked: DataFrame, bad_json: Column, violations: Column) -> DataFrame:
+    """Add ``parse_error``, ``violations`` and ``valid``, and leave the helper columns out.
+
+    The generator of one row is a border for the planner: a filter on the result, such as ``valid``, is not moved below it, where it
+    would parse each reply again for every field it asks for.
+    """
+    made = checked.select("*", F.inline_outer(F.array(F.struct(bad_json.alias("parse_error"), violations.alias("violations")))))
+    return made.drop(*[c for c in made.columns if c.startswith("_reply")]).withColumn("valid", F.size("violations") == 0)
+
+
 def _finish(checked: DataFrame, bad_json: Column, checks: list[Column]) -> DataFrame:
-    out = checked.withColumns({"parse_error": bad_json, "violations": F.array_distinct(F.concat(*checks))})
-    return out.drop(*[c for c in out.columns if c.startswith("_reply")]).withColumn("valid", F.size("violations") == 0)
+    return _judged(checked, bad_json, F.array_distinct(F.concat(*checks)))
 
 
 def check_recommendations(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -261,8 +270,7 @@ def _check_evaluation(df: DataFrame, raw: str, criteria: dict[str, tuple[str, ..
         if require_total_match:
             checks.append(_violation(held & total.isNotNull() & ~right, "total_score is not the sum of the scores"))
         out |= {"total_score": total, "total_ok": right}
-    out |= {"parse_error": bad_json, "violations": F.concat(*checks)}
-    return values.withColumns(out).drop("_reply", "_reply_fields", "_reply_text", "_reply_kinds").withColumn("valid", F.size("violations") == 0)
+    return _judged(values.withColumns(out), bad_json, F.concat(*checks))
 
 
 def _first_given(fields: Column, spellings) -> Column:

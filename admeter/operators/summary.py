@@ -79,10 +79,9 @@ def cohort_payloads(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str =
     if not {"position", "n_rows"} <= set(df.columns):
         placed = cohorts.row_positions(df, cohort=cohort, ordinal=ordinal, slice_rows=slice_rows)
     done = placed if "summary" in df.columns else row_summaries(placed, goal=goal)
-    in_order = F.array_sort(
-        F.collect_list(F.struct("position", "summary")),
-        lambda a, b: (a["position"] - b["position"]).cast("int"),
-    )
+    # structs sort by their first field, the position; a summary holds a map, which has no order, so it comes back from its entries
+    entries = F.struct(F.col("summary.campaign_identity").alias("campaign_identity"), F.map_entries("summary.performance_metrics").alias("performance_metrics"))
+    in_order = F.sort_array(F.collect_list(F.struct("position", entries.alias("summary"))))
     return (
         done.withColumn("part", F.floor(F.col("position") / rows_per_part).cast("bigint"))
         .groupBy(cohort, "part")
@@ -91,6 +90,8 @@ def cohort_payloads(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str =
             cohort, "part",
             F.ceil(F.col("n_rows") / rows_per_part).cast("bigint").alias("n_parts"),
             "n_rows",
-            F.transform("_rows", lambda r: r["summary"]).alias("payload"),
+            F.transform("_rows", lambda r: F.struct(
+                r["summary"]["campaign_identity"].alias("campaign_identity"),
+                F.map_from_entries(r["summary"]["performance_metrics"]).alias("performance_metrics"))).alias("payload"),
         )
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from admeter.operators import compare as V, kpis as K, prompts as P, quality as Q, responses as R
@@ -25,6 +27,22 @@ def contract_columns_q(spark, sf):
                         F.lit(",".join(missing_columns(named))).alias("missing_after"))
 
 
+_WANTED = ("o_orderkey", "o_custkey", "event_id", "user_id", "l_orderkey", "l_quantity", "doc_id", "lang", "ts")
+
+
+@query("contract_violations", "", "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, w AS missing, (SELECT count(*) FROM {t}) AS n_rows FROM (SELECT unnest([{', '.join(f"'{w}'" for w in _WANTED)}]) AS w)
+  WHERE w NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM {t}))""" for t in ("orders", "events", "lineitem", "documents")) + ")")
+def contract_violations_q(spark, sf):
+    """Four tables held against one contract: the columns that each lacks, beside its rows."""
+    def lacking(name: str):
+        df = table(spark, sf, name)
+        missing = F.array(*[F.lit(c) for c in missing_columns(df, _WANTED)])
+        return df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), F.explode(missing).alias("missing"), "n_rows")
+
+    return reduce(lambda a, b: a.unionByName(b), [lacking(t) for t in ("orders", "events", "lineitem", "documents")])
+
+
 _PARTS = {"all": "true", "bought": "conversions > 0", "clicked without impressions": "clicks > 0 AND impressions <= 0"}
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from admeter.functions import numbers_in
+from admeter.functions import bound_figures, numbers_in, unit_of, value_of
 from admeter.operators import (
-    cohorts as H, compare as V, diagnostics as D, prompts as P, quality as Q, responses as R, scoring as Z, stages as X,
+    cohorts as H, compare as V, diagnostics as D, ledger as L, prompts as P, quality as Q, responses as R, scoring as Z, stages as X,
 )
-from admeter.sinks import archive_prompts
+from admeter.sinks import archive_prompts, high_water
 from admeter.sources import analysis_evaluator_inputs, evaluation_records, recommendation_evaluator_inputs
 
 from .ads import GOAL_SQL
-from .registry import query, r2
+from .registry import query, r2, total
 from .views import (
     ads_events, analysis_replies, eval_scores, evaluation_replies, recommendation_evaluation_replies,
     recommendation_replies, recommendation_scores, table,
@@ -73,11 +73,11 @@ def recommendation_evaluation_valid_q(spark, sf):
                       F.col("scores.Tone_Audience_Compliance").cast("bigint").alias("tone"))
 
 
-@query("total_check", "eval_scores", f"""SELECT doc_id, CAST(total_score AS BIGINT) AS total_score, coalesce(total_score = {_EVAL_SUM}, false) AS total_ok
-FROM eval_scores WHERE NOT ({_EVAL_BAD})""")
+@query("total_check", "eval_scores", f"""SELECT doc_id, {_EVAL_BAD} AS parse_error, CASE WHEN NOT ({_EVAL_BAD}) THEN CAST(total_score AS BIGINT) END AS total_score,
+  NOT ({_EVAL_BAD}) AND coalesce(total_score = {_EVAL_SUM}, false) AS total_ok FROM eval_scores""")
 def total_check_q(spark, sf):
-    out = R.check_analysis_evaluations(evaluation_replies(spark, sf)).filter("NOT parse_error")
-    return out.select("doc_id", F.col("total_score").cast("bigint").alias("total_score"), "total_ok")
+    out = R.check_analysis_evaluations(evaluation_replies(spark, sf))
+    return out.select("doc_id", "parse_error", F.col("total_score").cast("bigint").alias("total_score"), "total_ok")
 
 
 # --- joins -----------------------------------------------------------------------------
@@ -293,6 +293,15 @@ def last_n_runs_q(spark, sf):
     return V.last_n_runs(analysis_replies(spark, sf).select("doc_id", "cohort_id", "run_id"), 2)
 
 
+@query("version_summary_merged", "eval_scores", f"{_FLAT} SELECT cohort_id, version, {', '.join(f'{total(c)}/count({c}) AS {c}' for c in (*R.ANALYSIS_CRITERIA, 'overall'))} FROM flat GROUP BY 1, 2")
+def version_summary_merged_q(spark, sf):
+    """States of four batches of scores, merged two by two, instead of a mean over all scores."""
+    flat = V.flatten_scores(_records(spark, sf), "analysis", keys=("doc_id", "cohort_id", "version"))
+    batch = lambda n: V.summary_state(flat.filter(F.col("doc_id") % 4 == n).drop("doc_id"), "analysis")
+    stored = V.merge_states(batch(2), batch(0))
+    return V.summary_of_state(V.merge_states(stored, V.merge_states(batch(3), batch(1))), "analysis")
+
+
 @query("metric_version_matrix", "eval_scores", f"""{_FLAT}, s AS (SELECT cohort_id, version, {_AVG}, {r2('avg(overall)')} AS overall FROM flat GROUP BY 1, 2),
 l AS (UNPIVOT s ON clarity, accuracy, hallucination, structure, kpi_alignment, overall INTO NAME metric VALUE score)
 SELECT cohort_id, metric, max(score) FILTER (WHERE version = 'run_de') AS run_de, max(score) FILTER (WHERE version = 'run_en') AS run_en,
@@ -405,6 +414,15 @@ def prompt_attempts_q(spark, sf):
         "doc_id", "cohort_id", "run_id", F.col("attempt").cast("bigint").alias("attempt"))
 
 
+@query("prompt_numbers_go_on", "docs", """SELECT doc_id, cohort_id, run_id, row_number() OVER (PARTITION BY cohort_id, run_id ORDER BY doc_id % 2, doc_id) - 1 AS attempt FROM docs""")
+def prompt_numbers_q(spark, sf):
+    """Two calls, the second with the marks of the first."""
+    asked = analysis_replies(spark, sf).select("doc_id", "cohort_id", "run_id", F.lit("analysis_prompt").alias("prompt_name"))
+    first = archive_prompts(asked.filter("doc_id % 2 = 0"), order_by="doc_id")
+    second = archive_prompts(asked.filter("doc_id % 2 = 1"), order_by="doc_id", marks=high_water(first))
+    return first.unionByName(second).select("doc_id", "cohort_id", "run_id", F.col("attempt").cast("bigint").alias("attempt"))
+
+
 @query("kpi_name_list", "ads_events", f""", g AS ({GOAL_SQL}), names AS (SELECT ordinal, kpi FROM g WHERE value IS NOT NULL UNION
   SELECT ordinal, unnest(['spend','revenue','impressions','clicks','conversions','roas','cpa','cvr','ctr']) FROM ads_events)
 SELECT ordinal, string_agg(kpi, ', ' ORDER BY kpi) AS kpis FROM names GROUP BY 1""")
@@ -462,11 +480,14 @@ def prerequisite_q(spark, sf):
     return Q.missing_prerequisite(cards).select("doc_id", F.col("card_no").cast("bigint").alias("card_no"))
 
 
-@query("sections_present", "docs", """SELECT doc_id, CASE m WHEN 2 THEN 'channel_notes' WHEN 4 THEN 'executive_summary' WHEN 7 THEN 'results_and_value'
-  WHEN 8 THEN 'missing_info' WHEN 10 THEN 'cross_channel_patterns_and_risks' ELSE '' END AS gaps FROM docs WHERE m NOT IN (0, 6)""")
+@query("sections_present", "docs", """SELECT doc_id, m = 0 AS parse_error, CASE m WHEN 2 THEN 'channel_notes' WHEN 4 THEN 'executive_summary' WHEN 7 THEN 'results_and_value'
+  WHEN 8 THEN 'missing_info' WHEN 10 THEN 'cross_channel_patterns_and_risks'
+  WHEN 0 THEN 'executive_summary,budget_and_efficiency,results_and_value,cross_channel_patterns_and_risks,channel_notes,missing_info'
+  WHEN 6 THEN 'executive_summary,budget_and_efficiency,results_and_value,cross_channel_patterns_and_risks,channel_notes,missing_info'
+  ELSE '' END AS gaps FROM docs""")
 def sections_q(spark, sf):
-    checked = R.check_analyses(analysis_replies(spark, sf)).filter(F.col("reply.analysis").isNotNull() & ~F.col("parse_error"))
-    return checked.select("doc_id", F.array_join(Q.section_gaps(F.col("reply.analysis")), ",").alias("gaps"))
+    checked = R.check_analyses(analysis_replies(spark, sf))
+    return checked.select("doc_id", "parse_error", F.array_join(Q.section_gaps(F.col("reply.analysis")), ",").alias("gaps"))
 
 
 def _quoting_reports(spark, sf):
@@ -523,17 +544,80 @@ def figures_in_text_q(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(found).cast("bigint").alias("n_figures"))
 
 
-@query("stated_null_kpis", "ads_events", """SELECT o_orderkey AS report_id, concat('campaign_', CAST(o_custkey % 10 AS VARCHAR)) AS cohort_id, 'mer,refund_rate' AS stated
-FROM orders WHERE o_custkey % 10 % 5 = 2 AND o_orderkey % 3 = 0""")
+# what a report says of two KPIs that its cohort lacks, and which of them it gives a figure for
+_SAID = (
+    (" MER reached 3.2; the refund rate was 4%.", "mer,refund_rate"), (" MER in Q3 was flat.", ""), (" MER (excl. returns) reached 3.2.", "mer"),
+    ("\nMER was flat\n4% of orders came back", ""), (" A 4% refund rate hurt, as MER in 2024 did.", "refund_rate"),
+    (" Search (refund rate 2.5%, MER) kept its 12 campaigns.", "refund_rate"), (" MER vs. 3.2 last year.", "mer"),
+    (" CTR 2%, 3.2 MER", "mer"), (" The refund rate, in week 12, was not known.", ""),
+)
+
+
+@query("stated_null_kpis", "ads_events", f"""SELECT * FROM (SELECT o_orderkey AS report_id, concat('campaign_', CAST(o_custkey % 10 AS VARCHAR)) AS cohort_id,
+  CASE o_orderkey % {len(_SAID)} {' '.join(f"WHEN {i} THEN '{k}'" for i, (_, k) in enumerate(_SAID))} END AS stated
+FROM orders WHERE o_custkey % 10 % 5 = 2) WHERE stated <> ''""")
 def stated_null_q(spark, sf):
     rows, _ = H.by_index(ads_events(spark, sf))
     gaps = D.missing_info(rows, goal="primary_goal")
-    reports = _quoting_reports(spark, sf).withColumn("text", F.when(
-        F.col("report_id") % 3 == 0, F.concat("text", F.lit(" MER reached 3.2; the refund rate was 4%."))).otherwise(F.col("text")))
+    said = F.lit("")
+    for i, (text, _) in enumerate(_SAID):
+        said = F.when(F.col("report_id") % len(_SAID) == i, text).otherwise(said)
+    reports = _quoting_reports(spark, sf).withColumn("text", F.concat("text", said))
     out = Q.stated_null_kpis(reports, gaps, ["mer", "refund_rate", "purchases"])
     return out.select("report_id", "cohort_id", F.array_join("stated_null_kpis", ",").alias("stated"))
 
 
+@query("figures_bound", "", """SELECT o_orderkey AS report_id, unnest([0, 0, 0]) AS clause, unnest(['cpc', 'ctr', '-']) AS name,
+  unnest([CAST(o_orderkey % 200 AS DOUBLE) / 1000, CAST(o_orderkey % 60 AS DOUBLE), o_totalprice]) AS value, unnest(['$', '%', '']) AS unit FROM orders""")
+def figures_bound_q(spark, sf):
+    reports = _quoting_reports(spark, sf)
+    one = reports.select("report_id", F.explode(bound_figures(F.col("text"), Q.METRIC_WORDS)).alias("f"))
+    return one.select("report_id", F.col("f.clause").alias("clause"), F.coalesce("f.name", F.lit("-")).alias("name"),
+                      value_of(F.col("f.quote")).alias("value"), unit_of(F.col("f.quote")).alias("unit"))
+
+
+_CENTS = "CAST(round_even({0} * 1e6, 0) AS BIGINT)"
+_SETS = """, base AS (SELECT concat('campaign_', CAST("index" AS VARCHAR)) AS cohort_id, platform, date, clicks, impressions, spend FROM ads_events),
+g AS (SELECT cohort_id, sum(clicks)::DOUBLE AS clicks, sum(impressions)::DOUBLE AS impressions, CAST(sum(CAST(round_even(spend*1e6,0) AS BIGINT)) AS DOUBLE)/1e6 AS spend
+  FROM base GROUP BY GROUPING SETS ((cohort_id), (cohort_id, platform), (cohort_id, date), (cohort_id, platform, date))),
+known AS (SELECT DISTINCT cohort_id, metric, v FROM (
+  SELECT cohort_id, 'spend' AS metric, spend AS v FROM g UNION ALL SELECT cohort_id, 'cpc', round_even(spend/nullif(clicks,0)*100,0)/100 FROM g
+  UNION ALL SELECT cohort_id, 'ctr', round_even(clicks/nullif(impressions,0)*100,0)/100 FROM g) WHERE v IS NOT NULL),
+q AS (SELECT o_orderkey AS report_id, concat('campaign_', CAST(o_custkey % 10 AS VARCHAR)) AS cohort_id, unnest([0, 1, 2]) AS quote_no, unnest(['cpc', 'spend', 'ctr']) AS metric,
+  unnest([(o_orderkey % 50) / 100.0, ((o_orderkey % 39 + 1) * 1000 - CASE WHEN (o_orderkey % 39 + 1) % 10 = 0 THEN 5000 ELSE 500 END)::DOUBLE, (o_orderkey % 60 - 0.005)]) AS low,
+  unnest([(o_orderkey % 50 + 3) / 100.0, ((o_orderkey % 39 + 1) * 1000 + CASE WHEN (o_orderkey % 39 + 1) % 10 = 0 THEN 5000 ELSE 500 END)::DOUBLE, (o_orderkey % 60 + 0.005)]) AS high FROM orders)
+"""
+
+
+@query("quotes_grounded", "ads_events", f"""{_SETS} SELECT report_id, CAST(quote_no AS BIGINT) AS quote_no, metric AS name, EXISTS (
+  SELECT 1 FROM known k WHERE k.cohort_id = q.cohort_id AND k.metric = q.metric AND (k.v BETWEEN low AND high OR k.metric = 'ctr' AND k.v BETWEEN low / 100 AND high / 100)) AS grounded FROM q""")
+def quotes_grounded_q(spark, sf):
+    """Ranges, approximate sums and percentages, held against rows' and totals' values of all grouping sets."""
+    k = F.col("o_orderkey")
+    hundredths = lambda c: F.format_string("%d.%02d", F.floor(c / 100), c % 100)
+    reports = table(spark, sf, "orders").select(
+        k.alias("report_id"), F.concat(F.lit("campaign_"), (F.col("o_custkey") % 10).cast("string")).alias("cohort_id"),
+        F.concat(F.lit("CPC was between $"), hundredths(k % 50), F.lit(" and $"), hundredths(k % 50 + 3), F.lit(", spend came to about "),
+                 F.format_number((k % 39 + 1) * 1000, 0), F.lit("; CTR in Q3 was "), (k % 60).cast("string"), F.lit("%.")).alias("text"))
+    rows, _ = H.by_index(ads_events(spark, sf))
+    values = Q.total_values(rows.select("cohort_id", "platform", "date", "clicks", "impressions", "spend"))
+    return Q.check_quotes(reports, values).select("report_id", "quote_no", "name", "grounded")
+
+
+_STEMS = ("list_distinct(list_transform(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), "
+          "lambda w: w <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in Q.EMPTY_WORDS) + "], w)), lambda w: w[1:5]))")
+
+
+@query("repeated_causes", "", f"""WITH s AS (SELECT lang, doc_id, {_STEMS} AS stems FROM documents),
+p AS (SELECT a.lang, a.doc_id, b.doc_id AS same_as, len(list_intersect(a.stems, b.stems)) AS n, len(a.stems) + len(b.stems) AS total
+  FROM s a JOIN s b ON a.lang = b.lang AND b.doc_id < a.doc_id WHERE len(a.stems) > 0),
+k AS (SELECT lang, doc_id, same_as, n / (total - n) AS likeness FROM p WHERE n / (total - n) >= 0.5)
+SELECT lang, doc_id, same_as, likeness FROM (SELECT *, row_number() OVER (PARTITION BY lang, doc_id ORDER BY same_as) AS rk FROM k) WHERE rk = 1""")
+def repeated_causes_q(spark, sf):
+    """Whole documents as causes: those of a language that say what an earlier one says."""
+    return Q.repeated_causes(table(spark, sf, "documents"), text="text", card="doc_id", keys=("lang",))
+
+
 _DAY = "CASE WHEN source > 'src3' THEN 0 ELSE doc_id % 2 END"  # later sources have one date
 
 
@@ -574,10 +658,10 @@ def evaluator_input_q(spark, sf):
         F.char_length(F.get_json_object("analysis_report", "$.analysis.executive_summary")).cast("bigint").alias("n_text"))
 
 
-@query("recommendation_evaluator_input", "docs", """SELECT doc_id AS cohort_id, CAST(CASE m WHEN 6 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 4 END AS BIGINT) AS n_cards
-FROM docs WHERE m <> 0""")
+@query("recommendation_evaluator_input", "docs", """SELECT doc_id AS cohort_id, CAST(CASE m WHEN 0 THEN 0 WHEN 6 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 4 END AS BIGINT) AS n_cards
+FROM docs""")
 def recommendation_input_q(spark, sf):
-    replies = recommendation_replies(spark, sf).filter("doc_id % 12 <> 0")
+    replies = recommendation_replies(spark, sf)
     files = replies.select(F.col("doc_id").alias("cohort_id"), "run_id",
                            F.concat(F.lit('{"campaign_data":[1],"recommendation_response":'), "raw", F.lit("}")).alias("raw"))
     out = recommendation_evaluator_inputs(files)
@@ -592,6 +676,30 @@ def error_column_q(spark, sf):
     return out.select("doc_id", F.array_join("errors", "; ").alias("errors"))
 
 
+_DONE = f"{_EVAL_BAD} OR clarity IS NULL OR verdict = 'maybe' OR doc_id % 19 = 0 OR total_score <> {_EVAL_SUM}"
+
+
+@query("outcome_ledger", "docs eval_scores", f""", a AS (SELECT doc_id, m, CASE m WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'executive_summary is shorter than 10 characters'
+  WHEN 2 THEN 'channel_notes is empty' WHEN 3 THEN 'channel_notes has an incomplete note' WHEN 4 THEN 'executive_summary is shorter than 10 characters'
+  WHEN 5 THEN 'budget_and_efficiency has an incomplete item; results_and_value has an incomplete item' WHEN 6 THEN 'analysis is missing'
+  WHEN 7 THEN 'results_and_value is missing' END AS wrong FROM docs),
+e AS (SELECT doc_id, concat_ws('; ', CASE WHEN {_EVAL_BAD} THEN 'not a JSON object' ELSE concat_ws('; ',
+    CASE WHEN clarity IS NULL THEN 'clarity score is not 1..5' END, CASE WHEN verdict = 'maybe' THEN 'verdict is missing or unknown' END,
+    CASE WHEN doc_id % 19 = 0 THEN 'key_issues is not a list' END,
+    CASE WHEN NOT coalesce(total_score = {_EVAL_SUM}, false) THEN 'total_score is not the sum of the scores' END) END) AS wrong FROM eval_scores)
+SELECT a.doc_id, CASE WHEN a.wrong IS NOT NULL THEN 'none' WHEN e.wrong = '' THEN 'evaluation' ELSE 'analysis' END AS last_stage,
+  a.wrong IS NULL AND e.wrong = '' AS complete, CASE WHEN a.wrong IS NOT NULL THEN concat('analysis: ', a.wrong, '|evaluation: not reached')
+  WHEN e.wrong <> '' THEN concat('evaluation: ', e.wrong) ELSE '' END AS errors FROM a JOIN e ON a.doc_id = e.doc_id""")
+def outcome_ledger_q(spark, sf):
+    """Every document as a cohort: its analysis, and the evaluation of those whose analysis is valid."""
+    cohorts = table(spark, sf, "documents").select("doc_id")
+    analyses = R.check_analyses(analysis_replies(spark, sf)).select("doc_id", "valid", "violations")
+    scored = evaluation_replies(spark, sf).join(analyses.filter("valid").select("doc_id"), "doc_id", "left_semi")
+    evaluations = R.check_analysis_evaluations(scored).select("doc_id", "valid", "violations")
+    out = L.outcome_ledger(cohorts, {"analysis": analyses, "evaluation": evaluations}, cohort="doc_id")
+    return out.select("doc_id", "last_stage", "complete", F.array_join("errors", "|").alias("errors"))
+
+
 @query("model_call", "", """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'failed' ELSE CAST(length(text) AS VARCHAR) END AS reply FROM documents""")
 def model_call_q(spark, sf):
     message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"), F.col("doc_id").alias("n")))
