@@ -16,12 +16,14 @@ GOAL_TEMPLATES = {
 }
 STAGE_TEMPLATES = {
     "analysis": ("analysis/system", "analysis/user"),
+    "analysis_merge": ("analysis_merge/system", "analysis_merge/user"),
     "recommendation": ("recommendation/system", "recommendation/user"),
     "analysis_evaluation": ("analysis_evaluation/system", "analysis_evaluation/user"),
     "recommendation_evaluation": ("recommendation_evaluation/system", "recommendation_evaluation/user"),
 }
 REQUIRED_PLACEHOLDERS = {
     "analysis": ("CAMPAIGN_DATA", "BUSINESS_DOMAIN", "CAMPAIGN_TARGET"),
+    "analysis_merge": ("PARTS_JSON", "BUSINESS_DOMAIN", "CAMPAIGN_TARGET"),
     "recommendation": ("CAMPAIGN_TARGET", "BUSINESS_DOMAIN", "CAMPAIGN_DATA", "ANALYSIS_JSON"),
     "analysis_evaluation": ("CAMPAIGN_CONTEXT", "RAW_DATA", "ANALYSIS_REPORT"),
     "recommendation_evaluation": ("BUSINESS_CONTEXT", "RAW_DATA", "ANALYSIS_CONTEXT", "RECOMMENDATION"),
@@ -40,6 +42,14 @@ DEFAULT_TEMPLATES = {
         "Target:\n{{CAMPAIGN_TARGET}}\nBusiness:\n{{BUSINESS_DOMAIN}}\nRows:\n{{CAMPAIGN_DATA}}\n"
         "Reply with one JSON object that has the key analysis."
     ),
+    "analysis_merge/system": (
+        "You are given analyses of parts of one campaign's rows. Make one analysis of the whole of them, of the same form: keep what "
+        "several parts show, tell where parts differ, drop repeats, and use only their figures.\n{{GOAL_INSTRUCTIONS}}"
+    ),
+    "analysis_merge/user": (
+        "Target:\n{{CAMPAIGN_TARGET}}\nBusiness:\n{{BUSINESS_DOMAIN}}\nAnalyses of parts:\n{{PARTS_JSON}}\n"
+        "Reply with one JSON object that has the key analysis."
+    ),
     "recommendation/system": (
         "You turn a finished campaign analysis into exactly four action cards, each about another cause. "
         "Stay within the analysis, name a metric in every expected impact, and do not hedge.\n{{GOAL_INSTRUCTIONS}}"
@@ -178,6 +188,18 @@ def analysis_prompts(payloads: DataFrame, context: DataFrame | None, templates:
     return _render(df, "analysis", values, templates, goal=_goal(df), strict=strict)
 
 
+def analysis_merge_prompts(groups: DataFrame, context: DataFrame, templates: DataFrame, *, cohort: str = "cohort_id",
+                           strict: bool = True) -> DataFrame:
+    """Prompt to make one analysis of several: ``groups`` has ``cohort_id, part`` and ``analyses``, an array of JSON texts."""
+    df = groups.join(context, cohort)
+    values = {
+        "PARTS_JSON": F.concat(F.lit("["), F.array_join("analyses", ","), F.lit("]")),
+        "BUSINESS_DOMAIN": _as_json(df, "business_domain"),
+        "CAMPAIGN_TARGET": _as_json(df, "campaign_target"),
+    }
+    return _render(df, "analysis_merge", values, templates, goal=_goal(df), strict=strict)
+
+
 def recommendation_prompts(payloads: DataFrame, context: DataFrame | None, analyses: DataFrame | None,
                            templates: DataFrame, *, cohort: str = "cohort_id", strict: bool = True) -> DataFrame:
     """Recommendation prompt per cohort part that has an analysis.

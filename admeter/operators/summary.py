@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import rounded, text_or_unknown, truncated_long
 from . import cohorts
+from .diagnostics import totals
 from .kpis import CORE_KPIS, GOAL_KPIS, METRICS, MetricRegistry, as_map, compute_metrics, goal_value, goals_with
 
 IDENTITY_FIELDS = ("platform", "campaign_name", "date", "industry", "offering", "audience", "funnel_stage")
@@ -95,3 +96,13 @@ def cohort_payloads(df: DataFrame, *, cohort: str = "cohort_id", ordinal: str =
                 F.map_from_entries(r["summary"]["performance_metrics"]).alias("performance_metrics"))).alias("payload"),
         )
     )
+
+
+def overview_payloads(df: DataFrame, *, cohort: str = "cohort_id", goal: str = "goal", segment: str = "platform", most: int = 1000) -> DataFrame:
+    """A payload per cohort that stands for all its rows: ``cohort_id, part, payload``, one summary of the totals per segment, those with
+    the highest spend first and ``most`` at most."""
+    summed = totals(df, [cohort, goal, segment])
+    by_spend = W.partitionBy(cohort).orderBy(F.col("spend").desc_nulls_last(), segment)
+    few = summed.withColumn("position", F.row_number().over(by_spend).cast("bigint") - 1).filter(F.col("position") < most)
+    placed = few.withColumn("n_rows", F.count("*").over(W.partitionBy(cohort)))
+    return cohort_payloads(placed, cohort=cohort, goal=goal, rows_per_part=most).select(cohort, "part", "payload")

@@ -11,6 +11,7 @@ from ..operators.clean import clean, first_rows
 from ..schema import canonicalize, validate_required
 from ..sinks import Attempt, archive_prompts
 from ..sources import load
+from .merging import FAN_IN, merge_parts
 
 Model = Callable[[list[dict]], str]
 
@@ -45,7 +46,7 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
                   rows_per_part: int = 1000, templates: DataFrame | None = None,
                   analysis_model: Model | None = None, recommendation_model: Model | None = None,
                   evaluation_models: tuple[Model, Model] | None = None, max_parallel: int | None = None,
-                  strict: bool = True, **cleaning) -> dict[str, DataFrame]:
+                  strict: bool = True, merge_fan_in: int = FAN_IN, **cleaning) -> dict[str, DataFrame]:
     """Run the whole flow into ``base_dir`` and return its tables.
 
     Each stage's table is written before the next stage reads it, so a lost
@@ -54,7 +55,8 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
     can then be joined from a table (``responses.attach_responses``).
 
     The tables count as the run's once all are written (``sinks.commits``): a run that is repeated under its id is replaced as a
-    whole, and one that breaks off leaves the last committed tables as they were.  The table ``ledger`` beside them has one row
+    whole, and one that breaks off leaves the last committed tables as they were.  The analyses of a cohort of several
+    parts are merged into one (``merging.merge_parts``), which its cards are made from, beside totals per platform.  The table ``ledger`` beside them has one row
     for every cohort.
     """
     templates = templates if templates is not None else prompts.default_templates(spark)
@@ -98,22 +100,36 @@ def run_campaigns(spark: SparkSession, source, base_dir: str, run_id: str, *, fo
         return done()
     analyses = attempt.write(responses.check_analyses(replies(asked, analysis_model, "analysis")), "analyses")
     tables["analyses"] = analyses
+    usable = analyses.filter("valid").select("cohort_id", "part", F.to_json("reply.analysis").alias("analysis"))
+    subjects = payloads
     if recommendation_model is not None:
-        usable = analyses.filter("valid").select("cohort_id", "part", F.to_json("reply.analysis").alias("analysis"))
-        asked = ask(prompts.recommendation_prompts(payloads, context, usable, templates), "recommendation")
+        if (payloads.agg(F.max("n_parts")).first()[0] or 0) > 1:
+            def judge(table: DataFrame, stage: str) -> DataFrame:
+                return attempt.write(responses.check_analyses(replies(ask(table, stage), analysis_model, stage)), f"{stage}_checked")
+
+            several = payloads.filter("n_parts > 1").select("cohort_id").distinct()
+            merged = merge_parts(usable.join(several, "cohort_id", "left_semi"), context, templates, judge=judge, keep=attempt.write, fan_in=merge_fan_in)
+            usable = attempt.write(usable.join(several, "cohort_id", "left_anti").unionByName(merged), "merged_analyses").drop("run_id")
+            whole = summary.overview_payloads(cohorts.with_goal(summaries.drop("goal"), context).join(several, "cohort_id", "left_semi"), most=rows_per_part)
+            subjects = attempt.write(payloads.filter("n_parts = 1").select("cohort_id", "part", "payload").unionByName(whole), "card_subjects").drop("run_id")
+        asked = ask(prompts.recommendation_prompts(subjects, context, usable, templates), "recommendation")
         tables["recommendation_prompts"] = asked
         tables["recommendations"] = attempt.write(
             responses.check_recommendations(replies(asked, recommendation_model, "recommendation")), "recommendations")
     if evaluation_models is not None:
         scored = evaluate_run(payloads, context, analyses, tables.get("recommendations"), templates,
-                              evaluation_models, ask, replies)
+                              evaluation_models, ask, replies, subjects=subjects, card_analyses=usable)
         tables |= {name: attempt.write(table, name) for name, table in scored.items()}
     return done()
 
 
 def evaluate_run(payloads: DataFrame, context: DataFrame, analyses: DataFrame, cards: DataFrame | None,
-                 templates: DataFrame, models: tuple[Model, Model], ask, replies) -> dict[str, DataFrame]:
-    """Score the valid analyses and cards of a run; a stage without a subject is left out."""
+                 templates: DataFrame, models: tuple[Model, Model], ask, replies, *, subjects: DataFrame | None = None,
+                 card_analyses: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Score the valid analyses and cards of a run; a stage without a subject is left out.
+
+    ``subjects`` and ``card_analyses`` are the payloads and analyses that the cards were made from, where these are not those of the parts.
+    """
     subject = analyses.filter("valid").select("cohort_id", "part", F.to_json("reply.analysis").alias("analysis"))
     base = payloads.join(context, "cohort_id")
     inputs = base.join(subject.withColumnRenamed("analysis", "analysis_report"), ["cohort_id", "part"])
@@ -123,9 +139,11 @@ def evaluate_run(payloads: DataFrame, context: DataFrame, analyses: DataFrame, c
     out = {"analysis_evaluations": scoring.analysis_verdict(scoring.score_analyses(checked))}
     if cards is not None:
         done = cards.filter("valid").select("cohort_id", "part", F.to_json("reply.recommendations").alias("recommendations"))
+        base = (subjects if subjects is not None else payloads).join(context, "cohort_id")
+        context_of = card_analyses if card_analyses is not None else subject
         inputs = (
             base.join(done, ["cohort_id", "part"])
-            .join(subject.withColumnRenamed("analysis", "analysis_context"), ["cohort_id", "part"])
+            .join(context_of.withColumnRenamed("analysis", "analysis_context"), ["cohort_id", "part"])
             .withColumn("campaign_data", F.to_json("payload"))
         )
         asked = ask(prompts.recommendation_evaluation_prompts(inputs, templates), "recommendation_evaluation")

@@ -155,3 +155,31 @@ def test_ledger_of_a_run(spark, files):
     assert got["campaign_1"] == ("none", False, ["analysis: analysis: RuntimeError: down"]) and got["campaign_2"] == ("analysis", True, [])
     with pytest.raises(FileNotFoundError):
         compare_runs(spark, base, "analysis")
+
+
+def test_a_cohort_of_many_parts_ends_in_one_analysis_and_four_cards(spark, tmp_path):
+    lines = [f"1,2024-01-{i % 28 + 1:02d},P{i % 3},S{i},{10 + i},{i % 7},{i % 5}" for i in range(1001)] + ["2,2024-01-01,P0,S,10,1,1"]
+    (tmp_path / "ads.csv").write_text("index,date,platform,campaign_type,impressions,clicks,spend\n" + "\n".join(lines) + "\n")
+
+    def make(text):
+        def analyse(messages):
+            parts = messages[1]["content"].count("executive_summary")
+            return text.replace("Mixed results overall", f"Made of {parts} analyses")
+
+        return analyse
+
+    card = {"title": "T", "whats_happening": "w", "what_you_should_do": ["a"], "why_this_matters": "y", "priority": "High", "expected_impact": "CPC", "owner_suggestion": "o"}
+    cards = json.dumps({"recommendations": [card] * 4})
+    base = str(tmp_path / "out")
+    out = run_campaigns(spark, str(tmp_path / "ads.csv"), base, "run_1", rows_per_part=200, merge_fan_in=2, analysis_model=make(reply(None)),
+                        recommendation_model=lambda m: cards, remove_duplicates=False)
+    assert {(r["cohort_id"], r["part"]) for r in out["analyses"].collect()} == {("campaign_1", p) for p in range(6)} | {("campaign_2", 0)}
+    merged = {r["cohort_id"]: json.loads(r["analysis"])["executive_summary"] for r in read_committed(spark, base, "merged_analyses").collect()}
+    assert merged == {"campaign_1": "Made of 2 analyses", "campaign_2": "Made of 0 analyses"}
+    made = out["recommendations"].collect()
+    assert sorted((r["cohort_id"], r["part"], len(r["reply"]["recommendations"])) for r in made) == [("campaign_1", 0, 4), ("campaign_2", 0, 4)]
+    subjects = {r["cohort_id"]: r["payload"] for r in read_committed(spark, base, "card_subjects").collect()}
+    whole = {p["campaign_identity"]["platform"]: p["performance_metrics"] for p in subjects["campaign_1"]}
+    assert set(whole) == {"P0", "P1", "P2"} and sum(m["impressions"] for m in whole.values()) == sum(10 + i for i in range(1001))
+    levels = [read_committed(spark, base, f"analysis_level_{n}").count() for n in (1, 2, 3)]
+    assert levels == [3, 2, 1] and read_committed(spark, base, "analysis_level_4") is None
