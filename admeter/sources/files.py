@@ -37,7 +37,10 @@ def read(spark: SparkSession, source, *, format: str | None = None, options: dic
     if isinstance(source, DataFrame):
         return source
     paths = [str(p) for p in source] if isinstance(source, (list, tuple)) else [str(source)]
-    kind = (format or _format_of(paths[0])).lower()
+    kinds = {(format or _format_of(p)).lower() for p in paths}
+    if len(kinds) > 1:
+        raise ValueError(f"paths of several formats ({', '.join(sorted(kinds))}): read them one by one, or pass format=")
+    kind = kinds.pop()
     if kind not in FORMATS.values():
         raise ValueError(f"unknown format '{kind}', choose from {', '.join(FORMATS.values())}")
     reader = spark.read.format(kind)

@@ -56,6 +56,11 @@ def test_bad_sources(spark, tmp_path):
         load(spark, tmp_path / "missing.csv")
 
 
+def test_paths_of_several_formats(spark):
+    with pytest.raises(ValueError, match="several formats"):
+        load(spark, ["a.csv", "b.parquet"])
+
+
 def test_order_follows_files_and_rows(spark, tmp_path):
     for name, lines in (("b", range(5, 9)), ("a", range(5))):
         (tmp_path / f"{name}.csv").write_text("v\n" + "\n".join(map(str, lines)) + "\n")
