@@ -190,10 +190,16 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 
 
 def candidate_groups(keys: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, component): groups of sets that contain all links."""
+    """(node, component): groups of sets that contain all links.
+
+    The smallest set of a key is its centre.  A set goes to the least of its centres, and the others of them go there too, once
+    for all sets, so that near copies with many keys don't each have an edge for every centre.
+    """
     dealt = keys.withColumn("part", part_of(F.col("id"), PARTS))
-    stars = dealt.join(in_parts(shared, PARTS), ["key", "part"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    return components(stars)
+    stars = dealt.join(in_parts(shared, PARTS), ["key", "part"]).where("id <> a").select("id", "a").distinct()
+    near = stars.withColumn("least", F.min("a").over(Window.partitionBy("id")))
+    edges = near.select(F.col("least").alias("a"), F.col("id").alias("b")).union(near.where("a <> least").select("least", "a"))
+    return components(edges.distinct())
 
 
 def linked(groups: DataFrame, percent: int) -> DataFrame:
