@@ -1,8 +1,8 @@
 """N-gram Jaccard join: documents whose sets of word shingles are alike, by signature trees.
 
 A document's set holds its distinct shingles of ``k`` words, A-Z in lower case (with fewer words, the whole sequence as
-one).  Two documents link when ``100 |both| >= percent |either|``.  The result is exact up to hashes: 64 bits of a shingle, 128 bits
-of a text or set.
+one).  Two documents link when ``100 |both| >= percent |either|``.  The result is exact up to hashes: 64 bits of a shingle, 61 of a
+text, 128 of a set.
 
 1. A fixed share of all shingles, chosen by their hash, is counted over all texts.  A document that links to another
    misses at most ``(100 - percent) %`` of its own shingles there, so if more than that of its counted shingles
