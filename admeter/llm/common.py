@@ -47,9 +47,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+class Scratch:
+    """Tables that are saved while it is open and deleted when it closes, but for those ``kept``; what it keeps is read from its own files."""
+
+    _open: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        Scratch._open.append(self)
+        return self
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        found = saved(df, name)
+        self.paths.pop()
+        return found
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._open.remove(self)
+        jvm, configuration = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(configuration).delete(target, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later jobs start from the files, not from its lineage."""
     path = new_folder(df.sparkSession, name)
+    if Scratch._open:
+        Scratch._open[-1].paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

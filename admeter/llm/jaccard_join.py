@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, Words, as_bytes, mixed, repeats, saved, signed, small_batches
+from .common import Scratch, WordHashes, Words, as_bytes, mixed, repeats, saved, signed, small_batches
 from .components import PARTS, components, in_parts, part_of
 from .signature_tree import links
 from .substring_dedup import disguised, gathered
@@ -282,11 +282,12 @@ def join(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "
     docs = docs.withColumn("row", F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 3))
     sets = document_sets(docs, shared_counts(docs, k, percent), k, percent)
     full = sets.where("n > 0 AND id IS NOT NULL")
-    same = saved(full.groupBy("low", "high").agg(F.min("id").alias("node")), "jaccard-same")
-    one = full.where("tokens IS NOT NULL").join(same, ["low", "high"]).where("id = node").dropDuplicates(["id", "low", "high"]).select("id", "n", "tokens")
-    one = saved(one, "jaccard-one")
-    found = all_links(one, percent)
-    named = saved(same.join(found, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component_id")), "jaccard-components")
+    with Scratch(df.sparkSession) as scratch:  # keys and groups take more room than what comes of them
+        same = saved(full.groupBy("low", "high").agg(F.min("id").alias("node")), "jaccard-same")
+        one = full.where("tokens IS NOT NULL").join(same, ["low", "high"]).where("id = node").dropDuplicates(["id", "low", "high"]).select("id", "n", "tokens")
+        one = saved(one, "jaccard-one")
+        found = all_links(one, percent)
+        named = scratch.kept(same.join(found, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component_id")), "jaccard-components")
     linkable = F.col("n") > 0
     result = sets.select("id", "n", "low", "high").join(named, ["low", "high"], "left")
     return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"),
