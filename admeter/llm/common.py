@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 REMEMBERED = 300_000
 #: Rows of a batch sent to Python.  Texts can be long, so batches are small.
 BATCH_ROWS = 512
+#: Whether Spark deletes the shuffle files of a query when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _folders: dict[str, str] = {}
 
@@ -73,11 +75,20 @@ class Scratch:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later jobs start from the files, not from its lineage."""
+    """``df`` written to the shared folder and read back: later jobs start from the files, not from its lineage.
+
+    As nothing reads the shuffles of the write again, Spark deletes their files when it ends.
+    """
     path = new_folder(df.sparkSession, name)
     if Scratch._open:
         Scratch._open[-1].paths.append(path)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANED) if before is None else conf.set(CLEANED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, Words, as_bytes, mixed, repeats, saved, signed, small_batches
-from .components import PARTS, components, in_parts, part_of
+from .components import HOT, PARTS, components, in_parts, part_of
 from .signature_tree import links
 from .substring_dedup import disguised, gathered
 
@@ -192,11 +192,14 @@ def shared_keys(keys: DataFrame) -> DataFrame:
 def candidate_groups(keys: DataFrame, shared: DataFrame) -> DataFrame:
     """(node, component): groups of sets that contain all links.
 
-    The smallest set of a key is its centre.  A set goes to the least of its centres, and the others of them go there too, once
+    The smallest set of a key is its centre; keys of many sets are joined in parts.  A set goes to the least of its centres, and the others of them go there too, once
     for all sets, so that near copies with many keys don't each have an edge for every centre.
     """
-    dealt = keys.withColumn("part", part_of(F.col("id"), PARTS))
-    stars = dealt.join(in_parts(shared, PARTS), ["key", "part"]).where("id <> a").select("id", "a").distinct()
+    parts = F.ceil(F.col("sets") / HOT).cast("int")
+    hot = shared.where(F.col("sets") > HOT).select("key", parts.alias("parts"))  # one for HOT rows of keys at most
+    dealt = keys.join(F.broadcast(hot), "key", "left").withColumn("part", part_of(F.col("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    centres = in_parts(shared.select("key", "a", parts.alias("parts")), F.col("parts")).drop("parts")
+    stars = dealt.join(centres, ["key", "part"]).where("id <> a").select("id", "a").distinct()
     near = stars.withColumn("least", F.min("a").over(Window.partitionBy("id")))
     edges = near.select(F.col("least").alias("a"), F.col("id").alias("b")).union(near.where("a <> least").select("least", "a"))
     return components(edges.distinct())

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 
 from admeter.llm import (byte_bpe, jaccard_join, license_scan, lm_scoring, mixing, packed_ids, quality_rules,
                          substring_dedup, top_k)
+from admeter.llm.common import CLEANED, saved
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, `row` int"
 
@@ -110,6 +112,29 @@ def test_jaccard_keys(percent):
     assert linked > 20 and apart < 60
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    files = lambda: (
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = {f for f in files() if "shuffle_" in f}
+    conf = spark.conf.get(CLEANED, None)
+    found = saved(spark.range(10_000).selectExpr("id % 1000 AS k").repartition(3).groupBy("k").count(), "tested")
+    for _ in range(50):
+        if not {f for f in files() if "shuffle_" in f} - before:
+            break
+        time.sleep(0.1)
+    assert not {f for f in files() if "shuffle_" in f} - before
+    assert found.count() == 1000 and spark.conf.get(CLEANED, None) == conf
+
+
+def test_groups_of_hot_keys(spark, monkeypatch):
+    keys = spark.createDataFrame([(i, k) for i in range(200) for k in {i // 50, 100 + i % 50 // 25 + 10 * (i // 100), 1000 + i}], "id bigint, key bigint")
+    groups = lambda: sorted(tuple(r) for r in jaccard_join.candidate_groups(keys, jaccard_join.shared_keys(keys)).collect())
+    plain = groups()
+    assert plain == [(i, i // 100 * 100) for i in range(200)]
+    monkeypatch.setattr(jaccard_join, "HOT", 7)
+    assert groups() == plain
+
+
 def test_jaccard_join_grows_with_the_texts(spark, monkeypatch):
     """Texts made of common passages, of which almost none link, in groups too large for a task: sets sent to trees."""
     sent = {}
