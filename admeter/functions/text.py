@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # A figure as reports write it: optional sign and $, thousands separators, decimals, and what it is counted in.  A figure glued to
@@ -38,10 +40,15 @@ def count_words(col: Column, words) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(join_regex_words(words))), F.lit(0)).cast("bigint")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit_of(figure: Column) -> Column:
     """What a quoted figure is counted in: "%", "x", "k", "m", "bn", else "$" or ""."""
     suffix = F.lower(F.regexp_extract(figure, r"(%|[xX]|[kKmM]|[bB][nN])$", 1))
-    return F.when(suffix != "", suffix).when(figure.contains("$"), "$").otherwise("")
+    return let(suffix, lambda s: F.when(s != "", s).when(figure.contains("$"), "$").otherwise(""))
 
 
 def times_of(unit: Column) -> Column:
@@ -53,7 +60,7 @@ def times_of(unit: Column) -> Column:
 
 def value_of(figure: Column) -> Column:
     """The number that a quoted figure stands for; percentages as they are written."""
-    return F.regexp_replace(figure, r"[$,%xXkKmMbBnN]", "").try_cast("double") * times_of(unit_of(figure))
+    return F.regexp_replace(figure, r"[$,%xXkKmMbBnN]", "").try_cast("double") * let(unit_of(figure), times_of)
 
 
 def numbers_in(col: Column) -> Column:
@@ -64,7 +71,8 @@ def numbers_in(col: Column) -> Column:
 
 def clauses(col: Column) -> Column:
     """A lower-case text cut where a sentence, a line or a semicolon ends, but not within brackets, numbers and abbreviations."""
-    ends = rf"(?:[!?;\n\r]|(?<!\b(?:{'|'.join(ABBREVIATIONS)}))\.(?!\d))(?![^()\n]{{0,80}}\))"
+    # a look at the character first: only before a full stop is it asked what stands before it
+    ends = rf"(?:[!?;\n\r]|(?=\.)(?<!\b(?:{'|'.join(ABBREVIATIONS)}))\.(?!\d))(?![^()\n]{{0,80}}\))"
     return F.split(F.lower(col), ends)
 
 
@@ -83,18 +91,24 @@ def bound_figures(col: Column, names) -> Column:
     span = rf"(?<![\p{{L}}\p{{N}}_])between\s++{AMOUNT}\s++and\s++{AMOUNT}|(?<![A-Za-z0-9_.,]){AMOUNT}\s?[–—]\s?{AMOUNT}"
     about = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(APPROXIMATE)})\s++{AMOUNT}"
     quote = rf"(?:{span}|{about}|{FIGURE})"
-    tokens = rf"{dated}|{quote}(?:\s++{name})?+|{name}|[(),]"
+    # each of them starts with a sign or where a word does: one look rules out all places within words
+    tokens = rf"(?:(?=[-$\d(),])|{WORD_START})(?:{dated}|{quote}(?:\s++{name})?+|{name}|[(),])"
     starts = rf"^(?:{span}|{about}|{AMOUNT})"
     text = F.lit(None).cast("string")
     one = F.struct(text.alias("name"), text.alias("quote"))
     start = F.struct(text.alias("outer"), F.lit(False).alias("used"), text.alias("inner"), F.lit(False).alias("within"),
                      F.filter(F.array(one), lambda _: F.lit(False)).alias("out"))
 
-    def read(state: Column, token: Column) -> Column:
-        figure = F.when(~token.rlike(rf"^(?:{dated})$"), F.regexp_extract(token, starts, 0))
-        figure = F.when(figure != "", figure)
-        word = F.when(token.rlike(rf"{name}$") & ~token.rlike(rf"^(?:{dated})$"), F.trim(F.regexp_replace(token, starts, "")))
-        word = F.regexp_replace(word, "[ _]+", "_")
+    # step by step, so that each pattern is matched once a token: what an expression names twice is computed twice
+    def parts(found: Column) -> Column:
+        timed = F.transform(found, lambda t: F.struct(t.alias("token"), t.rlike(rf"^(?:{dated})$").alias("timed")))
+        matched = F.transform(timed, lambda t: F.struct(
+            t["token"].alias("token"), F.when(~t["timed"], F.regexp_extract(t["token"], starts, 0)).alias("figure"),
+            F.when(~t["timed"] & t["token"].rlike(rf"{name}$"), F.regexp_replace(F.trim(F.regexp_replace(t["token"], starts, "")), "[ _]+", "_")).alias("word")))
+        return F.transform(matched, lambda t: F.struct(t["token"].alias("token"), F.when(t["figure"] != "", t["figure"]).alias("figure"), t["word"].alias("word")))
+
+    def read(state: Column, one: Column) -> Column:
+        token, figure, word = one["token"], one["figure"], one["word"]
         within, waiting = state["within"], state["outer"].isNotNull() & ~state["used"]
         follows = figure.isNotNull() & word.isNotNull() & (within | ~waiting)
         owner = F.when(follows, word).when(within, F.coalesce(state["inner"], state["outer"])).otherwise(state["outer"])
@@ -109,7 +123,7 @@ def bound_figures(col: Column, names) -> Column:
             F.when(figure.isNotNull(), F.array_append(state["out"], F.struct(owner.alias("name"), figure.alias("quote")))).otherwise(state["out"]).alias("out"))
 
     def fold(clause: Column, place: Column) -> Column:
-        found = F.aggregate(F.regexp_extract_all(clause, F.lit(tokens), 0), start, read, lambda state: state["out"])
+        found = F.aggregate(parts(F.regexp_extract_all(clause, F.lit(tokens), 0)), start, read, lambda state: state["out"])
         return F.transform(found, lambda f: F.struct(place.alias("clause"), f["name"].alias("name"), f["quote"].alias("quote")))
 
     return F.flatten(F.transform(clauses(col), fold))

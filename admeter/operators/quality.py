@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scalar import micros, number, only_if
-from ..functions.text import AMOUNT, APPROXIMATE, bound_figures, count_words, join_regex_words, numbers_in, times_of, unit_of, value_of
+from ..functions.text import AMOUNT, APPROXIMATE, bound_figures, count_words, join_regex_words, let, numbers_in, times_of, unit_of
 from ..schema import REPORTED_KPIS
 from .diagnostics import ADDITIVE
 from .kpis import METRICS as REGISTRY, RATIOS, MetricRegistry, ratio_of
@@ -131,26 +131,32 @@ def quotes_in(text: Column, names=METRIC_WORDS) -> Column:
     A figure stands for values that agree with it at two decimals; one in thousands or millions, or an approximate one,
     for values that round to it at its last digit that is not 0.
     """
-    def bounds(f: Column) -> Column:
-        numbers = F.transform(F.regexp_extract_all(f["quote"], F.lit(AMOUNT), 0), lambda t: F.struct(t.alias("figure"), value_of(t).alias("value")))
-        first = numbers[0]
-        digits = F.regexp_extract(first["figure"], r"[\d,]+(?:\.(\d+))?", 0)
-        decimals = F.length(F.regexp_extract(digits, r"\.(\d+)", 1))
-        zeros = F.length(F.regexp_extract(F.regexp_replace(digits, ",", ""), r"[1-9](0+)$", 1))
-        unit = unit_of(first["figure"])
-        times = times_of(unit)
-        last = F.when(decimals > 0, F.pow(F.lit(10.0), -decimals)).otherwise(F.pow(F.lit(10.0), zeros)) * times
-        rough = f["quote"].rlike(rf"^(?:{'|'.join(APPROXIMATE)})\s") | (times > 1)
-        half = F.when(rough, last / 2).otherwise(0.005)
-        second, single = F.get(numbers, F.lit(1)), F.size(numbers) == 1
+    # step by step, so that each pattern is matched once a quote
+    def read(f: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(f["quote"], F.lit(AMOUNT), 0), lambda t: let(unit_of(t), lambda u: F.struct(
+            u.alias("unit"), F.regexp_extract(t, r"[\d,]+(?:\.(\d+))?", 0).alias("digits"),
+            (F.regexp_replace(t, r"[$,%xXkKmMbBnN]", "").try_cast("double") * times_of(u)).alias("value"), times_of(u).alias("times"))))
+        return F.struct(f["clause"].alias("clause"), f["name"].alias("name"), f["quote"].alias("quote"), numbers.alias("numbers"),
+                        f["quote"].rlike(rf"^(?:{'|'.join(APPROXIMATE)})\s").alias("rough"))
+
+    def rounded(f: Column) -> Column:
+        first = f["numbers"][0]
+        decimals = F.length(F.regexp_extract(first["digits"], r"\.(\d+)", 1))
+        zeros = F.length(F.regexp_extract(F.regexp_replace(first["digits"], ",", ""), r"[1-9](0+)$", 1))
+        last = let(decimals, lambda d: F.when(d > 0, F.pow(F.lit(10.0), -d)).otherwise(F.pow(F.lit(10.0), zeros))) * first["times"]
+        return F.when(f["rough"] | (first["times"] > 1), last / 2).otherwise(0.005)
+
+    def bounds(f: Column, half: Column) -> Column:
+        first, second, single = f["numbers"][0], F.get(f["numbers"], F.lit(1)), F.size(f["numbers"]) == 1
         # "3–4m": what the end is counted in holds for the start too
-        low = F.when(single | (unit != ""), first["value"]).otherwise(first["value"] * times_of(unit_of(second["figure"])))
+        low = F.when(single | (first["unit"] != ""), first["value"]).otherwise(first["value"] * second["times"])
         high = F.coalesce(second["value"], first["value"])
         return F.struct(
-            f["clause"].alias("clause"), f["name"].alias("name"), f["quote"].alias("quote"), unit.alias("unit"), f["quote"].endswith("%").alias("percent"),
-            F.when(single, low - half).otherwise(F.least(low, high)).alias("low"), F.when(single, high + half).otherwise(F.greatest(low, high)).alias("high"))
+            f["clause"].alias("clause"), f["name"].alias("name"), f["quote"].alias("quote"), first["unit"].alias("unit"), f["quote"].endswith("%").alias("percent"),
+            F.when(single, first["value"] - half).otherwise(F.least(low, high)).alias("low"),
+            F.when(single, first["value"] + half).otherwise(F.greatest(low, high)).alias("high"))
 
-    return F.transform(bound_figures(F.coalesce(text, F.lit("")), names), bounds)
+    return F.transform(F.transform(bound_figures(F.coalesce(text, F.lit("")), names), read), lambda f: let(rounded(f), lambda half: bounds(f, half)))
 
 
 def check_quotes(reports: DataFrame, values: DataFrame, *, text: str = "text", cohort: str = "cohort_id", names=METRIC_WORDS) -> DataFrame:
@@ -160,8 +166,11 @@ def check_quotes(reports: DataFrame, values: DataFrame, *, text: str = "text", c
     known metric is held against that metric only; a percentage also against a hundredth of itself for rates.  Different
     intervals are looked up once each, bucket by bucket.
     """
+    from ..llm.common import saved
+
     rest = [c for c in reports.columns if c != text]
-    quotes = reports.select(*rest, F.posexplode(quotes_in(F.col(text), names)).alias("quote_no", "q")).select(*rest, F.col("quote_no").cast("bigint"), "q.*")
+    # quotes are read three times below, texts once: the table goes to the shared folder
+    quotes = saved(reports.select(*rest, F.posexplode(quotes_in(F.col(text), names)).alias("quote_no", "q")).select(*rest, F.col("quote_no").cast("bigint"), "q.*"), "quotes")
     known = values.filter(F.col("value").isNotNull()).select(F.col(cohort).alias("k_cohort"), F.col("metric").alias("k_metric"), F.col("value").alias("v")).distinct()
     metrics = known.select("k_metric").distinct()
     keys = [cohort, "name", "percent", "low", "high"]
