@@ -269,27 +269,23 @@ def repeated_causes(cards: DataFrame, *, text: str = "whats_happening", card: st
     """Cards of one group whose root cause another card with a smaller number names too: ``keys, card, same_as, likeness``.
 
     Two causes are the same if their sets of word stems have a Jaccard similarity of ``least`` or more, however they are worded; ``same_as`` is the
-    smallest such card.  Equal sets become one first, so many copies in a group stay one row; the others are compared where they
-    share one of their rarest stems (of a set of n, the first n - ceil(least n) + 1 in order of frequency), which two sets that
-    alike must.
+    smallest such card.  Equal sets (by a 128-bit hash) become one first, so many copies in a group stay one row.  The others are compared by
+    bit maps (``causes.nearest``).  Intermediate tables go to the shared folder.
     """
+    from ..llm.common import Scratch, saved
+    from .causes import nearest
+
     keys = list(keys)
-    sets = cards.select(*keys, F.col(card).alias("card"), cause_words(F.col(text)).alias("stems")).filter(F.size("stems") > 0)
-    one = sets.groupBy(*keys, "stems").agg(F.min("card").alias("first"))
-    token = one.select(*keys, "first", "stems", F.explode("stems").alias("stem"))
-    frequency = token.groupBy(*keys, "stem").agg(F.count("*").alias("n"))
-    ranked = token.join(frequency, [*keys, "stem"]).withColumn("place", F.row_number().over(W.partitionBy(*keys, "first", "stems").orderBy("n", "stem")))
-    prefix = ranked.filter(F.col("place") <= F.size("stems") - F.ceil(F.size("stems") * least) + 1)
-    a, b = prefix.select(*keys, "stem", F.col("first"), F.col("stems")), prefix.select(*keys, "stem", F.col("first").alias("other"), F.col("stems").alias("other_stems"))
-    pairs = a.join(b, [*keys, "stem"]).filter(F.col("other") < F.col("first")).drop("stem").distinct()
-    both = F.size(F.array_intersect("stems", "other_stems"))
-    alike = pairs.withColumn("likeness", both / (F.size("stems") + F.size("other_stems") - both)).filter(F.col("likeness") >= least)
-    nearest = alike.groupBy(*keys, "stems").agg(F.min(F.struct("other", "likeness")).alias("of"))
-    said = sets.join(one, [*keys, "stems"]).join(nearest, [*keys, "stems"], "left")
-    copy = F.when(F.col("card") > F.col("first"), F.struct(F.col("first").alias("other"), F.lit(1.0).alias("likeness")))
-    near = F.when(F.col("of.other") < F.col("card"), F.col("of"))
-    same = F.least(copy, near)
-    return said.withColumn("_same", same).filter(F.col("_same").isNotNull()).select(
+    said = cards.select(*keys, F.col(card).alias("card"), F.array_join(cause_words(F.col(text)), " ").alias("stems"))
+    said = said.filter((F.col("stems") != "") & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "card"]]))
+    sets = saved(said.select(*keys, "card", F.unhex(F.md5("stems")).alias("hash"), "stems"), "causes-sets")
+    with Scratch(cards.sparkSession) as scratch:
+        one = saved(sets.groupBy(*keys, "hash").agg(F.min("card").alias("first"), F.min("stems").alias("stems")), "causes-one")
+        near = nearest(one, keys, least)
+        named = scratch.kept(one.drop("stems").join(near, [*keys, "hash"], "left"), "causes-named")
+    # what is like the first of equal cards has a smaller number than that
+    same = F.coalesce("of", F.when(F.col("card") > F.col("first"), F.struct(F.col("first").alias("other"), F.lit(1.0).alias("likeness"))))
+    return sets.drop("stems").join(named, [*keys, "hash"]).withColumn("_same", same).filter(F.col("_same").isNotNull()).select(
         *keys, F.col("card").alias(card), F.col("_same.other").alias("same_as"), F.col("_same.likeness").alias("likeness"))
 
 

@@ -3,11 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from admeter.functions import bound_figures, numbers_in
-from admeter.operators import compare as V, diagnostics as D, quality as Q
+from admeter.operators import causes, compare as V, diagnostics as D, quality as Q
 
 
 @pytest.mark.parametrize("text, wanted", [
@@ -80,6 +81,50 @@ def test_repeated_causes_against_brute_force(spark):
     assert got == wanted and got["d", 1][0] == 0 and got["d", 3][0] == 0 and ("d", 2) not in got
 
 
+def test_repeated_causes_in_parts_and_rounds(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i:03d}" for i in range(60)]
+    cards = []
+    for i in range(160):  # sets near the bound, of all sizes, so that first candidates are refuted; numbers that come twice; nulls
+        base = rng.sample(words[:30], 18) if i % 2 else rng.choice(cards)[2].split() if cards else words[:5]
+        text = [w for w in base if rng.random() > 0.2] + rng.sample(words, rng.randint(1, 12))
+        cards.append((rng.choice("ab"), rng.randint(0, 120), " ".join(text)))
+    df = spark.createDataFrame([*cards, ("a", None, "w001 w002"), (None, 3, "w001 w002"), ("a", 0, None)], "g string, n int, t string")
+    found = {}
+    for small, part, least in ((32, 16_384, 0.5), (0, 16, 0.5), (0, 16, 0.8), (10_000, 16, 0.5), (0, 40, 0.3)):
+        monkeypatch.setattr(causes, "SMALL", small)
+        monkeypatch.setattr(causes, "PART_SETS", part)
+        got = sorted((r.g, r.n, r.same_as, round(r.likeness, 9)) for r in Q.repeated_causes(df, text="t", card="n", keys=("g",), least=least).collect())
+        wanted = []
+        for g, n, t in cards:
+            a = stems(t)
+            alike = [(m, -round(len(a & b) / len(a | b), 9)) for h, m, u in cards if g == h and m < n and len(a & (b := stems(u))) >= least * len(a | b)]
+            if alike:
+                first = min(m for m, _ in alike)
+                wanted.append((g, n, first, {-x for m, x in alike if m == first}))
+        assert [x[:3] for x in got] == sorted(x[:3] for x in wanted), (small, part, least)
+        assert all(any(x[:3] == w[:3] and x[3] in w[3] for w in wanted) for x in got)
+        assert found.setdefault(least, got) == got
+
+
+def test_bit_maps_differ_in_no_more_bits_than_sets_in_words():
+    rng = np.random.default_rng(3)
+    for bits in (64, 256, 1024):
+        for _ in range(50):
+            a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+            x, y = (np.frombuffer(causes.bit_map(s, bits).tobytes(), np.uint64) for s in (a, b))
+            assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_quotes_are_read_once(spark):
+    reports = spark.createDataFrame([(1, "c", "CTR was 2%, spend about 1,200; CPC between $1 and $2.")], "id int, cohort_id string, text string")
+    values = spark.createDataFrame([("c", "ctr", 0.02), ("c", "spend", 1190.0)], "cohort_id string, metric string, value double")
+    plan = Q.check_quotes(reports, values)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # the texts are not read again for each use of their quotes
+    read = reports.select(Q.quotes_in(F.col("text")).alias("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("regexp") < 25  # each pattern is matched once or twice a quote, not once per use
+
+
 def test_exact_quantiles(spark):
     rng = random.Random(3)
     rows = [(g, rng.choice((None, 0.0, rng.uniform(-3, 3), rng.uniform(0, 1e7), 2.5)), float(rng.randint(0, 3))) for g in ("a", "b", None) for _ in range(rng.randint(1, 200))] + [("n", None, 1.0)]
