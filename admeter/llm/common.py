@@ -50,7 +50,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 class Scratch:
-    """Tables that are saved while it is open and deleted when it closes, but for those ``kept``; what it keeps is read from its own files."""
+    """Tables that are saved while it is open and deleted when it closes, but for those ``kept``; what it keeps is read from its own files.
+
+    What is kept belongs to the scratch around it, if there is one.
+    """
 
     _open: list[Scratch] = []
 
@@ -62,8 +65,9 @@ class Scratch:
         return self
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
-        found = saved(df, name)
-        self.paths.pop()
+        found, path, around = saved(df, name), self.paths.pop(), Scratch._open[:Scratch._open.index(self)]
+        if around:
+            around[-1].paths.append(path)
         return found
 
     def __exit__(self, *_: object) -> None:

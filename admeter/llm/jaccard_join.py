@@ -12,8 +12,8 @@ text, 128 of a set.
    its pieces is a key, which the two then have in common.  As a key stands for several shingles, sets that share a
    passage but not most of the text seldom meet.  Star edges from these keys give groups that contain all links.
 3. In each group a signature tree is traversed against itself.  Groups too large for a task are cut into blocks with
-   a few members that all blocks have; then what is not connected to a group's largest part meets, by its keys, the sets that
-   have one of them.
+   a few members that all blocks have; then what is not connected to a group's largest part meets all sets of its group that are
+   of about its size.  For that the sets of a size class are cut into parts, and each two parts meet in a task.
 4. Components of the links; equal sets share theirs.
 
 No pairs are listed within a group: a tree gives the links that connect it, one less than its sets at most.
@@ -32,12 +32,12 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, Words, as_bytes, mixed, repeats, saved, signed, small_batches
-from .components import HOT, PARTS, components, in_parts, part_of
+from .components import HOT, components, in_parts, part_of
 from .signature_tree import links
 from .substring_dedup import disguised, gathered
 
@@ -45,6 +45,8 @@ from .substring_dedup import disguised, gathered
 SAMPLED = 48
 #: Tokens of the sets in one task of step 3, and members that all blocks of a large group have.
 TASK_TOKENS, PIVOTS = 1 << 20, 32
+#: Tokens that a set counts for at least when a class is cut into parts: a task has so few small sets.
+PART_LEAST = 64
 #: Pieces of a part of a set.
 PIECES = 4
 
@@ -206,17 +208,17 @@ def candidate_groups(keys: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def linked(groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of sets (g, part, node, label, tokens): one tree per (g, part); a part may hold several groups ``component``."""
+    """Edges (a, b) of sets (g, part, side, node, label, tokens): one tree per (g, part), or one per side; a part may hold several groups ``component``."""
     def find(table: pa.Table) -> pa.Table:
         held: dict[int, list[int]] = {}
         for i, c in enumerate(table["component"].to_pylist()):
             held.setdefault(c, []).append(i)
-        node, label, tokens = (table[c].to_pylist() for c in ("node", "label", "tokens"))
+        node, label, side, tokens = (table[c].to_pylist() for c in ("node", "label", "side", "tokens"))
         a, b = [], []
         for members in held.values():
             if len(members) > 1:
                 sets = [np.frombuffer(tokens[i], np.uint64) for i in members]
-                for x, y in links(sets, percent, [label[i] for i in members]):
+                for x, y in links(sets, percent, [label[i] for i in members], [side[i] for i in members]):
                     a.append(node[members[x]])
                     b.append(node[members[y]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -226,22 +228,24 @@ def linked(groups: DataFrame, percent: int) -> DataFrame:
 
 def all_links(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the links of all sets (id, n, tokens)."""
-    keys = saved(set_keys(sets, percent), "jaccard-keys")
-    shared = saved(shared_keys(keys), "jaccard-shared-keys")
-    groups = candidate_groups(keys, shared)
-    members = saved(sets.join(groups, sets.id == groups.node).select("node", "component", "n", "tokens"), "jaccard-members")
+    with Scratch(sets.sparkSession) as scratch:
+        keys = saved(set_keys(sets, percent), "jaccard-keys")
+        shared = saved(shared_keys(keys), "jaccard-shared-keys")
+        groups = candidate_groups(keys, shared)
+        members = scratch.kept(sets.join(groups, sets.id == groups.node).select("node", "component", "n", "tokens"), "jaccard-members")
     sizes = members.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("members"))
     parts = max(1, -(-(sizes.agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS))
     large = saved(sizes.where(F.col("total") > 2 * TASK_TOKENS).select(
         "component", F.ceil(F.col("total") / TASK_TOKENS).cast("int").alias("blocks"), "members"), "jaccard-large")
     number = F.abs(F.xxhash64("node") % 1_000_003)
+    held = ["component", F.lit(0).alias("side"), "node", F.col("node").alias("label"), "tokens"]
     small = members.join(large, "component", "left_anti").select(
-        F.lit(-1).cast("bigint").alias("g"), F.pmod(F.xxhash64("component"), F.lit(parts)).alias("part"), "component", "node", F.col("node").alias("label"), "tokens")
+        F.lit(-1).cast("bigint").alias("g"), F.pmod(F.xxhash64("component"), F.lit(parts)).alias("part"), *held)
     split = members.join(large, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     everywhere = F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>")
     pivot = F.pmod(number, F.col("members")) < PIVOTS
     blocks = split.withColumn("part", F.explode(F.when(pivot, everywhere).otherwise(F.array("own"))))
-    edges = linked(small.union(blocks.select(F.col("component").alias("g"), "part", "component", "node", F.col("node").alias("label"), "tokens")), percent)
+    edges = linked(small.union(blocks.select(F.col("component").alias("g"), "part", *held)), percent)
     found = components(edges)
     if large.isEmpty():
         return found
@@ -250,32 +254,44 @@ def all_links(sets: DataFrame, percent: int) -> DataFrame:
         "node", "component", "n", "tokens", F.coalesce("label", "node").alias("label")), "jaccard-state")
     counts = state.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"))
     main = counts.groupBy("component").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-    outside = saved(state.join(main, "component").where("label <> main").select("node", "n"), "jaccard-outside")
-    if outside.isEmpty():
+    if state.join(main, "component").where("label <> main").isEmpty():
         return found
-    return components(edges.union(linked(meetings(state, outside, keys, shared), percent)))
+    return components(edges.union(linked(meetings(state.join(main, "component"), percent), percent)))
 
 
-def meetings(state: DataFrame, outside: DataFrame, keys: DataFrame, shared: DataFrame) -> DataFrame:
-    """(g, part, component, node, label, tokens): tasks in which every set of ``outside`` meets all sets of its group that share a key with it.
+def meetings(state: DataFrame, percent: int) -> DataFrame:
+    """(g, part, component, side, node, label, tokens): tasks in which every set outside the main part of its group meets all sets that it may link with.
 
-    Keys are dealt to tasks; a set that has several keys of a task goes there once.  The sets of a key with too many for a task are cut
-    into chunks, and those of ``outside`` go to each of them.
+    Sets that link are of one size class or of two that follow each other.  In a group, the sets of a class that are outside are cut into
+    parts, and so are those of the main part; each two parts of such classes meet in a task if one of them is outside.  So a set goes to
+    as many tasks as its class and the two next to it have parts, however many keys it shares.
     """
-    n_of = state.select(F.col("node").alias("id"), "n")
-    dealt = keys.withColumn("part", part_of(F.col("id"), PARTS)).join(in_parts(shared.select("key"), PARTS), ["key", "part"], "left_semi")
-    asked = keys.join(outside.select(F.col("node").alias("id")), "id", "left_semi").join(shared.select("key"), "key", "left_semi").select("key").distinct()
-    rows = dealt.join(in_parts(asked, PARTS), ["key", "part"], "left_semi").join(n_of, "id").select("key", "id", "n", "part")
-    rows = saved(rows.join(outside.select(F.col("node").alias("id"), F.lit(True).alias("out")), "id", "left").withColumn("out", F.coalesce("out", F.lit(False))), "jaccard-asked")
-    held = rows.groupBy("key").agg(F.sum("n").alias("total"))
-    tasks = max(1, -(-(held.agg(F.sum("total")).first()[0] or 0) // TASK_TOKENS))
-    held = saved(held.withColumn("chunks", F.ceil(F.col("total") / TASK_TOKENS).cast("int")), "jaccard-asked-keys")
-    one = rows.join(in_parts(held.select("key", "chunks"), PARTS), ["key", "part"])
-    chunk = F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(part_of(F.col("id"), F.col("chunks")))))
-    task = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.xxhash64("key", "chunk"))
-    places = one.withColumn("chunk", chunk).select("id", task.alias("task")).distinct()
-    met = state.join(places, state.node == places.id)
-    return met.select(F.lit(-2).cast("bigint").alias("g"), F.col("task").alias("part"), "component", "node", "label", "tokens")
+    least = size_classes(percent)[:256]
+    klass = F.size(F.filter(F.array(*[F.lit(x) for x in least]), lambda x: x <= F.col("n"))) - 1
+    sets = state.withColumns({"class": klass, "out": F.col("label") != F.col("main")})
+    needed = lambda of: F.ceil(F.sum(F.when(of, F.greatest("n", F.lit(PART_LEAST))).otherwise(0)) / (2 * TASK_TOKENS)).cast("int")
+    parts = saved(sets.groupBy("component", "class").agg(needed(F.col("out")).alias("outs"), needed(~F.col("out")).alias("mains")), "jaccard-parts")
+    near = parts
+    for name, step in (("next", 1), ("last", -1)):
+        of = parts.select("component", (F.col("class") - step).alias("class"), F.struct("outs", (F.col("outs") + F.col("mains")).alias("all")).alias(name))
+        near = near.join(of, ["component", "class"], "left")
+    own = F.when(F.col("out"), part_of(F.col("node"), F.col("outs"))).otherwise(F.col("outs") + part_of(F.col("node"), F.col("mains")))
+
+    def met(total: Column, outs: Column, task) -> Column:
+        """A task for each of a class's parts that a set's part meets; none if there is no such class."""
+        there = F.when(total > 0, F.sequence(F.lit(0), total - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(there, lambda j: F.col("out") | (j < outs)), task)
+
+    def task(low: Column, up: int, i: Column, j: Column, side: Column) -> Column:
+        return F.struct(low.alias("low"), F.lit(up).alias("up"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    k, p = F.col("class"), F.col("own")
+    tasks = F.concat(met(F.col("outs") + F.col("mains"), F.col("outs"), lambda j: task(k, 0, F.least(p, j), F.greatest(p, j), (p > j).cast("int"))),
+                     met(F.col("next.all"), F.col("next.outs"), lambda j: task(k, 1, p, j, F.lit(0))),
+                     met(F.col("last.all"), F.col("last.outs"), lambda j: task(k - 1, 1, j, p, F.lit(1))))
+    dealt = sets.join(near, ["component", "class"]).withColumn("own", own).withColumn("task", F.explode(tasks))
+    return dealt.select(F.lit(-2).cast("bigint").alias("g"), F.xxhash64("component", "task.low", "task.up", "task.i", "task.j").alias("part"),
+                        "component", F.col("task.side").alias("side"), "node", "label", "tokens")
 
 
 def join(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -283,7 +299,7 @@ def join(df: DataFrame, k: int, percent: int, key: str = "doc_id", text: str = "
     small_batches(df.sparkSession)
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("row", F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 3))
-    sets = document_sets(docs, shared_counts(docs, k, percent), k, percent)
+    sets = document_sets(docs, saved(shared_counts(docs, k, percent), "jaccard-shared"), k, percent)
     full = sets.where("n > 0 AND id IS NOT NULL")
     with Scratch(df.sparkSession) as scratch:  # keys and groups take more room than what comes of them
         same = saved(full.groupBy("low", "high").agg(F.min("id").alias("node")), "jaccard-same")

@@ -65,10 +65,10 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(sets: list[np.ndarray], percent: int, labels: list | None = None) -> list[tuple[int, int]]:
+def links(sets: list[np.ndarray], percent: int, labels: list | None = None, sides: list[int] | None = None) -> list[tuple[int, int]]:
     """Pairs (i, j) with 100 |both| >= percent |either| that connect all sets which such pairs connect.
 
-    Sets with equal ``labels`` count as connected already.
+    Sets with equal ``labels`` count as connected already.  If there are sets of two ``sides``, 0 and 1, only those of different sides are compared.
     """
     union = Union(labels if labels is not None else list(range(len(sets))))
     sizes = np.array([len(s) for s in sets])
@@ -100,8 +100,9 @@ def links(sets: list[np.ndarray], percent: int, labels: list | None = None) -> l
                     out.append((a, b))
 
     slack = sizes - np.bitwise_count(maps).sum(axis=1)
-    root = grown(order, maps, sizes)
-    todo = [(root, root)]
+    side = np.array(sides if sides is not None else [0] * len(sets))[order]
+    roots = [grown(order[side == x], maps, sizes) for x in np.unique(side)]
+    todo = [(roots[0], roots[-1])]
     while todo:
         x, y = todo.pop()
         if 100 * x.most < percent * y.least or 100 * y.most < percent * x.least:

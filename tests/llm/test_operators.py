@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 
 from admeter.llm import (byte_bpe, jaccard_join, license_scan, lm_scoring, mixing, packed_ids, quality_rules,
-                         substring_dedup, top_k)
+                         substring_dedup, top_k, signature_tree)
 from admeter.llm.common import CLEANED, saved
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, `row` int"
@@ -155,6 +155,56 @@ def test_jaccard_join_grows_with_the_texts(spark, monkeypatch):
     assert all(sent[n] <= 10 * n for n in sent), sent
 
 
+def test_links_of_two_sides():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2 ** 63, 400, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, rng.integers(40, 400), replace=False)) for _ in range(150)]
+    sides = rng.integers(0, 2, 150).tolist()
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 60 * len(np.union1d(a, b))
+    up = list(range(150))
+    pairs = [(i, j) for i in range(150) for j in range(i) if sides[i] != sides[j] and near(sets[i], sets[j])]
+    for _ in range(20):
+        for i, j in pairs:
+            up[i] = up[j] = min(up[i], up[j])
+    found = signature_tree.Union(list(range(150)))
+    for i, j in signature_tree.links(sets, 60, None, sides):
+        assert sides[i] != sides[j] and near(sets[i], sets[j])
+        found.join(i, j)
+    assert [found.find(i) for i in range(150)] == up and len(set(up)) < 150
+
+
+def test_jaccard_join_sends_sets_of_many_keys_to_few_tasks(spark, monkeypatch):
+    """Clusters of near copies that share many keys without linking, in one group too large for a task: what goes to trees follows the parts."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(900)]
+    docs, kind = [], {}
+    for i in range(120):
+        text = words[i % 15 * 40:][:300]
+        for at in range(i // 15):
+            text[30 * at + 7] = f"x{i}"
+        kind[i] = i % 15
+        docs.append((i, " ".join(text)))
+    sets = {i: {tuple(t.split()[p:p + 4]) for p in range(297)} for i, t in docs}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert not any(near(a, b) for a in sets for b in sets if kind[a] != kind[b])
+    label = {i: i for i in sets}
+    for _ in range(10):
+        for a in sets:
+            label[a] = min(label[b] for b in sets if kind[a] == kind[b] and near(a, b))
+        label = {i: label[label[i]] for i in label}
+    monkeypatch.setattr(jaccard_join, "TASK_TOKENS", 2_000)
+    sent, original = [], jaccard_join.linked
+
+    def counted(groups, percent):
+        sent.append(groups.count())
+        return original(groups, percent)
+
+    monkeypatch.setattr(jaccard_join, "linked", counted)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id bigint, text string"), 4, 80).collect()}
+    assert got == label
+    assert len(sent) == 2 and sent[1] <= 120 * 30, sent
+
+
 def test_components_of_stars_and_chains(spark, monkeypatch):
     from admeter.llm import components as graph
 
