@@ -261,8 +261,8 @@ EMPTY_WORDS = ("a", "an", "and", "are", "as", "at", "be", "because", "by", "due"
 def cause_words(text: Column) -> Column:
     """The different stems of a text's words, without words that say nothing about a cause."""
     words = F.split(normalized_title(F.coalesce(text, F.lit(""))), " ")
-    said = F.filter(words, lambda w: (w != "") & ~w.isin(*EMPTY_WORDS))
-    return F.array_sort(F.array_distinct(F.transform(said, lambda w: F.substring(w, 1, STEM_LETTERS))))
+    said = F.array_except(words, F.array(*[F.lit(w) for w in ("", *EMPTY_WORDS)]))
+    return F.sort_array(F.array_distinct(F.transform(said, lambda w: F.substring(w, 1, STEM_LETTERS))))
 
 
 def repeated_causes(cards: DataFrame, *, text: str = "whats_happening", card: str = "card_no", keys=("cohort_id",), least: float = 0.5) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,62 @@ def test_bit_maps_differ_in_no_more_bits_than_sets_in_words():
             assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_maps_are_compared_folded_and_for_asked_sets_only(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [rng.choice(30_000, rng.integers(130, 250), replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(7) for _ in range(300)]
+    for i in range(20, 300, 10):
+        sets[i] = sets[i - 13][:-20]  # alike, and earlier
+    n = [len(x) for x in sets]
+    one = spark.createDataFrame([], "g string, hash binary, first bigint")
+
+    class Kept:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, f, schema):
+            return f
+
+    find, compared, count = causes.candidates(Kept(), one, ["g"], 0.5, 1), [], np.bitwise_count
+
+    def counted(x, **more):
+        compared.append(np.size(x))
+        return count(x, **more)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+
+    def asked(some):
+        compared.clear()
+        table = pa.table({
+            "g": ["a"] * 300, "class": pa.array([7] * 300, pa.int32()), "i": pa.array([0] * 300, pa.int32()), "j": pa.array([0] * 300, pa.int32()),
+            "hash": [b"%03d" % i for i in range(300)], "first": list(range(300)), "after": pa.array([None] * 300, pa.int64()), "asked": [i in some for i in range(300)],
+            "left": [True] * 300, "n": pa.array(n, pa.int32()), "map": [causes.bit_map(x, 64 * 24).tobytes() for x in sets]})
+        found = find(table).to_pylist()
+        return {(int(r["hash"]), r["other"]) for r in found}, sum(compared)
+
+    alike = {(i, i - 13) for i in range(20, 300, 10)}
+    found, words = asked(range(300))
+    assert found == alike and words < 300 * 300 / 2 * 14  # 24 words a pair before
+    found, words = asked({20, 21})
+    assert found == {(20, 7)} and words < 2 * 300 * 24 * 2
+
+
+def test_folded_maps_lose_no_pair():
+    rng = np.random.default_rng(6)
+    for least in (0.3, 0.5, 0.8):
+        sets = []
+        for _ in range(60):
+            base = sets[rng.integers(0, len(sets))] if sets and rng.random() < 0.7 else rng.integers(0, 2 ** 63, rng.integers(1, 300), dtype=np.uint64)
+            sets.append(np.unique(np.append(base[rng.random(len(base)) < 0.95], rng.integers(0, 2 ** 63, rng.integers(1, 20), dtype=np.uint64))))
+        sets.sort(key=len)
+        n = np.array([len(x) for x in sets])
+        words = np.ascontiguousarray(np.stack([np.frombuffer(causes.bit_map(x, 64 * 24).tobytes(), np.uint64) for x in sets]).T)
+        maps = {w: causes.folded(words, w) for w in (6, 8, 12, 24)}
+        every = np.arange(len(sets))
+        got = {(int(a), int(b)) for k in range(0, 60, 20) for a, b in zip(*causes.close(maps, n, every[k:k + 20], every, (1 - least) / (1 + least)))}
+        wanted = {(a, b) for a in range(60) for b in range(60) if len(np.intersect1d(sets[a], sets[b])) >= least * len(np.union1d(sets[a], sets[b]))}
+        assert wanted <= got and len(wanted) > 60
+
+
 def test_quotes_are_read_once(spark):
     reports = spark.createDataFrame([(1, "c", "CTR was 2%, spend about 1,200; CPC between $1 and $2.")], "id int, cohort_id string, text string")
     values = spark.createDataFrame([("c", "ctr", 0.02), ("c", "spend", 1190.0)], "cohort_id string, metric string, value double")
